@@ -1,6 +1,9 @@
 """Registry of the subpackage: query functions and their SQL."""
 
-from cuewright.llm import decontaminate
+from cuewright.llm import decontaminate, simhash
 
-QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate}
+QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_simhash": simhash.op4_simhash,
+}
 SQL = {"op1_decontaminate": decontaminate.OP1_SQL}
