@@ -1,9 +1,11 @@
 """Registry of the subpackage: query functions and their SQL."""
 
-from cuewright.llm import decontaminate, simhash
+from cuewright.llm import decontaminate, packing, secrets, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_simhash": simhash.op4_simhash,
+    "op9_secrets": secrets.op9_secrets,
+    "op10_packing": packing.op10_packing,
 }
 SQL = {"op1_decontaminate": decontaminate.OP1_SQL}
