@@ -1,12 +1,13 @@
 """Registry of the subpackage: query functions and their SQL."""
 
-from cuewright.llm import decontaminate, langid, packing, secrets, sharding, simhash
+from cuewright.llm import decontaminate, langid, maxent, packing, secrets, sharding, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op6_langid": langid.op6_langid,
     "op7_sharding": sharding.op7_sharding,
+    "op8_maxent": maxent.op8_maxent,
     "op9_secrets": secrets.op9_secrets,
     "op10_packing": packing.op10_packing,
 }
