@@ -1,14 +1,17 @@
 """Registry of the subpackage: query functions and their SQL."""
 
-from cuewright.llm import decontaminate, langid, maxent, packing, secrets, sharding, simhash
+import corpus_pipeline
+from cuewright.llm import decontaminate, langid, maxent, packing, pii, secrets, sharding, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_simhash": simhash.op4_simhash,
+    "op5_pii": pii.op5_pii,
     "op6_langid": langid.op6_langid,
     "op7_sharding": sharding.op7_sharding,
     "op8_maxent": maxent.op8_maxent,
     "op9_secrets": secrets.op9_secrets,
     "op10_packing": packing.op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op1_decontaminate": decontaminate.OP1_SQL}
