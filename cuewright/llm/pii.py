@@ -209,34 +209,51 @@ class Field:
                     now = np.where(live, back[t, rows, now], now)
         return labels
 
-    def train(self, rows: list[tuple[np.ndarray, np.ndarray]], steps: int = 80, rate: float = 0.5, keep: float = 1e-3) -> None:
-        """Adaptive gradient ascent on the exact log likelihood with an L2 prior."""
-        past = [np.zeros_like(x) for x in (self.unary, self.pair, self.begin)]
+    def train(self, rows: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.3, keep: float = 1e-3) -> None:
+        """Adaptive gradient ascent on the exact log likelihood with an L2 prior.
+
+        A shape's weights are sums over its parts (marks, number of digits, cue), so unseen
+        combinations have weights too; the sums are stored as one table row for decoding.
+        """
+        code = np.arange(SHAPES)
+        parts = [np.eye(n)[v].T for n, v in ((128, code & 127), (8, code >> 7 & 7), (4, code >> 10))]
+        weights = [np.zeros((3, len(m), LABELS)) for m in parts] + [np.zeros((2, LABELS)), self.pair, self.begin]
+        past = [np.zeros_like(w) for w in weights]
+        n = np.asarray([len(shape) for shape, _ in rows])
+        longest, count, own = int(n.max()), len(rows), np.arange(len(rows))
+        live = np.arange(longest) < n[:, None]
+        around = np.full((3, count, longest), SHAPES * 3)
+        gold = np.zeros((count, longest), np.int64)
+        for i, (shape, labels) in enumerate(rows):
+            around[:, i, : n[i]] = neighbours(shape, np.zeros(1, np.int64))
+            gold[i, : n[i]] = labels
+        flat = [a[live] for a in around]
         for _ in range(steps):
-            g_u, g_p, g_b = np.zeros_like(self.unary), np.zeros_like(self.pair), np.zeros_like(self.begin)
+            self.unary[: SHAPES * 3] = sum((m.T @ w).reshape(-1, LABELS) for m, w in zip(parts, weights[:3], strict=True))
+            self.unary[SHAPES * 3 :] = weights[3]
             step = self.pair + self.allowed
-            for shape, gold in rows:
-                around = neighbours(shape, np.zeros(1, np.int64))
-                emit = self.unary[around].sum(axis=0)
-                n = len(shape)
-                fore, rear = np.zeros((n, LABELS)), np.zeros((n, LABELS))
-                fore[0] = emit[0] + self.begin + self.first_ok
-                for t in range(1, n):
-                    fore[t] = np.logaddexp.reduce(fore[t - 1][:, None] + step, axis=0) + emit[t]
-                for t in range(n - 2, -1, -1):
-                    rear[t] = np.logaddexp.reduce(step + emit[t + 1] + rear[t + 1], axis=1)
-                z = np.logaddexp.reduce(fore[-1])
-                node = -np.exp(fore + rear - z)
-                node[np.arange(n), gold] += 1
-                for a in around:
-                    np.add.at(g_u, a, node)
-                g_b += node[0]
-                if n > 1:
-                    edge = np.exp(fore[:-1, :, None] + step + (emit[1:] + rear[1:])[:, None, :] - z)
-                    g_p -= edge.sum(axis=0)
-                    np.add.at(g_p, (gold[:-1], gold[1:]), 1)
-            for w, g, p in zip((self.unary, self.pair, self.begin), (g_u, g_p, g_b), past, strict=True):
-                g = g / len(rows) - keep * w
+            emit = self.unary[around].sum(axis=0)
+            fore, rear = np.zeros((count, longest, LABELS)), np.zeros((count, longest, LABELS))
+            fore[:, 0] = emit[:, 0] + self.begin + self.first_ok
+            for t in range(1, longest):
+                fore[:, t] = np.logaddexp.reduce(fore[:, t - 1, :, None] + step, axis=1) + emit[:, t]
+            for t in range(longest - 2, -1, -1):
+                back = np.logaddexp.reduce(step + (emit[:, t + 1] + rear[:, t + 1])[:, None, :], axis=2)
+                rear[:, t] = np.where(live[:, t + 1, None], back, 0)
+            z = np.logaddexp.reduce(fore[own, n - 1], axis=1)
+            node = -np.exp(fore + rear - z[:, None, None])
+            node[own[:, None], np.arange(longest), gold] += 1
+            g_u = np.zeros_like(self.unary)
+            for a in flat:
+                np.add.at(g_u, a, node[live])
+            both = live[:, 1:]
+            edge = fore[:, :-1, :, None] + step + (emit[:, 1:] + rear[:, 1:])[:, :, None, :] - z[:, None, None, None]
+            g_p = -np.exp(edge[both]).sum(axis=0)
+            np.add.at(g_p, (gold[:, :-1][both], gold[:, 1:][both]), 1)
+            by_shape = g_u[: SHAPES * 3].reshape(3, SHAPES, LABELS)
+            grads = [m @ by_shape for m in parts] + [g_u[SHAPES * 3 :], g_p, node[:, 0].sum(axis=0)]
+            for w, g, p in zip(weights, grads, past, strict=True):
+                g = g / count - keep * w
                 p += g * g
                 w += rate * g / np.sqrt(p + 1e-8)
 
@@ -266,7 +283,7 @@ def _form(r: random.Random, kind: int) -> str:
     return r.choice([f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}", f"+49 {a} {b}{c}"])
 
 
-def labelled(n: int = 160, seed: int = 7) -> list[tuple[list[str], list[int]]]:
+def labelled(n: int = 300, seed: int = 7) -> list[tuple[list[str], list[int]]]:
     """The labelled table: token lists with their labels."""
     r, out = random.Random(seed), []
     for i in range(n):
