@@ -1,10 +1,11 @@
 """Registry of the subpackage: query functions and their SQL."""
 
 import corpus_pipeline
-from cuewright.llm import ann, decontaminate, langid, maxent, packing, pii, secrets, sharding, simhash
+from cuewright.llm import ann, decontaminate, langid, maxent, packing, pii, secrets, sharding, simhash, suffix
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_suffix": suffix.op2_suffix,
     "op3_ann": ann.op3_ann,
     "op4_simhash": simhash.op4_simhash,
     "op5_pii": pii.op5_pii,
