@@ -204,28 +204,51 @@ def cluster(sign: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
     return np.argmax(x @ c.T, axis=1)
 
 
-def softmax_logs(w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Log (base e) class probabilities at each position."""
-    z = w[0] + w[rows[0]] + w[rows[1]] + w[rows[2]]
+def softmax(w: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Unnormalised class probabilities of one block of positions, and their sums."""
+    z = w[rows[0]]
+    for r in rows[1:]:
+        z += w[r]
+    z += w[0]
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z, np.exp(z).sum(axis=1)
+
+
+def blocks(n: int, size: int = 4096) -> Iterator[slice]:
+    """Positions in blocks whose working arrays stay in a core's cache."""
+    return (slice(i, min(i + size, n)) for i in range(0, n, size))
+
+
+def class_logs(w: np.ndarray, rows: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
+    """Log (base e) probability of the given class at each position."""
+    out = np.empty(len(classes))
+    for b in blocks(len(classes)):
+        z, total = softmax(w, [r[b] for r in rows])
+        out[b] = z[np.arange(len(z)), classes[b]] - np.log(total)
+    return out
 
 
 def learn(w: np.ndarray, past: np.ndarray, rows: list[np.ndarray], classes: np.ndarray) -> None:
-    """One adaptive gradient step, in place."""
-    g = np.exp(softmax_logs(w, rows))
-    g[np.arange(len(g)), classes] -= 1
-    n = len(g)
-    g0 = g.sum(axis=0) / np.sqrt(n)
-    past[0] += g0 * g0
-    w[0] -= STEP * g0 / np.sqrt(past[0] + 1)
-    for r in rows:
-        order = np.argsort(r, kind="stable")
-        own, first = np.unique(r[order], return_index=True)
-        count = np.diff(np.append(first, n))[:, None]
-        s = np.add.reduceat(g[order], first, axis=0) / np.sqrt(count)
-        past[own] += s * s
-        w[own] -= STEP * s / np.sqrt(past[own] + 1)
+    """One adaptive gradient step over all positions, in place."""
+    n, g = len(classes), np.zeros_like(w)
+    for b in blocks(n):
+        own = [r[b] for r in rows]
+        z, total = softmax(w, own)
+        np.exp(z, out=z)
+        z /= total[:, None]
+        z[np.arange(len(z)), classes[b]] -= 1
+        g[0] += z.sum(axis=0)
+        for r in own:
+            order = np.argsort(r)
+            by = r[order]
+            first = np.flatnonzero(np.diff(by, prepend=-1))
+            g[by[first]] += np.add.reduceat(z[order], first, axis=0)
+    count = sum(np.bincount(r, minlength=ROWS) for r in rows)
+    count[0] = n
+    some = np.flatnonzero(count)
+    s = g[some] / np.sqrt(count[some]).astype(np.float32)[:, None]
+    past[some] += s * s
+    w[some] -= STEP * s / np.sqrt(past[some] + 1)
 
 
 def train(texts: DataFrame, head: Head, n_tokens: int) -> np.ndarray:
@@ -310,14 +333,13 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
             seq, length = tokens(part.column(1))
             at = top.find(seq)
             rare = at < 0
-            logs = softmax_logs(weights, features(*history(seq, length)))
             if len(top.names):
                 classes = np.where(rare, CLASSES - 1, top.classes[at])
                 inside, base = np.where(rare, -rare_unit, top.within[at]), np.where(rare, 0.0, log_c[at])
             else:
                 classes, inside, base = np.full(len(seq), CLASSES - 1), np.full(len(seq), -rare_unit), np.zeros(len(seq))
-                logs[:] = 0.0  # a single class
-            model = logs[np.arange(len(seq)), classes].astype(float) / ln10 + inside
+            logs = class_logs(weights, features(*history(seq, length)), classes) if len(top.names) else np.zeros(len(seq))  # else a single class
+            model = logs / ln10 + inside
             first = np.cumsum(length) - length
             which = np.repeat(np.arange(len(length)), length)[rare]
             h = seq[rare]
