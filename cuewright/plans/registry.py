@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuewright.plans import queries_words
+from cuewright.plans import queries_safety, queries_words
 
-QUERIES = {**queries_words.Q}
-SQL = {**queries_words.SQL}
+QUERIES = {**queries_words.Q, **queries_safety.Q}
+SQL = {**queries_words.SQL, **queries_safety.SQL}
