@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from cuewright.plans import queries_safety, queries_words
+from cuewright.plans import queries_captions, queries_safety, queries_words
 
-QUERIES = {**queries_words.Q, **queries_safety.Q}
-SQL = {**queries_words.SQL, **queries_safety.SQL}
+_MODULES = (queries_words, queries_safety, queries_captions)
+QUERIES = {k: f for m in _MODULES for k, f in m.Q.items()}
+SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
