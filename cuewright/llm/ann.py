@@ -46,7 +46,7 @@ BLOCK = 8192
 def learn_rotations(x: np.ndarray, bits: int, rounds: int = 20, seed: int = 5) -> np.ndarray:
     """Directions (d x bits) of iterative quantisation from different random starts."""
     d, r = x.shape[1], np.random.default_rng(seed)
-    _, _, vt = np.linalg.svd(x, full_matrices=True)
+    vt = np.linalg.eigh(x.T @ x)[1].T[::-1]
     v, out = x @ vt.T, []
     while sum(m.shape[1] for m in out) < bits:
         rot, _ = np.linalg.qr(r.standard_normal((d, d)))
