@@ -153,7 +153,7 @@ def repair_density(words: DataFrame, s: Settings = Settings(), duration_ms: int
     one = F.array(part(F.col("w"), F.col("text_"), F.col("dense_"), F.col("next_"), 0))
     rows = cues.select("job_id", "cue", F.col("dense_").alias("parent_dense"), splits.alias("split"), F.explode(F.when(splits, two).otherwise(one)).alias("p")).select("job_id", "cue", "parent_dense", "split", "p.*")
     chars = F.length(X.collapse(F.col("text")))
-    target = F.col("start_ms") + F.round(chars * 1000 / F.lit(max(s.max_cps, 0.1))).cast("long")
+    target = F.col("start_ms") + F.ceil(chars * 1000 / F.lit(max(s.max_cps, 0.1)))  # up, so that the rate is met
     limit = F.least(F.col("start_ms") + s.max_cue_ms, F.col("next") - s.min_caption_gap_ms, F.lit(duration_ms).cast("long"))
     longer = F.least(F.greatest(F.col("end_ms"), target), limit)
     stretched = F.col("dense") & (longer > F.col("end_ms") + 1)
