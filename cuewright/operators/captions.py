@@ -177,7 +177,7 @@ def repair_density(words: DataFrame, s: Settings = Settings(), duration_ms: int
 def caption_summary(captions: DataFrame) -> DataFrame:
     warned = F.array_contains("flags", "reading_speed") | (F.col("reading_status") != "OK")
     return captions.groupBy("job_id").agg(
-        F.count("*").alias("caption_count"), F.count_if(warned).alias("reading_speed_warnings"), F.round(F.avg("cps"), 2).alias("mean_cps"),
+        F.count("*").alias("caption_count"), F.count_if(warned).alias("reading_speed_warnings"), F.round(F.sum(F.col("cps").cast("decimal(20,4)")) / F.count("cps"), 2).cast("double").alias("mean_cps"),
         F.count_if(F.array_contains("flags", "needs_review")).alias("needs_review"),
     )
 

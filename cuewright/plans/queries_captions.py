@@ -88,12 +88,42 @@ def modal_speaker(spark, d) -> DataFrame:
     return counted.where("speaker <> ''").groupBy("job_id").agg(F.max_by("speaker", F.struct("n", (-F.col("f")).alias("f"))).alias("speaker"))
 
 
-@query("density_repair")
+def _speed(chars: str, words: str, ms: str) -> str:
+    seconds = f"(greatest({ms}, 1) / 1000.0::DOUBLE)"
+    return f"({chars} / {seconds} > 17.0 OR {words} / {seconds} > 4.0)"
+
+
+_DENSITY = f""", dq AS (SELECT job_id, m, list(word ORDER BY word_idx) AS w, list(start_ms ORDER BY word_idx) AS st, list(end_ms ORDER BY word_idx) AS en FROM mwords GROUP BY job_id, m),
+ dn AS (SELECT *, len(w) AS n, lead(st[1]) OVER (PARTITION BY job_id ORDER BY m) AS nxt FROM dq),
+ dc AS (SELECT *, coalesce(list_filter(generate_series(1, n - 1), lambda i: regexp_matches(w[i], '[.!?]["\'\'”’]*$'))[1], list_filter(generate_series(1, n - 1), lambda i: suffix(w[i], ','))[1],
+   list_filter(generate_series(1, n - 2), lambda i: lower(trim(w[i + 1], '.,!?')) IN ({IN_LIST(X.CONJUNCTIONS)}))[1], CASE WHEN n >= 6 THEN n // 2 END) AS cut FROM dn),
+ dp AS (SELECT job_id, m, n AS total, 0 AS kind, w, st[1] AS s, greatest(en[n], st[1]) AS e, nxt, n FROM dc
+  UNION ALL SELECT job_id, m, n, 1, w[1:cut], st[1], greatest(en[cut], st[1]), st[cut + 1], cut FROM dc WHERE cut IS NOT NULL
+  UNION ALL SELECT job_id, m, n, 2, w[cut + 1:n], st[cut + 1], greatest(en[n], st[cut + 1]), nxt, n - cut FROM dc WHERE cut IS NOT NULL),
+ df AS (SELECT *, array_to_string(w, ' ') AS flat FROM dp), dw AS (SELECT *, 43 - strpos(reverse(left(flat, 43)), ' ') AS sp FROM df),
+ dl AS (SELECT *, {_WRAP} AS lines FROM dw), dm AS (SELECT *, length(lines) AS chars, len(regexp_extract_all(lines, '\\S+')) AS nw FROM dl),
+ dd AS (SELECT *, {_speed('chars', 'nw', '(e - s)')} AS dense FROM dm),
+ dj AS (SELECT *, max(CASE WHEN kind = 0 THEN dense::INT END) OVER c = 1 AND count(*) OVER c = 3 AND (min(CASE WHEN kind > 0 THEN dense::INT END) OVER c = 0 OR total >= 6) AS splits FROM dd WINDOW c AS (PARTITION BY job_id, m)),
+ dk AS (SELECT * FROM dj WHERE splits = (kind > 0)),
+ dx AS (SELECT *, least(greatest(e, s + CAST(ceil(chars * 1000 / 17.0::DOUBLE) AS BIGINT)), least(s + 7000, nxt - 80)) AS longer FROM dk),
+ dy AS (SELECT *, dense AND longer > e + 1 AS stretched, CASE WHEN dense AND longer > e + 1 THEN longer ELSE e END AS e2 FROM dx),
+ dz AS (SELECT *, {_speed('chars', 'nw', '(e2 - s)')} AS still FROM dy),
+ repaired AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY m, kind) AS caption, s AS start_ms, e2 AS end_ms, lines AS text, CAST(n AS INT) AS n_words, round(chars / (greatest(e2 - s, 1) / 1000.0::DOUBLE), 4) AS cps, round(nw / (greatest(e2 - s, 1) / 1000.0::DOUBLE), 4) AS wps,
+   CASE WHEN still THEN 'too_fast' ELSE 'OK' END AS reading_status,
+   concat_ws(',', CASE WHEN (splits OR dense) AND NOT (stretched AND NOT still) THEN 'reading_speed' END, CASE WHEN stretched THEN 'timing_extended' END, CASE WHEN still AND NOT (splits OR dense) THEN 'reading_speed' END, CASE WHEN still THEN 'needs_review' END) AS flags FROM dz)
+"""
+
+
+@query("density_repair", WORDS_CONV + _CUES + _MERGED + _DENSITY + "SELECT * FROM repaired")
 def density_repair(spark, d) -> DataFrame:
-    return C.repair_density(_merged_words(spark, d))
+    return C.repair_density(_merged_words(spark, d)).withColumn("flags", F.array_join("flags", ","))
 
 
-@query("caption_summary")
+@query(
+    "caption_summary",
+    WORDS_CONV + _CUES + _MERGED + _DENSITY + """SELECT job_id, count(*) AS caption_count, count(*) FILTER (contains(flags, 'reading_speed') OR reading_status <> 'OK') AS reading_speed_warnings,
+ (200 * sum(CAST(round(cps * 10000) AS BIGINT)) // count(*) + 10000) // 20000 / 100.0::DOUBLE AS mean_cps, count(*) FILTER (contains(flags, 'needs_review')) AS needs_review FROM repaired GROUP BY job_id""",
+)
 def caption_summary(spark, d) -> DataFrame:
     return C.caption_summary(C.repair_density(_merged_words(spark, d)))
 
