@@ -53,44 +53,40 @@ def grams_of(word: str, n: int) -> list[str]:
     return [own[i : i + n] for i in range(len(own) - n + 1)]
 
 
+class Table:
+    """Log frequencies in each language of some keys: one matrix, and each key's row."""
+
+    def __init__(self, keys: list[str], counts: np.ndarray):
+        self.row = {k: i for i, k in enumerate(keys)}
+        c = counts.astype(float)
+        self.logs = np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * max(len(c), 1)))
+
+
 class Model:
-    """Log frequencies of words and n-grams in each language."""
+    """Tables of words and of n-grams by length."""
 
-    def __init__(self, langs: list[str], words: dict[str, tuple], grams: dict[str, tuple]):
+    def __init__(self, langs: list[str], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray]):
         self.langs = langs
-        self.words = self._logs(words)
-        by_size: dict[int, dict[str, tuple]] = {}
-        for g, c in grams.items():
-            by_size.setdefault(len(g), {})[g] = c
-        self.grams = {n: self._logs(g) for n, g in by_size.items()}
+        self.words = Table(*words)
+        size = np.asarray([len(g) for g in grams[0]], int)
+        self.grams = {n: Table([g for g in grams[0] if len(g) == n], grams[1][size == n]) for n in range(1, LONGEST + 1)}
         self.cache: dict[str, np.ndarray] = {}
 
-    @staticmethod
-    def _logs(counts: dict[str, tuple]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        c = np.asarray(list(counts.values()), float)
-        logs = np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * len(c)))
-        return dict(zip(counts, logs, strict=True))
-
-    def word(self, w: str) -> np.ndarray:
-        known = self.words.get(w)
-        if known is not None:
-            return known
+    def unknown(self, w: str) -> np.ndarray:
         known = self.cache.get(w)
         if known is None:
-            if len(self.cache) > 200_000:
+            if len(self.cache) > 50_000:
                 self.cache.clear()
-            known = self.cache[w] = self._unknown(f"^{w}$")
+            known = self.cache[w] = self._cover(f"^{w}$")
         return known
 
-    def _unknown(self, own: str) -> np.ndarray:
+    def _cover(self, own: str) -> np.ndarray:
         total, at = np.zeros(len(self.langs)), 0
         while at < len(own):
             for n in range(LONGEST, 0, -1):
-                logs = self.grams.get(n, {}).get(own[at : at + n]) if at + n <= len(own) else None
-                if logs is not None:
-                    total = total + logs + PENALTY * (LONGEST - n)
+                row = self.grams[n].row.get(own[at : at + n]) if at + n <= len(own) else None
+                if row is not None:
+                    total = total + self.grams[n].logs[row] + PENALTY * (LONGEST - n)
                     at += max(1, n - 1)
                     break
             else:
@@ -101,8 +97,12 @@ class Model:
         counts = Counter(words_of(text))
         if not counts or not self.langs:
             return "und", 0.0
-        logs = np.asarray([self.word(w) for w in counts])
-        total = np.asarray(list(counts.values()), float) @ logs
+        rows = [self.words.row.get(w, -1) for w in counts]
+        at, times = np.asarray(rows), np.asarray(list(counts.values()), float)
+        total = times[at >= 0] @ self.words.logs[at[at >= 0]]
+        for (w, n), row in zip(counts.items(), rows, strict=True):
+            if row < 0:
+                total = total + n * self.unknown(w)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -113,7 +113,7 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", rows: in
     sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        return Model([], {}, {})
+        return Model([], ([], np.zeros((0, 0))), ([], np.zeros((0, 0))))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows / r["count"]))])
     picked = own.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
     index = {x: i for i, x in enumerate(langs)}
@@ -132,10 +132,12 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", rows: in
     def wide(df: DataFrame) -> DataFrame:
         return df.groupBy("key").agg(F.array(*[F.sum(F.when(F.col("k") == i, F.col("c")).otherwise(0)) for i in range(len(langs))]).alias("c"))
 
-    def top(df: DataFrame, n: int) -> dict[str, tuple]:
+    def top(df: DataFrame, n: int) -> tuple[list[str], np.ndarray]:
         all_c = df.agg(F.array(*[F.sum(F.col("c")[i]) for i in range(len(langs))])).first()[0] or [1] * len(langs)
         rate = F.array_max(F.array(*[F.col("c")[i] / F.lit(float(max(t or 0, 1))) for i, t in enumerate(all_c)]))
-        return {r["key"]: tuple(r["c"]) for r in df.orderBy(rate.desc(), "key").limit(n).collect()}
+        held = df.orderBy(rate.desc(), "key").limit(n).toArrow()
+        counts = held.column("c").combine_chunks().flatten().to_numpy().reshape(-1, len(langs))
+        return held.column("key").to_pylist(), counts
 
     def split(batches):
         for batch in batches:
