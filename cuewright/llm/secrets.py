@@ -94,38 +94,61 @@ def _cdf(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(1.5976) * z + F.lit(0.070565992) * z * z * z)))
 
 
-def battery(run: Column, kind: Column) -> Column:
-    """Combined p value of the three tests of one run under its inferred encoding."""
-    clean = F.when(kind == "hex", F.lower(run)).when(kind == "base64", F.translate(run, "-_", "+/")).otherwise(run)
-    letters = F.element_at(F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv]), kind)
-    k = F.length(letters).cast("double")
-    n = F.length(clean).cast("double")
-    squares = F.aggregate(
-        F.split(letters, ""),
-        F.lit(0.0),
-        lambda acc, ch: acc + F.pow(n - F.length(F.replace(clean, ch, F.lit(""))), F.lit(2.0)),
-    )
-    chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    codes = F.transform(F.split(clean, ""), lambda ch: (F.instr(letters, ch) - 1).cast("double"))
+def tested(found: Column) -> Column:
+    """Runs that suggest an encoding, with its name, their length class and their p value.
+
+    Each step binds what the next one uses several times to a field, so nothing is written
+    out, or computed, more than once.
+    """
+    named = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("run"), encoding(x["value"]).alias("encoding")))
+    named = F.filter(named, lambda r: r["encoding"].isNotNull())
+    alphabets = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])
+    keep = lambda r, *names: [r[n].alias(n) for n in names]
+
+    def prepare(r: Column) -> Column:
+        clean = F.when(r["encoding"] == "hex", F.lower(r["run"])).when(r["encoding"] == "base64", F.translate(r["run"], "-_", "+/")).otherwise(r["run"])
+        return F.struct(*keep(r, "start", "end", "encoding"), length_class(r["run"]).alias("size"), clean.alias("clean"), F.element_at(alphabets, r["encoding"]).alias("letters"))
+
+    def code(r: Column) -> Column:
+        codes = F.transform(F.split(r["clean"], ""), lambda ch: (F.instr(r["letters"], ch) - 1).cast("double"))
+        squares = F.aggregate(
+            F.split(r["letters"], ""),
+            F.lit(0.0),
+            lambda acc, ch: acc + F.pow(F.length(r["clean"]) - F.length(F.replace(r["clean"], ch, F.lit(""))).cast("double"), F.lit(2.0)),
+        )
+        n, k = F.length(r["clean"]).cast("double"), F.length(r["letters"]).cast("double")
+        return F.struct(*keep(r, "start", "end", "encoding", "size"), n.alias("n"), k.alias("k"), squares.alias("squares"), codes.alias("codes"))
 
-    def rest(x: Column) -> Column:
+    def moments(r: Column) -> Column:
+        x = r["codes"]
         pairs = F.arrays_zip(F.slice(x, 1, F.size(x) - 1).alias("a"), F.slice(x, 2, F.size(x) - 1).alias("b"))
-        high = F.size(F.filter(x, lambda v: v >= k / 2)).cast("double")
-        low = n - high
-        turns = F.size(F.filter(pairs, lambda p: (p["a"] >= k / 2) != (p["b"] >= k / 2))) + 1
-        mixed = 2 * high * low
+        high = F.size(F.filter(x, lambda v: v >= r["k"] / 2)).cast("double")
+        mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / r["n"]
+        return F.struct(*keep(r, "start", "end", "encoding", "size", "n", "k", "squares", "codes"), pairs.alias("pairs"), high.alias("high"), (r["n"] - high).alias("low"), mean.alias("mean"))
+
+    def scores(r: Column) -> Column:
+        n, k, mean = r["n"], r["k"], r["mean"]
+        chi = (r["squares"] * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+        turns = F.size(F.filter(r["pairs"], lambda p: (p["a"] >= k / 2) != (p["b"] >= k / 2))) + 1
+        mixed = 2 * r["high"] * r["low"]
         spread = F.sqrt(F.greatest(mixed * (mixed - n) / (n * n * (n - 1)), F.lit(1e-9)))
         # all in one half: as unlikely as a run of n equal coin tosses
-        runs = F.when((high == 0) | (low == 0), F.sqrt(n)).otherwise((turns - 1 - mixed / n) / spread)
-        mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-        around = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
-        along = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
+        runs = F.when(mixed == 0, F.sqrt(n)).otherwise((turns - 1 - mixed / n) / spread)
+        around = F.aggregate(r["codes"], F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
+        along = F.aggregate(r["pairs"], F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
         serial = F.when(around > 0, (along / around + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
         total = F.pow(F.greatest(chi, F.lit(0.0)), F.lit(2.0)) + runs * runs + serial * serial
         # chi-squared with three degrees of freedom by Wilson and Hilferty
-        return F.lit(1.0) - _cdf((F.pow(total / 3, F.lit(1 / 3)) - (1 - 2 / 27)) / F.sqrt(F.lit(2 / 27)))
+        z = (F.pow(total / 3, F.lit(1 / 3)) - (1 - 2 / 27)) / F.sqrt(F.lit(2 / 27))
+        return F.struct(*keep(r, "start", "end", "encoding", "size"), z.alias("z"))
 
-    return F.element_at(F.transform(F.array(codes), rest), 1)
+    def final(r: Column) -> Column:
+        return F.struct(*keep(r, "start", "end", "encoding", "size"), (F.lit(1.0) - _cdf(r["z"])).alias("p"))
+
+    out = named
+    for step in (prepare, code, moments, scores, final):
+        out = F.transform(out, step)
+    return out
 
 
 def length_class(run: Column) -> Column:
@@ -143,7 +166,7 @@ def scan(docs: DataFrame, name: str = "secrets", text: str = "text") -> DataFram
             F.filter(located(t, ASSIGN, 2), lambda x: F.length(x["value"]) >= 12).alias("assign"),
             located(t, ACCESS).alias("access"),
             located(t, HEX).alias("hex"),
-            F.filter(located(t, RUN), lambda x: encoding(x["value"]).isNotNull()).alias("runs"),
+            located(t, RUN).alias("runs"),
         ),
     )
 
@@ -153,9 +176,7 @@ def scan(docs: DataFrame, name: str = "secrets", text: str = "text") -> DataFram
             lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")),
         )
 
-    found = found.withColumn(runs, F.transform(F.col(raw)["runs"], lambda x: F.struct(
-        x["start"].alias("start"), x["end"].alias("end"), encoding(x["value"]).alias("encoding"),
-        length_class(x["value"]).alias("size"), battery(x["value"], encoding(x["value"])).alias("p"))))
+    found = found.withColumn(runs, tested(F.col(raw)["runs"]))
     return found.withColumn(
         name,
         F.struct(
@@ -220,9 +241,12 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 
 def redact(docs: DataFrame, *, text: str = "text", fdr: float = FDR) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by ``<secret>``; overlapping spans become one."""
+    """``docs`` with every span of ``text`` replaced by ``<secret>``; overlapping spans become one.
+
+    The scanned rows are written once: the corpus statistics and the replacement both read them.
+    """
     name = free_name(docs, "secrets")
-    scanned = scan(docs, name, text)
+    scanned = Workspace(docs.sparkSession, "redact").put(scan(docs, name, text), "scanned")
     spans = decide(scanned, thresholds(scanned, name, fdr), name)
     t = F.col(text)
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
