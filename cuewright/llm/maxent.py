@@ -166,7 +166,7 @@ def signatures(texts: DataFrame, head: Head) -> np.ndarray:
     def run(batches):
         own, sign, piv = held.value
         total = np.zeros(SIGNED * wide, np.int64)
-        for part in pieces(batches, 0):
+        for part in pieces(batches, 0, 1 << 22):  # each piece costs a pass over the counters
             seq, length = tokens(part.column(0))
             at = own.find(seq)
             s, p = np.where(at < 0, -1, sign[at]), np.where(at < 0, -1, piv[at])
@@ -204,14 +204,14 @@ def cluster(sign: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
     return np.argmax(x @ c.T, axis=1)
 
 
-def softmax(w: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Unnormalised class probabilities of one block of positions, and their sums."""
+def logits(w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Class logits of one block of positions, the largest of each zero."""
     z = w[rows[0]]
     for r in rows[1:]:
         z += w[r]
     z += w[0]
     z -= z.max(axis=1, keepdims=True)
-    return z, np.exp(z).sum(axis=1)
+    return z
 
 
 def blocks(n: int, size: int = 4096) -> Iterator[slice]:
@@ -223,8 +223,10 @@ def class_logs(w: np.ndarray, rows: list[np.ndarray], classes: np.ndarray) -> np
     """Log (base e) probability of the given class at each position."""
     out = np.empty(len(classes))
     for b in blocks(len(classes)):
-        z, total = softmax(w, [r[b] for r in rows])
-        out[b] = z[np.arange(len(z)), classes[b]] - np.log(total)
+        z = logits(w, [r[b] for r in rows])
+        out[b] = z[np.arange(len(z)), classes[b]]
+        np.exp(z, out=z)
+        out[b] -= np.log(z.sum(axis=1))
     return out
 
 
@@ -233,16 +235,17 @@ def learn(w: np.ndarray, past: np.ndarray, rows: list[np.ndarray], classes: np.n
     n, g = len(classes), np.zeros_like(w)
     for b in blocks(n):
         own = [r[b] for r in rows]
-        z, total = softmax(w, own)
+        z = logits(w, own)
         np.exp(z, out=z)
-        z /= total[:, None]
+        z /= z.sum(axis=1, keepdims=True)
         z[np.arange(len(z)), classes[b]] -= 1
         g[0] += z.sum(axis=0)
         for r in own:
-            order = np.argsort(r)
+            order = np.argsort(r.astype(np.uint16), kind="stable")  # a radix sort, as ROWS is small
             by = r[order]
             first = np.flatnonzero(np.diff(by, prepend=-1))
-            g[by[first]] += np.add.reduceat(z[order], first, axis=0)
+            # added up along the long axis, which numpy does faster
+            g[by[first]] += np.add.reduceat(np.ascontiguousarray(z[order].T), first, axis=1).T
     count = sum(np.bincount(r, minlength=ROWS) for r in rows)
     count[0] = n
     some = np.flatnonzero(count)
