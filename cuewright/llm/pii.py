@@ -9,8 +9,8 @@ are added under their kind.
 Features of a token are its word shape (which of letters, digits and marks it is made of, how
 many digits, its length class) and whether it is one of a few cue words; those of its
 neighbours count too. All are packed into one small shape code, so the score of a token is
-the sum of three table rows. Texts are cut into chains at line ends and after ``CHAIN``
-tokens, and chains of similar length are decoded together by Viterbi in numpy.
+the sum of three table rows. Every line is one chain, decoded whole by Viterbi in numpy: blocks
+of its tokens run side by side, and scores are carried from block to block.
 
 The field is trained by gradient descent on the exact likelihood of a small labelled table,
 ``labelled()``, made from templates by a fixed random seed.
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from cuewright.llm.common import append_column, read
 
 KINDS = ("email", "ip", "card", "phone")
-CHAIN = 96
+BLOCK = 96  # tokens decoded side by side; no bound on a chain
 LABELS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
 # --- base patterns ---------------------------------------------------------------------
@@ -140,15 +140,11 @@ def tokens_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chains_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Indices of the first token of each chain."""
+    """Indices of the first token of each chain, that is, of each line with tokens."""
     if not len(start):
         return start
     breaks = np.concatenate([[0], np.cumsum((data == 0x0A) | (data == 0))])
-    line = breaks[start]
-    first = np.flatnonzero(np.diff(line, prepend=-1))
-    size = np.diff(np.append(first, len(start)))
-    more = -(-size // CHAIN)
-    return np.repeat(first, more) + CHAIN * (np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more))
+    return np.flatnonzero(np.diff(breaks[start], prepend=-1))
 
 
 # --- the field -------------------------------------------------------------------------
@@ -182,31 +178,79 @@ class Field:
         return self.unary[around[0]] + self.unary[around[1]] + self.unary[around[2]]
 
     def decode(self, shape: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Viterbi labels of all tokens; chains start at ``first``."""
+        """Viterbi labels of all tokens; chains start at ``first`` and are decoded whole.
+
+        Blocks of ``BLOCK`` tokens run side by side. A block inside a chain starts from a guess
+        at first; once the block before it has ended, it runs again from that block's scores,
+        until these differ from its old ones by a constant, which leaves the rest as it is.
+        """
         labels = np.zeros(len(shape), np.int64)
         if not len(shape):
             return labels
-        emit = self.scores(shape, first)
-        size = np.diff(np.append(first, len(shape)))
+        around = neighbours(shape, first)
+        best = self.unary[around[0]] + self.unary[around[1]] + self.unary[around[2]]  # emissions, then scores
+        back = np.zeros((len(shape), LABELS), np.int8)
         step = self.pair + self.allowed
-        order = np.argsort(size, kind="stable")
-        for part in np.array_split(order, max(1, len(order) // 256)):
-            at, n = first[part], size[part]
-            longest, rows = int(n.max()), np.arange(len(part))
-            back = np.zeros((longest, len(part), LABELS), np.int8)
-            best = emit[at] + self.begin + self.first_ok
-            for t in range(1, longest):
-                live = n > t
-                cand = best[:, :, None] + step
-                back[t] = cand.argmax(axis=1)
-                new = cand.max(axis=1) + emit[np.minimum(at + t, len(shape) - 1)]
-                best = np.where(live[:, None], new, best)
-            now = best.argmax(axis=1)
-            for t in range(longest - 1, -1, -1):
-                live = n > t
-                labels[(at + t)[live]] = now[live]
+        size = np.diff(np.append(first, len(shape)))
+        more = -(-size // BLOCK)
+        begin = np.repeat(first, more) + BLOCK * (np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more))
+        count = np.diff(np.append(begin, len(shape)))
+        inner = np.ones(len(begin), bool)
+        inner[np.cumsum(more) - more] = False
+        best[first] += self.begin + self.first_ok
+        order = np.argsort(count, kind="stable")
+        groups = np.array_split(order, max(1, len(order) // 256))
+        for part in groups:
+            part = part[::-1]  # long ones first, so that live ones lead
+            at, n = begin[part], count[part]
+            for t in range(1, int(n[0])):
+                i = at[: int(np.searchsorted(-n, -t))] + t
+                cand = best[i - 1][:, :, None] + step
+                back[i] = cand.argmax(axis=1)
+                best[i] += cand.max(axis=1)
+        todo = np.flatnonzero(inner)
+        while len(todo):
+            i, stop, block = begin[todo], begin[todo] + count[todo], todo
+            prev = best[i - 1]
+            ended = []
+            while len(i):
+                cand = prev[:, :, None] + step
+                back[i] = cand.argmax(axis=1)
+                now = cand.max(axis=1) + self.unary[around[0][i]] + self.unary[around[1][i]] + self.unary[around[2][i]]
+                apart = now - best[i]
+                best[i] = now
+                going = np.ptp(apart, axis=1) > 1e-9
+                i = i + 1
+                at_end = going & (i == stop)
+                ended.append(block[at_end] + 1)  # the block after it, if of the same chain, started from other scores
+                going &= ~at_end
+                i, stop, block, prev = i[going], stop[going], block[going], now[going]
+            after = np.sort(np.concatenate(ended))
+            after = after[after < len(begin)]
+            todo = after[inner[after]]
+        # the label before each block by the label at its end
+        source = np.zeros((len(begin), LABELS), np.int64)
+        for part in groups:
+            part = part[inner[part]][::-1]
+            if len(part):
+                at, n = begin[part], count[part]
+                maps = np.tile(np.arange(LABELS), (len(part), 1))
+                for t in range(int(n[0]) - 1, -1, -1):
+                    live = int(np.searchsorted(-n, -t))
+                    maps[:live] = np.take_along_axis(back[at[:live] + t], maps[:live], axis=1)
+                source[part] = maps
+        last = best[begin + count - 1].argmax(axis=1)
+        for b in np.flatnonzero(inner)[::-1].tolist():
+            last[b - 1] = source[b, last[b]]
+        for part in groups:
+            part = part[::-1]
+            at, n, now = begin[part], count[part], last[part]
+            for t in range(int(n[0]) - 1, -1, -1):
+                live = int(np.searchsorted(-n, -t))
+                i = at[:live] + t
+                labels[i] = now[:live]
                 if t:
-                    now = np.where(live, back[t, rows, now], now)
+                    now[:live] = back[i, now[:live]]
         return labels
 
     def train(self, rows: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.3, keep: float = 1e-3) -> None:

@@ -201,6 +201,39 @@ def test_personal_data(spark):
     assert all(not rows[i]["spans"] for i in (5, 6, 7))
 
 
+def plain_viterbi(own, shape, first):
+    labels = np.zeros(len(shape), int)
+    emit, step = own.scores(shape, first), own.pair + own.allowed
+    for a, b in zip(first, np.append(first[1:], len(shape)), strict=True):
+        best, back = emit[a] + own.begin + own.first_ok, []
+        for i in range(a + 1, b):
+            cand = best[:, None] + step
+            back.append(cand.argmax(axis=0))
+            best = cand.max(axis=0) + emit[i]
+        labels[b - 1] = best.argmax()
+        for i in range(b - 1, a, -1):
+            labels[i - 1] = back[i - a - 1][labels[i]]
+    return labels
+
+
+def test_personal_data_on_long_lines():
+    form = "bob at host dot com"
+    for own in (form, "(555) 123-4567"):
+        texts = [" ".join(["plain"] * i + [own] + ["words"] * (300 - i)) for i in range(300)]
+        assert [[t[a:b] for a, _, b in s] for t, s in zip(texts, pii.model_spans(pii.field(), texts), strict=True)] == [[own]] * 300
+    r = random.Random(5)
+    pool = form.split() + ["(555)", "123-4567", "1234", "5678", "+1", "plain", "words"]
+    data = np.frombuffer("\n".join(" ".join(r.choice(pool) for _ in range(r.choice([1, 5, 95, 96, 97, 192, 193, 1000]))) for _ in range(60)).encode(), np.uint8)
+    start, end, shape = pii.tokens_of(data)
+    first = pii.chains_of(data, start, end)
+    assert len(first) == 60
+    assert (pii.field().decode(shape, first) == plain_viterbi(pii.field(), shape, first)).all()
+    wild = pii.Field()  # scores that forget slowly: inside labels go on for long
+    wild.unary[: pii.SHAPES, 2::2] = 5
+    wild.unary[shape[:7]] = np.random.default_rng(1).normal(size=(7, pii.LABELS))
+    assert (wild.decode(shape, first) == plain_viterbi(wild, shape, first)).all()
+
+
 # --- 6 ----------------------------------------------------------------------------------
 
 
