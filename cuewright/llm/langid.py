@@ -8,8 +8,8 @@ probability of that language under equal priors.
 Fitting: the classifier is fitted on a bounded sample of labelled rows, at most about
 ``ROWS`` a language, picked by a hash of the text. Word and n-gram counts of the
 sample are aggregated on the cluster; the model keeps the ``WORDS`` words and ``GRAMS``
-n-grams that are most frequent in some language, which bounds what is broadcast. At most
-``LANGS`` languages, the most frequent ones, are learned.
+n-grams that are most frequent in some language, which bounds what is broadcast. Every
+language is learned; a key's counts are held for the languages in which it occurs only.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every
 text when there is nothing to learn from. Ties go to the language that sorts first. Repeated
@@ -33,11 +33,14 @@ from cuewright.llm.common import append_column, free_name, read
 ROWS = 2000
 WORDS = 150_000
 GRAMS = 60_000
-LANGS = 200
+CACHED = 10_000_000  # numbers held for unknown words in a task
 LONGEST = 4
 PENALTY = math.log(0.4)
 _WORD = re.compile(r"[^\W\d_]+")
 
+Sparse = tuple[list[str], np.ndarray, np.ndarray, np.ndarray]
+_NOTHING: Sparse = ([], *[np.zeros(0, np.int64)] * 3)
+
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased maximal runs of letters."""
@@ -54,28 +57,48 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Table:
-    """Log frequencies in each language of some keys: one matrix, and each key's row."""
+    """Log frequencies in each language of some keys, sparse: the languages' floors, which hold
+    where a key has no count, and by key the gains over them."""
 
-    def __init__(self, keys: list[str], counts: np.ndarray):
+    def __init__(self, keys: list[str], sizes: np.ndarray, lang: np.ndarray, counts: np.ndarray, langs: int):
         self.row = {k: i for i, k in enumerate(keys)}
-        c = counts.astype(float)
-        self.logs = np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * max(len(c), 1)))
+        self.start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.lang, c = lang, counts.astype(float)
+        self.floor = np.log(0.5 / (np.bincount(lang, weights=c, minlength=langs) + 0.5 * max(len(keys), 1)))
+        self.gain = np.log(2 * c + 1)
+
+    def of(self, row: int) -> np.ndarray:
+        """The log frequencies of one row."""
+        out, own = self.floor.copy(), slice(self.start[row], self.start[row + 1])
+        out[self.lang[own]] += self.gain[own]
+        return out
+
+    def total(self, rows: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The sum of the rows' log frequencies, each as often as given."""
+        at = self.start[rows]
+        n = self.start[rows + 1] - at
+        i = np.repeat(at - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return times.sum() * self.floor + np.bincount(self.lang[i], weights=self.gain[i] * np.repeat(times, n), minlength=len(self.floor))
 
 
 class Model:
-    """Tables of words and of n-grams by length."""
+    """Tables of words and of n-grams by length; both as keys, languages a key, and these with their counts."""
 
-    def __init__(self, langs: list[str], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray]):
+    def __init__(self, langs: list[str], words: Sparse, grams: Sparse):
         self.langs = langs
-        self.words = Table(*words)
+        self.words = Table(*words, len(langs))
         size = np.asarray([len(g) for g in grams[0]], int)
-        self.grams = {n: Table([g for g in grams[0] if len(g) == n], grams[1][size == n]) for n in range(1, LONGEST + 1)}
+        by_entry = np.repeat(size, grams[1])
+        self.grams = {
+            n: Table([g for g in grams[0] if len(g) == n], grams[1][size == n], grams[2][by_entry == n], grams[3][by_entry == n], len(langs))
+            for n in range(1, LONGEST + 1)
+        }
         self.cache: dict[str, np.ndarray] = {}
 
     def unknown(self, w: str) -> np.ndarray:
         known = self.cache.get(w)
         if known is None:
-            if len(self.cache) > 50_000:
+            if len(self.cache) > min(50_000, CACHED // max(1, len(self.langs))):
                 self.cache.clear()
             known = self.cache[w] = self._cover(f"^{w}$")
         return known
@@ -86,7 +109,7 @@ class Model:
             for n in range(LONGEST, 0, -1):
                 row = self.grams[n].row.get(own[at : at + n]) if at + n <= len(own) else None
                 if row is not None:
-                    total = total + self.grams[n].logs[row] + PENALTY * (LONGEST - n)
+                    total = total + self.grams[n].of(row) + PENALTY * (LONGEST - n)
                     at += max(1, n - 1)
                     break
             else:
@@ -99,7 +122,7 @@ class Model:
             return "und", 0.0
         rows = [self.words.row.get(w, -1) for w in counts]
         at, times = np.asarray(rows), np.asarray(list(counts.values()), float)
-        total = times[at >= 0] @ self.words.logs[at[at >= 0]]
+        total = self.words.total(at[at >= 0], times[at >= 0])
         for (w, n), row in zip(counts.items(), rows, strict=True):
             if row < 0:
                 total = total + n * self.unknown(w)
@@ -110,54 +133,56 @@ class Model:
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", rows: int = ROWS, words: int = WORDS, grams: int = GRAMS) -> Model:
     """The model of the rows whose text and language are not null."""
     own = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
-    langs = sorted(r["lang"] for r in sizes)
+    sizes = sorted(own.groupBy("lang").count().collect(), key=lambda r: r["lang"])
+    langs = [r["lang"] for r in sizes]
     if not langs:
-        return Model([], ([], np.zeros((0, 0))), ([], np.zeros((0, 0))))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows / r["count"]))])
-    picked = own.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
-    index = {x: i for i, x in enumerate(langs)}
+        return Model([], _NOTHING, _NOTHING)
+    share = own.sparkSession.createDataFrame([(k, r["lang"], min(1.0, rows / r["count"])) for k, r in enumerate(sizes)], "k int, lang string, share double")
+    picked = own.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("k", "text")
+    kind = "k int, key string, c long"
+
+    def message(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in seen], pa.int32()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
+            names=["k", "key", "c"],
+        )
 
     def tally(batches):
         for batch in batches:
             seen: Counter = Counter()
-            for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k = index[g]
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen.update((k, w) for w in words_of(t))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in seen], pa.int32()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
-                names=["k", "key", "c"],
-            )
-
-    def wide(df: DataFrame) -> DataFrame:
-        return df.groupBy("key").agg(F.array(*[F.sum(F.when(F.col("k") == i, F.col("c")).otherwise(0)) for i in range(len(langs))]).alias("c"))
-
-    def top(df: DataFrame, n: int) -> tuple[list[str], np.ndarray]:
-        all_c = df.agg(F.array(*[F.sum(F.col("c")[i]) for i in range(len(langs))])).first()[0] or [1] * len(langs)
-        rate = F.array_max(F.array(*[F.col("c")[i] / F.lit(float(max(t or 0, 1))) for i, t in enumerate(all_c)]))
-        held = df.orderBy(rate.desc(), "key").limit(n).toArrow()
-        counts = held.column("c").combine_chunks().flatten().to_numpy().reshape(-1, len(langs))
-        return held.column("key").to_pylist(), counts
+            yield message(seen)
 
     def split(batches):
         for batch in batches:
             seen: Counter = Counter()
-            for w, cs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, c in enumerate(cs):
-                    if c:
-                        for n in range(1, LONGEST + 1):
-                            for g in grams_of(w, n):
-                                seen[k, g] += c
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in seen], pa.int32()), pa.array([g for _, g in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
-                names=["k", "key", "c"],
-            )
-
-    kind = "k int, key string, c long"
-    counted = wide(picked.mapInArrow(tally, kind)).persist()
+            for k, w, c in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                for n in range(1, LONGEST + 1):
+                    for g in grams_of(w, n):
+                        seen[k, g] += c
+            yield message(seen)
+
+    def summed(df: DataFrame) -> DataFrame:
+        return df.groupBy("k", "key").agg(F.sum("c").alias("c"))
+
+    def top(df: DataFrame, n: int) -> Sparse:
+        """The ``n`` keys of the highest rates in some language."""
+        rated = df.join(F.broadcast(df.groupBy("k").agg(F.sum("c").alias("all"))), "k")
+        by_key = rated.groupBy("key").agg(F.max(F.col("c") / F.col("all")).alias("rate"), F.array_sort(F.collect_list(F.struct("k", "c"))).alias("p"))
+        held = by_key.orderBy(F.desc("rate"), "key").limit(n).select("key", "p").toArrow()
+        p = held.column("p").combine_chunks()
+        p = pa.concat_arrays(p.chunks) if isinstance(p, pa.ChunkedArray) else p
+        flat = p.flatten()
+        sizes = p.value_lengths().to_numpy(zero_copy_only=False)
+        return held.column("key").to_pylist(), sizes, flat.field("k").to_numpy().astype(np.int64), flat.field("c").to_numpy()
+
+    counted = summed(picked.mapInArrow(tally, kind)).select("k", "key", "c").persist()
+    letters = summed(counted.mapInArrow(split, kind)).persist()
     try:
-        return Model(langs, top(counted, words), top(wide(counted.mapInArrow(split, kind)), grams))
+        return Model(langs, top(counted, words), top(letters, grams))
     finally:
+        letters.unpersist()
         counted.unpersist()
 
 

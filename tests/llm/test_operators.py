@@ -249,6 +249,18 @@ def test_language(spark):
     assert langid.keep_identified(docs).count() == d.count()
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(4)
+    stock = {f"l{k:03d}": ["".join(r.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(20)] for k in range(260)}
+    # the last languages have the fewest rows
+    rows = [(i, " ".join(r.choice(own) for _ in range(12)), lang) for i, (lang, own) in enumerate((x for k, x in enumerate(stock.items()) for _ in range(12 - k // 50)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {x["doc_id"]: x for x in langid.identify(docs).collect()}
+    held = [x for x in rows if found[x[0]]["held_out"]]
+    assert {x[2] for x in held if x[2] >= "l200"}
+    assert sum(found[i]["lang_pred"] == lang for i, _, lang in held) >= 0.99 * len(held)
+
+
 # --- 7 ----------------------------------------------------------------------------------
 
 
