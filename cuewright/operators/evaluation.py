@@ -144,7 +144,8 @@ def produce(words: DataFrame, stages: tuple[str, ...], lexicon: S.Lexicon, terms
     if "punctuation" in stages:
         now = W.punctuate(now, s)
     if "vocabulary" in stages:
-        now = V.apply_terms(now, terms)
+        # terms of several words leave gaps
+        now = V.apply_terms(now, terms).withColumn("word_idx", F.row_number().over(W.in_job()) - 1)
     if "profanity" in stages or "correction" in stages:
         hits = S.detect(now, lexicon, s).persist()
         made = S.decide(hits, S.best_alternatives(S.alternatives(hits, lexicon)), s) if "correction" in stages else S.censor_all(hits)

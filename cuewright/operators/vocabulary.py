@@ -54,14 +54,47 @@ def best_terms(tokens: DataFrame, terms: DataFrame, threshold: float = 0.84) ->
 
 
 def apply_terms(words: DataFrame, terms: DataFrame, threshold: float = 0.84) -> DataFrame:
-    """Near misses become vocabulary terms: exact ones always, others below 0.97 confidence."""
+    """Near misses become vocabulary terms: exact ones always, others below 0.97 confidence.
+
+    Terms of several words go first, whatever the confidence: a span becomes one word, with
+    the index, start, confidence and speaker of its first word and the end of its last. Single
+    words then match where no span is.
+    """
+    several = F.trim(F.col("term")).contains(" ")
     tok = words.withColumn("token", X.normalize_token(F.col("word")))
-    best = best_terms(tok.select("token").distinct(), terms, threshold)
+    spans = None if terms.where(several).isEmpty() else _term_spans(tok, terms.where(several), threshold)
+    if spans is not None:
+        tok = tok.withColumn("pos_", F.row_number().over(in_job()))
+        ends = tok.select("job_id", F.col("pos_").alias("last_"), F.col("end_ms").alias("end_"))
+        spans = spans.withColumn("last_", F.col("start_") + F.col("n_") - 1).join(ends, ["job_id", "last_"])
+        used = spans.select("job_id", F.explode(F.sequence("start_", "last_")).alias("pos_"), "start_", "phrase_", "end_")
+        tok = tok.join(used, ["job_id", "pos_"], "left").where("start_ is null or start_ = pos_")
+        taken = F.col("start_").isNotNull()
+        tok = tok.withColumns(
+            {"word": F.when(taken, X.canonical(F.col("phrase_"), F.col("word"))).otherwise(F.col("word")), "end_ms": F.when(taken, F.col("end_")).otherwise(F.col("end_ms")), "token": F.when(~taken, F.col("token"))}
+        ).select(*words.columns, "token")
+    best = best_terms(tok.select("token").distinct(), terms.where(~several), threshold)
     sure = (F.col("score") >= 0.999) | F.col("confidence").isNull() | (F.col("confidence") < 0.97)
     out = tok.join(best, "token", "left")
     return out.withColumn("word", F.when(sure & F.col("term").isNotNull(), X.canonical(F.col("term"), F.col("word"))).otherwise(F.col("word"))).drop("token", "term", "score")
 
 
+def _term_spans(tok: DataFrame, terms: DataFrame, threshold: float) -> DataFrame:
+    """(job_id, start_, n_, phrase_) of terms of several words, overlaps resolved as by ``phrase_matches``.
+
+    The distinct tokens meet the terms' words by their lengths; a span has a hit for every word.
+    """
+    t = terms.withColumn("w_", X.tokens(F.col("term"))).withColumn("ord", F.struct((-F.size("w_")).alias("n"), F.col("ord").alias("o")))
+    parts = t.select("term", "ord", F.posexplode("w_").alias("i_", "w_")).withColumn("norm_", X.normalize_token(F.col("w_")))
+    lengths = parts.withColumn("len_", F.explode(F.expr(f"sequence(cast(floor(length(norm_) * {threshold}) as int), cast(ceil(length(norm_) / {threshold}) as int))")))
+    near = tok.select("token").distinct().where("token <> ''").join(lengths, F.length("token") == F.col("len_"))
+    near = near.where(X.vocabulary_similarity(F.col("token"), F.col("norm_")) >= threshold).select("token", "term", "ord", "i_")
+    at = tok.select("job_id", "token", F.row_number().over(in_job()).alias("pos_")).join(near, "token")
+    hits = at.groupBy("job_id", (F.col("pos_") - F.col("i_")).alias("word_idx"), "ord", "term").agg(F.count("*").alias("hits_"))
+    whole = hits.withColumn("n", -F.col("ord.n")).where("hits_ = n").select("job_id", "word_idx", "n", "ord", "term")
+    return _by_rank(whole).select("job_id", F.col("word_idx").alias("start_"), F.col("n").alias("n_"), F.col("term").alias("phrase_"))
+
+
 def phrase_matches(words: DataFrame, phrases: list[str], threshold: float = 0.84) -> DataFrame:
     """(job_id, word_idx, n, ord, term) of phrases whose every token is similar enough, overlaps resolved.
 

@@ -233,6 +233,14 @@ def vocab_apply(spark, d) -> DataFrame:
 _VPHRASES = ["the inthe", "of the thing", "the the"]
 
 
+@query("vocab_apply_phrases")
+def vocab_apply_phrases(spark, d) -> DataFrame:
+    """``vocab_apply`` with terms of several words as well."""
+    every = [*LEXICON.vocabulary, *_VPHRASES]
+    terms = spark.createDataFrame([(t, i) for i, t in enumerate(every)], "term string, ord int")
+    return V.apply_terms(words_of_conversations(spark, d), terms).select("job_id", "word_idx", "end_ms", "word")
+
+
 def _vphrase_sql() -> str:
     ranked = sorted(enumerate(_VPHRASES), key=lambda p: (-len(p[1].split()), p[0]))
     cands = []

@@ -70,3 +70,24 @@ def test_by_category_lists_empty_ones(spark):
 def test_phrase_needs_every_token(make_words):
     out = V.phrase_matches(make_words("the rainbow castel fell".split()), ["rainbow castle"], 0.6).collect()
     assert [(r["word_idx"], r["n"]) for r in out] == [(1, 2)]
+
+
+def test_terms_of_several_words_go_first(spark, make_words):
+    terms = spark.createDataFrame([("Castle", 0), ("rainbow castle", 1), ("old rainbow castle", 2), ("castle gate", 3)], "term string, ord int")
+    words = [("Rainbow", 0, 1, 0.99, "a"), ("castel", 1, 2, 0.1, "b"), ("gate", 2, 3, 0.99), ("castel", 3, 4, 0.99), ("castel", 4, 5, 0.5), ("rainbowcastle", 5, 6, 0.1)]
+    words += [("THE", 6, 7), ("OLD", 7, 8), ("RAINBOW", 8, 9), ("CASTLE", 9, 10), ("gate", 10, 11)]
+    rows = V.apply_terms(make_words(words), terms, 0.6).orderBy("word_idx").collect()
+    want = [(0, "Rainbow castle", 0, 2, 0.99, "a"), (2, "gate", 2, 3, 0.99, None), (3, "castel", 3, 4, 0.99, None), (4, "Castle", 4, 5, 0.5, None), (5, "rainbowcastle", 5, 6, 0.1, None)]
+    want += [(6, "THE", 6, 7, None, None), (7, "OLD RAINBOW CASTLE", 7, 10, None, None), (10, "gate", 10, 11, None, None)]
+    assert [tuple(r[c] for c in ("word_idx", "word", "start_ms", "end_ms", "confidence", "speaker")) for r in rows] == want
+
+
+def test_term_spans_equal_phrase_matches(spark):
+    from cuewright.plans import queries_safety as P
+
+    d = "/root/testdata/sf0.001"
+    spans = {(r["job_id"], r["word_idx"]): r["term"] for r in P.vocab_phrases(spark, d).collect()}
+    assert spans
+    rows = {(r["job_id"], r["word_idx"]): r["word"] for r in P.vocab_apply_phrases(spark, d).collect()}
+    assert all(rows[k] == term for k, term in spans.items())
+    assert len(rows) == P.vocab_apply(spark, d).count() - sum(len(t.split()) - 1 for t in spans.values())
