@@ -253,7 +253,17 @@ SELECT cs.job_id, CAST(round(m * 100) AS BIGINT) AS overall_confidence, cs.n AS
  coalesce(ss.n, 0) AS speaker_changes, coalesce(es.n, 0) AS sound_events FROM cs LEFT JOIN ds USING (job_id) LEFT JOIN ss USING (job_id) LEFT JOIN es USING (job_id)""",
 )
 def quality_report(spark, d) -> DataFrame:
+    """The columns that the SQL gives, which need no captions; ``quality_report_captions`` has all of them."""
     words = words_of_documents(spark, d)
-    caps = spark.createDataFrame([], "job_id long, reading_speed_warnings long")
-    report = R.quality_report(W.confidence_summary(W.confidence_records(words)), S.decision_summary(decisions_of_documents(spark, d)), caps, W.pause_turns(words), W.filter_events(sound_events(spark, d)))
-    return report.drop("reading_speed_warnings")
+    return _report(spark, d, words, spark.createDataFrame([], "job_id long, reading_speed_warnings long")).drop("reading_speed_warnings")
+
+
+@query("quality_report_captions")
+def quality_report_captions(spark, d) -> DataFrame:
+    """The whole report, from five summaries of the same words."""
+    words = words_of_documents(spark, d)
+    return _report(spark, d, words, C.caption_summary(C.repair_density(C.merge_short(C.assign_cues(words)))))
+
+
+def _report(spark, d, words: DataFrame, captions: DataFrame) -> DataFrame:
+    return R.quality_report(W.confidence_summary(W.confidence_records(words)), S.decision_summary(decisions_of_documents(spark, d)), captions, W.pause_turns(words), W.filter_events(sound_events(spark, d)))

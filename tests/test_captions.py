@@ -81,3 +81,14 @@ def test_latest_status_and_busy(spark):
     jobs = R.latest_status(log)
     assert {r["job_id"]: (r["status"], r["error"]) for r in jobs.collect()} == {1: ("QUEUED", "x"), 2: ("READY", None)}
     assert R.busy_job(jobs, ["QUEUED"]).first()["job_id"] == 1
+
+
+def test_quality_report_has_reading_speed_warnings(spark):
+    from cuewright.plans import queries_captions as P
+
+    d = "/root/testdata/sf0.001"
+    whole = {r["job_id"]: r for r in P.quality_report_captions(spark, d).collect()}
+    words = P.words_of_documents(spark, d)
+    caps = C.caption_summary(C.repair_density(C.merge_short(C.assign_cues(words)))).collect()
+    assert caps and any(r["reading_speed_warnings"] for r in caps)
+    assert {r["job_id"]: r["reading_speed_warnings"] for r in caps} == {k: r["reading_speed_warnings"] for k, r in whole.items()}
