@@ -264,12 +264,17 @@ def _cut_out(id_type, length: int):
 def repeats(named: DataFrame, work: Workspace, bucket: int = BUCKET) -> DataFrame:
     """(k1, k2, spans) of the rows with repeats; spans are byte ranges (a, b). ``named``: k1, k2, text."""
     key = ["h", "lo", "hi", "ctx"]
-    twice = contexts(named).groupBy("h").count().where("count > 1").select("h")
-    held = work.put(contexts(named).join(twice, "h"), "contexts")
+    # counts are written before they are joined: a join with its own exchange on both sides is
+    # one whose large partitions Spark can split, and one anchor may hold a third of all rows
+    every = work.put(contexts(named), "contexts")
+    twice = work.put(every.groupBy("h").count().where("count > 1").select("h"), "twice")
+    held = work.put(every.join(twice, "h"), "held")
+    work.drop("contexts")
     same = held.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "p")).alias("at"))
     same = work.put(same, "same")
     group = same.groupBy("h").agg(F.count("*").alias("g"), F.sum(LENGTH + 1 + F.col("lo") - F.col("hi")).alias("letters"))
-    open_groups = same.join(group.where("g > 1"), "h")
+    group = work.put(group.where("g > 1"), "groups")
+    open_groups = same.join(group, "h")
     wanted = open_groups.select("at.*", *key, "n", "letters").groupBy("k1", "k2").agg(F.collect_list(F.struct("p", *key, "n", "letters")).alias("w"))
     spots = named.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     # bytes of each wanted context, cut from the UTF-8 text
@@ -308,6 +313,9 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 
 def op2_suffix(spark, sf_dir: str) -> DataFrame:
-    """The contract's digest of ``remove_repeats`` over whole documents."""
+    """The contract's digest of ``remove_repeats`` over whole documents, with what is left and whether anything went."""
     done = remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
-    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("repeated"),
+    )
