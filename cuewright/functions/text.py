@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,7 +129,7 @@ def canonical(term: Column, sample: Column) -> Column:
     upper = (sample == F.upper(sample)) & (sample != F.lower(sample))
     head = F.substring(sample, 1, 1)
     capital = (head == F.upper(head)) & (head != F.lower(head))
-    return F.when(upper, F.upper(term)).when(capital, F.concat(F.upper(F.substring(term, 1, 1)), F.substring(term, 2, 1000))).otherwise(term)
+    return F.when(upper, F.upper(term)).when(capital, F.concat(F.upper(F.substring(term, 1, 1)), F.substring(term, 2, F.length(term)))).otherwise(term)
 
 
 def stems(token: Column) -> Column:
@@ -147,7 +149,7 @@ def preserve_shape(original: Column, replacement: Column) -> Column:
     suffix = F.right(body, F.length(body) - F.length(core))
     head = F.substring(core, 1, 1)
     capital = (head == F.upper(head)) & (head != F.lower(head))
-    shaped = F.when(capital, F.concat(F.upper(F.substring(replacement, 1, 1)), F.substring(replacement, 2, 1000))).otherwise(replacement)
+    shaped = F.when(capital, F.concat(F.upper(F.substring(replacement, 1, 1)), F.substring(replacement, 2, F.length(replacement)))).otherwise(replacement)
     return F.concat(prefix, shaped, suffix)
 
 
@@ -175,12 +177,23 @@ def sound_label(c: Column) -> Column:
     return F.when(inner == "", "").otherwise(F.concat(F.lit("["), inner, F.lit("]")))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def wrap_caption(text: Column, max_chars: int = 42, max_lines: int = 2) -> Column:
     """At most two lines; breaks after weak words, orphans and short first lines cost."""
-    flat = collapse(text)
+    return once(collapse(text), lambda flat: F.when(F.length(flat) <= max_chars, flat).otherwise(_wrapped(flat, max_chars, max_lines)))
+
+
+def _wrapped(flat: Column, max_chars: int, max_lines: int) -> Column:
     if max_lines < 2:
-        return F.when(F.length(flat) <= max_chars, flat).otherwise(F.rtrim(F.left(flat, F.lit(max_chars))))
-    words = F.split(flat, " ")
+        return F.rtrim(F.left(flat, F.lit(max_chars)))
+    return once(F.split(flat, " "), lambda words: _two_lines(flat, words, max_chars))
+
+
+def _two_lines(flat: Column, words: Column, max_chars: int) -> Column:
     n = F.size(words)
 
     def option(i: Column) -> Column:
@@ -200,14 +213,10 @@ def wrap_caption(text: Column, max_chars: int = 42, max_lines: int = 2) -> Colum
     space = F.length(head) - F.instr(F.reverse(head), F.lit(" "))  # 0-based; only where there is one
     has_space = (F.instr(head, F.lit(" ")) > 0) & (space > 0)
     first = F.when(has_space, F.left(flat, space)).otherwise(F.left(flat, F.lit(max_chars)))
-    rest = F.when(has_space, F.substring(flat, space + 2, F.length(flat))).otherwise(F.ltrim(F.substring(flat, max_chars + 1, 100000)))
+    rest = F.when(has_space, F.substring(flat, space + 2, F.length(flat))).otherwise(F.ltrim(F.substring(flat, max_chars + 1, F.length(flat))))
     rest = F.when(F.length(rest) > max_chars, F.rtrim(F.left(rest, F.lit(max_chars)))).otherwise(rest)
     hard = F.btrim(F.concat(first, F.lit("\n"), rest), F.lit(" \n"))
-    return (
-        F.when(F.length(flat) <= max_chars, flat)
-        .when(best.isNotNull(), F.concat(best["a"], F.lit("\n"), best["b"]))
-        .otherwise(hard)
-    )
+    return once(best, lambda b: F.when(b.isNotNull(), F.concat(b["a"], F.lit("\n"), b["b"])).otherwise(hard))
 
 
 def reading_speed(text: Column, ms: Column) -> tuple[Column, Column]:

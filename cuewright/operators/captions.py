@@ -129,13 +129,33 @@ def split_point(words: Column) -> Column:
     )
 
 
+def annotate_confidence(words: DataFrame, records: DataFrame) -> DataFrame:
+    """``words`` with the overall confidence and band of the record with the same times and word; the last one counts.
+
+    ``records``: job_id, word_idx, word, start_ms, end_ms, overall_confidence, band.
+    """
+    key = ["job_id", "start_ms", "end_ms", "word"]
+    last = records.groupBy(*key).agg(F.max_by(F.struct("overall_confidence", "band"), "word_idx").alias("r_"))
+    return words.join(last, key, "left").select(*words.columns, F.col("r_.overall_confidence").alias("overall_confidence"), F.col("r_.band").alias("record_band"))
+
+
+def _mean(values: Column) -> Column:
+    """Mean of the values that are not null, by decimal sums: the same in any order."""
+    some = F.filter(values, lambda x: x.isNotNull())
+    total = F.aggregate(F.transform(some, lambda x: x.cast("decimal(20,10)")), F.lit(0).cast("decimal(38,10)"), lambda a, x: (a + x).cast("decimal(38,10)"))
+    return F.when(F.size(some) > 0, total / F.size(some))
+
+
 def repair_density(words: DataFrame, s: Settings = Settings(), duration_ms: int | None = None) -> DataFrame:
     """Captions of cued words after dense ones were split, extended or flagged.
 
     A caption sees only itself and the next one's original start, so after one window this is
-    row-local: each cue explodes into one or two captions.
+    row-local: each cue explodes into one or two captions. Where words carry the columns of
+    ``annotate_confidence``, a cue that stays whole has their mean and a flag for any low word.
     """
-    item = F.struct("word_idx", "word", "start_ms", "end_ms")
+    annotated = "record_band" in words.columns
+    extra = [F.col("overall_confidence").alias("overall"), F.col("record_band").alias("band")] if annotated else [F.lit(None).cast("double").alias("overall"), F.lit(None).cast("string").alias("band")]
+    item = F.struct("word_idx", "word", "start_ms", "end_ms", F.col("confidence").cast("double").alias("confidence"), F.col("speaker").cast("string").alias("speaker"), *extra)
     cues = words.groupBy("job_id", "cue").agg(F.array_sort(F.collect_list(item)).alias("w"))
     cues = cues.withColumn("next_", F.lead(F.col("w")[0]["start_ms"]).over(by_cue()))
     wrap = lambda w: X.wrap_caption(F.array_join(F.transform(w, lambda x: x["word"]), " "), s.max_chars, s.max_lines)
@@ -148,10 +168,21 @@ def repair_density(words: DataFrame, s: Settings = Settings(), duration_ms: int
     for side in "ab":
         cues = cues.withColumn(f"{side}t_", wrap(F.col(f"{side}_"))).withColumn(f"{side}d_", _dense(F.col(f"{side}t_"), end(F.col(f"{side}_")) - start(F.col(f"{side}_")), s))
     splits = F.coalesce(F.col("cut_").isNotNull() & F.col("dense_") & (~F.col("ad_") | ~F.col("bd_") | (F.size("w") >= 6)), F.lit(False))
-    part = lambda w, text, dense, nxt, k: F.struct(F.lit(k).alias("part"), start(w).alias("start_ms"), end(w).alias("end_ms"), text.alias("text"), nxt.cast("long").alias("next"), dense.alias("dense"), F.size(w).alias("n_words"))
-    two = F.array(part(F.col("a_"), F.col("at_"), F.col("ad_"), start(F.col("b_")), 0), part(F.col("b_"), F.col("bt_"), F.col("bd_"), F.col("next_"), 1))
-    one = F.array(part(F.col("w"), F.col("text_"), F.col("dense_"), F.col("next_"), 0))
-    rows = cues.select("job_id", "cue", F.col("dense_").alias("parent_dense"), splits.alias("split"), F.explode(F.when(splits, two).otherwise(one)).alias("p")).select("job_id", "cue", "parent_dense", "split", "p.*")
+    for side, w in (("", "w"), ("a", "a_"), ("b", "b_")):
+        cues = cues.withColumn(f"{side}m_", _mean(F.transform(w, lambda x: x["confidence"])))
+    cues = cues.withColumn("overall_", _mean(F.transform("w", lambda x: x["overall"])) if annotated else F.lit(None).cast("decimal(38,10)"))
+    band = lambda m: F.when(m.isNotNull(), X.band(m.cast("double"), s.confidence_high, s.confidence_medium))
+    low = lambda m: F.coalesce(m < s.confidence_medium, F.lit(False))
+    any_low = F.exists("w", lambda x: F.coalesce((x["band"] == "low") & x["overall"].isNotNull(), F.lit(False))) if annotated else F.lit(False)
+    cues = cues.withColumn("parent_low", low(F.col("m_")) | any_low)
+    # a whole cue takes the mean of its records, parts go back to the words' own confidence
+    part = lambda w, text, dense, nxt, k, m, average: F.struct(
+        F.lit(k).alias("part"), start(w).alias("start_ms"), end(w).alias("end_ms"), text.alias("text"), nxt.cast("long").alias("next"), dense.alias("dense"), F.size(w).alias("n_words"),
+        X.modal(F.transform(w, lambda x: x["speaker"])).alias("speaker"), F.round(average, 4).cast("double").alias("mean_confidence"), band(m).alias("confidence_band"), low(m).alias("low"),
+    )
+    two = F.array(part(F.col("a_"), F.col("at_"), F.col("ad_"), start(F.col("b_")), 0, F.col("am_"), F.col("am_")), part(F.col("b_"), F.col("bt_"), F.col("bd_"), F.col("next_"), 1, F.col("bm_"), F.col("bm_")))
+    one = F.array(part(F.col("w"), F.col("text_"), F.col("dense_"), F.col("next_"), 0, F.col("m_"), F.coalesce("overall_", "m_")))
+    rows = cues.select("job_id", "cue", "parent_low", splits.alias("split"), F.explode(F.when(splits, two).otherwise(one)).alias("p")).select("job_id", "cue", "parent_low", "split", "p.*")
     chars = F.length(X.collapse(F.col("text")))
     target = F.col("start_ms") + F.ceil(chars * 1000 / F.lit(max(s.max_cps, 0.1)))  # up, so that the rate is met
     limit = F.least(F.col("start_ms") + s.max_cue_ms, F.col("next") - s.min_caption_gap_ms, F.lit(duration_ms).cast("long"))
@@ -159,9 +190,9 @@ def repair_density(words: DataFrame, s: Settings = Settings(), duration_ms: int
     stretched = F.col("dense") & (longer > F.col("end_ms") + 1)
     rows = rows.withColumn("stretched", stretched).withColumn("end_ms", F.when(stretched, longer).otherwise(F.col("end_ms")))
     rows = rows.withColumn("still", _dense(F.col("text"), F.col("end_ms") - F.col("start_ms"), s))
-    inherited = F.when(F.col("split"), F.array(F.lit("reading_speed"))).otherwise(F.expr("cast(array() as array<string>)"))
-    own = F.when(F.col("dense"), F.array(F.lit("reading_speed"))).otherwise(F.expr("cast(array() as array<string>)"))
-    flags = F.concat(inherited, own)
+    flag = lambda c, f: F.when(c, F.array(F.lit(f))).otherwise(F.expr("cast(array() as array<string>)"))
+    # a split cue hands its flags down, then each part adds its own
+    flags = F.concat(flag(F.col("split") | F.col("dense"), "reading_speed"), flag(F.col("parent_low") | F.col("low"), "low_confidence"))
     flags = F.when(F.col("stretched"), F.concat(flags, F.array(F.lit("timing_extended")))).otherwise(flags)
     # a stretched caption that reads well loses the flag; an untouched one keeps its parent's
     flags = F.when(F.col("stretched") & ~F.col("still"), F.array_remove(flags, "reading_speed")).otherwise(flags)
@@ -170,7 +201,7 @@ def repair_density(words: DataFrame, s: Settings = Settings(), duration_ms: int
     number = F.row_number().over(Window.partitionBy("job_id").orderBy("cue", "part"))
     return rows.select(
         "job_id", number.alias("caption"), "start_ms", "end_ms", "text", "n_words", F.round(cps, 4).alias("cps"), F.round(wps, 4).alias("wps"),
-        F.when(F.col("still"), "too_fast").otherwise("OK").alias("reading_status"), F.array_distinct(flags).alias("flags"),
+        F.when(F.col("still"), "too_fast").otherwise("OK").alias("reading_status"), F.array_distinct(flags).alias("flags"), "speaker", "mean_confidence", "confidence_band",
     )
 
 
@@ -189,11 +220,15 @@ def validate(captions: DataFrame, s: Settings = Settings(), duration_ms: int | N
     """Repaired captions and all issues of each job.
 
     Returns job_id, caption (from 1, null for dropped ones), index (as it came), start_ms,
-    end_ms, text, flags, and issues: array of (pass, type, repaired). Passes one and three are
-    row-local; pass two folds over the captions with the previous end.
+    end_ms, text, flags, the captions' other columns, and issues: array of (pass, type, repaired,
+    detail). Passes one and three are row-local; pass two folds over the captions with the
+    previous end.
     """
-    issue = lambda k, t, ok=True: F.array(F.struct(F.lit(k).alias("pass"), F.lit(t).alias("type"), F.lit(ok).alias("repaired")))
-    none = F.expr("cast(array() as array<struct<pass: int, type: string, repaired: boolean>>)")
+    issue = lambda k, t, detail, ok=True: F.array(F.struct(F.lit(k).alias("pass"), F.lit(t).alias("type"), F.lit(ok).alias("repaired"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail")))
+    none = F.expr("cast(array() as array<struct<pass: int, type: string, repaired: boolean, detail: string>>)")
+    other = [c for c in captions.columns if c not in ("job_id", "index", "text", "start_ms", "end_ms", "flags")]
+    said = lambda text, *ms: F.format_string(text, *[c / F.lit(1000.0) for c in ms])
+    seconds = lambda ms: f"{ms / 1000:.2f}s"
     when = lambda c, x: F.when(c, x).otherwise(none)
     flag = lambda c, f: F.when(c, F.array(F.lit(f))).otherwise(F.expr("cast(array() as array<string>)"))
     empty = F.btrim(F.regexp_replace(F.col("text"), r"\s+", " ")) == ""
@@ -205,13 +240,17 @@ def validate(captions: DataFrame, s: Settings = Settings(), duration_ms: int | N
     end = F.when(short, a + s.min_cue_ms).otherwise(b)
     long = ~empty & (end - a > s.max_cue_ms)
     one = captions.select(
-        "job_id", "index", "text", empty.alias("gone"), a.cast("long").alias("start_ms"), end.cast("long").alias("end_ms"),
+        "job_id", "index", "text", *other, empty.alias("gone"), a.cast("long").alias("start_ms"), end.cast("long").alias("end_ms"),
         F.concat("flags", flag(negative | inverted | short, "timestamp_repaired"), flag(long, "needs_review")).alias("flags"),
-        F.concat(when(empty, issue(1, "empty")), when(negative, issue(1, "negative")), when(inverted, issue(1, "non_increasing")), when(short, issue(1, "short_duration")), when(long, issue(1, "long_duration", False))).alias("issues"),
+        F.concat(
+            when(empty, issue(1, "empty", "Dropped empty caption")), when(negative, issue(1, "negative", said("Clamped negative timestamp (%.3f/%.3f)", F.col("start_ms"), F.col("end_ms")))),
+            when(inverted, issue(1, "non_increasing", said("Swapped inverted times (%.3f>%.3f)", lo, hi))), when(short, issue(1, "short_duration", f"Extended cue shorter than {seconds(s.min_cue_ms)}")),
+            when(long, issue(1, "long_duration", f"Cue longer than {seconds(s.max_cue_ms)}", False)),
+        ).alias("issues"),
     )
     item = F.struct("index", "start_ms", "end_ms")
     rows = one.where("not gone").groupBy("job_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
-    kind = "array<struct<index: bigint, start_ms: bigint, end_ms: bigint, overlap: boolean, gap: boolean, stretched: boolean>>"
+    kind = "array<struct<index: bigint, start_ms: bigint, end_ms: bigint, overlap: boolean, gap: boolean, stretched: boolean, before: bigint, moved: bigint>>"
     zero = F.struct(F.lit(None).cast("long").alias("end"), F.expr(f"cast(array() as {kind})").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -221,11 +260,11 @@ def validate(captions: DataFrame, s: Settings = Settings(), duration_ms: int | N
         start = F.when(gap, acc["end"]).otherwise(start).cast("long")
         stretched = x["end_ms"] <= start
         end = F.when(stretched, start + s.min_cue_ms).otherwise(x["end_ms"]).cast("long")
-        row = F.struct(x["index"].cast("long").alias("index"), start.alias("start_ms"), end.alias("end_ms"), overlap.alias("overlap"), gap.alias("gap"), stretched.alias("stretched"))
+        row = F.struct(x["index"].cast("long").alias("index"), start.alias("start_ms"), end.alias("end_ms"), overlap.alias("overlap"), gap.alias("gap"), stretched.alias("stretched"), x["start_ms"].cast("long").alias("before"), acc["end"].alias("moved"))
         return F.struct(end.alias("end"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     two = rows.select("job_id", F.explode(F.aggregate("c", zero, step, lambda x: x["out"])).alias("r")).select(
-        "job_id", "r.index", F.col("r.start_ms").alias("s2"), F.col("r.end_ms").alias("e2"), "r.overlap", "r.gap", "r.stretched"
+        "job_id", "r.index", F.col("r.start_ms").alias("s2"), F.col("r.end_ms").alias("e2"), "r.overlap", "r.gap", "r.stretched", "r.before", "r.moved"
     )
     both = one.join(two, ["job_id", "index"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
@@ -234,10 +273,15 @@ def validate(captions: DataFrame, s: Settings = Settings(), duration_ms: int | N
     outside = F.coalesce(F.col("s2") >= limit, F.lit(False))
     clamped = F.coalesce(~outside & (F.col("e2") > limit), F.lit(False))
     out = both.select(
-        "job_id", "index", "text", (F.col("gone") | outside).alias("gone"), F.coalesce("s2", "start_ms").alias("start_ms"),
+        "job_id", "index", "text", *other, (F.col("gone") | outside).alias("gone"), F.coalesce("s2", "start_ms").alias("start_ms"),
         F.when(clamped, limit).otherwise(F.coalesce("e2", "end_ms")).alias("end_ms"),
         F.array_distinct(F.concat("flags", flag(moved | clamped, "timestamp_repaired"))).alias("flags"),
-        F.concat("issues", when(yes("overlap"), issue(2, "overlap")), when(yes("gap"), issue(2, "gap")), when(yes("stretched"), issue(2, "non_increasing")), when(outside | clamped, issue(3, "outside_video"))).alias("issues"),
+        F.concat(
+            "issues", when(yes("overlap"), issue(2, "overlap", said("Moved start from %.3fs to %.3fs", F.col("before"), F.col("moved")))),
+            when(yes("gap"), issue(2, "gap", F.concat(said("Gap %.3fs below minimum ", F.greatest(F.col("before"), F.col("moved")) - F.col("moved")), F.lit(seconds(s.min_caption_gap_ms))))),
+            when(yes("stretched"), issue(2, "non_increasing", "Extended end so the cue is increasing")), when(outside, issue(3, "outside_video", "Dropped caption starting after video end")),
+            when(clamped, issue(3, "outside_video", said("Clamped end %.3fs to video duration %.3fs", F.col("e2"), limit))),
+        ).alias("issues"),
     )
     number = F.when(~F.col("gone"), F.sum((~F.col("gone")).cast("int")).over(Window.partitionBy("job_id").orderBy("index")))
     return out.withColumn("caption", number)

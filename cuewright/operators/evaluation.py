@@ -15,37 +15,62 @@ from cuewright.operators import safety as S
 from cuewright.operators import vocabulary as V
 from cuewright.operators import words as W
 from cuewright.schema import Settings
+from cuewright.sources.shared import written
 
 TOLERANCE_MS = 200
 
 
-def edit_table(a: list, b: list) -> np.ndarray:
-    """Levenshtein distances of all prefixes, one anti-chain row at a time."""
-    d = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    d[0] = np.arange(len(b) + 1)
-    codes = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]))}
-    right = np.asarray([codes[t] for t in b], np.int32)
-    ramp = np.arange(len(b) + 1, dtype=np.int32)
-    for i, t in enumerate(a, start=1):
-        row = np.minimum(d[i - 1, 1:] + 1, d[i - 1, :-1] + (right != codes[t]))
-        full = np.concatenate([[i], row]).astype(np.int32)
-        d[i] = np.minimum.accumulate(full - ramp) + ramp  # insertions along the row
-    return d
+def _row(above: np.ndarray, same: np.ndarray, i: int) -> np.ndarray:
+    """The i-th row of the distance table from the row above it; ``same`` marks equal tokens."""
+    ramp = np.arange(len(above), dtype=np.int32)
+    best = np.minimum(above[1:] + 1, above[:-1] + ~same)
+    return np.minimum.accumulate(np.concatenate([[i], best]).astype(np.int32) - ramp) + ramp  # insertions along the row
+
+
+def _codes(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
+    known = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]))}
+    return tuple(np.asarray([known[t] for t in x], np.int32) for x in (a, b))
+
+
+def edit_distance(a: list, b: list) -> int:
+    """Levenshtein distance of token lists, by one row of the table at a time."""
+    left, right = _codes(a, b)
+    row = np.arange(len(b) + 1, dtype=np.int32)
+    for i, t in enumerate(left.tolist(), start=1):
+        row = _row(row, right == t, i)
+    return int(row[-1])
 
 
 def alignment(a: list, b: list) -> list[tuple[int, int]]:
-    """Index pairs of tokens that one optimal path aligns; diagonal steps go before deletions, those before insertions."""
-    d, out = edit_table(a, b), []
-    i, j = len(a), len(b)
-    while i > 0 or j > 0:
-        if i > 0 and j > 0 and d[i, j] == d[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            out.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif i > 0 and d[i, j] == d[i - 1, j] + 1:
-            i -= 1
-        else:
-            j -= 1
-    return out[::-1]
+    """Index pairs of tokens that one optimal path aligns.
+
+    Read from the end, a path goes diagonally where it can, else drops a token of ``a``, else one
+    of ``b``. Every ``block``-th row of the table is kept, and the rows between two kept ones are
+    made again when the path gets there: memory grows as the length times its square root.
+    """
+    left, right = _codes(a, b)
+    block = max(1, int(len(a) ** 0.5))
+    kept, row = {0: np.arange(len(b) + 1, dtype=np.int32)}, np.arange(len(b) + 1, dtype=np.int32)
+    for i in range(1, len(a) + 1):
+        row = _row(row, right == left[i - 1], i)
+        if i % block == 0:
+            kept[i] = row
+    pairs, j = [], len(b)
+    for low in range(len(a) - 1 - (len(a) - 1) % block if a else 0, -1, -block):
+        rows = [kept[low]]
+        for i in range(low + 1, min(low + block, len(a)) + 1):
+            rows.append(_row(rows[-1], right == left[i - 1], i))
+        for i in range(len(rows) - 1, 0, -1):
+            here, above = rows[i], rows[i - 1]
+            diagonal = here[1:] == above[:-1] + (right != left[low + i - 1])
+            drop = here == above + 1
+            # insertions happen while neither of the other steps fits
+            while not (j and diagonal[j - 1]) and not drop[j]:
+                j -= 1
+            if j and diagonal[j - 1]:
+                pairs.append((low + i - 1, j - 1))
+                j -= 1
+    return pairs[::-1]
 
 
 def error_rates(pairs: DataFrame) -> DataFrame:
@@ -54,7 +79,7 @@ def error_rates(pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            dist = [int(edit_table(r, h)[-1, -1]) for r, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            dist = [edit_distance(r, h) for r, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dist, pa.int64())], names=["id", "r", "h", "distance"])
 
     kind = toks.schema["id"].dataType.simpleString()
@@ -127,59 +152,111 @@ def censorship_rate(words: DataFrame) -> DataFrame:
     return words.groupBy("job_id").agg(F.round(mark / F.count("*"), 4).alias("censorship_rate"), mark.alias("censored"), F.count("*").alias("total"))
 
 
-#: stages that each configuration of an ablation runs
+# stages of each configuration (fixed values); all of them segment
 ABLATIONS = {
     "asr_only": (),
     "asr_punctuation": ("punctuation",),
     "asr_profanity": ("profanity",),
-    "asr_correction": ("correction",),
-    "asr_prof_corr": ("profanity", "correction"),
-    "full_pipeline": ("punctuation", "vocabulary", "profanity", "correction", "segmentation"),
+    "asr_correction": ("vocabulary", "correction"),
+    "asr_profanity_correction": ("vocabulary", "profanity", "correction"),
+    "full_pipeline": ("punctuation", "vocabulary", "profanity", "correction"),
 }
 
 
-def produce(words: DataFrame, stages: tuple[str, ...], lexicon: S.Lexicon, terms: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Words after the stages, hits, and captions where segmentation runs."""
-    now, hits, captions = words, None, None
-    if "punctuation" in stages:
-        now = W.punctuate(now, s)
-    if "vocabulary" in stages:
-        # terms of several words leave gaps
-        now = V.apply_terms(now, terms).withColumn("word_idx", F.row_number().over(W.in_job()) - 1)
-    if "profanity" in stages or "correction" in stages:
-        hits = S.detect(now, lexicon, s).persist()
-        made = S.decide(hits, S.best_alternatives(S.alternatives(hits, lexicon)), s) if "correction" in stages else S.censor_all(hits)
-        now = S.apply_decisions(now, made)
-    if "segmentation" in stages:
-        dense = now.withColumn("word_idx", F.row_number().over(W.in_job()) - 1)
-        captions = C.repair_density(C.merge_short(C.assign_cues(dense, s), s), s)
-    return now, hits, captions
-
-
-def ablation(clips: DataFrame, reference: DataFrame, lexicon: S.Lexicon, terms: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One summary row a configuration: micro error rates, means of rounded clip scores.
-
-    ``clips``: words of the hypotheses; ``reference``: (id, reference) texts by job id.
+def reading_speed(captions: DataFrame) -> DataFrame:
+    """(job_id, mean_cps, mean_wps, reading_speed_warnings, caption_count) of captions."""
+    mean = lambda c: F.round(F.sum(F.col(c).cast("decimal(20,4)")) / F.count(c), 4).cast("double").alias(f"mean_{c}")
+    warned = F.array_contains("flags", "reading_speed") | (F.col("reading_status") != "OK")
+    return captions.groupBy("job_id").agg(mean("cps"), mean("wps"), F.count_if(warned).alias("reading_speed_warnings"), F.count("*").alias("caption_count"))
+
+
+def produce(words: DataFrame, lexicon: S.Lexicon, terms: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """Words and hits of all configurations at once.
+
+    ``words`` carry ``config``; a job is a clip in a configuration, so every stage runs once over
+    the rows of those configurations that have it. Indices are dense after each stage.
     """
-    out = []
-    for name, stages in ABLATIONS.items():
-        words, _, captions = produce(clips, stages, lexicon, terms, s)
-        words = words.persist()  # three scores read it
-        text = words.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias("hypothesis"))
-        scores = error_rates(reference.join(text, reference["id"] == text["job_id"]).select("id", "reference", "hypothesis"))
-        own = scores.join(W.low_confidence_rate(words, s).select(F.col("job_id").alias("id"), "low_confidence_rate"), "id").join(
-            censorship_rate(words).select(F.col("job_id").alias("id"), "censorship_rate"), "id"
-        )
-        warned = F.lit(0).cast("long") if captions is None else None
-        if captions is not None:
-            sums = C.caption_summary(captions).select(F.col("job_id").alias("id"), F.col("reading_speed_warnings").alias("w_"))
-            own = own.join(sums, "id", "left")
-            warned = F.coalesce(F.sum("w_"), F.lit(0))
-        out.append(
-            own.agg(
-                F.lit(name).alias("config"), F.count("*").alias("clips"), F.round(F.sum("distance") / F.greatest(F.sum("reference_words"), F.lit(1)), 4).alias("wer"),
-                F.round(F.sum("cer_distance") / F.greatest(F.sum("reference_chars"), F.lit(1)), 4).alias("cer"), F.round(F.avg("low_confidence_rate"), 4).alias("mean_low_confidence_rate"),
-                F.round(F.avg("censorship_rate"), 4).alias("mean_censorship_rate"), (F.max(warned) if captions is None else warned).alias("reading_speed_warnings"),
-            )
-        )
-    return reduce(DataFrame.unionByName, out)
+    dense = lambda df: df.withColumn("word_idx", F.row_number().over(W.in_job()) - 1)
+
+    def staged(df: DataFrame, stage: str, run) -> DataFrame:
+        has = F.col("config").isin(*[c for c, stages in ABLATIONS.items() if stage in stages])
+        return run(df.where(has)).select(df.columns).unionByName(df.where(~has))
+
+    now = staged(words, "punctuation", lambda df: W.punctuate(df, s))
+    now = written(staged(now, "vocabulary", lambda df: dense(V.apply_terms(df, terms))).withColumn("word_idx", F.col("word_idx").cast("long")), "ablation-words")
+    jobs = now.select("job_id", "config").distinct()
+    uses = lambda *stages: F.col("config").isin(*[c for c, own in ABLATIONS.items() if set(stages) & set(own)])
+    hits = written(S.detect(now.where(uses("profanity", "correction")), lexicon, s), "ablation-hits")
+    corrected = hits.join(jobs.where(uses("correction")), "job_id", "left_semi")
+    plain = hits.join(jobs.where(uses("profanity") & ~uses("correction")), "job_id", "left_semi")
+    made = S.decide(corrected, S.best_alternatives(S.alternatives(corrected, lexicon)), s).unionByName(S.censor_all(plain))
+    return dense(S.apply_decisions(now, made)), hits
+
+
+def score(words: DataFrame, hits: DataFrame, clips: DataFrame, reference_words: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """All scores of each job. ``clips``: job_id, reference, profane, clean, corrections."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"])
+    text = words.groupBy("job_id").agg(ordered.alias("words"))
+    flagged = hits.where("not allowlisted").groupBy("job_id").agg(F.collect_list("matched").alias("flagged"))
+    gold = clips.join(text, "job_id", "left").join(flagged, "job_id", "left").select("*", F.col("job_id").alias("id"))
+    none = F.expr("cast(array() as array<string>)")
+    gold = gold.withColumns({"words": F.coalesce("words", none), "flagged": F.coalesce("flagged", none)}).withColumn("hypothesis", F.array_join("words", " "))
+    captions = C.repair_density(C.merge_short(C.assign_cues(words, s), s), s)
+    parts = [
+        error_rates(gold.select("id", "reference", "hypothesis")),
+        safety_rates(gold.select("id", "flagged", "profane", "clean")),
+        correction_accuracy(gold.select("id", "words", "corrections")).select("id", "correction_accuracy"),
+        *[df.withColumnRenamed("job_id", "id") for df in (
+            timestamp_accuracy(reference_words, words), W.low_confidence_rate(words, s).drop("low", "total"), censorship_rate(words).select("job_id", "censorship_rate"), reading_speed(captions),
+        )],
+    ]
+    out = reduce(lambda a, b: a.join(b, "id", "left"), parts)
+    # a job without words or captions has the values of an empty list
+    return out.na.fill({"low_confidence_rate": 0.0, "censorship_rate": 0.0, "mean_cps": 0.0, "mean_wps": 0.0, "reading_speed_warnings": 0, "caption_count": 0, "within_200ms": 1.0, "mean_onset_error_s": 0.0, "mean_offset_error_s": 0.0, "pairs_compared": 0})
+
+
+def rollup(scores: DataFrame, *by: str) -> DataFrame:
+    """Micro error rates and means of the clips' rounded scores, for each value of ``by``."""
+    mean = lambda c, name=None: F.round(F.sum(F.col(c).cast("decimal(20,4)")) / F.count(c), 4).cast("double").alias(name or f"mean_{c}")
+    micro = lambda a, b, name: F.round(F.sum(a) / F.greatest(F.sum(b), F.lit(1)), 4).alias(name)
+    return scores.groupBy(*by).agg(
+        F.count("*").alias("clips"), micro("distance", "reference_words", "wer"), micro("cer_distance", "reference_chars", "cer"), F.sum("reference_words").alias("reference_words"),
+        mean("low_confidence_rate"), mean("profanity_false_positive_rate"), mean("profanity_false_negative_rate"), mean("correction_accuracy"), mean("censorship_rate"), mean("mean_cps", "mean_cps"),
+        F.sum("reading_speed_warnings").alias("reading_speed_warnings"), mean("within_200ms", "mean_timestamp_within_200ms"), mean("mean_onset_error_s", "mean_onset_error_s"),
+    )
+
+
+def clip_scores(words: DataFrame, clips: DataFrame, reference_words: DataFrame, lexicon: S.Lexicon, terms: DataFrame, s: Settings = Settings(), configs: tuple[str, ...] = tuple(ABLATIONS)) -> DataFrame:
+    """(config, id, scores) of every clip in every configuration.
+
+    ``words``: of the hypotheses, by job_id; ``clips``: job_id, reference, profane, clean,
+    corrections. Where a clip has no timed reference, its own words are the reference.
+    """
+    each = F.explode(F.array(*[F.lit(c) for c in configs])).alias("config")
+    name = lambda df: df.select("*", each).withColumn("job_id", F.concat_ws("/", "config", F.col("job_id").cast("string")))
+    own = words.select("job_id").distinct().join(reference_words.select("job_id").distinct(), "job_id", "left_anti")
+    reference = reference_words.select("job_id", "word_idx", "word", "start_ms", "end_ms").unionByName(words.join(own, "job_id", "left_semi").select("job_id", "word_idx", "word", "start_ms", "end_ms"))
+    done, hits = produce(name(words), lexicon, terms, s)
+    done = written(done, "ablation-done")
+    out = score(done, hits, name(clips).drop("config"), name(reference).drop("config"), s)
+    return out.select(F.split_part("id", F.lit("/"), F.lit(1)).alias("config"), F.expr("substring(id, instr(id, '/') + 1)").alias("clip"), *[c for c in out.columns if c != "id"])
+
+
+def ablation(words: DataFrame, clips: DataFrame, reference_words: DataFrame, lexicon: S.Lexicon, terms: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """One summary row a configuration, of ``clip_scores``."""
+    return rollup(clip_scores(words, clips, reference_words, lexicon, terms, s), "config")
+
+
+def report_text(summary: DataFrame, model: str, version: str, notes: tuple[str, ...] = ()) -> DataFrame:
+    """(report): the summaries of all configurations as one text, in the order of ``ABLATIONS``."""
+    line = lambda label, c, fmt="%.4f": F.format_string(f"{label}: {fmt}", F.coalesce(F.col(c), F.lit(0.0)))
+    block = F.concat_ws(
+        "\n", F.format_string("[%s]", "config"), line("WER", "wer"), line("CER", "cer"), line("word timestamp accuracy (within 200ms)", "mean_timestamp_within_200ms"),
+        line("low-confidence rate", "mean_low_confidence_rate"), line("profanity false-positive rate", "mean_profanity_false_positive_rate"), line("profanity false-negative rate", "mean_profanity_false_negative_rate"),
+        line("correction accuracy", "mean_correction_accuracy"), line("censorship rate", "mean_censorship_rate"), line("caption reading speed (mean CPS)", "mean_cps", "%.2f"),
+        F.format_string("reading-speed warnings: %d", "reading_speed_warnings"),
+    )
+    order = F.array_position(F.array(*[F.lit(c) for c in ABLATIONS]), F.col("config"))
+    blocks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), block.alias("b")))), lambda x: x["b"]), "\n\n")
+    head = "\n".join(["Caption evaluation", f"Model: {model}", f"Pipeline version: {version}", *notes, "", ""])
+    return summary.agg(F.concat(F.lit(head), blocks, F.lit("\n")).alias("report"))

@@ -6,7 +6,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
@@ -14,6 +15,10 @@ from cuewright.operators.words import in_job
 from cuewright.schema import Settings
 
 
+#: sources of candidates are this far apart in ``rank``
+RANK = 1 << 32
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Small dictionaries; they become tables that Catalyst broadcasts if they are small enough."""
@@ -43,71 +48,99 @@ def merge_ordered(layers: Iterable[Iterable[str]]) -> list[str]:
     return list(dict.fromkeys(t for layer in layers for t in layer))
 
 
-def phrase_candidates(words: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(job_id, word_idx, n, matched, severity) of all phrase matches, overlaps included."""
-    spark = words.sparkSession
-    sizes = sorted({len(p.split()) for p in lexicon.phrases if len(p.split()) > 1}, reverse=True)
-    tok = words.select("job_id", "word_idx", X.normalize_token(F.col("word")).alias("t"))
-    for i in range(1, max(sizes, default=1)):
-        tok = tok.withColumn(f"t{i}", F.lead("t", i).over(in_job()))
-    grams = tok.select("job_id", "word_idx", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.concat(*[x for i in range(n) for x in ([F.lit(" ")] if i else []) + [F.col(f"t{i}" if i else "t")]]).alias("matched")) for n in sizes])).alias("g")).select("job_id", "word_idx", "g.*") if sizes else tok.select("job_id", "word_idx", F.lit(0).alias("n"), F.lit("").alias("matched")).limit(0)
-    return grams.join(lexicon.severities(spark, "phrases"), "matched")
+def _spans(words: DataFrame, lexicon: Lexicon, n: int) -> DataFrame:
+    """Each word with all that a match starting there can need, by one window over its job.
 
+    ``row_`` holds the word and the words after it, ``before_`` up to ``n`` words before it.
+    """
+    longest = max([len(p.split()) for p in lexicon.phrases], default=1)
+    own = F.struct("word", X.normalize_token(F.col("word")).alias("token"), "end_ms", "confidence")
+    tok = words.select("job_id", "word_idx", "start_ms", own.alias("w_"))
+    rest = [F.lead("w_", i).over(in_job()) for i in range(1, longest + n)]
+    past = [F.lag("w_", i).over(in_job()) for i in range(n, 0, -1)]
+    here = lambda cols: F.filter(F.array(*cols), lambda x: x.isNotNull())
+    wide = tok.select("job_id", "word_idx", "start_ms", "w_", *[c.alias(f"r{i}_") for i, c in enumerate(rest)], *[c.alias(f"p{i}_") for i, c in enumerate(past)])
+    # a match starts with the first word of a phrase, or shares three letters with a known word
+    heads, starts = {p.split()[0] for p in lexicon.phrases if p}, {w[:3] for w in lexicon.words}
+    token = F.col("w_.token")
+    wide = wide.where((token.isin(*heads) if heads else F.lit(False)) | (F.left(token, F.lit(3)).isin(*starts) if starts else F.lit(False)))
+    row, before = here(["w_", *[f"r{i}_" for i in range(len(rest))]]), here([f"p{i}_" for i in range(len(past))])
+    return wide.select("job_id", "word_idx", "start_ms", row.alias("row_"), (before if past else F.slice(row, 1, 0)).alias("before_"))
+
+
+def _matches(spans: DataFrame, lexicon: Lexicon, n: int) -> DataFrame:
+    """All matches, overlaps included: phrases of every length, and single words by their first known stem."""
+    sizes = sorted({len(p.split()) for p in lexicon.phrases if len(p.split()) > 1}, reverse=True)
+    row, none = F.col("row_"), F.lit(None).cast("string")
+
+    def match(size: int, matched: Column) -> Column:
+        inside = F.slice(row, 1, size)
+        conf = F.filter(F.transform(inside, lambda x: x["confidence"]), lambda c: c.isNotNull())
+        total = F.aggregate(conf, F.lit(0.0), lambda a, c: a + c)
+        allowed = F.exists(inside, lambda x: x["token"].isin(*lexicon.allowlist)) if lexicon.allowlist else F.lit(False)
+        if size == 1 and lexicon.allowlist:
+            allowed = allowed | matched.isin(*lexicon.allowlist)
+        return F.struct(
+            F.lit(size).alias("n"), matched.alias("matched"), F.array_join(F.transform(inside, lambda x: x["word"]), " ").alias("word"), F.element_at(inside, -1)["end_ms"].alias("end_ms"),
+            F.when(F.size(conf) > 0, total / F.size(conf)).alias("asr_confidence"), F.coalesce(allowed, F.lit(False)).alias("allowlisted"),
+            F.transform(F.slice(row, size + 1, n), lambda x: x["word"]).alias("context_after"),
+        )
+
+    found = []
+    for size in sizes:
+        listed = [p for p in lexicon.phrases if len(p.split()) == size]
+        text = F.array_join(F.transform(F.slice(row, 1, size), lambda x: x["token"]), " ")
+        found.append(match(size, F.when((F.size(row) >= size) & text.isin(*listed), text).otherwise(none)))
+    if lexicon.words:
+        stem = F.get(F.filter(X.stems(row[0]["token"]), lambda x: x.isin(*lexicon.words)), F.lit(0))
+        found.append(match(1, F.when(row[0]["token"] != "", stem)))
+    every = F.array(*found) if found else F.array(match(1, none))
+    rows = spans.select("job_id", "word_idx", "start_ms", F.transform("before_", lambda x: x["word"]).alias("context_before"), F.explode(F.filter(every, lambda m: m["matched"].isNotNull())).alias("m"))
+    return rows.select("job_id", "word_idx", "start_ms", "context_before", "m.*")
+
+
+def without_overlaps(candidates: DataFrame, *rank: str) -> DataFrame:
+    """Rows of each job by ``rank`` (longest first if none is given), then leftmost; a span that touches a kept one goes.
+
+    Spans are word_idx to word_idx + n. Candidates of a job are few next to its words; one pass
+    over them in order marks the positions that are taken.
+    """
+    order = [(c, "ascending") for c in rank] or [("n", "descending")]
 
-def without_overlaps(candidates: DataFrame) -> DataFrame:
-    """Longest first, then leftmost; a span that touches a kept one falls away.
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by([*order, ("word_idx", "ascending")])
+        taken, keep = set(), []
+        for at, n in zip(group.column("word_idx").to_pylist(), group.column("n").to_pylist(), strict=True):
+            free = taken.isdisjoint(range(at, at + n))
+            keep.append(free)
+            if free:
+                taken.update(range(at, at + n))
+        return group.filter(pa.array(keep))
 
-    A fold over each job's candidates, which are few; its state is the kept spans.
-    """
-    cols = [c for c in candidates.columns if c not in ("job_id", "word_idx", "n")]
-    order = F.struct((-F.col("n")).alias("m"), "word_idx", *cols)
-    rows = candidates.groupBy("job_id").agg(F.array_sort(F.collect_list(order)).alias("c"))
-    kind = candidates.select(F.array(order)).schema.fields[0].dataType.simpleString()
-    none = F.expr(f"cast(array() as {kind})")
+    return candidates.groupBy("job_id").applyInArrow(run, candidates.schema)
 
-    def step(kept: Column, x: Column) -> Column:
-        clash = F.exists(kept, lambda k: (k["word_idx"] < x["word_idx"] - x["m"]) & (x["word_idx"] < k["word_idx"] - k["m"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
 
-    kept = rows.select("job_id", F.explode(F.aggregate("c", none, step)).alias("k"))
-    return kept.select("job_id", "k.word_idx", (-F.col("k.m")).alias("n"), *[f"k.{c}" for c in cols])
+def phrase_candidates(words: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(job_id, word_idx, n, matched, severity) of all phrase matches, overlaps included."""
+    only = Lexicon(phrases=lexicon.phrases)
+    rows = _matches(_spans(words, only, 0), only, 0).select("job_id", "word_idx", "n", "matched")
+    return rows.join(lexicon.severities(words.sparkSession, "phrases"), "matched").select("job_id", "word_idx", "n", "matched", "severity")
 
 
 def detect(words: DataFrame, lexicon: Lexicon, s: Settings = Settings()) -> DataFrame:
-    """Phrase and word hits with times, severity, allow-listing and context."""
-    spark = words.sparkSession
-    tok = words.withColumn("token", X.normalize_token(F.col("word")))
-    phrases = without_overlaps(phrase_candidates(words, lexicon)).select("job_id", "word_idx", (F.col("word_idx") + F.col("n")).alias("end_idx"), F.lit("phrase").alias("match_type"), "matched", "severity")
-    covered = phrases.select("job_id", F.explode(F.expr("sequence(word_idx, end_idx - 1)")).alias("word_idx"))
-    stems = tok.select("token").where("token <> ''").distinct().select("token", F.posexplode(X.stems(F.col("token"))).alias("pos", "matched"))
-    known = stems.join(lexicon.severities(spark, "words"), "matched").groupBy("token").agg(F.min_by(F.struct("matched", "severity"), "pos").alias("m"))
-    single = tok.join(known, "token").join(covered, ["job_id", "word_idx"], "left_anti")
-    single = single.select("job_id", "word_idx", (F.col("word_idx") + 1).alias("end_idx"), F.lit("word").alias("match_type"), F.col("m.matched").alias("matched"), F.col("m.severity").alias("severity"))
-    hits = phrases.unionByName(single)
-    # context and spans come from the words of jobs that have hits, and of no others
-    near = tok.join(hits.select("job_id").distinct(), "job_id", "left_semi")
-    n = s.context_window
-    side = near.select(
-        "job_id", "word_idx",
-        F.collect_list("word").over(in_job().rowsBetween(-n, -1)).alias("context_before"),
-        F.collect_list("word").over(in_job().rowsBetween(1, n)).alias("context_after"),
-    )
-    inner = hits.select("job_id", "word_idx", "end_idx", F.explode(F.expr("sequence(word_idx, end_idx - 1)")).alias("at"))
-    at = near.select("job_id", F.col("word_idx").alias("at"), "word", "token", "start_ms", "end_ms", "confidence")
-    allowed = spark.createDataFrame([(t,) for t in lexicon.allowlist], "allowed string")
-    spans = inner.join(at, ["job_id", "at"]).join(allowed, F.col("token") == F.col("allowed"), "left")
-    spans = spans.groupBy("job_id", "word_idx").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("word"),
-        F.min("start_ms").alias("start_ms"),
-        F.max_by("end_ms", "at").alias("end_ms"),
-        F.avg("confidence").alias("asr_confidence"),
-        F.bool_or(F.col("allowed").isNotNull()).alias("token_allowed"),
+    """Phrase and word hits with times, severity, allow-listing and context.
+
+    Words are read once and shuffled once, on job_id: one window gives each word what a match
+    there needs, and only matches go on. Word indices are dense.
+    """
+    spark, n = words.sparkSession, max(1, s.context_window)
+    kept = without_overlaps(_matches(_spans(words, lexicon, n), lexicon, n))
+    kept = kept.withColumn("match_type", F.when(F.col("n") > 1, "phrase").otherwise("word"))
+    listed = lambda which, kind: lexicon.severities(spark, which).withColumn("match_type", F.lit(kind))
+    severity = listed("phrases", "phrase").unionByName(listed("words", "word"))
+    return kept.join(severity, ["match_type", "matched"]).select(
+        "job_id", "word_idx", (F.col("word_idx") + F.col("n")).alias("end_idx"), "match_type", "matched", "severity", "word", "start_ms", "end_ms", "asr_confidence", "context_before", "context_after", "allowlisted"
     )
-    last = side.select("job_id", F.col("word_idx").alias("last_"), "context_after")
-    out = hits.join(spans, ["job_id", "word_idx"]).join(side.select("job_id", "word_idx", "context_before"), ["job_id", "word_idx"])
-    out = out.withColumn("last_", F.col("end_idx") - 1).join(last, ["job_id", "last_"]).drop("last_")
-    stem_allowed = (F.col("match_type") == "word") & F.col("matched").isin(*lexicon.allowlist) if lexicon.allowlist else F.lit(False)
-    return out.withColumn("allowlisted", F.col("token_allowed") | stem_allowed).drop("token_allowed")
 
 
 def summary(hits: DataFrame) -> DataFrame:
@@ -124,6 +157,26 @@ def summary(hits: DataFrame) -> DataFrame:
     )
 
 
+def similar_terms(tokens: DataFrame, known: DataFrame, least: float = 0.72) -> DataFrame:
+    """(token, cand, ord, allowed) of phonetic similarity ``least`` or more, once for each distinct token.
+
+    Bonuses come to 0.25 with an equal first letter and to 0.15 without, and an edit distance is
+    at least the difference of the lengths; so pairs meet by first letter and length, or, at
+    different first letters, by a length in tighter bounds.
+    """
+
+    def meet(bonus: float) -> tuple[DataFrame, DataFrame]:
+        share = least - bonus
+        bounds = F.sequence(F.floor(F.length("cand") * share).cast("int"), F.ceil(F.length("cand") / share).cast("int"))
+        left = tokens.withColumns({"len_": F.length("token"), "first_": F.substring("token", 1, 1)})
+        return left, known.withColumns({"len_": F.explode(bounds), "head_": F.substring("cand", 1, 1)})
+
+    (a, b), (c, d) = meet(0.25), meet(0.15)
+    same = a.join(b, (a["len_"] == b["len_"]) & (a["first_"] == b["head_"])).select("token", "cand", "ord", "allowed")
+    other = c.join(d, c["len_"] == d["len_"]).where("first_ <> head_").select("token", "cand", "ord", "allowed")
+    return same.unionByName(other).where(X.phonetic_similarity(F.col("token"), F.col("cand")) >= least)
+
+
 def alternatives(hits: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(job_id, word_idx, cand, rank, score): candidates of each hit and how well they fit."""
     spark = hits.sparkSession
@@ -132,9 +185,8 @@ def alternatives(hits: DataFrame, lexicon: Lexicon) -> DataFrame:
     col = lexicon.listed(spark, "collocations")
     both, left, right = F.concat_ws("|", "left", "right"), F.concat("left", F.lit("|")), F.concat(F.lit("|"), "right")
     known = lexicon.known(spark)
-    rank = lambda k: (F.lit(k * 100_000) + F.col("ord")).alias("rank")
-    # similar terms are found once for each distinct token
-    similar = h.select("token").distinct().join(known, X.phonetic_similarity(F.col("token"), F.col("cand")) >= 0.72)
+    rank = lambda k: (F.lit(k * RANK) + F.col("ord")).alias("rank")
+    similar = similar_terms(h.select("token").distinct(), known)
     found = [h.join(lexicon.listed(spark, "confusions"), F.col("token") == F.col("key")).select("job_id", "word_idx", "cand", rank(0))]
     found += [h.join(col, k == F.col("key")).select("job_id", "word_idx", "cand", rank(i)) for i, k in ((1, both), (2, left), (3, right))]
     found.append(h.join(similar, "token").select("job_id", "word_idx", "cand", rank(4)))

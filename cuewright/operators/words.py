@@ -128,29 +128,22 @@ def speaker_at(words: DataFrame, segments: DataFrame, slack_ms: int = 1, bin_ms:
         binned,
         (mid["job_id"] == binned["j_"]) & (at(mid["mid_"]) == binned["bin_"]) & (mid["mid_"] >= binned["s_"] - slack_ms) & (mid["mid_"] <= binned["e_"] + slack_ms),
     )
-    covered = hit.groupBy("job_id", "word_idx").agg(F.max_by("seg_speaker_", "seg_idx").alias("covering_"))
-    # nearest edge before and after the middle, by one sort of words and segments together
-    spots = mid.select("job_id", F.col("mid_").alias("t"), "word_idx", F.lit(None).cast("int").alias("seg_idx"), F.lit(None).cast("string").alias("sp"))
-    ends = segments.select("job_id", F.col("end_ms").cast("double").alias("t"), F.lit(None).cast("long").alias("word_idx"), F.col("seg_idx").cast("int"), F.col("speaker").alias("sp"))
-    starts = ends.drop("t").join(segments.select("job_id", "seg_idx", F.col("start_ms").cast("double").alias("t")), ["job_id", "seg_idx"]).select(spots.columns)
-    order = Window.partitionBy("job_id").orderBy("t")
-    edge = lambda: F.when(F.col("seg_idx").isNotNull(), F.struct("t", F.col("seg_idx"), "sp"))
-    past = F.max(edge()).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.min(edge()).over(order.rangeBetween(0, Window.unboundedFollowing))
-    # of segments with equal edges the first wins: ends are compared by (t, -seg_idx)
-    ends = ends.withColumn("seg_idx", -F.col("seg_idx"))
-    left = spots.unionByName(ends).withColumn("p_", past).where("word_idx is not null").select("job_id", "word_idx", "p_", F.col("t").alias("m_"))
-    right = spots.unionByName(starts).withColumn("a_", ahead).where("word_idx is not null").select("job_id", "word_idx", "a_")
-    near = left.join(right, ["job_id", "word_idx"])
-    behind, ahead_of = F.col("m_") - F.col("p_.t"), F.col("a_.t") - F.col("m_")
-    first = F.coalesce((behind < ahead_of) | ((behind == ahead_of) & (-F.col("p_.seg_idx") < F.col("a_.seg_idx"))), F.col("a_").isNull())
-    near = near.select("job_id", "word_idx", F.when(first, F.col("p_.sp")).otherwise(F.col("a_.sp")).alias("nearest_"))
-    return (
-        words.join(covered, ["job_id", "word_idx"], "left")
-        .join(near, ["job_id", "word_idx"], "left")
-        .withColumn("speaker", F.coalesce("covering_", "nearest_", "speaker"))
-        .drop("covering_", "nearest_")
-    )
+    covered = hit.groupBy("job_id", "word_idx").agg(F.max_by("seg_speaker_", "seg_idx").alias("found_"))
+    # the rest meets the edges before and after it in one sort each way; edges stand before words at equal times
+    open_ = mid.join(covered, ["job_id", "word_idx"], "left_anti").select("job_id", F.col("mid_").alias("t"), F.lit(1).alias("kind"), "word_idx", F.lit(None).cast("long").alias("seg_idx"), F.lit(None).cast("string").alias("sp"))
+    side = lambda c, kind: segments.select("job_id", F.col(c).cast("double").alias("t"), F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("word_idx"), F.col("seg_idx").cast("long").alias("seg_idx"), F.col("speaker").alias("sp"))
+    spots = open_.unionByName(side("end_ms", 0)).unionByName(side("start_ms", 2))
+    so_far = lambda order: Window.partitionBy("job_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = lambda kind, sign: F.when(F.col("kind") == kind, F.struct("t", (sign * F.col("seg_idx")).alias("i"), "sp"))
+    # of segments with equal edges the first wins
+    past = F.max(edge(0, -1)).over(so_far([F.col("t"), F.col("kind")]))
+    ahead = F.min(edge(2, 1)).over(so_far([F.desc("t"), F.desc("kind")]))
+    near = spots.withColumn("p_", past).withColumn("a_", ahead).where("kind = 1")
+    behind, ahead_of = F.col("t") - F.col("p_.t"), F.col("a_.t") - F.col("t")
+    first = F.coalesce((behind < ahead_of) | ((behind == ahead_of) & (-F.col("p_.i") < F.col("a_.i"))), F.col("a_").isNull())
+    near = near.select("job_id", "word_idx", F.when(first, F.col("p_.sp")).otherwise(F.col("a_.sp")).alias("found_"))
+    found = covered.unionByName(near)
+    return words.join(found, ["job_id", "word_idx"], "left").withColumn("speaker", F.coalesce("found_", "speaker")).drop("found_")
 
 
 def rename_speakers(segments: DataFrame, mapping: DataFrame) -> DataFrame:

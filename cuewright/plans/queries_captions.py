@@ -93,24 +93,24 @@ def _speed(chars: str, words: str, ms: str) -> str:
     return f"({chars} / {seconds} > 17.0 OR {words} / {seconds} > 4.0)"
 
 
-_DENSITY = f""", dq AS (SELECT job_id, m, list(word ORDER BY word_idx) AS w, list(start_ms ORDER BY word_idx) AS st, list(end_ms ORDER BY word_idx) AS en FROM mwords GROUP BY job_id, m),
+_DENSITY = f""", dq AS (SELECT job_id, m, list(word ORDER BY word_idx) AS w, list(start_ms ORDER BY word_idx) AS st, list(end_ms ORDER BY word_idx) AS en, list(CAST(round(confidence * 100) AS BIGINT) ORDER BY word_idx) AS cf, min(speaker) AS speaker FROM mwords GROUP BY job_id, m),
  dn AS (SELECT *, len(w) AS n, lead(st[1]) OVER (PARTITION BY job_id ORDER BY m) AS nxt FROM dq),
  dc AS (SELECT *, coalesce(list_filter(generate_series(1, n - 1), lambda i: regexp_matches(w[i], '[.!?]["\'\'”’]*$'))[1], list_filter(generate_series(1, n - 1), lambda i: suffix(w[i], ','))[1],
    list_filter(generate_series(1, n - 2), lambda i: lower(trim(w[i + 1], '.,!?')) IN ({IN_LIST(X.CONJUNCTIONS)}))[1], CASE WHEN n >= 6 THEN n // 2 END) AS cut FROM dn),
- dp AS (SELECT job_id, m, n AS total, 0 AS kind, w, st[1] AS s, greatest(en[n], st[1]) AS e, nxt, n FROM dc
-  UNION ALL SELECT job_id, m, n, 1, w[1:cut], st[1], greatest(en[cut], st[1]), st[cut + 1], cut FROM dc WHERE cut IS NOT NULL
-  UNION ALL SELECT job_id, m, n, 2, w[cut + 1:n], st[cut + 1], greatest(en[n], st[cut + 1]), nxt, n - cut FROM dc WHERE cut IS NOT NULL),
- df AS (SELECT *, array_to_string(w, ' ') AS flat FROM dp), dw AS (SELECT *, 43 - strpos(reverse(left(flat, 43)), ' ') AS sp FROM df),
+ dp AS (SELECT job_id, m, n AS total, 0 AS kind, w, st[1] AS s, greatest(en[n], st[1]) AS e, nxt, n, cf, speaker FROM dc
+  UNION ALL SELECT job_id, m, n, 1, w[1:cut], st[1], greatest(en[cut], st[1]), st[cut + 1], cut, cf[1:cut], speaker FROM dc WHERE cut IS NOT NULL
+  UNION ALL SELECT job_id, m, n, 2, w[cut + 1:n], st[cut + 1], greatest(en[n], st[cut + 1]), nxt, n - cut, cf[cut + 1:n], speaker FROM dc WHERE cut IS NOT NULL),
+ df AS (SELECT *, array_to_string(w, ' ') AS flat, list_sum(cf) < 70 * n AS low FROM dp), dw AS (SELECT *, 43 - strpos(reverse(left(flat, 43)), ' ') AS sp FROM df),
  dl AS (SELECT *, {_WRAP} AS lines FROM dw), dm AS (SELECT *, length(lines) AS chars, len(regexp_extract_all(lines, '\\S+')) AS nw FROM dl),
  dd AS (SELECT *, {_speed('chars', 'nw', '(e - s)')} AS dense FROM dm),
- dj AS (SELECT *, max(CASE WHEN kind = 0 THEN dense::INT END) OVER c = 1 AND count(*) OVER c = 3 AND (min(CASE WHEN kind > 0 THEN dense::INT END) OVER c = 0 OR total >= 6) AS splits FROM dd WINDOW c AS (PARTITION BY job_id, m)),
+ dj AS (SELECT *, max(CASE WHEN kind = 0 THEN dense::INT END) OVER c = 1 AND count(*) OVER c = 3 AND (min(CASE WHEN kind > 0 THEN dense::INT END) OVER c = 0 OR total >= 6) AS splits, max(CASE WHEN kind = 0 THEN low::INT END) OVER c = 1 AS plow FROM dd WINDOW c AS (PARTITION BY job_id, m)),
  dk AS (SELECT * FROM dj WHERE splits = (kind > 0)),
  dx AS (SELECT *, least(greatest(e, s + CAST(ceil(chars * 1000 / 17.0::DOUBLE) AS BIGINT)), least(s + 7000, nxt - 80)) AS longer FROM dk),
  dy AS (SELECT *, dense AND longer > e + 1 AS stretched, CASE WHEN dense AND longer > e + 1 THEN longer ELSE e END AS e2 FROM dx),
  dz AS (SELECT *, {_speed('chars', 'nw', '(e2 - s)')} AS still FROM dy),
  repaired AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY m, kind) AS caption, s AS start_ms, e2 AS end_ms, lines AS text, CAST(n AS INT) AS n_words, round(chars / (greatest(e2 - s, 1) / 1000.0::DOUBLE), 4) AS cps, round(nw / (greatest(e2 - s, 1) / 1000.0::DOUBLE), 4) AS wps,
    CASE WHEN still THEN 'too_fast' ELSE 'OK' END AS reading_status,
-   concat_ws(',', CASE WHEN (splits OR dense) AND NOT (stretched AND NOT still) THEN 'reading_speed' END, CASE WHEN stretched THEN 'timing_extended' END, CASE WHEN still AND NOT (splits OR dense) THEN 'reading_speed' END, CASE WHEN still THEN 'needs_review' END) AS flags FROM dz)
+   concat_ws(',', CASE WHEN (splits OR dense) AND NOT (stretched AND NOT still) THEN 'reading_speed' END, CASE WHEN low OR plow THEN 'low_confidence' END, CASE WHEN stretched THEN 'timing_extended' END, CASE WHEN still AND NOT (splits OR dense) THEN 'reading_speed' END, CASE WHEN still THEN 'needs_review' END) AS flags, speaker, CAST((200 * list_sum(cf) + n) // (2 * n) / 10000.0 AS DOUBLE) AS mean_confidence, CASE WHEN list_sum(cf) >= 90 * n THEN 'high' WHEN low THEN 'low' ELSE 'medium' END AS confidence_band FROM dz)
 """
 
 
@@ -142,10 +142,10 @@ _ROUGH = """, rough AS (SELECT job_id, CAST(cue AS BIGINT) AS index, CASE WHEN c
  p1 AS (SELECT *, trim(text) = '' AS gone, s0 < 0 OR e0 < 0 AS neg, greatest(e0, 0) < greatest(s0, 0) AS inv, least(greatest(s0, 0), greatest(e0, 0)) AS a, greatest(s0, e0, 0) AS b FROM rough),
  p1b AS (SELECT *, b - a < 500 AS short, CASE WHEN b - a < 500 THEN a + 500 ELSE b END AS e FROM p1),
  vo AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY index) AS r FROM p1b WHERE NOT gone),
- vf AS (SELECT job_id, r, index, a AS s, CASE WHEN e <= a THEN a + 500 ELSE e END AS e, FALSE AS ov, FALSE AS gp, e <= a AS st FROM vo WHERE r = 1
-  UNION ALL SELECT job_id, r, index, s2, CASE WHEN e <= s2 THEN s2 + 500 ELSE e END, ov, gp, e <= s2 FROM (SELECT *, CASE WHEN gp THEN pe ELSE s1 END AS s2 FROM (SELECT *, s1 > pe AND s1 - pe < 80 AS gp FROM
-   (SELECT o.job_id, o.r, o.index, o.e, f.e AS pe, o.a < f.e AS ov, CASE WHEN o.a < f.e THEN f.e ELSE o.a END AS s1 FROM vf f JOIN vo o ON o.job_id = f.job_id AND o.r = f.r + 1)))),
- va AS (SELECT p.job_id, p.index, p.text, p.gone OR coalesce(f.s >= 60000, FALSE) AS gone, p.gone AS empty, coalesce(f.s, p.a) AS s, CASE WHEN f.s < 60000 AND f.e > 60000 THEN 60000 ELSE coalesce(f.e, p.e) END AS e, neg, inv, short, p.e - p.a > 7000 AS long, f.ov, f.gp, f.st,
+ vf AS (SELECT job_id, r, index, a AS s, CASE WHEN e <= a THEN a + 500 ELSE e END AS e, FALSE AS ov, FALSE AS gp, e <= a AS st, a AS a0, CAST(NULL AS BIGINT) AS pe FROM vo WHERE r = 1
+  UNION ALL SELECT job_id, r, index, s2, CASE WHEN e <= s2 THEN s2 + 500 ELSE e END, ov, gp, e <= s2, a0, pe FROM (SELECT *, CASE WHEN gp THEN pe ELSE s1 END AS s2 FROM (SELECT *, s1 > pe AND s1 - pe < 80 AS gp FROM
+   (SELECT o.job_id, o.r, o.index, o.e, o.a AS a0, f.e AS pe, o.a < f.e AS ov, CASE WHEN o.a < f.e THEN f.e ELSE o.a END AS s1 FROM vf f JOIN vo o ON o.job_id = f.job_id AND o.r = f.r + 1)))),
+ va AS (SELECT p.job_id, p.index, p.text, p.gone OR coalesce(f.s >= 60000, FALSE) AS gone, p.gone AS empty, coalesce(f.s, p.a) AS s, CASE WHEN f.s < 60000 AND f.e > 60000 THEN 60000 ELSE coalesce(f.e, p.e) END AS e, neg, inv, short, p.e - p.a > 7000 AS long, f.ov, f.gp, f.st, f.a0, f.pe, f.e AS e1, p.s0, p.e0,
    coalesce(f.s >= 60000 OR f.e > 60000, FALSE) AS outside, coalesce(f.s < 60000 AND f.e > 60000, FALSE) AS clamped FROM p1b p LEFT JOIN vf f ON f.job_id = p.job_id AND f.index = p.index)
 """
 
@@ -167,12 +167,16 @@ def validate_captions(spark, d) -> DataFrame:
 @query(
     "validation_issues",
     WORDS_CONV + _CUES + _ROUGH + """SELECT job_id, index, concat_ws(',', CASE WHEN empty THEN 'empty' END, CASE WHEN NOT empty AND neg THEN 'negative' END, CASE WHEN NOT empty AND inv THEN 'non_increasing' END,
- CASE WHEN NOT empty AND short THEN 'short_duration' END, CASE WHEN NOT empty AND long THEN 'long_duration' END, CASE WHEN ov THEN 'overlap' END, CASE WHEN gp THEN 'gap' END, CASE WHEN st THEN 'non_increasing' END, CASE WHEN outside THEN 'outside_video' END) AS types
+ CASE WHEN NOT empty AND short THEN 'short_duration' END, CASE WHEN NOT empty AND long THEN 'long_duration' END, CASE WHEN ov THEN 'overlap' END, CASE WHEN gp THEN 'gap' END, CASE WHEN st THEN 'non_increasing' END, CASE WHEN outside THEN 'outside_video' END) AS types,
+ concat_ws(';', CASE WHEN empty THEN 'Dropped empty caption' END, CASE WHEN NOT empty AND neg THEN printf('Clamped negative timestamp (%.3f/%.3f)', s0 / 1000.0::DOUBLE, e0 / 1000.0::DOUBLE) END, CASE WHEN NOT empty AND inv THEN printf('Swapped inverted times (%.3f>%.3f)', greatest(s0, 0) / 1000.0::DOUBLE, greatest(e0, 0) / 1000.0::DOUBLE) END,
+  CASE WHEN NOT empty AND short THEN 'Extended cue shorter than 0.50s' END, CASE WHEN NOT empty AND long THEN 'Cue longer than 7.00s' END, CASE WHEN ov THEN printf('Moved start from %.3fs to %.3fs', a0 / 1000.0::DOUBLE, pe / 1000.0::DOUBLE) END,
+  CASE WHEN gp THEN printf('Gap %.3fs below minimum 0.08s', (greatest(a0, pe) - pe) / 1000.0::DOUBLE) END, CASE WHEN st THEN 'Extended end so the cue is increasing' END, CASE WHEN outside AND NOT clamped THEN 'Dropped caption starting after video end' WHEN clamped THEN printf('Clamped end %.3fs to video duration 60.000s', e1 / 1000.0::DOUBLE) END) AS details
  FROM va WHERE empty OR neg OR inv OR short OR long OR ov OR gp OR st OR outside""",
 )
 def validation_issues(spark, d) -> DataFrame:
     rows = _validated(spark, d).where(F.size("issues") > 0)
-    return rows.select("job_id", "index", F.array_join(F.transform("issues", lambda x: x["type"]), ",").alias("types"))
+    joined = lambda c, by: F.array_join(F.transform("issues", lambda x: x[c]), by)
+    return rows.select("job_id", "index", joined("type", ",").alias("types"), joined("detail", ";").alias("details"))
 
 
 _TC = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"

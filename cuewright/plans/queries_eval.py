@@ -132,12 +132,32 @@ def censorship_rate(spark, d) -> DataFrame:
     return E.censorship_rate(S.apply_decisions(words_of_documents(spark, d), decisions_of_documents(spark, d)))
 
 
-@query("ablation_rollup")
-def ablation_rollup(spark, d) -> DataFrame:
+def _clips(spark, d) -> DataFrame:
+    """Benchmark items as evaluation clips, with gold terms and corrections that occur in some of them."""
+    gold = {"profane": "array('the', 'idiot')", "clean": "array('of', 'stupid')", "corrections": "array(named_struct('from', 'x', 'to', 'the'), named_struct('from', 'Idiot', 'to', ''))"}
+    items = table(spark, d, "benchmark", F.col("item_id").alias("job_id"), F.col("text").alias("reference"))
+    return items.withColumns({k: F.expr(v) for k, v in gold.items()})
+
+
+def _clip_scores(spark, d) -> DataFrame:
     ref, hyp = _clip_words(spark, d)
     terms = spark.createDataFrame([("Thanedble", 0), ("Orantion", 1)], "term string, ord int")
-    items = table(spark, d, "benchmark", F.col("item_id").alias("id"), F.col("text").alias("reference"))
-    return E.ablation(hyp, items, _LEX, terms)
+    return E.clip_scores(hyp, _clips(spark, d), ref, _LEX, terms)
+
+
+@query("ablation_rollup")
+def ablation_rollup(spark, d) -> DataFrame:
+    return E.rollup(_clip_scores(spark, d), "config")
+
+
+@query("ablation_clips")
+def ablation_clips(spark, d) -> DataFrame:
+    return _clip_scores(spark, d)
+
+
+@query("evaluation_report")
+def evaluation_report(spark, d) -> DataFrame:
+    return E.report_text(E.rollup(_clip_scores(spark, d), "config"), "stub", "1")
 
 
 @query(

@@ -9,6 +9,7 @@ from cuewright.functions import text as X
 from cuewright.operators import safety as S
 from cuewright.operators import vocabulary as V
 from cuewright.plans.sql import NORM, WORDS_CONV, WORDS_DOC, similarity_sql, vocab_similarity_sql
+from cuewright.sources.shared import written
 from cuewright.sources.tables import words_of_conversations, words_of_documents
 
 Q: dict = {}
@@ -116,11 +117,11 @@ def safety_summary(spark, d) -> DataFrame:
 
 _ALTS = f""", hs AS (SELECT h.*, coalesce(l.token, '') AS lft, coalesce(r.token, '') AS rgt FROM hits h LEFT JOIN tk l ON l.job_id = h.job_id AND l.word_idx = h.word_idx - 1 LEFT JOIN tk r ON r.job_id = h.job_id AND r.word_idx = h.end_idx),
  hx AS (SELECT *, trim(regexp_replace(lower(matched), '[^a-z0-9'']+', '', 'g'), '''') AS tok FROM hs),
- gen AS (SELECT job_id, word_idx, cand, ord AS rank FROM hx JOIN conf ON key = tok
-  UNION ALL SELECT job_id, word_idx, cand, 100000 + ord FROM hx JOIN coll ON key = lft || '|' || rgt
-  UNION ALL SELECT job_id, word_idx, cand, 200000 + ord FROM hx JOIN coll ON key = lft || '|'
-  UNION ALL SELECT job_id, word_idx, cand, 300000 + ord FROM hx JOIN coll ON key = '|' || rgt
-  UNION ALL SELECT job_id, word_idx, cand, 400000 + ord FROM hx JOIN known ON {similarity_sql('tok', 'cand')} >= 0.72),
+ gen AS (SELECT job_id, word_idx, cand, CAST(ord AS BIGINT) AS rank FROM hx JOIN conf ON key = tok
+  UNION ALL SELECT job_id, word_idx, cand, {1 * S.RANK} + ord FROM hx JOIN coll ON key = lft || '|' || rgt
+  UNION ALL SELECT job_id, word_idx, cand, {2 * S.RANK} + ord FROM hx JOIN coll ON key = lft || '|'
+  UNION ALL SELECT job_id, word_idx, cand, {3 * S.RANK} + ord FROM hx JOIN coll ON key = '|' || rgt
+  UNION ALL SELECT job_id, word_idx, cand, {4 * S.RANK} + ord FROM hx JOIN known ON {similarity_sql('tok', 'cand')} >= 0.72),
  ded AS (SELECT job_id, word_idx, cand, min(rank) AS rank FROM gen WHERE cand NOT IN (SELECT matched FROM lexw) AND cand NOT IN (SELECT matched FROM lexp) GROUP BY ALL),
  sc AS (SELECT d.*, hx.tok, CASE WHEN EXISTS (SELECT 1 FROM coll c WHERE c.key = lft || '|' || rgt AND c.cand = d.cand) THEN CASE WHEN lft <> '' AND rgt <> '' THEN 0.95 ELSE 0.7 END
    WHEN EXISTS (SELECT 1 FROM coll c WHERE c.key IN (lft || '|', '|' || rgt) AND c.cand = d.cand) THEN 0.7
@@ -132,7 +133,7 @@ _ALTS = f""", hs AS (SELECT h.*, coalesce(l.token, '') AS lft, coalesce(r.token,
 
 @query("alternatives_ranked", WORDS_DOC + _HITS + _ALTS + "SELECT job_id, word_idx, cand, rank, round(score, 6) AS score FROM alts")
 def alternatives_ranked(spark, d) -> DataFrame:
-    return S.alternatives(_hits(spark, d).persist(), _LEX).withColumn("score", F.round("score", 6))
+    return S.alternatives(written(_hits(spark, d), "hits"), _LEX).withColumn("score", F.round("score", 6))
 
 
 _SHAPE = """regexp_extract(word, '^["''“”‘’(]*') || CASE WHEN regexp_matches(regexp_replace(word, '^["''“”‘’(]+', ''), '^[A-Z]') THEN upper(left(alt, 1)) || substr(alt, 2) ELSE alt END
@@ -151,7 +152,7 @@ _DECIDE = (
 
 
 def decisions_of_documents(spark, d) -> DataFrame:
-    hits = _hits(spark, d).persist()  # few rows that many joins below read
+    hits = written(_hits(spark, d), "hits")  # few rows that many joins below read
     return S.decide(hits, S.best_alternatives(S.alternatives(hits, _LEX)))
 
 
