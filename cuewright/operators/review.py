@@ -2,24 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
 
 
-def caption_safety(captions: DataFrame, decisions: DataFrame) -> DataFrame:
+# states of a job (fixed values)
+BUSY = ["UPLOAD", "QUEUED", "EXTRACTING_AUDIO", "TRANSCRIBING", "ALIGNING", "PUNCTUATING", "DETECTING_SPEAKERS", "DETECTING_SOUNDS", "SAFETY_ANALYSIS", "CORRECTING", "SEGMENTING", "GENERATING_SRT"]
+REVIEW = ["READY_FOR_REVIEW", "REVIEWED", "EXPORTED"]
+ENDED = ["FAILED", "CANCELLED"]
+
+
+def decision_times(decisions: DataFrame, words: DataFrame) -> DataFrame:
+    """``decisions`` with start_ms and end_ms of the words that they span; -1 where there is no such word.
+
+    ``words`` are those before the correction, which the decisions' indices name.
+    """
+    bare = decisions.drop("start_ms", "end_ms")
+    at = words.select("job_id", "word_idx", "start_ms")
+    last = words.groupBy("job_id").agg(F.max("word_idx").alias("last_"))
+    ends = words.select("job_id", F.col("word_idx").alias("to_"), F.col("end_ms").alias("e_"))
+    out = bare.join(at, ["job_id", "word_idx"], "left").join(last, "job_id", "left")
+    out = out.withColumn("to_", F.least("last_", F.greatest("end_idx", F.col("word_idx") + 1) - 1)).join(ends, ["job_id", "to_"], "left")
+    end = F.when(F.col("start_ms").isNull(), -1).otherwise(F.col("e_"))
+    return out.select(*bare.columns, F.coalesce("start_ms", F.lit(-1)).cast("long").alias("start_ms"), F.coalesce(end, F.lit(-1)).cast("long").alias("end_ms"))
+
+
+def caption_safety(captions: DataFrame, decisions: DataFrame, bin_ms: int = 60_000) -> DataFrame:
     """(job_id, caption, flags): decisions that touch, name or censor something in a caption.
 
-    The job is the equi key; overlap, mention and mark are a residual condition.
+    Three arms: overlaps meet in time bins; names and marks meet by job, once for each distinct
+    original, and marks only in captions that hold one.
     """
     d = decisions.where(F.col("action").isin("censor", "flag", "replace") | F.col("needs_review")).select(
         F.col("job_id").alias("dj"), F.col("word_idx").alias("di"), F.col("start_ms").alias("ds"), F.col("end_ms").alias("de"), "original", "replacement", "reason", "action", "case", "needs_review"
     )
-    overlap = (F.col("ds") >= 0) & (F.col("de") > F.col("start_ms")) & (F.col("ds") < F.col("end_ms"))
-    mentioned = (F.col("original") != "") & F.contains(F.lower("text"), F.lower("original"))
-    censored = F.contains("text", F.lit(X.CENSOR_MARK)) & (F.col("action") == "censor")
-    rows = captions.join(d, (F.col("job_id") == F.col("dj")) & (overlap | mentioned | censored))
+    at = lambda c: F.floor(F.col(c) / bin_ms)
+    c = captions.select("job_id", "caption", "start_ms", "end_ms", "text")
+    bins = lambda df, a, b, name: df.where(F.col(b) >= F.col(a)).withColumn(name, F.explode(F.sequence(at(a), at(b))))
+    left, right = bins(c, "start_ms", "end_ms", "cb_"), bins(d.where("ds >= 0"), "ds", "de", "db_")
+    overlap = left.join(right, (F.col("job_id") == F.col("dj")) & (F.col("cb_") == F.col("db_")) & (F.col("de") > F.col("start_ms")) & (F.col("ds") < F.col("end_ms")))
+    names = d.where("original <> ''").select("dj", F.lower("original").alias("name_")).distinct()
+    named = c.join(names, (F.col("job_id") == F.col("dj")) & F.contains(F.lower("text"), F.col("name_"))).drop("dj")
+    mentioned = named.join(d, (F.col("job_id") == F.col("dj")) & (F.lower("original") == F.col("name_")))
+    censored = c.where(F.contains("text", F.lit(X.CENSOR_MARK))).join(d.where("action = 'censor'"), F.col("job_id") == F.col("dj"))
+    cols = [*c.columns, *d.columns]
+    rows = overlap.select(cols).unionByName(mentioned.select(cols)).unionByName(censored.select(cols)).dropDuplicates(["job_id", "caption", "di"])
     flag = F.struct(
         "di", "original", "replacement", "case", "action", "reason", (F.col("needs_review") | F.col("action").isin("censor", "flag")).alias("needs_review"),
         X.apply_token(F.col("text"), F.col("original"), F.col("replacement")).alias("suggested_text"),
@@ -50,6 +79,109 @@ def review_action(captions: DataFrame, actions: DataFrame) -> DataFrame:
     return rows.select("job_id", "caption", text.alias("text"), flags.alias("flags"))
 
 
+def history(actions: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(job_id, action_no, caption, action, text): review actions appended to those before them.
+
+    ``actions``: job_id, at, caption, action, text.
+    """
+    old = before if before is not None else actions.sparkSession.createDataFrame([], "job_id string, action_no long, caption long, action string, text string")
+    so_far = old.groupBy("job_id").agg(F.max("action_no").alias("n_"))
+    number = F.row_number().over(Window.partitionBy("job_id").orderBy("at", "caption"))
+    name = F.replace(F.lower(F.btrim("action")), F.lit(" "), F.lit("_"))
+    new = actions.withColumn("k_", number).join(so_far, "job_id", "left").select("job_id", (F.col("k_") + F.coalesce("n_", F.lit(0))).cast("long").alias("action_no"), F.col("caption").cast("long").alias("caption"), name.alias("action"), "text")
+    return new if before is None else old.select(new.columns).unionByName(new)
+
+
+def newest_version(versions: DataFrame) -> DataFrame:
+    """Captions of each job's newest version. ``versions``: job_id, version, caption and the columns of captions."""
+    top = F.max("version").over(Window.partitionBy("job_id"))
+    return versions.withColumn("top_", top).where("version = top_").drop("top_", "version")
+
+
+def persist_reviewed(versions: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """``versions`` with reviewed captions, numbered from 1, as a version more of their jobs; older ones stay."""
+    last = versions.groupBy("job_id").agg(F.max("version").alias("v_"))
+    number = F.row_number().over(Window.partitionBy("job_id").orderBy("caption"))
+    new = reviewed.withColumn("caption", number).join(last, "job_id", "left").withColumn("version", F.coalesce(F.col("v_") + 1, F.lit(1)).cast("long"))
+    return versions.unionByName(new.select([F.col(c).cast(versions.schema[c].dataType).alias(c) for c in versions.columns]))
+
+
+def caption_at(captions: DataFrame, heads: DataFrame) -> DataFrame:
+    """(job_id, head_ms, caption, text): the caption that runs at each playhead, the first if several; null if none."""
+    near = heads.join(captions.select("job_id", "start_ms", "end_ms", "caption", "text"), "job_id", "left")
+    runs = (F.col("start_ms") <= F.col("head_ms")) & (F.col("head_ms") < F.col("end_ms"))
+    first = F.min_by(F.when(runs, F.struct("caption", "text")), F.when(runs, F.col("caption"))).alias("c_")
+    return near.groupBy("job_id", "head_ms").agg(first).select("job_id", "head_ms", F.col("c_.caption").alias("caption"), F.col("c_.text").alias("text"))
+
+
+def timeline(captions: DataFrame, durations: DataFrame) -> DataFrame:
+    """(job_id, caption, clock, colour, left_pct, width_pct): how a time line shows captions.
+
+    The whole is the larger of the last end and the duration, one second at least; a caption is
+    0.6 percent wide at least, and one without a band is shown as high.
+    """
+    last = captions.groupBy("job_id").agg(F.max("end_ms").alias("end_")).join(durations, "job_id", "left")
+    whole = last.select("job_id", F.greatest("end_", F.coalesce("duration_ms", F.lit(0)), F.lit(1000)).alias("whole_"))
+    s = F.floor(F.greatest("start_ms", F.lit(0)) / 1000)
+    share = lambda c: F.round(c * 100 / F.col("whole_"), 4)
+    return captions.join(whole, "job_id").select(
+        "job_id", "caption", F.format_string("%02d:%02d", F.floor(s / 60), s % 60).alias("clock"), F.coalesce("confidence_band", F.lit("high")).alias("colour"),
+        share(F.col("start_ms")).alias("left_pct"), F.greatest(share(F.col("end_ms") - F.col("start_ms")), F.lit(0.6)).alias("width_pct"),
+    )
+
+
+def duration_ms(raw) -> Column:
+    """Milliseconds of a duration in seconds as text or number; null if it is no number or not above zero."""
+    value = raw.cast("string").try_cast("double")
+    return F.when((value > 0) & (value < float("inf")), F.round(value * 1000).cast("long"))
+
+
+def may_follow(old: Column, new: Column) -> Column:
+    """Whether a job in state ``old`` may go to ``new``: busy states go forward, or end; reviews stay in review."""
+    rank = lambda c: F.array_position(F.array(*[F.lit(x) for x in BUSY]), c)
+    forward = old.isin(*BUSY) & ((new.isin(*BUSY) & (rank(new) > rank(old))) | (new == REVIEW[0]))
+    stop = old.isin(*BUSY) & new.isin(*ENDED)
+    reviewed = old.isin(*REVIEW) & new.isin(*REVIEW[1:])
+    again = old.isin(*ENDED, *REVIEW) & (new == "QUEUED")
+    return F.coalesce(old.isNull() & new.isin("UPLOAD", "QUEUED") | forward | stop | reviewed | again, F.lit(False))
+
+
+def end_jobs(jobs: DataFrame, stops: DataFrame) -> DataFrame:
+    """Jobs after being failed or cancelled. ``stops``: job_id, status (FAILED or CANCELLED), error; only busy jobs change."""
+    told = stops.select("job_id", F.col("status").alias("s_"), F.col("error").alias("e_"))
+    hit = F.col("s_").isNotNull() & F.col("status").isin(*BUSY)
+    text = F.when(F.col("s_") == "CANCELLED", "Cancelled by creator").otherwise(F.col("e_"))
+    out = jobs.join(told, "job_id", "left")
+    return out.withColumns({"error": F.when(hit, text).otherwise(F.col("error")), "status": F.when(hit, F.col("s_")).otherwise(F.col("status"))}).select(jobs.columns)
+
+
+def new_job_ids(requests: DataFrame, existing: DataFrame) -> DataFrame:
+    """Ids of new jobs: the day and a running number after the day's existing jobs. ``requests``: day (yyyymmdd), at."""
+    day = F.regexp_extract("job_id", "^job_([0-9]{8})_", 1)
+    counted = existing.groupBy(day.alias("day")).agg(F.count("*").alias("n_"))
+    number = F.row_number().over(Window.partitionBy("day").orderBy("at"))
+    rows = requests.withColumn("k_", number).join(counted, "day", "left")
+    return rows.withColumn("job_id", F.format_string("job_%s_%03d", "day", F.col("k_") + F.coalesce("n_", F.lit(0)))).select("job_id", *requests.columns)
+
+
+def job_payload(files: DataFrame, rows: DataFrame, media: DataFrame, versions: DataFrame, quality: DataFrame) -> DataFrame:
+    """One row a job file: its own fields over those of the job index, with media, captions and quality.
+
+    ``files``: job_id and the fields of job.json; ``rows``: the job index; ``media``: (job_id,
+    path); ``versions``: job ids with captions; ``quality``: the columns of ``quality_report``.
+    """
+    index = rows.select("job_id", *[F.col(c).alias(f"{c}_") for c in ("status", "original_filename", "original_path", "error")], "created_at", "updated_at")
+    seen = versions.select("job_id").distinct().withColumn("c_", F.lit(True))
+    out = files.join(index, "job_id", "left").join(media.select("job_id", F.col("path").alias("video")), "job_id", "left").join(seen, "job_id", "left").join(quality, "job_id", "left")
+    text = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.nullif(F.col(f"{c}_"), F.lit(""))).alias(c)
+    has = F.coalesce("c_", F.lit(False))
+    report = F.when(has, F.struct(*[c for c in quality.columns if c != "job_id"]))
+    return out.select(
+        "job_id", F.coalesce("status", "status_", F.lit("QUEUED")).alias("status"), text("original_filename"), text("original_path"), text("error"), duration_ms(F.col("duration")).alias("duration_ms"),
+        "created_at", "updated_at", F.col("video").isNotNull().alias("has_video"), has.alias("has_captions"), report.alias("quality"),
+    )
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """Jobs from an append-only log: of each column the last value that is not null."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)

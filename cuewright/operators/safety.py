@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
@@ -48,6 +48,13 @@ def merge_ordered(layers: Iterable[Iterable[str]]) -> list[str]:
     return list(dict.fromkeys(t for layer in layers for t in layer))
 
 
+def allowlist_union(layers: DataFrame) -> DataFrame:
+    """(term, position): distinct normalised terms of all layers, first seen first. ``layers``: layer, ord, term."""
+    first = layers.select(X.normalize_token(F.col("term")).alias("term"), F.struct("layer", "ord").alias("at")).where("term <> ''").groupBy("term").agg(F.min("at").alias("at"))
+    # allow-lists are small; their order is needed as a number
+    return first.select("term", F.row_number().over(Window.orderBy("at")).alias("position"))
+
+
 def _spans(words: DataFrame, lexicon: Lexicon, n: int) -> DataFrame:
     """Each word with all that a match starting there can need, by one window over its job.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
@@ -26,6 +26,46 @@ def merge_layers(layers: DataFrame, removed: DataFrame) -> DataFrame:
     return kept.join(gone, "key", "left_anti").select("key", "t.term", "t.category", "position")
 
 
+def replay(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries (key, term, category, position) and tombstones (key, term, position) after a log of additions and removals.
+
+    ``log``: seq, action (add or remove), term, category. An added term that is there changes its
+    spelling and category and keeps its place; one that was removed comes back at the end.
+    """
+    term = X.collapse(F.coalesce("term", F.lit("")))
+    known = F.when(F.col("category").isin(*CATEGORIES), F.col("category")).otherwise("other")
+    rows = log.select("seq", "action", term.alias("term"), known.alias("category")).withColumn("key", X.normalize_phrase(F.col("term"))).where("key <> ''")
+    by = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = lambda a: F.coalesce(F.max(F.when(F.col("action") == a, F.col("seq"))).over(by), F.lit(-1))
+    rows = rows.withColumns({"added_": last("add"), "removed_": last("remove")})
+    alive = rows.where((F.col("action") == "add") & (F.col("added_") > F.col("removed_")) & (F.col("seq") > F.col("removed_")))
+    gone = rows.where((F.col("action") == "remove") & (F.col("removed_") > F.col("added_")) & (F.col("seq") > F.col("added_")))
+    entries = alive.groupBy("key").agg(F.max_by(F.struct("term", "category"), "seq").alias("t"), F.min("seq").alias("position")).select("key", "t.*", "position")
+    return entries, gone.groupBy("key").agg(F.min_by("term", "seq").alias("term"), F.min("seq").alias("position"))
+
+
+_PAYLOAD = "entries array<string>, terms array<string>, grouped map<string,array<string>>, removed array<string>"
+
+
+def imported(payloads: DataFrame) -> DataFrame:
+    """A log (seq, action, term, category) of vocabulary payloads. ``payloads``: ord, json.
+
+    A payload may list entries as texts or objects, terms, and terms by category; removed terms
+    come last. Terms without a category are ``other``, and a later mention overwrites an earlier.
+    """
+    p = payloads.select("ord", F.from_json("json", _PAYLOAD).alias("p"))
+    entry = F.when(F.col("v").startswith("{"), F.from_json("v", "term string, category string")).otherwise(F.struct(F.col("v").alias("term"), F.lit("other").alias("category")))
+    one = p.select("ord", F.lit(0).alias("k"), F.posexplode("p.entries").alias("i", "v")).select("ord", "k", F.lit(0).alias("j"), "i", entry.alias("e")).select("ord", "k", "j", "i", "e.term", F.coalesce("e.category", F.lit("other")).alias("category"))
+    two = p.select("ord", F.lit(1).alias("k"), F.lit(0).alias("j"), F.posexplode("p.terms").alias("i", "term")).withColumn("category", F.lit("other"))
+    groups = p.select("ord", F.posexplode(F.map_entries("p.grouped")).alias("j", "g")).select("ord", F.lit(2).alias("k"), "j", F.posexplode("g.value").alias("i", "term"), F.col("g.key").alias("category"))
+    gone = p.select("ord", F.lit(3).alias("k"), F.lit(0).alias("j"), F.posexplode("p.removed").alias("i", "term")).withColumn("category", F.lit("other"))
+    cols = ["ord", "k", "j", "i", "term", "category"]
+    rows = one.select(cols).unionByName(two.select(cols)).unionByName(groups.select(cols)).unionByName(gone.select(cols))
+    # vocabularies are small; a log needs one running number
+    seq = F.row_number().over(Window.orderBy("ord", "k", "j", "i")).cast("long")
+    return rows.select(seq.alias("seq"), F.when(F.col("k") == 3, "remove").otherwise("add").alias("action"), "term", "category")
+
+
 def by_category(vocabulary: DataFrame, categories: list[str]) -> DataFrame:
     """Terms of every category in the fixed order, empty ones included."""
     spark = vocabulary.sparkSession

@@ -147,11 +147,12 @@ def speaker_at(words: DataFrame, segments: DataFrame, slack_ms: int = 1, bin_ms:
 
 
 def rename_speakers(segments: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Labels by speaker id first, by label second. ``mapping``: key, value (small)."""
+    """Speakers and labels by speaker id first, by label second. ``mapping``: key, value (small)."""
     by_id = mapping.select(F.col("key").alias("speaker"), F.col("value").alias("v1_"))
     by_label = mapping.select(F.col("key").alias("label"), F.col("value").alias("v2_"))
     out = segments.join(by_id, "speaker", "left").join(by_label, "label", "left")
-    return out.withColumn("label", F.coalesce("v1_", "v2_", "label")).drop("v1_", "v2_")
+    shown = F.coalesce("v1_", "v2_")
+    return out.withColumns({"label": F.coalesce(shown, "label", F.concat(F.lit("Speaker "), "speaker")), "speaker": F.coalesce(shown, "speaker")}).drop("v1_", "v2_")
 
 
 def speakers_in_order(segments: DataFrame) -> DataFrame:

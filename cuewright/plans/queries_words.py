@@ -117,7 +117,7 @@ def pause_turns(spark, d) -> DataFrame:
 
 @query(
     "speaker_map",
-    WORDS_CONV + _TURNS + "SELECT job_id, turn, speaker, start_ms, end_ms, CASE WHEN speaker = '1' THEN 'Host' ELSE 'Guest' END AS label FROM segments",
+    WORDS_CONV + _TURNS + "SELECT job_id, turn, CASE WHEN speaker = '1' THEN 'Host' ELSE 'Guest' END AS speaker, start_ms, end_ms, CASE WHEN speaker = '1' THEN 'Host' ELSE 'Guest' END AS label FROM segments",
 )
 def speaker_map(spark, d) -> DataFrame:
     mapping = spark.createDataFrame([("1", "Host"), ("Speaker 2", "Guest")], "key string, value string")

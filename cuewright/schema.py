@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -52,6 +53,35 @@ def truthy(value: str | None) -> bool:
     return (value or "").strip().lower() in ("1", "true", "yes", "on")
 
 
+def _seconds(text: str) -> int:
+    return round(float(text) * 1000)
+
+
+#: names of configuration texts, the settings they give and how they are read
+_NAMED = {
+    "CONFIDENCE_HIGH": ("confidence_high", float), "CONFIDENCE_MEDIUM": ("confidence_medium", float), "CONFIDENCE_UNKNOWN": ("confidence_unknown", float),
+    "MAX_CHARS_PER_LINE": ("max_chars", int), "MAX_CAPTION_LINES": ("max_lines", int), "MIN_CUE_DURATION": ("min_cue_ms", _seconds), "MAX_CUE_DURATION": ("max_cue_ms", _seconds),
+    "PAUSE_GAP": ("pause_gap_ms", _seconds), "PUNCTUATION_PAUSE": ("sentence_pause_ms", _seconds), "SPEAKER_CHANGE_GAP": ("speaker_gap_ms", _seconds), "MAX_CPS": ("max_cps", float), "MAX_WPS": ("max_wps", float),
+    "MIN_CAPTION_GAP": ("min_caption_gap_ms", _seconds), "SAFETY_MODE": ("safety_mode", safety_mode), "UNKNOWN_PROFANITY": ("unknown_profanity", unknown_profanity),
+    "CORRECTION_THRESHOLD": ("correction_threshold", float), "CONTEXT_WINDOW": ("context_window", int), "SOUND_EVENT_THRESHOLD": ("sound_event_threshold", float),
+}
+
+
+def settings_from(texts: Mapping[str, str]) -> Settings:
+    """Settings from configuration texts such as the environment; blank and missing ones keep the defaults."""
+    given = {name: read(texts[key].strip()) for key, (name, read) in _NAMED.items() if (texts.get(key) or "").strip()}
+    return Settings(**given)
+
+
+def creator_settings(stored: Mapping[str, object] | None) -> dict[str, object]:
+    """A creator's stored choices over the defaults, normalised."""
+    own = dict(stored) if isinstance(stored, Mapping) else {}
+    return own | {
+        "safety_mode": safety_mode(str(own.get("safety_mode") or "strict")), "unknown_profanity": unknown_profanity(str(own.get("unknown_profanity") or "censor")),
+        "enable_sound_events": bool(own.get("enable_sound_events")), "enable_speaker_labels": bool(own.get("enable_speaker_labels", True)),
+    }
+
+
 def _s(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
@@ -79,6 +109,11 @@ CAPTION = _s(
 CAPTIONS = _s(("captions", T.ArrayType(CAPTION)))
 CLIP = _s(
     ("id", _STR),
+    ("reference_text", _STR),
+    ("words", T.ArrayType(WORD)),
+    ("gold_profane", T.ArrayType(_STR)),
+    ("gold_clean", T.ArrayType(_STR)),
+    ("gold_corrections", T.ArrayType(_s(("from", _STR), ("to", _STR)))),
     ("reference", _s(("text", _STR), ("words", T.ArrayType(WORD)))),
     ("hypothesis", _s(("text", _STR), ("words", T.ArrayType(WORD)))),
     ("safety", _s(("profane", T.ArrayType(_STR)), ("clean", T.ArrayType(_STR)), ("corrections", T.ArrayType(_s(("from", _STR), ("to", _STR)))))),

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cuewright.functions import text as X
 from cuewright.operators.captions import parse_srt
+from cuewright.operators.safety import Lexicon, merge_ordered
 from cuewright.schema import CAPTIONS, CLIP, JOB, TRANSCRIPT
 
 SEVERITIES = ["strong", "mild"]
@@ -68,6 +70,20 @@ def lexicon_list(spark: SparkSession, path, phrases: bool = False) -> DataFrame:
     return out.where("matched <> ''")
 
 
+def lexicon(spark: SparkSession, words: list[str], phrases: list[str] | None = None, allowlists: list[str] | None = None, corrections_path: str | None = None, extra_allowed: tuple[str, ...] = (), vocabulary: tuple[str, ...] = ()) -> Lexicon:
+    """One lexicon of list files, corrections and extra terms, normalised; of repeated entries the last file's counts.
+
+    Lexicons are configuration of a few thousand terms at most and are held on the driver.
+    """
+    entries = lambda paths, many: {r["matched"]: r["severity"] for p in paths or [] for r in lexicon_list(spark, p, many).collect()}
+    lists: dict[str, dict[str, list[str]]] = {"confusions": {}, "collocations": {}}
+    for r in corrections(spark, corrections_path).orderBy("kind", "key", "ord").collect() if corrections_path else []:
+        lists[r["kind"]].setdefault(r["key"], []).append(r["cand"])
+    allowed = merge_ordered([[r["matched"] for r in lexicon_list(spark, p).collect()] for p in allowlists or []] + [list(extra_allowed)])
+    norm = lambda terms: tuple(r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "i int, t string").orderBy("i").select(X.normalize_token(F.col("t"))).collect() if r[0]) if terms else ()
+    return Lexicon(entries(words, False), entries(phrases, True), tuple(dict.fromkeys(norm(allowed))), lists["confusions"], lists["collocations"], tuple(dict.fromkeys(norm(vocabulary))))
+
+
 def vocabulary_list(spark: SparkSession, path, categories: list[str]) -> DataFrame:
     """(term, category) of a list file; missing and unknown categories are ``other``."""
     category = F.lower(F.btrim(F.coalesce(F.get("p", F.lit(1)), F.lit("other"))))
@@ -84,19 +100,91 @@ def corrections(spark: SparkSession, path) -> DataFrame:
     return rows.select("kind", key.alias("key"), "ord", X.normalize_token(F.col("cand")).alias("cand")).where("cand <> ''")
 
 
-def clips(spark: SparkSession, paths) -> DataFrame:
-    """Evaluation clips; words made from the text where only that is given."""
-    df = spark.read.schema(CLIP).option("multiLine", True).json(paths)
+def _as_clips(df: DataFrame, name: Column) -> DataFrame:
     toks = X.tokens(F.coalesce("hypothesis.text", F.lit("")))
     made = F.transform(toks, lambda t, i: F.struct(t.alias("word"), (i * 0.3).alias("start"), (i * 0.3 + 0.25).alias("end"), F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("speaker")))
-    words = F.when(F.size(F.coalesce("hypothesis.words", F.expr("array()"))) > 0, F.col("hypothesis.words")).otherwise(made)
-    return df.select("id", F.col("reference.text").alias("reference"), F.col("reference.words").alias("reference_words"), words.alias("words"), "safety.profane", "safety.clean", "safety.corrections")
+    some = lambda *cs: F.coalesce(*[F.when(F.size(c) > 0, F.col(c)) for c in cs])
+    text = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cs], F.lit(""))
+    none = lambda kind: F.expr(f"cast(array() as {kind})")
+    pairs = "array<struct<from: string, to: string>>"
+    return df.select(
+        F.coalesce(F.nullif(F.col("id"), F.lit("")), name).alias("id"), text("reference.text", "reference_text").alias("reference"), F.coalesce(some("reference.words"), F.slice(made, 1, 0)).alias("reference_words"),
+        F.coalesce(some("hypothesis.words", "words"), made).alias("words"), F.coalesce(some("safety.profane", "gold_profane"), none("array<string>")).alias("profane"),
+        F.coalesce(some("safety.clean", "gold_clean"), none("array<string>")).alias("clean"), F.coalesce(some("safety.corrections", "gold_corrections"), none(pairs)).alias("corrections"),
+    )
+
+
+def clips(spark: SparkSession, paths) -> DataFrame:
+    """Evaluation clips: nested or flat fields, words made from the text where only that is given, the file's name for a missing id."""
+    df = spark.read.schema(CLIP).option("multiLine", True).json(paths)
+    return _as_clips(df, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1))
+
+
+def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
+    """Clips of a folder's manifest, by path or inline, or of one clip file; ValueError if there are none.
+
+    The manifest is configuration and is read on the driver; clips are read by tasks.
+    """
+    single = path.endswith(".json") and not path.endswith("manifest.json")
+    if single:
+        return clips(spark, [path])
+    at = path if path.endswith(".json") else f"{path.rstrip('/')}/manifest.json"
+    held = spark.read.schema("clips array<string>").option("multiLine", True).json(at).first()
+    entries = [e for e in (held["clips"] if held else None) or [] if e]
+    inline = [(i, e) for i, e in enumerate(entries, start=1) if e.lstrip().startswith("{")]
+    named = [f"{at.rsplit('/', 1)[0]}/{e}" for e in entries if not e.lstrip().startswith("{")]
+    parts = [clips(spark, named)] if named else []
+    if inline:
+        rows = spark.createDataFrame(inline, "i int, raw string").select("i", F.from_json("raw", CLIP).alias("c"))
+        parts.append(_as_clips(rows.select("i", "c.*"), F.concat(F.lit("clip_"), F.col("i").cast("string"))))
+    if not parts:
+        raise ValueError(f"no clips in {path}")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def clip_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words, clips, reference words) for ``clip_scores`` from clips."""
+    ms = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)) * 1000).cast("long")
+
+    def words(column: str) -> DataFrame:
+        flat = rows.select(F.col("id").alias("job_id"), F.posexplode(column).alias("word_idx", "w"))
+        return flat.select("job_id", F.col("word_idx").cast("long").alias("word_idx"), F.coalesce("w.word", F.lit("")).alias("word"), ms("w.start").alias("start_ms"), ms("w.end").alias("end_ms"), "w.confidence", "w.speaker")
+
+    return words("words"), rows.select(F.col("id").alias("job_id"), "reference", "profane", "clean", "corrections"), words("reference_words")
 
 
 def jobs(spark: SparkSession, path) -> DataFrame:
-    """Job files, newest id first; unreadable ones have null columns."""
-    df = spark.read.schema(JOB.add("_bad", "string")).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
-    return df.withColumn("job_id", F.coalesce("job_id", job_of(F.col("_metadata.file_path")))).orderBy(F.desc("job_id"))
+    """Job files; unreadable ones have null columns, and the folder's name for an id. Newest first is ``newest_jobs``."""
+    df = spark.read.schema(StructType([*JOB.fields, StructField("_bad", StringType())])).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+    return df.withColumn("job_id", F.coalesce("job_id", job_of(F.col("_metadata.file_path")))).drop("_bad")
+
+
+def newest_jobs(rows: DataFrame, limit: int = 100) -> DataFrame:
+    """The ``limit`` newest jobs by id, which starts with the day; a top-k, not a sort of all."""
+    return rows.orderBy(F.desc("job_id")).limit(limit)
+
+
+def job_row(rows: DataFrame, job_id: str) -> DataFrame:
+    """The row of one job."""
+    return rows.where(F.col("job_id") == job_id)
+
+
+# media suffixes in their order (fixed values)
+MEDIA = [".mp4", ".mov", ".mkv"]
+
+
+def media(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """(job_id, path) of each job's media: ``original_video`` by suffix in the order of MEDIA, then by name, then the job's own path if that file is there.
+
+    ``found``: (job_id, path) of existing files; ``rows``: job_id, original_path.
+    """
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    suffix = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    place = F.array_position(F.array(*[F.lit(m) for m in MEDIA]), suffix)
+    own = found.where(name.startswith("original_video.")).groupBy("job_id").agg(F.min_by("path", F.struct(F.when(place > 0, place).otherwise(len(MEDIA) + 1), name)).alias("p1_"))
+    there = found.select(F.col("path").alias("original_path")).distinct().withColumn("p2_", F.col("original_path"))
+    out = rows.select("job_id", "original_path").join(own, "job_id", "left").join(there, "original_path", "left")
+    return out.select("job_id", F.coalesce("p1_", "p2_").alias("path")).where("path is not null")
 
 
 def frame_rate(c: Column) -> Column:

@@ -64,31 +64,6 @@ def test_newest_stage(spark):
     assert sorted(tuple(r) for r in files.newest_stage(df, ["annotated", "punctuated", "words"]).collect()) == [("j", "punctuated", "p"), ("k", "words", "w2")]
 
 
-@pytest.fixture(scope="module")
-def wav(tmp_path_factory):
-    p = tmp_path_factory.mktemp("wav") / "a.wav"
-    t = np.arange(16000) / 16000
-    loud = (np.sin(2 * np.pi * 220 * t) * 12000).astype("<i2")
-    x = np.concatenate([np.zeros(8000, "<i2"), loud, np.zeros(16000, "<i2"), loud])
-    with wave.open(str(p), "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
-        w.setframerate(16000)
-        w.writeframes(struct.pack(f"<{len(x)}h", *x.tolist()))
-    return str(p)
-
-
-def test_speech_regions(spark, wav):
-    files_df = files.audio(spark, wav)
-    assert [r["fault"] for r in A.wav_faults(files_df).collect()] == [None]
-    got = A.merge_regions(A.speech_regions(A.frames(files_df))).orderBy("start_ms").collect()
-    assert [(r["start_ms"], r["end_ms"]) for r in got] == [(500, 1500), (2500, 3500)]
-
-
-def test_two_means():
-    assert A.two_means(np.array([[0.0, 0], [0.1, 0], [5, 5], [5.1, 5]])).tolist() == [1, 1, 2, 2]
-
-
 def test_alignment_prefers_the_diagonal():
     assert E.edit_distance(list("kitten"), list("sitting")) == 3 and E.edit_distance([], ["a"]) == 1 and E.edit_distance(["a"], []) == 1
     assert E.alignment(list("abc"), list("axc")) == [(0, 0), (1, 1), (2, 2)]
