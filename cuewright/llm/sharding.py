@@ -155,14 +155,20 @@ def shard(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shards
             break
         level = merged.dropDuplicates(["up"]).select(F.col("up").alias("chunk"), "bytes", "rows")
         k += 1
+    # a group's place is put beside its count in each part of the input, so that rows meet it by
+    # group and part, and no task holds all rows of a large group
+    where = work.put(placed.join(pieces.select("g", "piece", "run"), ["g", "piece"]), "where")
+    first = where.where("piece = 0").select("g", "run", "bin", "row0")
+    beside = work.put(starts.join(first, "g"), "beside")
     nth = F.row_number().over(Window.partitionBy("g", "part").orderBy("doc_id")) - 1
-    numbered = rows.withColumn("nth", nth).join(starts, ["g", "part"]).withColumn("nth", F.col("nth") + F.col("start"))
-    where = placed.join(pieces.select("g", "piece", "run"), ["g", "piece"])
-    # only groups that were cut have more than one piece, so the run length is found by group
-    runs = where.groupBy("g").agg(F.max("run").alias("run"))
-    keyed = numbered.join(runs, "g").withColumn("piece", F.expr("nth div run"))
-    done = keyed.join(where.select("g", "piece", "bin", "row0"), ["g", "piece"])
-    return done.select("doc_id", "size", "text_crc32", F.col("bin").cast("int").alias("shard"), (F.col("row0") + F.col("nth") - F.col("piece") * F.col("run")).alias("slot"))
+    keyed = rows.withColumn("nth", nth).join(beside, ["g", "part"]).withColumn("nth", F.col("nth") + F.col("start"))
+    cols = ["doc_id", "size", "text_crc32", F.col("bin").cast("int").alias("shard"), (F.col("row0") + F.col("nth") - F.col("piece") * F.col("run")).alias("slot")]
+    whole = keyed.where("nth < run").withColumn("piece", F.lit(0)).select(*cols)
+    if where.where("piece > 0").isEmpty():
+        return whole
+    # rows past the first run of a group that was cut meet their run by its number
+    later = keyed.where("nth >= run").withColumn("piece", F.expr("nth div run")).drop("bin", "row0")
+    return whole.unionByName(later.join(where.select("g", "piece", "bin", "row0"), ["g", "piece"]).select(*cols))
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
