@@ -6,7 +6,8 @@
    on at most ``SAMPLE`` vectors picked by a hash of their id. Every vector is indexed.
 3. A query's Hamming radius follows from the angle of its k-th nearest among the sampled
    vectors: every true neighbour is at least as near, and its code differs in about
-   BITS * angle / pi bits, plus ``MARGIN`` standard deviations.
+   BITS * angle / pi bits, plus ``MARGIN`` standard deviations. A query that finds fewer than
+   k so searches again at a radius that holds every code.
 4. In a cell (a shard of the index, a block of queries) the codes are split into ``PARTS``
    substrings, each indexed. A code within radius r agrees with the query's in some substring
    up to r div PARTS bits, so probing all substrings that near finds every code within r.
@@ -184,9 +185,12 @@ def nearest(
     left = index.select(
         F.pmod(F.hash("code", "v"), F.lit(n_shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "v", "ids", "code"
     )
-    right = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), "id", "v", "code", "radius"
-    )
+
+    def cells(asked: DataFrame) -> DataFrame:
+        right = asked.select(
+            F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), "id", "v", "code", "radius"
+        )
+        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(cell, "query_id long, vec_id long, score double")
 
     def cell(own: pa.Table, asked: pa.Table) -> pa.Table:
         rows_out: list[tuple[int, int, float]] = []
@@ -204,7 +208,12 @@ def nearest(
         a, b, c = zip(*rows_out, strict=True) if rows_out else ((), (), ())
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
-    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(cell, "query_id long, vec_id long, score double")
+    near = work.put(cells(queries), "near")
+    # a query whose radius held fewer than k asks again, with every code within its radius
+    served = near.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= k).select("id")
+    short = work.put(queries.join(served, "id", "left_anti").withColumn("radius", F.lit(bits).cast("long")), "short")
+    if not short.isEmpty():
+        near = near.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(cells(short))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
