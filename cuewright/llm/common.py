@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import string
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from cuewright.sources.shared import shared_dir
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     """A table of the input folder, pruned to ``cols`` when some are named."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -25,22 +27,6 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where a session names none (tests, local mode) is a folder of our own set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        sc = spark.sparkContext
-        now = sc._jsc.sc().getCheckpointDir()
-        if now.isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="cuewright-"))
-            now = sc._jsc.sc().getCheckpointDir()
-        named = now.get()
-    return named.rstrip("/")
-
-
 class Workspace:
     """Tables written to the shared folder; they cut lineage and survive a lost executor."""
 
