@@ -458,4 +458,5 @@ def op5_pii(spark, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
         F.sha2(as_text(F.col("base")), 256).alias("base_sha256"),
         as_text(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
