@@ -188,7 +188,8 @@ def merge_open(placed: DataFrame, work: Workspace, capacity: int, slack: int, gr
         merged = work.put(dealt.groupBy("g").applyInArrow(_merge(capacity), _ITEM), f"open{k + 1}")
         left = merged.where(F.col("used") < capacity - slack)
         m, k = left.count(), k + 1
-        if groups == 1 or m > 0.95 * n:
+        # bins meet others in every round, until one task holds all of them or none fits another
+        if groups == 1 or m == n:
             final.append(merged)
             break
         final.append(merged.where(F.col("used") >= capacity - slack))

@@ -30,6 +30,8 @@ result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,29 +69,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any substring of a byte array, by one of two functions."""
+    """Hashes of any substring of a sequence, by one of two functions. ``letters(k)``: its letters as random numbers."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, n: int, letters: Callable[[int], np.ndarray]):
         global _POWERS
-        if len(_POWERS.up[0]) <= len(data):
-            _POWERS = Powers(len(data))
-        n = len(data)
+        if len(_POWERS.up[0]) <= n:
+            _POWERS = Powers(n)
         with np.errstate(over="ignore"):
-            self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_RANDOM[k][data] * _POWERS.up[k][:n])]) for k in (0, 1)]
+            self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters(k) * _POWERS.up[k][:n])]) for k in (0, 1)]
+
+    @classmethod
+    def of_bytes(cls, data: np.ndarray) -> Hashes:
+        return cls(len(data), lambda k: _RANDOM[k][data])
 
     def of(self, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             return _mix((self.sums[k][end] - self.sums[k][start]) * _POWERS.down[k][start])
 
 
-def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """Contexts of texts data[at[i] : at[i + 1]]: text, first and last window, anchor, its hash, hash of the context."""
-    n, w = len(data), LENGTH - GRAM + 1
-    if n < LENGTH:
+def anchors(hashes: Hashes, n: int, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...] | None:
+    """Contexts of texts at[i] to at[i + 1] of n letters: text, first and last window, anchor, its hash, hash of the context."""
+    w = length - gram + 1
+    if n < length:
         return None
-    hashes = Hashes(data)
-    i = np.arange(n - GRAM + 1)
-    h = hashes.of(i, i + GRAM, 0)
+    i = np.arange(n - gram + 1)
+    h = hashes.of(i, i + gram, 0)
     low = np.uint64((1 << 22) - 1)
     v = (h & ~low) | i.astype(np.uint64)
     x = np.concatenate([v, np.full(-len(v) % w, ~np.uint64(0))]).reshape(-1, w)
@@ -98,7 +102,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...] | None:
     m = len(v)
     place = (np.minimum(right[: m - w + 1], left[w - 1 : m]) & low).astype(np.int64)
     start = np.arange(len(place))
-    ok = start + LENGTH <= np.repeat(at[1:], np.diff(at))[: len(place)]
+    ok = start + length <= np.repeat(at[1:], np.diff(at))[: len(place)]
     start, place = start[ok], place[ok]
     if not len(start):
         return None
@@ -106,7 +110,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...] | None:
     a, p = start[first], place[first]
     b = np.append(start[first[1:] - 1], start[-1])
     text = np.searchsorted(at, a, side="right") - 1
-    return text, a - at[text], b - at[text], p - at[text], h[p], hashes.of(a, b + LENGTH, 1)
+    return text, a - at[text], b - at[text], p - at[text], h[p], hashes.of(a, b + length, 1)
 
 
 def contexts(docs: DataFrame) -> DataFrame:
@@ -124,7 +128,7 @@ def contexts(docs: DataFrame) -> DataFrame:
                     end = min(at[j], at[i] + off + _PIECE + LENGTH - 1) if j == i + 1 else at[j]
                     own = data[at[i] + off : end]
                     cut = np.asarray([0, len(own)]) if j == i + 1 else at[i : j + 1] - at[i]
-                    found = anchors(own, cut)
+                    found = anchors(Hashes.of_bytes(own), len(own), cut)
                     if found:
                         t, a, b, p, h, ctx = found
                         cols = [k1[i:j][t], k2[i:j][t], p + off, h.view(np.int64), (p - a).astype(np.int16), (p - b).astype(np.int16), ctx.view(np.int64)]
@@ -223,7 +227,7 @@ def _single_windows(batches):
     for batch in batches:
         out = []
         for r in batch.select(["h", "lo", "hi", "ctx", "bytes"]).to_pylist():
-            hashes, n = Hashes(np.frombuffer(r["bytes"], np.uint8)), r["lo"] - r["hi"] + 1
+            hashes, n = Hashes.of_bytes(np.frombuffer(r["bytes"], np.uint8)), r["lo"] - r["hi"] + 1
             i = np.arange(n)
             one, two = (hashes.of(i, i + LENGTH, k).view(np.int64) for k in (0, 1))
             same = [pa.array(np.full(n, r[c]), k) for c, k in (("h", pa.int64()), ("lo", pa.int16()), ("hi", pa.int16()), ("ctx", pa.int64()))]
@@ -231,7 +235,7 @@ def _single_windows(batches):
         yield from out
 
 
-def _cut_out(id_type, length: int):
+def _cut_out(id_type):
     def run(batches):
         for batch in batches:
             ids, texts, spans = batch.column(0), batch.column(1), batch.column(2).to_pylist()
@@ -254,8 +258,8 @@ def _cut_out(id_type, length: int):
             n, gone, cut, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
             span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(cut, span), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
+                [ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(cut, span), pa.array(kept, pa.binary()), batch.column(3)],
+                names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "passage"],
             )
 
     return run
@@ -301,21 +305,130 @@ def repeats(named: DataFrame, work: Workspace, bucket: int = BUCKET) -> DataFram
     return spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """One row per document row: doc_id, n_bytes, n_removed, spans, kept (the remaining bytes)."""
-    work = Workspace(docs.sparkSession, "suffix")
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    named = own.withColumn("k1", F.xxhash64("doc_id")).withColumn("k2", F.xxhash64("text"))
-    found = work.put(repeats(named.select("k1", "k2", "text"), work, **kw), "spans")
-    joined = named.join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    kind = own.schema["doc_id"].dataType
-    return joined.mapInArrow(_cut_out(kind, LENGTH), f"doc_id {kind.simpleString()}, n_bytes long, n_removed long, spans array<struct<a: bigint, b: bigint>>, kept binary")
+    return own.withColumn("k1", F.xxhash64("doc_id")).withColumn("k2", F.xxhash64("text"))
+
+
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", passages: DataFrame | None = None, **kw) -> DataFrame:
+    """One row per document row: doc_id, n_bytes, n_removed, spans, kept (the remaining bytes).
+
+    ``passages``: (k1, k2) of rows to be marked in a column more, ``passage``.
+    """
+    work = Workspace(docs.sparkSession, "suffix")
+    named = _keyed(docs, doc_id, text)
+    found = repeats(named.select("k1", "k2", "text"), work, **kw)
+    if passages is not None:
+        found = found.join(passages.select("k1", "k2", F.lit(True).alias("passage")), ["k1", "k2"], "full")
+    else:
+        found = found.withColumn("passage", F.lit(False))
+    joined = named.join(work.put(found, "spans"), ["k1", "k2"], "left").select("doc_id", "text", "spans", F.coalesce("passage", F.lit(False)).alias("passage"))
+    kind = named.schema["doc_id"].dataType
+    out = joined.mapInArrow(_cut_out(kind), f"doc_id {kind.simpleString()}, n_bytes long, n_removed long, spans array<struct<a: bigint, b: bigint>>, kept binary, passage boolean")
+    return out if passages is not None else out.drop("passage")
+
+
+# --- passages of many words ---------------------------------------------------------------
+
+WORDS, SEED = 51, 26  # over fifty words; the words of an anchor in them
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end in texts at[i] to at[i + 1]; none runs over the end of its text."""
+    inside, edge = ~_SPACE[data], np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    before, after = np.append(False, inside[:-1]), np.append(inside[1:], False)
+    return np.flatnonzero(inside & (~before | edge[:-1])), np.flatnonzero(inside & (~after | edge[1:])) + 1
+
+
+def _word_pieces(batch, piece: int):
+    """(first row, word hashes, words of texts by offsets, word number of the piece) of a batch: k1, k2, text, ...
+
+    Rows are taken together up to ``piece`` bytes; a longer text comes in pieces that share WORDS - 1 words.
+    """
+    data, at = utf8_parts(batch.column(2))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + piece, side="right")) - 1)
+        own, cut = data[at[i] : at[j]], at[i : j + 1] - at[i]
+        start, end = _words(own, cut)
+        w = 0
+        while w < len(start):
+            stop = len(start) if len(own) <= 2 * piece else int(np.searchsorted(start, start[w] + piece))
+            last = min(len(start), stop + WORDS - 1) if stop < len(start) else stop
+            base = int(start[w])
+            letters = Hashes.of_bytes(own[base : end[last - 1]])
+            a, b = start[w:last] - base, end[w:last] - base
+            words = Hashes(last - w, lambda k, letters=letters, a=a, b=b: letters.of(a, b, k))
+            yield i, words, np.searchsorted(start[w:last], cut) if stop == len(start) and w == 0 else np.asarray([0, last - w]), w
+            w = stop
+        i = j
+
+
+def word_contexts(docs: DataFrame, piece: int = _PIECE) -> DataFrame:
+    """(k1, k2, p, h, lo, hi) of every anchor of word windows: windows p - lo to p - hi. ``docs``: k1, k2, text."""
+
+    def run(batches):
+        for batch in batches:
+            k1, k2 = (batch.column(c).to_numpy() for c in (0, 1))
+            for i, words, cut, off in _word_pieces(batch, piece):
+                found = anchors(words, int(cut[-1]), cut, WORDS, SEED)
+                if found:
+                    t, a, b, p, h, _ = found
+                    cols = [k1[i:][t], k2[i:][t], p + off, h.view(np.int64), (p - a).astype(np.int16), (p - b).astype(np.int16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k1", "k2", "p", "h", "lo", "hi"])
+
+    return docs.mapInArrow(run, "k1 long, k2 long, p long, h long, lo short, hi short")
+
+
+def _window_hashes(piece: int):
+    """(k1, k2, w1, w2) of the word windows that a row's list ``w`` of contexts names."""
+
+    def run(batches):
+        for batch in batches:
+            k1, k2 = (batch.column(c).to_numpy() for c in (0, 1))
+            wanted = [np.unique(np.concatenate([np.arange(c["p"] - c["lo"], c["p"] - c["hi"] + 1) for c in x])) for x in batch.column(3).to_pylist()]
+            for i, words, cut, off in _word_pieces(batch, piece):
+                for n in range(len(cut) - 1):
+                    at = wanted[i + n] - off
+                    at = at[(at >= 0) & (at + WORDS <= cut[n + 1] - cut[n])] + cut[n]
+                    one, two = (words.of(at, at + WORDS, k).view(np.int64) for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k[i + n])) for k in (k1, k2)] + [pa.array(one), pa.array(two)], names=["k1", "k2", "w1", "w2"])
+
+    return run
+
+
+def shared_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", piece: int = _PIECE) -> DataFrame:
+    """(k1, k2) of rows that hold WORDS consecutive words which a row of another id holds as well.
+
+    Words are runs without white space. As for bytes, anchors that occur in one text only cannot
+    lie in such a passage; the windows of the others are counted by 128 bits of hash. Equal texts
+    share all their windows and are recognised as such.
+    """
+    work = Workspace(docs.sparkSession, "passages")
+    named = _keyed(docs, doc_id, text).select("k1", "k2", "text")
+    every = work.put(word_contexts(named, piece), "contexts")
+    several = lambda c: F.min(c) < F.max(c)
+    copies = every.groupBy("k2").agg(several("k1").alias("s")).where("s").select("k2")
+    rows = every.select("k1", "k2").distinct()
+    held = work.put(every.groupBy("h").agg(several("k2").alias("s")).where("s").select("h"), "held")
+    lists = every.join(held, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("w"))
+    windows = work.put(named.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "w").mapInArrow(_window_hashes(piece), "k1 long, k2 long, w1 long, w2 long"), "windows")
+    met = work.put(windows.groupBy("w1", "w2").agg(several("k2").alias("s")).where("s").select("w1", "w2"), "met")
+    return rows.join(work.put(copies, "copies"), "k2", "left_semi").select("k1", "k2").unionByName(windows.join(met, ["w1", "w2"], "left_semi").select("k1", "k2")).distinct()
 
 
 def op2_suffix(spark, sf_dir: str) -> DataFrame:
-    """The contract's digest of ``remove_repeats`` over whole documents, with what is left and whether anything went."""
-    done = remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+    """The contract's digest of ``remove_repeats`` over whole documents.
+
+    More columns: what is left, whether anything went, and whether the document shares a passage
+    of over fifty words with another, which may have fewer than LENGTH bytes.
+    """
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    done = remove_repeats(docs, passages=shared_passages(docs))
     return done.select(
-        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
-        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("repeated"),
+        "doc_id", "n_bytes", "n_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("repeated"), F.col("passage").alias("shares_passage"),
     )

@@ -90,6 +90,24 @@ def test_suffix_removal(spark, bucket):
     assert [(g["n_bytes"], g["n_removed"], bytes(g["kept"])) for g in got] == brute_repeats(texts)
 
 
+def test_shared_passages(spark):
+    r = random.Random(5)
+    some = lambda n: " ".join("".join(r.choice("abé") for _ in range(r.randint(1, 6))) for _ in range(n))
+    p = some(60)
+    texts = [None, "", some(200), some(30) + " " + p + "\n" + some(9), p.replace(" ", "\t\n", 3), " ".join(p.split()[:50]) + " " + some(80), some(10) + " " + " ".join(p.split()[4:55]), some(70), some(50), "x " * 300]
+    texts += [texts[7], texts[8], some(40) + " " + " ".join(p.split()[:51]) + some(2)]
+    seen = collections.defaultdict(set)
+    for d, t in enumerate(texts):
+        w = re.findall("[^\x20\x09-\x0d]+", t or "")
+        for i in range(len(w) - 50):
+            seen[tuple(w[i : i + 51])].add(d)
+    want = set().union(*(s for s in seen.values() if len(s) > 1))
+    for piece in (1 << 21, 300):
+        docs = frame(spark, texts)
+        got = suffix.remove_repeats(docs, passages=suffix.shared_passages(docs, piece=piece)).where("passage").collect()
+        assert {g["doc_id"] for g in got} == want and {3, 4, 6, 7, 10} <= want
+
+
 # --- 3 ----------------------------------------------------------------------------------
 
 
