@@ -50,7 +50,7 @@ def segment_cues(spark, d) -> DataFrame:
 _MERGED = """, mo AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY cue) AS r FROM cues),
  mf AS (SELECT job_id, r, cue, start_ms AS s, end_ms AS e, length(text) AS size, speaker, 1 AS head FROM mo WHERE r = 1
   UNION ALL SELECT job_id, r, cue, CASE WHEN j THEN s ELSE start_ms END, end_ms, CASE WHEN j THEN size + 1 + length(text) ELSE length(text) END, speaker2, CASE WHEN j THEN 0 ELSE 1 END
-  FROM (SELECT o.job_id, o.r, o.cue, o.start_ms, o.end_ms, o.text, f.s, f.size, o.speaker AS speaker2, f.e - f.s < 500 AND f.speaker = o.speaker AND o.end_ms - f.s <= 7000 AND f.size + 1 + length(o.text) <= 84 AS j
+  FROM (SELECT o.job_id, o.r, o.cue, o.start_ms, o.end_ms, o.text, f.s, f.size, o.speaker AS speaker2, f.e - f.s < 500 AND coalesce(f.speaker = o.speaker, TRUE) AND o.end_ms - f.s <= 7000 AND f.size + 1 + length(o.text) <= 84 AS j
    FROM mf f JOIN mo o ON o.job_id = f.job_id AND o.r = f.r + 1)),
  mcue AS (SELECT job_id, cue, sum(head) OVER (PARTITION BY job_id ORDER BY r) AS m FROM mf),
  mwords AS (SELECT c.*, m FROM cued c JOIN mcue USING (job_id, cue)),
@@ -105,8 +105,8 @@ _DENSITY = f""", dq AS (SELECT job_id, m, list(word ORDER BY word_idx) AS w, lis
  dd AS (SELECT *, {_speed('chars', 'nw', '(e - s)')} AS dense FROM dm),
  dj AS (SELECT *, max(CASE WHEN kind = 0 THEN dense::INT END) OVER c = 1 AND count(*) OVER c = 3 AND (min(CASE WHEN kind > 0 THEN dense::INT END) OVER c = 0 OR total >= 6) AS splits, max(CASE WHEN kind = 0 THEN low::INT END) OVER c = 1 AS plow FROM dd WINDOW c AS (PARTITION BY job_id, m)),
  dk AS (SELECT * FROM dj WHERE splits = (kind > 0)),
- dx AS (SELECT *, least(greatest(e, s + CAST(ceil(chars * 1000 / 17.0::DOUBLE) AS BIGINT)), least(s + 7000, nxt - 80)) AS longer FROM dk),
- dy AS (SELECT *, dense AND longer > e + 1 AS stretched, CASE WHEN dense AND longer > e + 1 THEN longer ELSE e END AS e2 FROM dx),
+ dlong AS (SELECT *, least(greatest(e, s + CAST(ceil(chars * 1000 / 17.0::DOUBLE) AS BIGINT)), least(s + 7000, nxt - 80)) AS longer FROM dk),
+ dy AS (SELECT *, dense AND longer > e + 1 AS stretched, CASE WHEN dense AND longer > e + 1 THEN longer ELSE e END AS e2 FROM dlong),
  dz AS (SELECT *, {_speed('chars', 'nw', '(e2 - s)')} AS still FROM dy),
  repaired AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY m, kind) AS caption, s AS start_ms, e2 AS end_ms, lines AS text, CAST(n AS INT) AS n_words, round(chars / (greatest(e2 - s, 1) / 1000.0::DOUBLE), 4) AS cps, round(nw / (greatest(e2 - s, 1) / 1000.0::DOUBLE), 4) AS wps,
    CASE WHEN still THEN 'too_fast' ELSE 'OK' END AS reading_status,
@@ -248,21 +248,25 @@ def job_latest_status(spark, d) -> DataFrame:
     return R.latest_status(log).select("job_id", "status", "error", "created_at", "updated_at")
 
 
-@query(
-    "quality_report",
-    WORDS_DOC + _HITS + _DECIDE + _TURNS + ", " + _EVENTS + """, cs AS (SELECT job_id, round(avg(confidence), 4) AS m, count(*) AS n, count(*) FILTER (confidence < 0.7) AS low FROM words GROUP BY job_id),
+_REPORT = """, cs AS (SELECT job_id, round(avg(confidence), 4) AS m, count(*) AS n, count(*) FILTER (confidence < 0.7) AS low FROM words GROUP BY job_id),
  ds AS (SELECT job_id, count(*) FILTER (action = 'replace') AS r, count(*) FILTER (action = 'censor') AS c, count(*) FILTER (action = 'flag' OR needs_review) AS f FROM decisions GROUP BY job_id),
- ss AS (SELECT job_id, count(*) AS n FROM segments GROUP BY job_id), es AS (SELECT job_id, count(*) AS n FROM kept GROUP BY job_id)
+ ss AS (SELECT job_id, count(*) AS n FROM segments GROUP BY job_id), es AS (SELECT job_id, count(*) AS n FROM kept GROUP BY job_id){0}
 SELECT cs.job_id, CAST(round(m * 100) AS BIGINT) AS overall_confidence, cs.n AS words, low AS low_confidence_words, coalesce(f + r + c, 0) AS potential_profanity, coalesce(r, 0) AS automatically_corrected, coalesce(c, 0) AS censored,
- coalesce(ss.n, 0) AS speaker_changes, coalesce(es.n, 0) AS sound_events FROM cs LEFT JOIN ds USING (job_id) LEFT JOIN ss USING (job_id) LEFT JOIN es USING (job_id)""",
-)
+ coalesce(ss.n, 0) AS speaker_changes, coalesce(es.n, 0) AS sound_events{1} FROM cs LEFT JOIN ds USING (job_id) LEFT JOIN ss USING (job_id) LEFT JOIN es USING (job_id){2}"""
+
+
+@query("quality_report", WORDS_DOC + _HITS + _DECIDE + _TURNS + ", " + _EVENTS + _REPORT.format("", "", ""))
 def quality_report(spark, d) -> DataFrame:
     """The columns that the SQL gives, which need no captions; ``quality_report_captions`` has all of them."""
     words = words_of_documents(spark, d)
     return _report(spark, d, words, spark.createDataFrame([], "job_id long, reading_speed_warnings long")).drop("reading_speed_warnings")
 
 
-@query("quality_report_captions")
+@query(
+    "quality_report_captions",
+    WORDS_DOC + _HITS + _DECIDE + _TURNS + ", " + _EVENTS + _CUES + _MERGED + _DENSITY
+    + _REPORT.format(", rs AS (SELECT job_id, count(*) FILTER (contains(flags, 'reading_speed') OR reading_status <> 'OK') AS n FROM repaired GROUP BY job_id)", ", coalesce(rs.n, 0) AS reading_speed_warnings", " LEFT JOIN rs USING (job_id)"),
+)
 def quality_report_captions(spark, d) -> DataFrame:
     """The whole report, from five summaries of the same words."""
     words = words_of_documents(spark, d)

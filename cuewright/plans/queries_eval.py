@@ -87,25 +87,25 @@ def timestamp_accuracy(spark, d) -> DataFrame:
 
 @query(
     "safety_rates",
-    WORDS_DOC + _HITS + f""", fl AS (SELECT job_id, list_distinct(list(matched)) AS f FROM hits WHERE NOT allowlisted AND match_type = 'word' GROUP BY job_id),
- gold AS (SELECT ['idiot', 'moron', 'trash'] AS p, ['stupid', 'clown'] AS c)
+    WORDS_DOC + _HITS + f""", fl AS (SELECT job_id, list_distinct(list(replace(matched, ' ', ''))) AS f FROM hits WHERE NOT allowlisted GROUP BY job_id),
+ gold AS (SELECT ['idiot', 'moron', 'trash'] AS p, ['stupid', 'thethe'] AS c)
 SELECT job_id AS id, round(len(list_intersect(f, c)) / 2, 4) AS profanity_false_positive_rate, round((3 - len(list_intersect(f, p))) / 3, 4) AS profanity_false_negative_rate, CAST(len(list_intersect(f, p)) AS BIGINT) AS true_positives,
  CAST(len(list_intersect(f, c)) AS BIGINT) AS false_positives, CAST(3 - len(list_intersect(f, p)) AS BIGINT) AS false_negatives, CAST(3 AS BIGINT) AS gold_profane, CAST(2 AS BIGINT) AS gold_clean, CAST(len(f) AS BIGINT) AS flagged FROM fl, gold""",
 )
 def safety_rates(spark, d) -> DataFrame:
-    found = _hits(spark, d).where("not allowlisted and match_type = 'word'").groupBy(F.col("job_id").alias("id")).agg(F.collect_set("matched").alias("flagged"))
-    gold = found.withColumn("profane", F.expr("array('Idiot', 'moron!', 'trash')")).withColumn("clean", F.expr("array('stupid', 'clown')"))
+    found = _hits(spark, d).where("not allowlisted").groupBy(F.col("job_id").alias("id")).agg(F.collect_set("matched").alias("flagged"))
+    gold = found.withColumn("profane", F.expr("array('Idiot', 'moron!', 'trash')")).withColumn("clean", F.expr("array('stupid', 'the the')"))
     return E.safety_rates(gold)
 
 
 @query(
     "toxic_flags",
-    WORDS_DOC + _HITS + """, f AS (SELECT job_id, count(*) FILTER (NOT allowlisted) > 0 AS flagged FROM hits WHERE match_type = 'word' GROUP BY job_id)
+    WORDS_DOC + _HITS + """, f AS (SELECT job_id, count(*) FILTER (NOT allowlisted) > 0 AS flagged FROM hits GROUP BY job_id)
 SELECT l.toxic, count(*) AS docs, count(*) FILTER (coalesce(f.flagged, FALSE)) AS flagged FROM labels l LEFT JOIN f ON f.job_id = l.doc_id GROUP BY l.toxic""",
 )
 def toxic_flags(spark, d) -> DataFrame:
     """Flagged documents by gold label."""
-    found = _hits(spark, d).where("match_type = 'word'").groupBy(F.col("job_id").alias("doc_id")).agg((F.count_if(~F.col("allowlisted")) > 0).alias("f"))
+    found = _hits(spark, d).groupBy(F.col("job_id").alias("doc_id")).agg((F.count_if(~F.col("allowlisted")) > 0).alias("f"))
     rows = table(spark, d, "labels", "doc_id", "toxic").join(found, "doc_id", "left")
     return rows.groupBy("toxic").agg(F.count("*").alias("docs"), F.count_if(F.coalesce("f", F.lit(False))).alias("flagged"))
 
