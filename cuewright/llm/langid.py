@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.llm.common import append_column, free_name, read
+from cuewright.llm.common import Workspace, append_column, free_name, read
 
 ROWS = 2000
 WORDS = 150_000
@@ -177,13 +177,11 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", rows: in
         sizes = p.value_lengths().to_numpy(zero_copy_only=False)
         return held.column("key").to_pylist(), sizes, flat.field("k").to_numpy().astype(np.int64), flat.field("c").to_numpy()
 
-    counted = summed(picked.mapInArrow(tally, kind)).select("k", "key", "c").persist()
-    letters = summed(counted.mapInArrow(split, kind)).persist()
-    try:
-        return Model(langs, top(counted, words), top(letters, grams))
-    finally:
-        letters.unpersist()
-        counted.unpersist()
+    # written, so that each is counted once
+    work = Workspace(own.sparkSession, "langid")
+    counted = work.put(summed(picked.mapInArrow(tally, kind)).select("k", "key", "c"), "words")
+    letters = work.put(summed(counted.mapInArrow(split, kind)), "grams")
+    return Model(langs, top(counted, words), top(letters, grams))
 
 
 def annotate(docs: DataFrame, model: Model, name: str = "language", text: str = "text") -> DataFrame:
