@@ -114,36 +114,35 @@ def toggle_labels(regions: DataFrame, gap_ms: int = Settings.speaker_gap_ms) ->
 def speaker_at(words: DataFrame, segments: DataFrame, slack_ms: int = 1, bin_ms: int = 60_000) -> DataFrame:
     """Speaker of each word: the last segment over its middle, else the nearest, else its own.
 
-    ``segments``: job_id, seg_idx, speaker, start_ms, end_ms. Covering segments meet words in
-    time bins, so a long job is no cross product; only words that no segment covers look at
-    the nearest segments before and after them.
+    ``segments``: job_id, seg_idx, speaker, start_ms, end_ms. Words meet the segments of their
+    time bin, so a long job is spread and no cross product; a bin holds the segments of one job
+    in ``bin_ms``. Then one exchange by job gives each word the edges before and after it; no
+    result is joined back. Segments without a job go to no word.
     """
-    mid = words.withColumn("mid_", (F.col("start_ms") + F.col("end_ms")) / 2)
     at = lambda c: F.floor(c / bin_ms)
-    binned = segments.select(
-        F.col("job_id").alias("j_"), "seg_idx", F.col("speaker").alias("seg_speaker_"), F.col("start_ms").alias("s_"), F.col("end_ms").alias("e_"),
-        F.explode(F.sequence(at(F.col("start_ms") - slack_ms), at(F.col("end_ms") + slack_ms))).alias("bin_"),
-    )
-    hit = mid.join(
-        binned,
-        (mid["job_id"] == binned["j_"]) & (at(mid["mid_"]) == binned["bin_"]) & (mid["mid_"] >= binned["s_"] - slack_ms) & (mid["mid_"] <= binned["e_"] + slack_ms),
-    )
-    covered = hit.groupBy("job_id", "word_idx").agg(F.max_by("seg_speaker_", "seg_idx").alias("found_"))
-    # the rest meets the edges before and after it in one sort each way; edges stand before words at equal times
-    open_ = mid.join(covered, ["job_id", "word_idx"], "left_anti").select("job_id", F.col("mid_").alias("t"), F.lit(1).alias("kind"), "word_idx", F.lit(None).cast("long").alias("seg_idx"), F.lit(None).cast("string").alias("sp"))
-    side = lambda c, kind: segments.select("job_id", F.col(c).cast("double").alias("t"), F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("word_idx"), F.col("seg_idx").cast("long").alias("seg_idx"), F.col("speaker").alias("sp"))
-    spots = open_.unionByName(side("end_ms", 0)).unionByName(side("start_ms", 2))
-    so_far = lambda order: Window.partitionBy("job_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = segments.where("job_id is not null")
+    first_bin, last_bin = at(F.col("start_ms") - slack_ms), at(F.col("end_ms") + slack_ms)
+    span = F.struct("seg_idx", "speaker", (F.col("start_ms") - slack_ms).alias("a"), (F.col("end_ms") + slack_ms).alias("z"))
+    bins = own.select(F.col("job_id").alias("j_"), span.alias("s_"), F.explode(F.sequence(first_bin, last_bin)).alias("bin_")).groupBy("j_", "bin_").agg(F.collect_list("s_").alias("in_bin_"))
+    mid = words.select("job_id", ((F.col("start_ms") + F.col("end_ms")) / 2).alias("t"), F.struct(*words.columns).alias("w_"))
+    met = mid.join(bins, (mid["job_id"] == bins["j_"]) & (at(mid["t"]) == bins["bin_"]), "left")
+    over = F.filter("in_bin_", lambda x: (F.col("t") >= x["a"]) & (F.col("t") <= x["z"]))
+    cover = F.array_max(F.transform(over, lambda x: F.struct(x["seg_idx"], x["speaker"])))
+    # edges stand before words at equal times, in both directions
+    spots = met.select("job_id", "t", F.lit(1).alias("kind"), "w_", cover.alias("cover_"))
+    side = lambda c, kind: own.select("job_id", F.col(c).cast("double").alias("t"), F.lit(kind).alias("kind"), F.col("seg_idx").cast("long").alias("seg_idx"), F.col("speaker").alias("sp"))
+    spots = spots.unionByName(side("end_ms", 0), allowMissingColumns=True).unionByName(side("start_ms", 2), allowMissingColumns=True)
+    so_far = lambda *order: Window.partitionBy("job_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = lambda kind, sign: F.when(F.col("kind") == kind, F.struct("t", (sign * F.col("seg_idx")).alias("i"), "sp"))
     # of segments with equal edges the first wins
-    past = F.max(edge(0, -1)).over(so_far([F.col("t"), F.col("kind")]))
-    ahead = F.min(edge(2, 1)).over(so_far([F.desc("t"), F.desc("kind")]))
+    past = F.max(edge(0, -1)).over(so_far(F.col("t"), F.col("kind")))
+    ahead = F.min(edge(2, 1)).over(so_far(F.desc("t"), F.desc("kind")))
     near = spots.withColumn("p_", past).withColumn("a_", ahead).where("kind = 1")
     behind, ahead_of = F.col("t") - F.col("p_.t"), F.col("a_.t") - F.col("t")
     first = F.coalesce((behind < ahead_of) | ((behind == ahead_of) & (-F.col("p_.i") < F.col("a_.i"))), F.col("a_").isNull())
-    near = near.select("job_id", "word_idx", F.when(first, F.col("p_.sp")).otherwise(F.col("a_.sp")).alias("found_"))
-    found = covered.unionByName(near)
-    return words.join(found, ["job_id", "word_idx"], "left").withColumn("speaker", F.coalesce("found_", "speaker")).drop("found_")
+    nearest = F.when(first, F.col("p_.sp")).otherwise(F.col("a_.sp"))
+    found = F.when(F.col("cover_").isNotNull(), F.col("cover_.speaker")).otherwise(nearest)
+    return near.withColumn("found_", found).select("w_.*", "found_").withColumn("speaker", F.coalesce("found_", "speaker")).drop("found_")
 
 
 def rename_speakers(segments: DataFrame, mapping: DataFrame) -> DataFrame:

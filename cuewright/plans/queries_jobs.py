@@ -354,7 +354,7 @@ def vocabulary_by_category(spark, d) -> DataFrame:
 
 @query("recognizer_hints", "SELECT word AS term, n AS position FROM (SELECT word, min(doc_id * 100000 + k) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) - 1 AS k FROM documents) GROUP BY word ORDER BY n LIMIT 40)")
 def recognizer_hints(spark, d) -> DataFrame:
-    words = words_of_documents(spark, d).groupBy(F.col("word").alias("term")).agg(F.min(F.col("job_id") * 100000 + F.col("word_idx")).alias("position"))
+    words = words_of_documents(spark, d, by_job=False).groupBy(F.col("word").alias("term")).agg(F.min(F.col("job_id") * 100000 + F.col("word_idx")).alias("position"))
     return V.hints(words)
 
 

@@ -209,7 +209,7 @@ SELECT job_id, word_idx, CASE WHEN word = upper(word) AND word <> lower(word) TH
 FROM words JOIN b ON {NORM.format('word')} = b.token WHERE score >= 0.999 OR confidence < 0.97""",
 )
 def vocab_fuzzy(spark, d) -> DataFrame:
-    words = words_of_documents(spark, d)
+    words = words_of_documents(spark, d, by_job=False)
     terms = spark.createDataFrame(_TERMS, "term string, ord int")
     tok = words.withColumn("token", X.normalize_token(F.col("word")))
     best = V.best_terms(tok.select("token").distinct(), terms)

@@ -53,7 +53,7 @@ def low_confidence_rate(spark, d) -> DataFrame:
 
 @query("normalize_tokens", WORDS_DOC + f"SELECT {NORM.format('word')} AS token, count(*) AS n FROM words GROUP BY 1")
 def normalize_tokens(spark, d) -> DataFrame:
-    return words_of_documents(spark, d).groupBy(X.normalize_token(F.col("word")).alias("token")).agg(F.count("*").alias("n"))
+    return words_of_documents(spark, d, by_job=False).groupBy(X.normalize_token(F.col("word")).alias("token")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -67,7 +67,7 @@ def eval_tokenize(spark, d) -> DataFrame:
 
 @query("soundex_variant", WORDS_DOC + f"SELECT token, {soundex_sql('token')} AS code FROM (SELECT DISTINCT {NORM.format('word')} AS token FROM words)")
 def soundex_variant(spark, d) -> DataFrame:
-    t = words_of_documents(spark, d).select(X.normalize_token(F.col("word")).alias("token")).distinct()
+    t = words_of_documents(spark, d, by_job=False).select(X.normalize_token(F.col("word")).alias("token")).distinct()
     return t.select("token", X.soundex(F.col("token")).alias("code"))
 
 

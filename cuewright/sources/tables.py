@@ -36,9 +36,21 @@ def words_of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timed(rows, 400 * F.col("word_idx") + 1000 * F.col("turn"))
 
 
-def words_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as one job each: 100 ms between words, 800 ms before every twelfth."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores by ``key`` if the input has fewer splits than the session has cores."""
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(key) if few else df
+
+
+def words_of_documents(spark: SparkSession, sf_dir: str, by_job: bool = True) -> DataFrame:
+    """Documents as one job each: 100 ms between words, 800 ms before every twelfth.
+
+    ``by_job`` shuffles the texts before they become words, which serves all windows and groups
+    of a job: a text is one row there, a fraction of what its timed words take. Leave it off
+    where nothing works by job.
+    """
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = docs.repartition("doc_id") if by_job else spread(docs, "doc_id")
     rows = docs.select(F.col("doc_id").alias("job_id"), F.posexplode(tokens(F.col("text"))).alias("i", "word"))
     rows = rows.withColumn("word_idx", F.col("i").cast("long")).withColumn("speaker", F.lit(None).cast("string"))
     return _timed(rows, 400 * F.col("word_idx") + 700 * F.floor(F.col("word_idx") / 12))
