@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuewright.functions import text as X
 from cuewright.operators.safety import without_overlaps
 from cuewright.operators.words import in_job
+from cuewright.sources.shared import written
 
 # categories in their listing order (fixed values)
 CATEGORIES = ["character_names", "people", "locations", "games", "toys", "fictional", "brands", "phrases", "other"]
@@ -84,13 +85,16 @@ def best_terms(tokens: DataFrame, terms: DataFrame, threshold: float = 0.84) ->
 
     Terms meet tokens by their lengths: an edit distance is at least the difference of
     lengths, so at similarity ``threshold`` the shorter has ``threshold`` of the longer's
-    length at least. The first term wins ties.
+    length at least. The first term wins ties. The result is written to the shared folder: few
+    tokens are near a term, and with its size known words meet it without a shuffle on their
+    tokens, some of which are very frequent, unless it is too large to broadcast.
     """
     t = terms.select("term", "ord", X.normalize_token(F.col("term")).alias("norm_"))
     lengths = t.withColumn("len_", F.explode(F.expr(f"sequence(cast(floor(length(norm_) * {threshold}) as int), cast(ceil(length(norm_) / {threshold}) as int))")))
     rows = tokens.where("token <> ''").join(lengths, F.length("token") == F.col("len_"))
     rows = rows.withColumn("score", F.round(X.vocabulary_similarity(F.col("token"), F.col("norm_")), 9)).where(F.col("score") >= threshold)
-    return rows.groupBy("token").agg(F.max_by(F.struct("term", "score"), F.struct("score", (-F.col("ord")).alias("o"))).alias("b")).select("token", "b.*")
+    best = rows.groupBy("token").agg(F.max_by(F.struct("term", "score"), F.struct("score", (-F.col("ord")).alias("o"))).alias("b"))
+    return written(best.select("token", "b.*"), "terms")
 
 
 def apply_terms(words: DataFrame, terms: DataFrame, threshold: float = 0.84) -> DataFrame:
