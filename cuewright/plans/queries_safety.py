@@ -211,7 +211,8 @@ FROM words JOIN b ON {NORM.format('word')} = b.token WHERE score >= 0.999 OR con
 def vocab_fuzzy(spark, d) -> DataFrame:
     words = words_of_documents(spark, d, by_job=False)
     terms = spark.createDataFrame(_TERMS, "term string, ord int")
-    tok = words.withColumn("token", X.normalize_token(F.col("word")))
+    # a key that cannot be null is not computed a second time to test it
+    tok = words.withColumn("token", F.coalesce(X.normalize_token(F.col("word")), F.lit("")))
     best = V.best_terms(tok.select("token").distinct(), terms)
     hit = tok.join(best, "token").where("score >= 0.999 or confidence < 0.97 or confidence is null")
     return hit.select("job_id", "word_idx", X.canonical(F.col("term"), F.col("word")).alias("word"), F.round("score", 6).alias("score"))
