@@ -12,11 +12,13 @@ with unigram weights only, for which the counts are the optimum.
    to them; the rest of the head goes to classes by frequency.
 3. Training: in each round every task starts from the shared weights, makes adaptive gradient
    steps over its share of all training rows, and returns its weights; these are averaged,
-   weighted by tokens, in blocks.
+   weighted by tokens, in blocks and in a tree of ``FAN`` messages each.
 4. Scoring adds log probabilities in sparse numpy batches. Counts of rare tokens are joined
    by hash, after they were added up by row.
 
-What is broadcast is bounded: ``HEAD`` tokens and ``ROWS`` x ``CLASSES`` weights.
+The table of hashed weights grows with the training tokens, by their cube root (``table_rows``):
+a thousand times the tokens have ten times the rows. So it can be broadcast at every size: 9 MB at
+30 GB of text, 130 MB at 100 TB. The ``HEAD`` tokens broadcast beside it are of a fixed number.
 
 Defined results: a null or blank text has one token, its end; with nothing to learn from,
 every token has probability 1 in base and model (the formula with N = V = 0); repeated rows
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +43,13 @@ HEAD = 1 << 17
 SIGNED = 20_000
 PIVOTS = 48
 CLASSES = 48  # the last one is the class of rare tokens, the one before the frequent end of the unsigned
-ROWS = 1 << 13
+ROWS = 1 << 13  # weight rows at least
+ROWS_A_ROOT = 32  # weight rows for each unit of the cube root of the training tokens
 ROUNDS = 2
 STEP = 0.3
 TOKENS_A_TASK = 4_000_000
 BLOCK = 512  # weight rows in a message
+FAN = 64  # messages of one block averaged at once
 END = np.uint64(0x9E3779B97F4A7C15)  # name of the end token (any fixed number does)
 START = np.uint64(0xC2B2AE3D27D4EB4F)  # history before the first token
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -119,13 +124,18 @@ def history(seq: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return one, two
 
 
-def features(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
-    """Weight rows of bigram, trigram and skip features; row 0 is the bias."""
+def table_rows(n_tokens: int) -> int:
+    """Rows of the weight table for so many training tokens: whole blocks."""
+    return BLOCK * -(-max(ROWS, int(ROWS_A_ROOT * n_tokens ** (1 / 3))) // BLOCK)
+
+
+def features(one: np.ndarray, two: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows, of ``size`` ones, of bigram, trigram and skip features; row 0 is the bias."""
 
     def row(x: np.ndarray, kind: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             x = (x + np.uint64(kind)) * _MIX
-            return 1 + ((x ^ (x >> np.uint64(33))) % np.uint64(ROWS - 1)).astype(np.int64)
+            return 1 + ((x ^ (x >> np.uint64(33))) % np.uint64(size - 1)).astype(np.int64)
 
     with np.errstate(over="ignore"):
         return [row(one, 1), row(one * np.uint64(3) + two, 2), row(two, 3)]
@@ -230,6 +240,14 @@ def class_logs(w: np.ndarray, rows: list[np.ndarray], classes: np.ndarray) -> np
     return out
 
 
+def stable_order(r: np.ndarray, size: int) -> np.ndarray:
+    """Stable order of numbers below ``size``, by radix sorts of 16 bits."""
+    order = np.argsort(r.astype(np.uint16), kind="stable")
+    for shift in range(16, (size - 1).bit_length(), 16):
+        order = order[np.argsort((r[order] >> shift).astype(np.uint16), kind="stable")]
+    return order
+
+
 def learn(w: np.ndarray, past: np.ndarray, rows: list[np.ndarray], classes: np.ndarray) -> None:
     """One adaptive gradient step over all positions, in place."""
     n, g = len(classes), np.zeros_like(w)
@@ -241,12 +259,12 @@ def learn(w: np.ndarray, past: np.ndarray, rows: list[np.ndarray], classes: np.n
         z[np.arange(len(z)), classes[b]] -= 1
         g[0] += z.sum(axis=0)
         for r in own:
-            order = np.argsort(r.astype(np.uint16), kind="stable")  # a radix sort, as ROWS is small
+            order = stable_order(r, len(w))
             by = r[order]
             first = np.flatnonzero(np.diff(by, prepend=-1))
             # added up along the long axis, which numpy does faster
             g[by[first]] += np.add.reduceat(np.ascontiguousarray(z[order].T), first, axis=1).T
-    count = sum(np.bincount(r, minlength=ROWS) for r in rows)
+    count = sum(np.bincount(r, minlength=len(w)) for r in rows)
     count[0] = n
     some = np.flatnonzero(count)
     s = g[some] / np.sqrt(count[some]).astype(np.float32)[:, None]
@@ -257,11 +275,13 @@ def learn(w: np.ndarray, past: np.ndarray, rows: list[np.ndarray], classes: np.n
 def train(texts: DataFrame, head: Head, n_tokens: int) -> np.ndarray:
     """Weights after ``ROUNDS`` rounds over all training texts."""
     spark = texts.sparkSession
-    w = np.zeros((ROWS, CLASSES), np.float32)
+    size = table_rows(n_tokens)
+    w = np.zeros((size, CLASSES), np.float32)
     mass = np.bincount(head.classes, weights=head.counts, minlength=CLASSES)
     mass[CLASSES - 1] = max(0, n_tokens - int(head.counts.sum()))
     w[0] = np.log((mass + 1) / (mass.sum() + CLASSES))
-    spread = texts.coalesce(max(4, n_tokens // TOKENS_A_TASK))
+    tasks = max(4, n_tokens // TOKENS_A_TASK)
+    spread = texts.coalesce(tasks)
     for _ in range(ROUNDS):
         held = spark.sparkContext.broadcast((w, head))
 
@@ -272,28 +292,40 @@ def train(texts: DataFrame, head: Head, n_tokens: int) -> np.ndarray:
                 seq, length = tokens(part.column(0))
                 at = own.find(seq)
                 classes = np.where(at < 0, CLASSES - 1, own.classes[at]) if len(own.names) else np.full(len(seq), CLASSES - 1)
-                learn(now, past, features(*history(seq, length)), classes)
+                learn(now, past, features(*history(seq, length), size), classes)
                 n += len(seq)
             if n:
                 delta = (now - start).astype(np.float16)
-                blocks = [delta[i : i + BLOCK].tobytes() for i in range(0, ROWS, BLOCK)]
+                blocks = [delta[i : i + BLOCK].tobytes() for i in range(0, size, BLOCK)]
+                k = len(blocks)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(len(blocks)), pa.int32()), pa.array([n] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())],
-                    names=["block", "n", "delta"],
+                    [pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId()] * k, pa.int32()), pa.array([n] * k, pa.int64()), pa.array(blocks, pa.binary())],
+                    names=["block", "part", "n", "delta"],
                 )
 
         def average(group: pa.Table) -> pa.Table:
-            n = group.column("n").to_numpy().astype(float)
+            n, part = group.column("n").to_numpy(), group.column("part").to_numpy()
             total = np.zeros(BLOCK * CLASSES)
-            for share, raw in zip(n / n.sum(), group.column("delta"), strict=True):
-                total += share * np.frombuffer(raw.as_py(), np.float16)
-            return pa.table({"block": group.column("block")[:1], "mean": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+            for i in np.argsort(part):  # in one order, so that a task run again gives the same sum
+                raw = group.column("delta")[int(i)].as_py()
+                total += n[i] / n.sum() * np.frombuffer(raw, np.float16 if len(raw) == 2 * len(total) else np.float32)
+            mean = total.astype(np.float32).tobytes()
+            return pa.table(
+                {"block": group.column("block")[:1], "part": pa.array([part[0] // FAN], pa.int32()), "n": pa.array([n.sum()], pa.int64()), "delta": pa.array([mean], pa.binary())}
+            )
 
-        sent = spread.mapInArrow(run, "block int, n long, delta binary")
+        kinds = "block int, part int, n long, delta binary"
+        sent = spread.mapInArrow(run, kinds)
+        left = tasks
+        while True:
+            sent = sent.groupBy("block", F.floor(F.col("part") / FAN)).applyInArrow(average, kinds)
+            left = -(-left // FAN)
+            if left == 1:
+                break
         w = w.copy()
-        for r in sent.groupBy("block").applyInArrow(average, "block int, mean binary").collect():
+        for r in sent.select("block", "delta").collect():
             i = r["block"] * BLOCK
-            w[i : i + BLOCK] += np.frombuffer(r["mean"], np.float32).reshape(-1, CLASSES)
+            w[i : i + BLOCK] += np.frombuffer(r["delta"], np.float32).reshape(-1, CLASSES)
     return w
 
 
@@ -341,7 +373,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
                 inside, base = np.where(rare, -rare_unit, top.within[at]), np.where(rare, 0.0, log_c[at])
             else:
                 classes, inside, base = np.full(len(seq), CLASSES - 1), np.full(len(seq), -rare_unit), np.zeros(len(seq))
-            logs = class_logs(weights, features(*history(seq, length)), classes) if len(top.names) else np.zeros(len(seq))  # else a single class
+            logs = class_logs(weights, features(*history(seq, length), len(weights)), classes) if len(top.names) else np.zeros(len(seq))  # else a single class
             model = logs / ln10 + inside
             first = np.cumsum(length) - length
             which = np.repeat(np.arange(len(length)), length)[rare]

@@ -400,3 +400,24 @@ def test_packing(spark):
     total = sum(x["length"] for x in rows)
     assert len(bins) <= -(-total // 256) * 1.05 + 2
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_maxent_table_grows_with_the_training_tokens():
+    sizes = [maxent.table_rows(n) for n in (0, 10**6, 10**8, 10**9, 10**12)]
+    assert sizes[0] == sizes[1] == maxent.ROWS and sizes == sorted(sizes) and sizes[-1] > 9 * sizes[-3]
+    assert all(s % maxent.BLOCK == 0 for s in sizes)
+
+
+@pytest.mark.parametrize("size", [100, 1 << 16, (1 << 16) + 1, 3 << 20])
+def test_maxent_stable_order(size):
+    r = np.random.default_rng(size).integers(0, size, 5000)
+    assert (maxent.stable_order(r, size) == np.argsort(r, kind="stable")).all()
+
+
+def test_maxent_averages_alike_in_one_step_and_in_a_tree(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{i % 3} b{i % 5} c{i % 7} d " * (1 + i % 4)) for i in range(200)], "doc_id long, text string").repartition(8)
+    monkeypatch.setattr(maxent, "TOKENS_A_TASK", 300)
+    flat = {r["doc_id"]: r["score"] for r in maxent.score(docs).collect()}
+    monkeypatch.setattr(maxent, "FAN", 2)
+    tree = {r["doc_id"]: r["score"] for r in maxent.score(docs).collect()}
+    assert len(flat) == 200 and all(abs(flat[k] - tree[k]) < 1e-3 for k in flat)
