@@ -17,8 +17,8 @@ with unigram weights only, for which the counts are the optimum.
    by hash, after they were added up by row.
 
 The table of hashed weights grows with the training tokens, by their cube root (``table_rows``):
-a thousand times the tokens have ten times the rows. So it can be broadcast at every size: 9 MB at
-30 GB of text, 130 MB at 100 TB. The ``HEAD`` tokens broadcast beside it are of a fixed number.
+a thousand times the tokens have ten times the rows. So it can be broadcast at every size: 10 MB at
+30 GB of text, about 150 MB at 100 TB. The ``HEAD`` tokens broadcast beside it are of a fixed number.
 
 Defined results: a null or blank text has one token, its end; with nothing to learn from,
 every token has probability 1 in base and model (the formula with N = V = 0); repeated rows
