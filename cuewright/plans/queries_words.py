@@ -141,7 +141,7 @@ sent AS (SELECT *, sum(ct) OVER (PARTITION BY job_id ORDER BY word_idx) - 1 AS s
 """
 
 
-@query("sentence_split", WORDS_DOC + _SENTENCES + "SELECT job_id, sentence, count(*) AS n_words, min(word_idx) AS first_word, CAST(max(end_ms) AS BIGINT) AS end_ms FROM sent GROUP BY job_id, sentence")
+@query("sentence_split", WORDS_DOC + _SENTENCES + "SELECT job_id, CAST(sentence AS BIGINT) AS sentence, count(*) AS n_words, min(word_idx) AS first_word, max(end_ms) AS end_ms FROM sent GROUP BY job_id, sentence")
 def sentence_split(spark, d) -> DataFrame:
     s = W.split_sentences(words_of_documents(spark, d))
     return s.groupBy("job_id", "sentence").agg(F.count("*").alias("n_words"), F.min("word_idx").alias("first_word"), F.max("end_ms").alias("end_ms"))
