@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
+from cuewright.operators.near import near_pairs
 from cuewright.operators.safety import without_overlaps
-from cuewright.operators.words import in_job
 from cuewright.sources.shared import written
 
 # categories in their listing order (fixed values)
@@ -83,17 +81,13 @@ def hints(vocabulary: DataFrame, limit: int = 40) -> DataFrame:
 def best_terms(tokens: DataFrame, terms: DataFrame, threshold: float = 0.84) -> DataFrame:
     """(token, term, score): the best term of each distinct token at or above the threshold.
 
-    Terms meet tokens by their lengths: an edit distance is at least the difference of
-    lengths, so at similarity ``threshold`` the shorter has ``threshold`` of the longer's
-    length at least. The first term wins ties. The result is written to the shared folder: few
-    tokens are near a term, and with its size known words meet it without a shuffle on their
-    tokens, some of which are very frequent, unless it is too large to broadcast.
+    The first term wins ties. The result is written to the shared folder: few tokens are near a
+    term, and with its size known words meet it without a shuffle on their tokens, some of which
+    are very frequent, unless it is too large to broadcast.
     """
-    t = terms.select("term", "ord", X.normalize_token(F.col("term")).alias("norm_"))
-    lengths = t.withColumn("len_", F.explode(F.expr(f"sequence(cast(floor(length(norm_) * {threshold}) as int), cast(ceil(length(norm_) / {threshold}) as int))")))
-    rows = tokens.where("token <> ''").join(lengths, F.length("token") == F.col("len_"))
-    rows = rows.withColumn("score", F.round(X.vocabulary_similarity(F.col("token"), F.col("norm_")), 9)).where(F.col("score") >= threshold)
-    best = rows.groupBy("token").agg(F.max_by(F.struct("term", "score"), F.struct("score", (-F.col("ord")).alias("o"))).alias("b"))
+    t = terms.select(F.col("term").alias("shown_"), "ord", X.normalize_token(F.col("term")).alias("term"))
+    rows = near_pairs(tokens, t.select("term").distinct(), threshold).join(t, "term")
+    best = rows.groupBy("token").agg(F.max_by(F.struct(F.col("shown_").alias("term"), "score"), F.struct("score", (-F.col("ord")).alias("o"))).alias("b"))
     return written(best.select("token", "b.*"), "terms")
 
 
@@ -105,69 +99,70 @@ def apply_terms(words: DataFrame, terms: DataFrame, threshold: float = 0.84) ->
     words then match where no span is.
     """
     several = F.trim(F.col("term")).contains(" ")
-    tok = words.withColumn("token", X.normalize_token(F.col("word")))
-    spans = None if terms.where(several).isEmpty() else _term_spans(tok, terms.where(several), threshold)
-    if spans is not None:
-        tok = tok.withColumn("pos_", F.row_number().over(in_job()))
-        ends = tok.select("job_id", F.col("pos_").alias("last_"), F.col("end_ms").alias("end_"))
-        spans = spans.withColumn("last_", F.col("start_") + F.col("n_") - 1).join(ends, ["job_id", "last_"])
-        used = spans.select("job_id", F.explode(F.sequence("start_", "last_")).alias("pos_"), "start_", "phrase_", "end_")
-        tok = tok.join(used, ["job_id", "pos_"], "left").where("start_ is null or start_ = pos_")
+    tok = words.withColumn("token", F.coalesce(X.normalize_token(F.col("word")), F.lit("")))
+    phrases = terms.where(several)
+    if not phrases.isEmpty():
+        spans = without_overlaps(_span_candidates(words, _ranked(phrases), threshold), "rank")
+        spans = written(spans, "spans")
+        used = spans.select("job_id", F.explode(F.sequence("word_idx", F.col("word_idx") + F.col("n") - 1)).alias("word_idx"), F.col("word_idx").alias("start_"), "shown", "end_")
+        tok = tok.join(used, ["job_id", "word_idx"], "left").where("start_ is null or start_ = word_idx")
         taken = F.col("start_").isNotNull()
         tok = tok.withColumns(
-            {"word": F.when(taken, X.canonical(F.col("phrase_"), F.col("word"))).otherwise(F.col("word")), "end_ms": F.when(taken, F.col("end_")).otherwise(F.col("end_ms")), "token": F.when(~taken, F.col("token"))}
+            {"word": F.when(taken, F.col("shown")).otherwise(F.col("word")), "end_ms": F.when(taken, F.col("end_")).otherwise(F.col("end_ms")), "token": F.when(~taken, F.col("token"))}
         ).select(*words.columns, "token")
     best = best_terms(tok.select("token").distinct(), terms.where(~several), threshold)
     sure = (F.col("score") >= 0.999) | F.col("confidence").isNull() | (F.col("confidence") < 0.97)
     out = tok.join(best, "token", "left")
-    return out.withColumn("word", F.when(sure & F.col("term").isNotNull(), X.canonical(F.col("term"), F.col("word"))).otherwise(F.col("word"))).drop("token", "term", "score")
+    return out.withColumn("word", F.when(sure & F.col("term").isNotNull(), X.canonical(F.col("term"), F.col("word"))).otherwise(F.col("word"))).select(*words.columns)
 
 
-def _term_spans(tok: DataFrame, terms: DataFrame, threshold: float) -> DataFrame:
-    """(job_id, start_, n_, phrase_) of terms of several words, overlaps resolved as by ``phrase_matches``.
+def _ranked(terms: DataFrame) -> DataFrame:
+    """(rank, term, parts): terms of several words by the order in which they match, longer ones first.
 
-    The distinct tokens meet the terms' words by their lengths; a span has a hit for every word.
+    ``terms``: term, ord. A term with a word that normalises to nothing never matches.
     """
-    t = terms.withColumn("w_", X.tokens(F.col("term"))).withColumn("ord", F.struct((-F.size("w_")).alias("n"), F.col("ord").alias("o")))
-    parts = t.select("term", "ord", F.posexplode("w_").alias("i_", "w_")).withColumn("norm_", X.normalize_token(F.col("w_")))
-    lengths = parts.withColumn("len_", F.explode(F.expr(f"sequence(cast(floor(length(norm_) * {threshold}) as int), cast(ceil(length(norm_) / {threshold}) as int))")))
-    near = tok.select("token").distinct().where("token <> ''").join(lengths, F.length("token") == F.col("len_"))
-    near = near.where(X.vocabulary_similarity(F.col("token"), F.col("norm_")) >= threshold).select("token", "term", "ord", "i_")
-    at = tok.select("job_id", "token", F.row_number().over(in_job()).alias("pos_")).join(near, "token")
-    hits = at.groupBy("job_id", (F.col("pos_") - F.col("i_")).alias("word_idx"), "ord", "term").agg(F.count("*").alias("hits_"))
-    whole = hits.withColumn("n", -F.col("ord.n")).where("hits_ = n").select("job_id", "word_idx", "n", "ord", "term")
-    return _by_rank(whole).select("job_id", F.col("word_idx").alias("start_"), F.col("n").alias("n_"), F.col("term").alias("phrase_"))
+    parts = F.transform(X.tokens(F.col("term")), X.normalize_token)
+    rows = terms.select("term", "ord", parts.alias("parts")).where(~F.array_contains("parts", ""))
+    # one number orders them: lengths first, then the listing order
+    return rows.select((F.lit(-(1 << 40)) * F.size("parts") + F.col("ord")).alias("rank"), "term", "parts")
 
 
-def phrase_matches(words: DataFrame, phrases: list[str], threshold: float = 0.84) -> DataFrame:
-    """(job_id, word_idx, n, ord, term) of phrases whose every token is similar enough, overlaps resolved.
+def _span_candidates(words: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame:
+    """(job_id, word_idx, n, rank, term, shown, end_) of all terms of several words that match, overlaps included.
 
-    Longer phrases go first, then listed ones, then the leftmost.
+    A term meets the words at its anchor only, its word with the fewest near occurrences; one
+    window then shows each such word its neighbours, and the term's other words are compared
+    there. Words are read twice (once for their counts), however many terms there are. Word
+    indices are dense.
+    """
+    tok = words.select("job_id", "word_idx", "word", "end_ms", F.coalesce(X.normalize_token(F.col("word")), F.lit("")).alias("token"))
+    counts = written(tok.groupBy("token").agg(F.count("*").alias("n_")), "tokens")
+    parts = ranked.select("rank", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "part"))
+    near = written(near_pairs(counts.select("token"), parts.select(F.col("part").alias("term")).distinct(), threshold), "near")
+    weight = near.join(counts, "token").groupBy(F.col("term").alias("part")).agg(F.sum("n_").alias("w_"))
+    # a term with a word that is near to none cannot match, so it has no anchor
+    anchors = parts.join(weight, "part").groupBy("rank").agg(F.min(F.struct("w_", "i", "part")).alias("a"), F.count("*").alias("found_"), F.first("n").alias("n")).where("found_ = n")
+    anchored = anchors.select("rank", "n", "a.i", "a.part").join(near.select("token", F.col("term").alias("part")), "part").join(ranked, "rank")
+    anchored = written(anchored.select("token", "rank", "n", "i", "term", "parts"), "anchors")
+    longest = anchored.agg(F.max("n")).first()[0] or 1
+    frame = Window.partitionBy("job_id").orderBy("word_idx").rowsBetween(1 - longest, longest - 1)
+    rows = tok.select("job_id", "word_idx", "token", F.collect_list(F.struct("word_idx", "word", "token", "end_ms")).over(frame).alias("around"))
+    met = rows.join(anchored, "token").withColumn("start_", F.col("word_idx") - F.col("i"))
+    met = met.withColumn("span", F.filter("around", lambda x: (x["word_idx"] >= F.col("start_")) & (x["word_idx"] < F.col("start_") + F.col("n"))))
+    alike = F.zip_with("span", "parts", lambda x, p: F.round(X.vocabulary_similarity(x["token"], p), 9) >= threshold)
+    hits = met.where((F.size("span") == F.col("n")) & F.forall(alike, lambda ok: ok))
+    return hits.select("job_id", F.col("start_").alias("word_idx"), "n", "rank", "term", X.canonical(F.col("term"), F.col("span")[0]["word"]).alias("shown"), F.element_at("span", -1)["end_ms"].alias("end_"))
+
+
+def phrase_matches(words: DataFrame, phrases: list[str] | DataFrame, threshold: float = 0.84) -> DataFrame:
+    """(job_id, word_idx, n, rank, term) of phrases whose every token is similar enough, overlaps resolved.
+
+    Longer phrases go first, then listed ones, then the leftmost. ``phrases``: texts, or a table (term, ord).
     """
-    found = []
-    ranked = sorted(enumerate(phrases), key=lambda p: (-len(p[1].split()), p[0]))
-    for order, (_, phrase) in enumerate(ranked):
-        parts = phrase.split()
-        tok = words.select("job_id", "word_idx", "word", X.normalize_token(F.col("word")).alias("t"))
-        near = [X.vocabulary_similarity(F.lead("t", i).over(in_job()) if i else F.col("t"), X.normalize_token(F.lit(p))) >= threshold for i, p in enumerate(parts)]
-        all_near: Column = reduce(lambda a, b: a & b, near)
-        hit = tok.withColumn("ok_", all_near).where("ok_")
-        found.append(hit.select("job_id", "word_idx", F.lit(len(parts)).alias("n"), F.lit(order).alias("ord"), X.canonical(F.lit(phrase), F.col("word")).alias("term")))
-    every = reduce(DataFrame.unionByName, found)
-    # the phrase's rank comes before the position, so it takes the place of the length in the fold
-    ranked_rows = every.select("job_id", "word_idx", "n", "ord", "term")
-    return _by_rank(ranked_rows)
-
-
-def _by_rank(rows: DataFrame) -> DataFrame:
-    grouped = rows.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ord", "word_idx", "n", "term"))).alias("c"))
-    kind = rows.select(F.array(F.struct("ord", "word_idx", "n", "term"))).schema.fields[0].dataType.simpleString()
-
-    def step(kept: Column, x: Column) -> Column:
-        clash = F.exists(kept, lambda k: (k["word_idx"] < x["word_idx"] + x["n"]) & (x["word_idx"] < k["word_idx"] + k["n"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
-
-    return grouped.select("job_id", F.explode(F.aggregate("c", F.expr(f"cast(array() as {kind})"), step)).alias("k")).select("job_id", "k.*")
+    if isinstance(phrases, list):
+        phrases = words.sparkSession.createDataFrame([(p, i) for i, p in enumerate(phrases)], "term string, ord int")
+    kept = without_overlaps(_span_candidates(words, _ranked(phrases), threshold), "rank")
+    return kept.select("job_id", "word_idx", "n", "rank", F.col("shown").alias("term"))
 
 
 __all__ = ["CATEGORIES", "apply_terms", "best_terms", "by_category", "hints", "merge_layers", "phrase_matches", "without_overlaps"]

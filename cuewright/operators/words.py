@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuewright.functions import text as X
+from cuewright.operators.folds import scan
 from cuewright.schema import Settings
 
 
@@ -97,18 +99,20 @@ def pause_turns(words: DataFrame, gap_ms: int = Settings.speaker_gap_ms) -> Data
 
 
 def toggle_labels(regions: DataFrame, gap_ms: int = Settings.speaker_gap_ms) -> DataFrame:
-    """Flip a label that repeats after a long pause, relative to the label given before it."""
-    rows = regions.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "label"))).alias("r"))
-    none = F.expr("cast(array() as array<struct<start_ms: bigint, end_ms: bigint, label: int>>)")
-    zero = F.struct(F.lit(None).cast("long").alias("end"), F.lit(None).cast("int").alias("label"), none.alias("out"))
+    """Flip a label (1 or 2) that repeats after a long pause, relative to the label given before it.
 
-    def step(acc: Column, x: Column) -> Column:
-        flips = (x["start_ms"] - acc["end"] >= gap_ms) & (x["label"] == acc["label"])
-        label = F.when(F.coalesce(flips, F.lit(False)), 3 - x["label"]).otherwise(x["label"]).cast("int")
-        row = F.struct(x["start_ms"].cast("long").alias("start_ms"), x["end_ms"].cast("long").alias("end_ms"), label.alias("label"))
-        return F.struct(x["end_ms"].cast("long").alias("end"), label.alias("label"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return rows.select("job_id", F.explode(F.aggregate("r", zero, step, lambda a: a["out"])).alias("s")).select("job_id", "s.*")
+    After a long pause the given label is always the other one: a repeated label flips, another
+    one is other already. So a label is that of the last region without such a pause before it,
+    flipped once for every region since; windows count these, and no state is carried.
+    """
+    order = ["start_ms", "end_ms", "label"]
+    by = Window.partitionBy("job_id").orderBy(*order)
+    plain = F.coalesce((F.col("start_ms") - F.lag("end_ms").over(by) < gap_ms) | F.lag("label").over(by).isNull() | F.col("label").isNull(), F.lit(True))
+    runs = regions.withColumn("plain_", plain).withColumn("run_", F.sum(F.col("plain_").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    inside = Window.partitionBy("job_id", "run_").orderBy(*order)
+    first, flips = F.first("label").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.row_number().over(inside) - 1
+    label = F.when(flips % 2 == 1, 3 - first).otherwise(first).cast("int")
+    return runs.select("job_id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), label.alias("label"))
 
 
 def speaker_at(words: DataFrame, segments: DataFrame, slack_ms: int = 1, bin_ms: int = 60_000) -> DataFrame:
@@ -188,20 +192,84 @@ def events_in_silence(events: DataFrame, words: DataFrame, slack_ms: int = 1, bi
     return named.join(hit.distinct(), "id_", "left_anti").drop("id_")
 
 
+_EVENT_ORDER = ["start_ms", "end_ms", "label", "confidence"]
+
+
+def _spaced(events: DataFrame, slack_ms: int, tiny: bool = False) -> DataFrame:
+    """Events (``end_ms`` as placed) that start after the end of all kept before them.
+
+    An event that starts after the end of all events before it, kept or not, owes nothing to
+    them: there a job is cut into pieces. ``tiny``: an event whose own end ``own_end_`` lies within the slack of its
+    start goes before a kept one with its start.
+    """
+    order = [("own_end_" if tiny and c == "end_ms" else c) for c in _EVENT_ORDER]
+    by = Window.partitionBy("job_id").orderBy(*order)
+    reach = F.max("end_ms").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    free = F.coalesce(reach <= F.col("start_ms") + slack_ms, F.lit(True))
+    pieces = events.withColumn("piece_", F.sum(free.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    def step(state: tuple, start: int, end: int, own: int) -> tuple:
+        at, earlier, last = state  # start of the last kept event, ends of those before that start, and of all
+        if at is not None and start > at:
+            earlier = last
+        clear = last is None or last <= start + slack_ms
+        short = tiny and start == at and own <= start + slack_ms and (earlier is None or earlier <= start + slack_ms)
+        if not (clear or short):
+            return (at, earlier, last) if start == at else (at, last, last), False
+        return (start, earlier if start == at else last, end if last is None else max(last, end)), True
+
+    inputs = ["start_ms", "end_ms", "own_end_" if tiny else "end_ms"]
+    return scan(pieces, ["job_id", "piece_"], order, inputs, "kept_", T.BooleanType(), (None, None, None), step).where("kept_").drop("kept_", "piece_")
+
+
 def place_events(events: DataFrame, slack_ms: int = 1, least_ms: int = 200) -> DataFrame:
     """Events that also clear the events placed before them; a placed one lasts ``least_ms`` at least."""
-    rows = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "label", "confidence"))).alias("r"))
-    none = F.expr("cast(array() as array<struct<start_ms: bigint, end_ms: bigint, label: string, confidence: double>>)")
-    zero = F.struct(F.lit(None).cast("long").alias("end"), none.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        free = acc["end"].isNull() | (acc["end"] <= x["start_ms"] + slack_ms)
-        end = F.greatest(x["end_ms"], x["start_ms"] + least_ms).cast("long")
-        row = F.struct(x["start_ms"].cast("long").alias("start_ms"), end.alias("end_ms"), x["label"].alias("label"), x["confidence"].alias("confidence"))
-        kept = F.struct(F.greatest(acc["end"], end).alias("end"), F.concat(acc["out"], F.array(row)).alias("out"))
-        return F.when(free, kept).otherwise(acc)
-
-    return rows.select("job_id", F.explode(F.aggregate("r", zero, step, lambda a: a["out"])).alias("e")).select("job_id", "e.*")
+    rows = events.select("job_id", F.col("start_ms").cast("long").alias("start_ms"), F.greatest("end_ms", F.col("start_ms") + least_ms).cast("long").alias("end_ms"), "label", "confidence")
+    return _spaced(rows, slack_ms)
+
+
+def insert_events(words: DataFrame, events: DataFrame, slack_ms: int = 1, least_ms: int = 200) -> DataFrame:
+    """Words with event tokens between them, indexed anew; ``old_idx`` is a word's index before, null for events.
+
+    An event stands before the first word, in the words' order, that ends after the event's
+    start, and only if that word starts when the event has ended; else it would lie over speech and goes.
+    Placed events count as words for later ones, and last ``least_ms`` at least. Of events that start together
+    those within the slack all stay. Ties go by end, label and confidence.
+
+    Words and events of a job are two ordered streams: the largest end so far never falls, so one
+    union sorted by it puts every event behind the words that it follows, and windows over that
+    order find the next word and the new indices. Words are not joined with events.
+    """
+    spoken = words.withColumn("at_", F.max("end_ms").over(in_job().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spoken = spoken.select("job_id", "at_", F.lit(0).alias("kind_"), "word_idx", "word", "start_ms", "end_ms", F.col("end_ms").alias("own_end_"), "confidence", "speaker")
+    blank = lambda t: F.lit(None).cast(t)
+    end = F.greatest("end_ms", F.col("start_ms") + least_ms).cast("long")
+    heard = events.select(
+        "job_id", (F.col("start_ms") + slack_ms).alias("at_"), F.lit(1).alias("kind_"), blank("long").alias("word_idx"), F.col("label").alias("word"),
+        F.col("start_ms").cast("long").alias("start_ms"), end.alias("end_ms"), F.col("end_ms").cast("long").alias("own_end_"), F.col("confidence").cast("double").alias("confidence"), blank("string").alias("speaker"),
+    )
+    back = Window.partitionBy("job_id").orderBy(F.desc("at_"), F.desc("kind_"), F.desc("word_idx"))
+    following = F.last(F.when(F.col("kind_") == 0, F.col("start_ms")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    both = spoken.unionByName(heard).withColumn("next_", following)
+    silent = both.where("kind_ = 1").where(F.coalesce(F.col("next_") >= F.col("own_end_") - slack_ms, F.lit(True)))
+    placed = _spaced(silent.withColumnRenamed("word", "label"), slack_ms, tiny=True).withColumnRenamed("label", "word")
+    order = Window.partitionBy("job_id").orderBy("at_", "kind_", "word_idx", F.desc("word"), F.desc("confidence"))
+    merged = spoken.unionByName(placed.drop("next_"))
+    return merged.select(
+        "job_id", (F.row_number().over(order) - 1).cast("long").alias("word_idx"), "word", "start_ms", "end_ms", "confidence", "speaker", F.col("word_idx").alias("old_idx")
+    )
+
+
+def carry_indices(decisions: DataFrame, merged: DataFrame) -> DataFrame:
+    """Decisions on words (``word_idx``, and ``end_idx`` after the last) with the indices of ``insert_events``.
+
+    An event between the words of a decision lies inside its span.
+    """
+    moved = merged.where("old_idx is not null").select("job_id", F.col("old_idx").alias("old_"), F.col("word_idx").alias("new_"))
+    first, last = moved.withColumnsRenamed({"old_": "f_", "new_": "first_"}), moved.withColumnsRenamed({"old_": "l_", "new_": "last_"})
+    rows = decisions.withColumns({"f_": F.col("word_idx"), "l_": F.col("end_idx") - 1})
+    rows = rows.join(first, ["job_id", "f_"]).join(last, ["job_id", "l_"])
+    return rows.withColumns({"word_idx": F.col("first_"), "end_idx": F.col("last_") + 1}).select(*decisions.columns)
 
 
 def even_spacing(texts: DataFrame, duration: Column) -> DataFrame:

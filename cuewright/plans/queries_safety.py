@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cuewright.functions import text as X
 from cuewright.operators import safety as S
 from cuewright.operators import vocabulary as V
+from cuewright.operators import words as W
+from cuewright.plans.queries_words import _EVENTS, _INSERTED, sound_events
 from cuewright.plans.sql import NORM, WORDS_CONV, WORDS_DOC, similarity_sql, vocab_similarity_sql
 from cuewright.sources.shared import written
 from cuewright.sources.tables import words_of_conversations, words_of_documents
@@ -178,6 +180,18 @@ def decision_summary(spark, d) -> DataFrame:
     return S.decision_summary(decisions_of_documents(spark, d))
 
 
+@query(
+    "decisions_among_events",
+    WORDS_DOC + _HITS + _DECIDE + ", " + _EVENTS + _INSERTED
+    + """SELECT d.job_id, f.word_idx, l.word_idx + 1 AS end_idx, d.original, d.action FROM decisions d
+JOIN merged f ON f.job_id = d.job_id AND f.old_idx = d.word_idx JOIN merged l ON l.job_id = d.job_id AND l.old_idx = d.end_idx - 1""",
+)
+def decisions_among_events(spark, d) -> DataFrame:
+    """Decisions with the indices that words have once sound events stand between them."""
+    merged = W.insert_events(words_of_documents(spark, d), W.filter_events(sound_events(spark, d)))
+    return W.carry_indices(decisions_of_documents(spark, d), merged).select("job_id", "word_idx", "end_idx", "original", "action")
+
+
 _LAYERS = [
     (0, 0, "Thanedble", "people"), (0, 1, "Cinmente", "other"), (0, 2, "Orantion", "games"), (1, 0, "orantion", "toys"),
     (1, 1, "Tiontion", "brands"), (2, 0, "CINMENTE", "locations"), (2, 1, "the tion", "phrases"),

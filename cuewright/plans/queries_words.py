@@ -211,6 +211,25 @@ def event_placement(spark, d) -> DataFrame:
     return W.place_events(W.filter_events(sound_events(spark, d))).select("job_id", "start_ms", "end_ms", "label")
 
 
+_INSERTED = """, kx AS (SELECT *, row_number() OVER (ORDER BY event_id) AS k FROM kept),
+fw AS (SELECT k.*, (SELECT min(w.word_idx) FROM words w WHERE w.job_id = k.job_id AND w.end_ms > k.start_ms + 1) AS nxt FROM kx k),
+fr AS (SELECT f.* FROM fw f LEFT JOIN words w ON w.job_id = f.job_id AND w.word_idx = f.nxt WHERE f.nxt IS NULL OR w.start_ms >= f.end_ms - 1),
+io AS (SELECT *, greatest(end_ms, start_ms + 200) AS e2, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms, label, confidence) AS r FROM fr),
+ifold AS (SELECT job_id, r, start_ms, e2, label, confidence, nxt, TRUE AS ok, e2 AS last FROM io WHERE r = 1
+ UNION ALL SELECT o.job_id, o.r, o.start_ms, o.e2, o.label, o.confidence, o.nxt, f.last <= o.start_ms + 1, CASE WHEN f.last <= o.start_ms + 1 THEN greatest(f.last, o.e2) ELSE f.last END
+ FROM ifold f JOIN io o ON o.job_id = f.job_id AND o.r = f.r + 1),
+im AS (SELECT job_id, word_idx AS pos, 1 AS kind, 0 AS r, word_idx AS old_idx, word, start_ms, end_ms, confidence FROM words
+ UNION ALL SELECT job_id, coalesce(nxt, 9000000000000000000), 0, r, NULL, label, start_ms, e2, CAST(confidence AS DOUBLE) FROM ifold WHERE ok),
+merged AS (SELECT *, CAST(row_number() OVER (PARTITION BY job_id ORDER BY pos, kind, r) - 1 AS BIGINT) AS word_idx FROM im)
+"""
+
+
+@query("event_insertion", WORDS_DOC + ", " + _EVENTS + _INSERTED + "SELECT job_id, word_idx, old_idx, word, start_ms, end_ms, confidence FROM merged")
+def event_insertion(spark, d) -> DataFrame:
+    merged = W.insert_events(_words_for_events(spark, d), W.filter_events(sound_events(spark, d)))
+    return merged.select("job_id", "word_idx", "old_idx", "word", "start_ms", "end_ms", "confidence")
+
+
 @query(
     "event_sessions",
     """WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),

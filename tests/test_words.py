@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
@@ -68,3 +70,73 @@ def test_timecodes(spark):
 def test_soundex_never_resets_at_vowels(spark):
     df = spark.createDataFrame([("jackson",), ("robert",), ("",), ("tymczak",)], "w string")
     assert [r[0] for r in df.select(X.soundex(F.col("w"))).collect()] == ["J500", "R163", "", "T520"]
+
+
+def merged_by_hand(words, events, slack=1, least=200):
+    """Event by event, each against the list so far (times in ms)."""
+    merged = [(w, s, e, i) for i, (w, s, e) in enumerate(words)]
+    for label, start, end, _ in sorted(events, key=lambda x: (x[1], x[2], x[0], x[3])):
+        at, clash = len(merged), False
+        for i, (_, s, e, _) in enumerate(merged):
+            if e <= start + slack:
+                at = i + 1
+            elif s >= end - slack:
+                at = i
+                break
+            else:
+                clash = True
+                break
+        if not clash:
+            merged.insert(at, (label, start, max(end, start + least), None))
+    return merged
+
+
+def test_events_become_words(spark):
+    r = random.Random(4)
+    jobs_w, jobs_e, want = [], [], {}
+    for job in range(60):
+        t, words = 0, []
+        for i in range(r.randint(0, 12)):
+            t += r.choice([0, 0, 150, 400, 900, -120])
+            words.append((f"w{i}", t, t + r.choice([50, 300])))
+            t += 300
+        events = [(f"[{r.choice('abc')}]", s, s + r.choice([1, 1, 2, 60, 250, 600]), r.choice([0.9, 0.95])) for s in (r.choice([r.randint(0, 5000), 700, 1300]) for _ in range(r.randint(0, 9)))]
+        jobs_w += [(job, i, w, s, e, 0.5, "A") for i, (w, s, e) in enumerate(words)]
+        jobs_e += [(job, x, s, e, c) for x, s, e, c in events]
+        want[job] = merged_by_hand(words, events)
+    w = spark.createDataFrame(jobs_w, "job_id long, word_idx long, word string, start_ms long, end_ms long, confidence double, speaker string")
+    e = spark.createDataFrame(jobs_e, "job_id long, label string, start_ms long, end_ms long, confidence double")
+    got = {}
+    merged = W.insert_events(w, e)
+    for x in merged.orderBy("job_id", "word_idx").collect():
+        assert x["word_idx"] == len(got.setdefault(x["job_id"], []))
+        got[x["job_id"]].append((x["word"], x["start_ms"], x["end_ms"], x["old_idx"]))
+    assert got == {k: v for k, v in want.items() if v}
+    assert sum(x[3] is None for v in want.values() for x in v) > 100
+    spans = spark.createDataFrame([(j, 0, len([x for x in v if x[3] is not None]), "s") for j, v in want.items() if any(x[3] is not None for x in v)], "job_id long, word_idx long, end_idx long, original string")
+    for x in W.carry_indices(spans, merged).collect():
+        old = [i for i, y in enumerate(want[x["job_id"]]) if y[3] is not None]
+        assert (x["word_idx"], x["end_idx"]) == (old[0], old[-1] + 1)
+    assert W.insert_events(w.limit(0), e.limit(0)).collect() == []
+
+
+def test_toggled_labels_and_placed_events_in_linear_time(spark):
+    r = random.Random(5)
+    rows = []
+    for job in range(40):
+        t = 0
+        for _ in range(r.randint(1, 30)):
+            t += r.choice([10, 900])
+            rows.append((job, t, t + 50, r.choice([1, 2, 2, None] if job % 5 == 0 else [1, 2])))
+            t += 50
+    want, last = {}, {}
+    for job, s, e, label in rows:
+        end, before = last.get(job, (None, None))
+        out = 3 - label if end is not None and s - end >= 800 and label == before and label is not None else label
+        last[job] = (e, out)
+        want[job, s] = out
+    got = W.toggle_labels(spark.createDataFrame(rows, "job_id int, start_ms long, end_ms long, label int"), 800).collect()
+    assert {(x["job_id"], x["start_ms"]): x["label"] for x in got} == want
+    n = 200_000
+    one = spark.range(n).select(F.lit(1).alias("job_id"), (F.col("id") * 150).alias("start_ms"), (F.col("id") * 150 + 100).alias("end_ms"), F.lit("[a]").alias("label"), F.lit(0.9).alias("confidence"))
+    assert W.place_events(one).count() == n // 2  # each lasts 200 ms and bars the next
