@@ -10,10 +10,13 @@ Every pair that meets is then measured, so the result is exact.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
+from cuewright.sources.shared import written
 
 #: Up to so many edits, deletions are listed; beyond, pieces.
 DELETED = 2
@@ -82,11 +85,16 @@ def _parts(tokens: DataFrame, terms: DataFrame, threshold: float) -> DataFrame:
 def near_pairs(tokens: DataFrame, terms: DataFrame, threshold: float) -> DataFrame:
     """(token, term, score) of vocabulary similarity ``threshold`` or more, once for each pair.
 
-    ``tokens``: token, ``terms``: term; both normalised and distinct. Empty and null ones have no pairs.
+    ``tokens``: token, ``terms``: term; both normalised. Empty and null ones have no pairs. Only
+    tokens of a length that some term allows are made distinct, and they are written once for
+    both ways to meet.
     """
     if not 0.5 < threshold <= 1:
         raise ValueError("the threshold must be above one half, and one at most")
-    tokens, terms = tokens.where("token <> ''"), terms.where("term <> ''")
+    terms = terms.where("term <> ''").distinct()
+    least, most = terms.agg(F.min(F.length("term")), F.max(F.length("term"))).first()
+    reach = F.length("token").between(math.floor((least or 1) * threshold), math.ceil((most or 0) / threshold))
+    tokens = written(tokens.where("token <> ''").where(reach).distinct(), "tokens")
     met = _by_deletions(tokens, "token", threshold).join(_by_deletions(terms, "term", threshold), "key").select("token", "term")
     met = met.unionByName(_parts(tokens, terms, threshold).join(_pieces(terms, threshold), "key").select("token", "term"))
     score = F.round(X.vocabulary_similarity(F.col("token"), F.col("term")), 9)

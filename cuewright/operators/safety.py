@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cuewright.functions import text as X
 from cuewright.operators.words import in_job
 from cuewright.schema import Settings
+from cuewright.sources.shared import written
 
 
 #: sources of candidates are this far apart in ``rank``
@@ -21,7 +22,7 @@ RANK = 1 << 32
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Small dictionaries; they become tables that Catalyst broadcasts if they are small enough."""
+    """Dictionaries written down in code, as small tables."""
 
     words: dict[str, str] = field(default_factory=dict)
     phrases: dict[str, str] = field(default_factory=dict)
@@ -37,11 +38,58 @@ class Lexicon:
         rows = [(k, i, v) for k, vs in getattr(self, which).items() for i, v in enumerate(vs)]
         return spark.createDataFrame(rows, "key string, ord int, cand string")
 
+    def allowed(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(t,) for t in dict.fromkeys(self.allowlist)], "term string")
+
     def known(self, spark: SparkSession) -> DataFrame:
         """Allow-listed and vocabulary terms, in alphabetical order."""
         rows = [(t, i, t in self.allowlist) for i, t in enumerate(sorted({*self.allowlist, *self.vocabulary}))]
         return spark.createDataFrame(rows, "cand string, ord int, allowed boolean")
 
+    def longest(self, spark: SparkSession) -> int:
+        """Words of the longest phrase."""
+        return max([len(p.split()) for p in self.phrases], default=1)
+
+    def only_phrases(self) -> Lexicon:
+        return Lexicon(phrases=self.phrases)
+
+
+@dataclass(frozen=True)
+class LexiconTables:
+    """A lexicon of any size: no entry of it becomes part of a plan.
+
+    ``words`` and ``phrases``: matched, severity, one row an entry; ``confusions`` and
+    ``collocations``: key, ord, cand; ``allowlist`` and ``vocabulary``: term. All normalised.
+    """
+
+    words: DataFrame
+    phrases: DataFrame
+    allowlist: DataFrame
+    confusions: DataFrame
+    collocations: DataFrame
+    vocabulary: DataFrame
+
+    def severities(self, spark: SparkSession, which: str) -> DataFrame:
+        return getattr(self, which)
+
+    def listed(self, spark: SparkSession, which: str) -> DataFrame:
+        return getattr(self, which)
+
+    def allowed(self, spark: SparkSession) -> DataFrame:
+        return self.allowlist.select("term").distinct()
+
+    def known(self, spark: SparkSession) -> DataFrame:
+        """Allow-listed and vocabulary terms; ``ord`` rises with the alphabet."""
+        both = self.allowlist.select("term", F.lit(True).alias("allowed")).unionByName(self.vocabulary.select("term", F.lit(False).alias("allowed")))
+        terms = both.groupBy(F.col("term").alias("cand")).agg(F.max("allowed").alias("allowed"))
+        return terms.orderBy("cand").select("cand", F.monotonically_increasing_id().alias("ord"), "allowed")
+
+    def longest(self, spark: SparkSession) -> int:
+        return self.phrases.agg(F.max(F.size(F.split("matched", " ")))).first()[0] or 1
+
+    def only_phrases(self) -> LexiconTables:
+        return replace(self, words=self.words.limit(0))
+
 
 def merge_ordered(layers: Iterable[Iterable[str]]) -> list[str]:
     """Distinct terms of several lists, first seen first."""
@@ -55,55 +103,66 @@ def allowlist_union(layers: DataFrame) -> DataFrame:
     return first.select("term", F.row_number().over(Window.orderBy("at")).alias("position"))
 
 
-def _spans(words: DataFrame, lexicon: Lexicon, n: int) -> DataFrame:
-    """Each word with all that a match starting there can need, by one window over its job.
+def match_starts(lexicon: Lexicon | LexiconTables, spark: SparkSession) -> DataFrame:
+    """(token, stem, severity, sizes): what a match can start with, one row a token, written to the shared folder.
 
-    ``row_`` holds the word and the words after it, ``before_`` up to ``n`` words before it.
+    A token's first stem that is a listed word, found from the words' side: every word with every
+    suffix. ``sizes``: the lengths of the phrases that begin with the token. Its size is known
+    once it is written, so Catalyst broadcasts it to the words only if it is small.
     """
-    longest = max([len(p.split()) for p in lexicon.phrases], default=1)
-    own = F.struct("word", X.normalize_token(F.col("word")).alias("token"), "end_ms", "confidence")
-    tok = words.select("job_id", "word_idx", "start_ms", own.alias("w_"))
+    suffixes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("suffix")) for i, x in enumerate(["", *X.SUFFIXES])])
+    forms = lexicon.severities(spark, "words").where("matched <> ''").select("matched", "severity", F.explode(suffixes).alias("x"))
+    forms = forms.where((F.col("x.suffix") == "") | (F.length("matched") >= 3)).groupBy(F.concat("matched", F.col("x.suffix")).alias("token"))
+    stems = forms.agg(F.min(F.struct("x.i", "matched", "severity")).alias("f")).select("token", F.col("f.matched").alias("stem"), "f.severity")
+    parts = lexicon.severities(spark, "phrases").select(F.split("matched", " ").alias("parts")).where(F.size("parts") > 1)
+    heads = parts.groupBy(F.col("parts")[0].alias("token")).agg(F.collect_set(F.size("parts")).alias("sizes"))
+    return written(stems.join(heads, "token", "full"), "starts")
+
+
+def _spans(words: DataFrame, lexicon: Lexicon | LexiconTables, n: int) -> DataFrame:
+    """Each word at which a match can start, with all that the match can need, by one window over its job.
+
+    ``row_`` holds the word and the words after it, ``before_`` up to ``n`` words before it;
+    stem, severity and sizes are those of ``match_starts``.
+    """
+    spark = words.sparkSession
+    longest = lexicon.longest(spark)
+    own = F.struct("word", "token", "end_ms", "confidence")
+    tok = words.withColumn("token", F.coalesce(X.normalize_token(F.col("word")), F.lit(""))).join(match_starts(lexicon, spark), "token", "left")
+    tok = tok.select("job_id", "word_idx", "start_ms", own.alias("w_"), "stem", "severity", "sizes")
     rest = [F.lead("w_", i).over(in_job()) for i in range(1, longest + n)]
     past = [F.lag("w_", i).over(in_job()) for i in range(n, 0, -1)]
     here = lambda cols: F.filter(F.array(*cols), lambda x: x.isNotNull())
-    wide = tok.select("job_id", "word_idx", "start_ms", "w_", *[c.alias(f"r{i}_") for i, c in enumerate(rest)], *[c.alias(f"p{i}_") for i, c in enumerate(past)])
-    # a match starts with the first word of a phrase, or shares three letters with a known word
-    heads, starts = {p.split()[0] for p in lexicon.phrases if p}, {w[:3] for w in lexicon.words}
-    token = F.col("w_.token")
-    wide = wide.where((token.isin(*heads) if heads else F.lit(False)) | (F.left(token, F.lit(3)).isin(*starts) if starts else F.lit(False)))
+    mark = ["stem", "severity", "sizes"]
+    wide = tok.select("job_id", "word_idx", "start_ms", "w_", *mark, *[c.alias(f"r{i}_") for i, c in enumerate(rest)], *[c.alias(f"p{i}_") for i, c in enumerate(past)])
+    wide = wide.where("stem is not null or sizes is not null")
     row, before = here(["w_", *[f"r{i}_" for i in range(len(rest))]]), here([f"p{i}_" for i in range(len(past))])
-    return wide.select("job_id", "word_idx", "start_ms", row.alias("row_"), (before if past else F.slice(row, 1, 0)).alias("before_"))
-
-
-def _matches(spans: DataFrame, lexicon: Lexicon, n: int) -> DataFrame:
-    """All matches, overlaps included: phrases of every length, and single words by their first known stem."""
-    sizes = sorted({len(p.split()) for p in lexicon.phrases if len(p.split()) > 1}, reverse=True)
-    row, none = F.col("row_"), F.lit(None).cast("string")
-
-    def match(size: int, matched: Column) -> Column:
-        inside = F.slice(row, 1, size)
-        conf = F.filter(F.transform(inside, lambda x: x["confidence"]), lambda c: c.isNotNull())
-        total = F.aggregate(conf, F.lit(0.0), lambda a, c: a + c)
-        allowed = F.exists(inside, lambda x: x["token"].isin(*lexicon.allowlist)) if lexicon.allowlist else F.lit(False)
-        if size == 1 and lexicon.allowlist:
-            allowed = allowed | matched.isin(*lexicon.allowlist)
-        return F.struct(
-            F.lit(size).alias("n"), matched.alias("matched"), F.array_join(F.transform(inside, lambda x: x["word"]), " ").alias("word"), F.element_at(inside, -1)["end_ms"].alias("end_ms"),
-            F.when(F.size(conf) > 0, total / F.size(conf)).alias("asr_confidence"), F.coalesce(allowed, F.lit(False)).alias("allowlisted"),
-            F.transform(F.slice(row, size + 1, n), lambda x: x["word"]).alias("context_after"),
-        )
-
-    found = []
-    for size in sizes:
-        listed = [p for p in lexicon.phrases if len(p.split()) == size]
-        text = F.array_join(F.transform(F.slice(row, 1, size), lambda x: x["token"]), " ")
-        found.append(match(size, F.when((F.size(row) >= size) & text.isin(*listed), text).otherwise(none)))
-    if lexicon.words:
-        stem = F.get(F.filter(X.stems(row[0]["token"]), lambda x: x.isin(*lexicon.words)), F.lit(0))
-        found.append(match(1, F.when(row[0]["token"] != "", stem)))
-    every = F.array(*found) if found else F.array(match(1, none))
-    rows = spans.select("job_id", "word_idx", "start_ms", F.transform("before_", lambda x: x["word"]).alias("context_before"), F.explode(F.filter(every, lambda m: m["matched"].isNotNull())).alias("m"))
-    return rows.select("job_id", "word_idx", "start_ms", "context_before", "m.*")
+    return wide.select("job_id", "word_idx", "start_ms", *mark, row.alias("row_"), (before if past else F.slice(row, 1, 0)).alias("before_"))
+
+
+def _matches(spans: DataFrame, lexicon: Lexicon | LexiconTables, n: int) -> DataFrame:
+    """All matches, overlaps included: phrases of every length, and single words by their first known stem.
+
+    A start names its phrases' lengths, and the tokens of that length meet the phrases in an equi-join.
+    """
+    row = F.col("row_")
+    tokens = lambda size: F.transform(F.slice(row, 1, size), lambda x: x["token"])
+    one = lambda size, matched, kind: F.struct(size.cast("int").alias("n"), matched.alias("matched"), F.lit(kind).alias("match_type"))
+    none = F.slice(F.array(one(F.lit(1), F.lit(""), "word")), 1, 0)
+    phrases = F.transform(F.filter("sizes", lambda k: k <= F.size(row)), lambda k: one(k, F.array_join(tokens(k), " "), "phrase"))
+    single = F.when(F.col("stem").isNotNull(), F.array(one(F.lit(1), F.col("stem"), "word")))
+    tried = spans.withColumn("m", F.explode(F.concat(F.coalesce(phrases, none), F.coalesce(single, none))))
+    listed = lexicon.severities(spans.sparkSession, "phrases").select(F.col("matched").alias("p_"), F.col("severity").alias("ps_"))
+    found = tried.join(listed, F.when(F.col("m.match_type") == "phrase", F.col("m.matched")) == F.col("p_"), "left").where("m.match_type = 'word' or p_ is not null")
+    inside = F.slice(row, 1, F.col("m.n"))
+    conf = F.filter(F.transform(inside, lambda x: x["confidence"]), lambda c: c.isNotNull())
+    total = F.aggregate(conf, F.lit(0.0), lambda a, c: a + c)
+    return found.select(
+        "job_id", "word_idx", "start_ms", F.transform("before_", lambda x: x["word"]).alias("context_before"), "m.*",
+        F.when(F.col("m.match_type") == "phrase", F.col("ps_")).otherwise(F.col("severity")).alias("severity"), tokens(F.col("m.n")).alias("tokens"),
+        F.array_join(F.transform(inside, lambda x: x["word"]), " ").alias("word"), F.element_at(inside, -1)["end_ms"].alias("end_ms"),
+        F.when(F.size(conf) > 0, total / F.size(conf)).alias("asr_confidence"), F.transform(F.slice(row, F.col("m.n") + 1, n), lambda x: x["word"]).alias("context_after"),
+    )
 
 
 def without_overlaps(candidates: DataFrame, *rank: str) -> DataFrame:
@@ -127,26 +186,28 @@ def without_overlaps(candidates: DataFrame, *rank: str) -> DataFrame:
     return candidates.groupBy("job_id").applyInArrow(run, candidates.schema)
 
 
-def phrase_candidates(words: DataFrame, lexicon: Lexicon) -> DataFrame:
+def phrase_candidates(words: DataFrame, lexicon: Lexicon | LexiconTables) -> DataFrame:
     """(job_id, word_idx, n, matched, severity) of all phrase matches, overlaps included."""
-    only = Lexicon(phrases=lexicon.phrases)
-    rows = _matches(_spans(words, only, 0), only, 0).select("job_id", "word_idx", "n", "matched")
-    return rows.join(lexicon.severities(words.sparkSession, "phrases"), "matched").select("job_id", "word_idx", "n", "matched", "severity")
+    only = lexicon.only_phrases()
+    return _matches(_spans(words, only, 0), only, 0).select("job_id", "word_idx", "n", "matched", "severity")
 
 
-def detect(words: DataFrame, lexicon: Lexicon, s: Settings = Settings()) -> DataFrame:
+def detect(words: DataFrame, lexicon: Lexicon | LexiconTables, s: Settings = Settings()) -> DataFrame:
     """Phrase and word hits with times, severity, allow-listing and context.
 
-    Words are read once and shuffled once, on job_id: one window gives each word what a match
-    there needs, and only matches go on. Word indices are dense.
+    Words are read once and, with a lexicon small enough to broadcast, shuffled once, on job_id:
+    one window gives each word what a match there needs, and only matches go on. Word indices are
+    dense. The hits' few tokens then meet the allow-list.
     """
-    spark, n = words.sparkSession, max(1, s.context_window)
+    n = max(1, s.context_window)
     kept = without_overlaps(_matches(_spans(words, lexicon, n), lexicon, n))
-    kept = kept.withColumn("match_type", F.when(F.col("n") > 1, "phrase").otherwise("word"))
-    listed = lambda which, kind: lexicon.severities(spark, which).withColumn("match_type", F.lit(kind))
-    severity = listed("phrases", "phrase").unionByName(listed("words", "word"))
-    return kept.join(severity, ["match_type", "matched"]).select(
-        "job_id", "word_idx", (F.col("word_idx") + F.col("n")).alias("end_idx"), "match_type", "matched", "severity", "word", "start_ms", "end_ms", "asr_confidence", "context_before", "context_after", "allowlisted"
+    names = F.array_distinct(F.when(F.col("match_type") == "word", F.concat("tokens", F.array("matched"))).otherwise(F.col("tokens")))
+    allowed = lexicon.allowed(words.sparkSession).select(F.col("term").alias("name_"), F.lit(True).alias("ok_"))
+    met = kept.select("job_id", "word_idx", F.struct(*[c for c in kept.columns if c not in ("job_id", "word_idx", "tokens")]).alias("h"), F.explode(names).alias("name_")).join(allowed, "name_", "left")
+    # kept hits don't overlap, so a job and a word name one
+    hits = met.groupBy("job_id", "word_idx").agg(F.first("h").alias("h"), F.coalesce(F.max("ok_"), F.lit(False)).alias("allowlisted"))
+    return hits.select(
+        "job_id", "word_idx", (F.col("word_idx") + F.col("h.n")).alias("end_idx"), "h.match_type", "h.matched", "h.severity", "h.word", "h.start_ms", "h.end_ms", "h.asr_confidence", "h.context_before", "h.context_after", "allowlisted"
     )
 
 
@@ -184,7 +245,7 @@ def similar_terms(tokens: DataFrame, known: DataFrame, least: float = 0.72) -> D
     return same.unionByName(other).where(X.phonetic_similarity(F.col("token"), F.col("cand")) >= least)
 
 
-def alternatives(hits: DataFrame, lexicon: Lexicon) -> DataFrame:
+def alternatives(hits: DataFrame, lexicon: Lexicon | LexiconTables) -> DataFrame:
     """(job_id, word_idx, cand, rank, score): candidates of each hit and how well they fit."""
     spark = hits.sparkSession
     side = lambda c, i: F.coalesce(X.normalize_token(F.try_element_at(c, F.lit(i))), F.lit(""))

@@ -79,14 +79,14 @@ def hints(vocabulary: DataFrame, limit: int = 40) -> DataFrame:
 
 
 def best_terms(tokens: DataFrame, terms: DataFrame, threshold: float = 0.84) -> DataFrame:
-    """(token, term, score): the best term of each distinct token at or above the threshold.
+    """(token, term, score): the best term of each token at or above the threshold, once for equal tokens.
 
     The first term wins ties. The result is written to the shared folder: few tokens are near a
     term, and with its size known words meet it without a shuffle on their tokens, some of which
     are very frequent, unless it is too large to broadcast.
     """
     t = terms.select(F.col("term").alias("shown_"), "ord", X.normalize_token(F.col("term")).alias("term"))
-    rows = near_pairs(tokens, t.select("term").distinct(), threshold).join(t, "term")
+    rows = near_pairs(tokens, t.select("term"), threshold).join(t, "term")
     best = rows.groupBy("token").agg(F.max_by(F.struct(F.col("shown_").alias("term"), "score"), F.struct("score", (-F.col("ord")).alias("o"))).alias("b"))
     return written(best.select("token", "b.*"), "terms")
 
@@ -110,7 +110,7 @@ def apply_terms(words: DataFrame, terms: DataFrame, threshold: float = 0.84) ->
         tok = tok.withColumns(
             {"word": F.when(taken, F.col("shown")).otherwise(F.col("word")), "end_ms": F.when(taken, F.col("end_")).otherwise(F.col("end_ms")), "token": F.when(~taken, F.col("token"))}
         ).select(*words.columns, "token")
-    best = best_terms(tok.select("token").distinct(), terms.where(~several), threshold)
+    best = best_terms(tok.select("token"), terms.where(~several), threshold)
     sure = (F.col("score") >= 0.999) | F.col("confidence").isNull() | (F.col("confidence") < 0.97)
     out = tok.join(best, "token", "left")
     return out.withColumn("word", F.when(sure & F.col("term").isNotNull(), X.canonical(F.col("term"), F.col("word"))).otherwise(F.col("word"))).select(*words.columns)
@@ -138,7 +138,7 @@ def _span_candidates(words: DataFrame, ranked: DataFrame, threshold: float) -> D
     tok = words.select("job_id", "word_idx", "word", "end_ms", F.coalesce(X.normalize_token(F.col("word")), F.lit("")).alias("token"))
     counts = written(tok.groupBy("token").agg(F.count("*").alias("n_")), "tokens")
     parts = ranked.select("rank", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "part"))
-    near = written(near_pairs(counts.select("token"), parts.select(F.col("part").alias("term")).distinct(), threshold), "near")
+    near = written(near_pairs(counts.select("token"), parts.select(F.col("part").alias("term")), threshold), "near")
     weight = near.join(counts, "token").groupBy(F.col("term").alias("part")).agg(F.sum("n_").alias("w_"))
     # a term with a word that is near to none cannot match, so it has no anchor
     anchors = parts.join(weight, "part").groupBy("rank").agg(F.min(F.struct("w_", "i", "part")).alias("a"), F.count("*").alias("found_"), F.first("n").alias("n")).where("found_ = n")

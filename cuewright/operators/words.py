@@ -228,48 +228,70 @@ def place_events(events: DataFrame, slack_ms: int = 1, least_ms: int = 200) -> D
     return _spaced(rows, slack_ms)
 
 
-def insert_events(words: DataFrame, events: DataFrame, slack_ms: int = 1, least_ms: int = 200) -> DataFrame:
-    """Words with event tokens between them, indexed anew; ``old_idx`` is a word's index before, null for events.
+def _spoken(words: DataFrame) -> DataFrame:
+    """Words with ``at_``, the largest end so far in their job; it never falls."""
+    return words.select(*words.columns, F.max("end_ms").over(in_job().rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("at_"))
+
+
+def events_among(words: DataFrame, events: DataFrame, slack_ms: int = 1, least_ms: int = 200) -> DataFrame:
+    """(job_id, label, start_ms, end_ms, confidence, next_idx) of the events that get a place between words.
 
     An event stands before the first word, in the words' order, that ends after the event's
-    start, and only if that word starts when the event has ended; else it would lie over speech and goes.
-    Placed events count as words for later ones, and last ``least_ms`` at least. Of events that start together
-    those within the slack all stay. Ties go by end, label and confidence.
+    start (``next_idx``; null behind the last word), and only if that word starts when the event
+    has ended; else it would lie over speech and goes. Placed events count as words for later
+    ones, and last ``least_ms`` at least. Of events that start together those within the slack all
+    stay. Ties go by end, label and confidence.
 
     Words and events of a job are two ordered streams: the largest end so far never falls, so one
-    union sorted by it puts every event behind the words that it follows, and windows over that
-    order find the next word and the new indices. Words are not joined with events.
+    union sorted by it puts every event behind the words that it follows, and a window over that
+    order finds the next word. Words are not joined with events. Both sides are dealt out by job
+    in the same way, so words that lie so already are not moved.
     """
-    spoken = words.withColumn("at_", F.max("end_ms").over(in_job().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spoken = spoken.select("job_id", "at_", F.lit(0).alias("kind_"), "word_idx", "word", "start_ms", "end_ms", F.col("end_ms").alias("own_end_"), "confidence", "speaker")
-    blank = lambda t: F.lit(None).cast(t)
-    end = F.greatest("end_ms", F.col("start_ms") + least_ms).cast("long")
-    heard = events.select(
-        "job_id", (F.col("start_ms") + slack_ms).alias("at_"), F.lit(1).alias("kind_"), blank("long").alias("word_idx"), F.col("label").alias("word"),
-        F.col("start_ms").cast("long").alias("start_ms"), end.alias("end_ms"), F.col("end_ms").cast("long").alias("own_end_"), F.col("confidence").cast("double").alias("confidence"), blank("string").alias("speaker"),
+    ours = _spoken(words).select("job_id", "at_", F.lit(0).alias("kind_"), "word_idx", "start_ms")
+    heard = events.repartition("job_id").select(
+        "job_id", (F.col("start_ms") + slack_ms).alias("at_"), F.lit(1).alias("kind_"), F.lit(None).cast("long").alias("word_idx"), F.col("start_ms").cast("long").alias("start_ms"),
+        F.struct("label", F.greatest("end_ms", F.col("start_ms") + least_ms).cast("long").alias("end_ms"), F.col("end_ms").cast("long").alias("own_end_"), F.col("confidence").cast("double").alias("confidence")).alias("e"),
     )
     back = Window.partitionBy("job_id").orderBy(F.desc("at_"), F.desc("kind_"), F.desc("word_idx"))
-    following = F.last(F.when(F.col("kind_") == 0, F.col("start_ms")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    both = spoken.unionByName(heard).withColumn("next_", following)
-    silent = both.where("kind_ = 1").where(F.coalesce(F.col("next_") >= F.col("own_end_") - slack_ms, F.lit(True)))
-    placed = _spaced(silent.withColumnRenamed("word", "label"), slack_ms, tiny=True).withColumnRenamed("label", "word")
-    order = Window.partitionBy("job_id").orderBy("at_", "kind_", "word_idx", F.desc("word"), F.desc("confidence"))
-    merged = spoken.unionByName(placed.drop("next_"))
-    return merged.select(
-        "job_id", (F.row_number().over(order) - 1).cast("long").alias("word_idx"), "word", "start_ms", "end_ms", "confidence", "speaker", F.col("word_idx").alias("old_idx")
+    following = F.last(F.when(F.col("kind_") == 0, F.struct("start_ms", "word_idx")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    met = ours.unionByName(heard, allowMissingColumns=True).withColumn("next_", following).where("kind_ = 1")
+    silent = met.where(F.coalesce(F.col("next_.start_ms") >= F.col("e.own_end_") - slack_ms, F.lit(True)))
+    return _spaced(silent.select("job_id", "start_ms", "e.*", F.col("next_.word_idx").alias("next_idx")), slack_ms, tiny=True).drop("own_end_")
+
+
+def insert_events(words: DataFrame, placed: DataFrame) -> DataFrame:
+    """Words with the event tokens of ``events_among`` between them, indexed anew.
+
+    ``old_idx`` is a word's index before, null for events.
+    """
+    cols = ["job_id", "word_idx", "word", "start_ms", "end_ms", "confidence", "speaker"]
+    behind = F.lit((1 << 63) - 1)
+    tokens = placed.repartition("job_id").select(
+        "job_id", F.lit(None).cast("long").alias("word_idx"), F.col("label").alias("word"), "start_ms", "end_ms", "confidence", F.lit(None).cast("string").alias("speaker"),
+        F.coalesce("next_idx", behind).alias("at_"), F.lit(0).alias("kind_"),
     )
+    both = words.select(*cols, F.col("word_idx").alias("at_"), F.lit(1).alias("kind_")).unionByName(tokens)
+    order = Window.partitionBy("job_id").orderBy("at_", "kind_", "start_ms", F.desc(F.when(F.col("kind_") == 0, F.col("word"))), F.desc("confidence"))
+    return both.select("job_id", (F.row_number().over(order) - 1).cast("long").alias("word_idx"), *cols[2:], F.col("word_idx").alias("old_idx"))
 
 
-def carry_indices(decisions: DataFrame, merged: DataFrame) -> DataFrame:
-    """Decisions on words (``word_idx``, and ``end_idx`` after the last) with the indices of ``insert_events``.
+def carry_indices(decisions: DataFrame, placed: DataFrame) -> DataFrame:
+    """Decisions on words (``word_idx``, and ``end_idx`` after the last) with their indices after ``insert_events``.
 
-    An event between the words of a decision lies inside its span.
+    A word moves on by the events placed before it, so decisions meet events only, never the
+    words. An event between the words of a decision lies inside its span.
     """
-    moved = merged.where("old_idx is not null").select("job_id", F.col("old_idx").alias("old_"), F.col("word_idx").alias("new_"))
-    first, last = moved.withColumnsRenamed({"old_": "f_", "new_": "first_"}), moved.withColumnsRenamed({"old_": "l_", "new_": "last_"})
-    rows = decisions.withColumns({"f_": F.col("word_idx"), "l_": F.col("end_idx") - 1})
-    rows = rows.join(first, ["job_id", "f_"]).join(last, ["job_id", "l_"])
-    return rows.withColumns({"word_idx": F.col("first_"), "end_idx": F.col("last_") + 1}).select(*decisions.columns)
+    before = placed.where("next_idx is not null").repartition("job_id").select("job_id", F.col("next_idx").alias("at_"), F.lit(0).alias("kind_"))
+    order = Window.partitionBy("job_id").orderBy("at_", "kind_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def moved(rows: DataFrame, index: Column) -> DataFrame:
+        ours = rows.repartition("job_id").select("job_id", index.alias("at_"), F.lit(1).alias("kind_"), F.struct(*rows.columns).alias("row_"))
+        both = ours.unionByName(before, allowMissingColumns=True).withColumn("by_", F.count_if(F.col("kind_") == 0).over(order))
+        return both.where("kind_ = 1").select("row_.*", "by_")
+
+    first = moved(decisions, F.col("word_idx")).withColumnRenamed("by_", "first_")
+    last = moved(first, F.col("end_idx") - 1).withColumnRenamed("by_", "last_")
+    return last.withColumns({"word_idx": F.col("word_idx") + F.col("first_"), "end_idx": F.col("end_idx") + F.col("last_")}).select(*decisions.columns)
 
 
 def even_spacing(texts: DataFrame, duration: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
@@ -12,7 +12,7 @@ from cuewright.operators import words as W
 from cuewright.plans.queries_words import _EVENTS, _INSERTED, sound_events
 from cuewright.plans.sql import NORM, WORDS_CONV, WORDS_DOC, similarity_sql, vocab_similarity_sql
 from cuewright.sources.shared import written
-from cuewright.sources.tables import words_of_conversations, words_of_documents
+from cuewright.sources.tables import table, words_of_conversations, words_of_documents
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -67,9 +67,8 @@ _PHRASES = f""", tk0 AS (SELECT *, {NORM.format('word')} AS token FROM words),
  ph AS (SELECT job_id, word_idx, word_idx + n AS end_idx, matched, severity FROM fold WHERE ok)
 """
 
-_HITS = (
-    _TABLES
-    + _PHRASES
+_AFTER_LEXICON = (
+    _PHRASES
     + f""", st AS (SELECT token, unnest({_STEMS}) AS stem, generate_subscripts({_STEMS}, 1) AS pos FROM (SELECT DISTINCT token FROM tk WHERE token <> '')),
  kn AS (SELECT token, arg_min(matched, pos) AS matched, arg_min(severity, pos) AS severity FROM st JOIN lexw ON stem = matched GROUP BY token),
  cov AS (SELECT job_id, unnest(generate_series(word_idx, end_idx - 1)) AS word_idx FROM ph),
@@ -80,6 +79,8 @@ _HITS = (
   FROM h0 JOIN tk ON tk.job_id = h0.job_id AND tk.word_idx >= h0.word_idx AND tk.word_idx < h0.end_idx GROUP BY h0.job_id, h0.word_idx, h0.end_idx, match_type, h0.matched, h0.severity)
 """
 )
+_HITS = _TABLES + _AFTER_LEXICON
+_HIT_COLUMNS = "SELECT job_id, word_idx, end_idx, match_type, matched, severity, word, start_ms, end_ms, round(asr_confidence, 6) AS asr_confidence, allowlisted FROM hits"
 
 
 def _hits(spark, d) -> DataFrame:
@@ -92,10 +93,42 @@ def ngram_phrase_hits(spark, d) -> DataFrame:
     return found.select("job_id", "word_idx", (F.col("word_idx") + F.col("n")).alias("end_idx"), "matched", "severity")
 
 
-@query("word_hits", WORDS_DOC + _HITS + "SELECT job_id, word_idx, end_idx, match_type, matched, severity, word, start_ms, end_ms, round(asr_confidence, 6) AS asr_confidence, allowlisted FROM hits")
-def word_hits(spark, d) -> DataFrame:
+def _shown(hits: DataFrame) -> DataFrame:
     cols = ["job_id", "word_idx", "end_idx", "match_type", "matched", "severity", "word", "start_ms", "end_ms"]
-    return _hits(spark, d).select(*cols, F.round("asr_confidence", 6).alias("asr_confidence"), "allowlisted")
+    return hits.select(*cols, F.round("asr_confidence", 6).alias("asr_confidence"), "allowlisted")
+
+
+@query("word_hits", WORDS_DOC + _HITS + _HIT_COLUMNS)
+def word_hits(spark, d) -> DataFrame:
+    return _shown(_hits(spark, d))
+
+
+_ITEM_LEXICON = f""", bt AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '\\S+'), lambda x: {NORM.format('x')}), lambda x: x <> '') AS t FROM benchmark),
+ bp AS (SELECT item_id, t, n, unnest(generate_series(1, len(t) - n + 1)) AS p FROM bt, (SELECT unnest([2, 3]) AS n)),
+ lexp AS (SELECT array_to_string(t[p:p + n - 1], ' ') AS matched, CASE WHEN min(item_id) % 2 = 0 THEN 'strong' ELSE 'mild' END AS severity FROM bp WHERE len(t) >= n GROUP BY 1),
+ lexw AS (SELECT w AS matched, CASE WHEN min(item_id) % 2 = 0 THEN 'strong' ELSE 'mild' END AS severity FROM (SELECT item_id, unnest(t) AS w FROM bt) WHERE length(w) >= 9 GROUP BY 1),
+ allow AS (SELECT DISTINCT w AS t FROM (SELECT unnest(t) AS w FROM bt) WHERE length(w) % 5 = 1)
+"""
+
+
+@query("table_lexicon_hits", WORDS_DOC + _ITEM_LEXICON + _AFTER_LEXICON + _HIT_COLUMNS)
+def table_lexicon_hits(spark, d) -> DataFrame:
+    """Hits of a lexicon that is itself data: runs of two and three words of the benchmark items, and their long words."""
+    toks = F.filter(F.transform(X.tokens(F.col("text")), X.normalize_token), lambda x: x != "")
+    items = table(spark, d, "benchmark", "item_id", toks.alias("t"))
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(1)))
+        return F.when(F.size("t") >= n, F.transform(starts, lambda p: F.array_join(F.slice("t", p, n), " "))).otherwise(F.expr("cast(array() as array<string>)"))
+
+    severity = F.when(F.min("item_id") % 2 == 0, "strong").otherwise("mild").alias("severity")
+    phrases = items.select("item_id", F.explode(F.concat(runs(2), runs(3))).alias("matched")).groupBy("matched").agg(severity)
+    singles = items.select("item_id", F.explode("t").alias("matched"))
+    words = singles.where(F.length("matched") >= 9).groupBy("matched").agg(severity)
+    allowed = singles.where(F.length("matched") % 5 == 1).select(F.col("matched").alias("term"))
+    none = spark.createDataFrame([], "key string, ord int, cand string")
+    lexicon = S.LexiconTables(words, written(phrases, "phrases"), allowed, none, none, allowed.limit(0))
+    return _shown(S.detect(words_of_documents(spark, d), lexicon))
 
 
 _SIDES = """, sides AS (SELECT h.job_id, h.word_idx, coalesce((SELECT string_agg(w.word, ' ' ORDER BY w.word_idx) FROM words w WHERE w.job_id = h.job_id AND w.word_idx BETWEEN h.word_idx - 5 AND h.word_idx - 1), '') AS context_before,
@@ -188,8 +221,8 @@ JOIN merged f ON f.job_id = d.job_id AND f.old_idx = d.word_idx JOIN merged l ON
 )
 def decisions_among_events(spark, d) -> DataFrame:
     """Decisions with the indices that words have once sound events stand between them."""
-    merged = W.insert_events(words_of_documents(spark, d), W.filter_events(sound_events(spark, d)))
-    return W.carry_indices(decisions_of_documents(spark, d), merged).select("job_id", "word_idx", "end_idx", "original", "action")
+    placed = W.events_among(words_of_documents(spark, d), W.filter_events(sound_events(spark, d)))
+    return W.carry_indices(decisions_of_documents(spark, d), placed).select("job_id", "word_idx", "end_idx", "original", "action")
 
 
 _LAYERS = [
@@ -227,7 +260,7 @@ def vocab_fuzzy(spark, d) -> DataFrame:
     terms = spark.createDataFrame(_TERMS, "term string, ord int")
     # a key that cannot be null is not computed a second time to test it
     tok = words.withColumn("token", F.coalesce(X.normalize_token(F.col("word")), F.lit("")))
-    best = V.best_terms(tok.select("token").distinct(), terms)
+    best = V.best_terms(tok.select("token"), terms)
     hit = tok.join(best, "token").where("score >= 0.999 or confidence < 0.97 or confidence is null")
     return hit.select("job_id", "word_idx", X.canonical(F.col("term"), F.col("word")).alias("word"), F.round("score", 6).alias("score"))
 

@@ -226,7 +226,8 @@ merged AS (SELECT *, CAST(row_number() OVER (PARTITION BY job_id ORDER BY pos, k
 
 @query("event_insertion", WORDS_DOC + ", " + _EVENTS + _INSERTED + "SELECT job_id, word_idx, old_idx, word, start_ms, end_ms, confidence FROM merged")
 def event_insertion(spark, d) -> DataFrame:
-    merged = W.insert_events(_words_for_events(spark, d), W.filter_events(sound_events(spark, d)))
+    words = _words_for_events(spark, d)
+    merged = W.insert_events(words, W.events_among(words, W.filter_events(sound_events(spark, d))))
     return merged.select("job_id", "word_idx", "old_idx", "word", "start_ms", "end_ms", "confidence")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from cuewright.functions import text as X
 from cuewright.operators.captions import parse_srt
-from cuewright.operators.safety import Lexicon, merge_ordered
+from cuewright.operators.safety import LexiconTables
 from cuewright.schema import CAPTIONS, CLIP, JOB, TRANSCRIPT
 
 SEVERITIES = ["strong", "mild"]
@@ -70,18 +70,22 @@ def lexicon_list(spark: SparkSession, path, phrases: bool = False) -> DataFrame:
     return out.where("matched <> ''")
 
 
-def lexicon(spark: SparkSession, words: list[str], phrases: list[str] | None = None, allowlists: list[str] | None = None, corrections_path: str | None = None, extra_allowed: tuple[str, ...] = (), vocabulary: tuple[str, ...] = ()) -> Lexicon:
-    """One lexicon of list files, corrections and extra terms, normalised; of repeated entries the last file's counts.
+def lexicon(spark: SparkSession, words: list[str], phrases: list[str] | None = None, allowlists: list[str] | None = None, corrections_path: str | None = None, extra_allowed: tuple[str, ...] = (), vocabulary: tuple[str, ...] = ()) -> LexiconTables:
+    """One lexicon of list files, corrections and extra terms, normalised, as tables; of repeated entries the last one counts."""
 
-    Lexicons are configuration of a few thousand terms at most and are held on the driver.
-    """
-    entries = lambda paths, many: {r["matched"]: r["severity"] for p in paths or [] for r in lexicon_list(spark, p, many).collect()}
-    lists: dict[str, dict[str, list[str]]] = {"confusions": {}, "collocations": {}}
-    for r in corrections(spark, corrections_path).orderBy("kind", "key", "ord").collect() if corrections_path else []:
-        lists[r["kind"]].setdefault(r["key"], []).append(r["cand"])
-    allowed = merge_ordered([[r["matched"] for r in lexicon_list(spark, p).collect()] for p in allowlists or []] + [list(extra_allowed)])
-    norm = lambda terms: tuple(r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "i int, t string").orderBy("i").select(X.normalize_token(F.col("t"))).collect() if r[0]) if terms else ()
-    return Lexicon(entries(words, False), entries(phrases, True), tuple(dict.fromkeys(norm(allowed))), lists["confusions"], lists["collocations"], tuple(dict.fromkeys(norm(vocabulary))))
+    def entries(paths: list[str] | None, many: bool) -> DataFrame:
+        rows = spark.createDataFrame([], "matched string, severity string, file int, line long")
+        for i, p in enumerate(paths or []):
+            rows = rows.unionByName(lexicon_list(spark, p, many).select("matched", "severity", F.lit(i).alias("file"), F.monotonically_increasing_id().alias("line")))
+        return rows.groupBy("matched").agg(F.max_by("severity", F.struct("file", "line")).alias("severity"))
+
+    def terms(some: tuple[str, ...]) -> DataFrame:
+        return spark.createDataFrame([(t,) for t in some], "term string").select(X.normalize_token(F.col("term")).alias("term")).where("term <> ''")
+
+    listed = spark.createDataFrame([], "kind string, key string, ord int, cand string") if corrections_path is None else corrections(spark, corrections_path)
+    part = lambda kind: listed.where(F.col("kind") == kind).select("key", "ord", "cand")
+    allowed = terms(extra_allowed).unionByName(entries(allowlists, False).select(F.col("matched").alias("term"))).distinct()
+    return LexiconTables(entries(words, False), entries(phrases, True), allowed, part("confusions"), part("collocations"), terms(vocabulary).distinct())
 
 
 def vocabulary_list(spark: SparkSession, path, categories: list[str]) -> DataFrame:

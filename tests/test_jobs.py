@@ -125,7 +125,13 @@ def test_lexicon_files(spark, tmp_path):
         (tmp_path / name).write_text(text)
     at = lambda n: str(tmp_path / n)
     got = files.lexicon(spark, [at("w.txt")], [at("p.txt")], [at("a.txt"), at("b.txt")], at("c.json"), ("Extra!",), ("Ann", "ann"))
-    assert got == S.Lexicon({"moron": "strong", "heck": "mild"}, {"shut up": "strong"}, ("bass", "essex", "extra"), {"moron": ["more", "moon"]}, {"the|": ["then"]}, ("ann",))
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    assert rows(got.words) == {("moron", "strong"), ("heck", "mild")} and rows(got.phrases) == {("shut up", "strong")}
+    assert rows(got.allowed(spark)) == {("bass",), ("essex",), ("extra",)} and rows(got.vocabulary) == {("ann",)}
+    assert rows(got.confusions) == {("moron", 0, "more"), ("moron", 1, "moon")} and rows(got.collocations) == {("the|", 0, "then")}
+    assert [(r["cand"], r["allowed"]) for r in got.known(spark).orderBy("ord").collect()] == [("ann", False), ("bass", True), ("essex", True), ("extra", True)]
+    again = files.lexicon(spark, [at("w.txt"), at("a.txt")], corrections_path=None)
+    assert rows(again.words) == {("moron", "strong"), ("heck", "mild"), ("bass", "strong")} and not rows(again.phrases) and not rows(again.confusions)
 
 
 def test_settings():

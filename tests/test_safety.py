@@ -1,5 +1,10 @@
+import random
+
 import pytest
 
+from pyspark.sql import functions as F
+
+from cuewright.functions import text as X
 from cuewright.operators import safety as S
 from cuewright.operators import vocabulary as V
 from cuewright.schema import Settings
@@ -91,3 +96,38 @@ def test_term_spans_equal_phrase_matches(spark):
     rows = {(r["job_id"], r["word_idx"]): r["word"] for r in P.vocab_apply_phrases(spark, d).collect()}
     assert all(rows[k] == term for k, term in spans.items())
     assert len(rows) == P.vocab_apply(spark, d).count() - sum(len(t.split()) - 1 for t in spans.values())
+
+
+def test_a_lexicon_of_a_hundred_thousand_entries(spark):
+    """Hits equal those of a walk over the words, and no entry is part of the plan."""
+    r = random.Random(21)
+    stock = [f"w{i}" for i in range(40)] + ["runnings", "run", "wordings", "word"]
+    phrases = {" ".join(r.choice(stock) for _ in range(r.choice([2, 3, 4]))): r.choice(["mild", "strong"]) for _ in range(150)}
+    listed = {w: "mild" for w in ("w1", "w7", "run", "word", "runn", "in")}
+    allowed = {"w3", "run"}
+    jobs = {j: [r.choice([*stock, "w1ing", "W7s!", "wed", "..."]) for _ in range(r.randint(1, 60))] for j in range(30)}
+    many = spark.range(100_000).select(F.concat(F.lit("zq"), F.col("id")).alias("matched"), F.lit("mild").alias("severity"))
+    table = lambda d: spark.createDataFrame(list(d.items()), "matched string, severity string")
+    lists = spark.createDataFrame([], "key string, ord int, cand string")
+    terms = spark.createDataFrame([(t,) for t in allowed], "term string")
+    lexicon = S.LexiconTables(table(listed).unionAll(many), table(phrases).unionAll(many.select(F.concat("matched", F.lit(" zz")), "severity")), terms, lists, lists, terms.limit(0))
+    rows = [(j, i, w, 100 * i, 100 * i + 90, 0.5, "A") for j, ws in jobs.items() for i, w in enumerate(ws)]
+    words = spark.createDataFrame(rows, "job_id long, word_idx long, word string, start_ms long, end_ms long, confidence double, speaker string")
+    want = set()
+    for j, ws in jobs.items():
+        t = ["".join(c for c in w.lower() if c.isalnum()) for w in ws]
+        used = [False] * len(t)
+        for n in (4, 3, 2):
+            for at in range(len(t) - n + 1):
+                text = " ".join(t[at : at + n])
+                if text in phrases and not any(used[at : at + n]):
+                    used[at : at + n] = [True] * n
+                    want.add((j, at, at + n, text, phrases[text], bool(allowed & set(t[at : at + n]))))
+        for at, w in enumerate(t):
+            stems = [w] + [w[: -len(x)] for x in X.SUFFIXES if w.endswith(x) and len(w) - len(x) >= 3]
+            found = next((x for x in stems if x in listed), None)
+            if w and not used[at] and found:
+                want.add((j, at, at + 1, found, "mild", w in allowed or found in allowed))
+    hits = S.detect(words, lexicon)
+    assert {(x["job_id"], x["word_idx"], x["end_idx"], x["matched"], x["severity"], x["allowlisted"]) for x in hits.collect()} == want and len(want) > 100
+    assert "zq7" not in hits._jdf.queryExecution().toString()

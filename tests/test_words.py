@@ -107,17 +107,18 @@ def test_events_become_words(spark):
     w = spark.createDataFrame(jobs_w, "job_id long, word_idx long, word string, start_ms long, end_ms long, confidence double, speaker string")
     e = spark.createDataFrame(jobs_e, "job_id long, label string, start_ms long, end_ms long, confidence double")
     got = {}
-    merged = W.insert_events(w, e)
+    placed = W.events_among(w, e)
+    merged = W.insert_events(w, placed)
     for x in merged.orderBy("job_id", "word_idx").collect():
         assert x["word_idx"] == len(got.setdefault(x["job_id"], []))
         got[x["job_id"]].append((x["word"], x["start_ms"], x["end_ms"], x["old_idx"]))
     assert got == {k: v for k, v in want.items() if v}
     assert sum(x[3] is None for v in want.values() for x in v) > 100
     spans = spark.createDataFrame([(j, 0, len([x for x in v if x[3] is not None]), "s") for j, v in want.items() if any(x[3] is not None for x in v)], "job_id long, word_idx long, end_idx long, original string")
-    for x in W.carry_indices(spans, merged).collect():
+    for x in W.carry_indices(spans, placed).collect():
         old = [i for i, y in enumerate(want[x["job_id"]]) if y[3] is not None]
         assert (x["word_idx"], x["end_idx"]) == (old[0], old[-1] + 1)
-    assert W.insert_events(w.limit(0), e.limit(0)).collect() == []
+    assert W.insert_events(w.limit(0), W.events_among(w.limit(0), e.limit(0))).collect() == []
 
 
 def test_toggled_labels_and_placed_events_in_linear_time(spark):
