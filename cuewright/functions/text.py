@@ -30,6 +30,8 @@ WEAK_ENDINGS = [
 CONJUNCTIONS = ["and", "but", "so", "then"]
 SUFFIXES = ["ings", "ing", "in'", "ers", "er", "ies", "ied", "ed", "es", "s"]
 CENSOR_MARK = "_"
+DISCLAIMER = "Captions are not guaranteed safe. Creator review is required."
+NOTE = "Competition ranking is not the same as YouTube children's-content quality. Automatic captions require creator review."
 # ----------------------------------------------------------------------------------------
 
 

@@ -247,8 +247,9 @@ def ablation(words: DataFrame, clips: DataFrame, reference_words: DataFrame, lex
     return rollup(clip_scores(words, clips, reference_words, lexicon, terms, s), "config")
 
 
-def report_text(summary: DataFrame, model: str, version: str, notes: tuple[str, ...] = ()) -> DataFrame:
+def report_text(summary: DataFrame, model: str, version: str) -> DataFrame:
     """(report): the summaries of all configurations as one text, in the order of ``ABLATIONS``."""
+    # labels are fixed values
     line = lambda label, c, fmt="%.4f": F.format_string(f"{label}: {fmt}", F.coalesce(F.col(c), F.lit(0.0)))
     block = F.concat_ws(
         "\n", F.format_string("[%s]", "config"), line("WER", "wer"), line("CER", "cer"), line("word timestamp accuracy (within 200ms)", "mean_timestamp_within_200ms"),
@@ -258,5 +259,5 @@ def report_text(summary: DataFrame, model: str, version: str, notes: tuple[str,
     )
     order = F.array_position(F.array(*[F.lit(c) for c in ABLATIONS]), F.col("config"))
     blocks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), block.alias("b")))), lambda x: x["b"]), "\n\n")
-    head = "\n".join(["Caption evaluation", f"Model: {model}", f"Pipeline version: {version}", *notes, "", ""])
+    head = "\n".join(["Caption evaluation", f"Model: {model}", f"Pipeline version: {version}", X.NOTE, X.DISCLAIMER, "", ""])
     return summary.agg(F.concat(F.lit(head), blocks, F.lit("\n")).alias("report"))

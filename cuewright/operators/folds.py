@@ -11,10 +11,13 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from cuewright.sources.shared import written
+
 
 def scan(rows: DataFrame, piece: list[str], order: list[str], inputs: list[str], name: str, dtype: T.DataType, begin: Any, step: Callable[..., tuple[Any, Any]]) -> DataFrame:
     """``rows`` with one column more, computed in ``order`` within each ``piece``.
@@ -41,3 +44,18 @@ def scan(rows: DataFrame, piece: list[str], order: list[str], inputs: list[str],
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, target)], names=[*batch.schema.names, name])
 
     return placed.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, dtype)]))
+
+
+def number(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with dense numbers from 1 in ``order``, without one task that holds all of them.
+
+    Rows are sorted by ranges and numbered within each; the ranges' sizes, a row each, give what
+    comes before. ``order`` should have no ties.
+    """
+    inner = (1 << 33) - 1  # a monotonic id holds the partition above these bits, and a running number in them
+    placed = written(rows.orderBy(*order).withColumn("id_", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftrightunsigned("id_", 33)
+    sizes = placed.groupBy(part.alias("part_")).agg(F.count("*").alias("size_"))
+    before = sizes.select("part_", (F.sum("size_").over(Window.orderBy("part_")) - F.col("size_")).alias("before_"))
+    out = placed.withColumn("part_", part).join(F.broadcast(before), "part_")  # one row a partition
+    return out.select(*rows.columns, (F.col("before_") + F.col("id_").bitwiseAND(inner) + 1).alias(name))

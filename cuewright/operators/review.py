@@ -136,14 +136,9 @@ def duration_ms(raw) -> Column:
     return F.when((value > 0) & (value < float("inf")), F.round(value * 1000).cast("long"))
 
 
-def may_follow(old: Column, new: Column) -> Column:
-    """Whether a job in state ``old`` may go to ``new``: busy states go forward, or end; reviews stay in review."""
-    rank = lambda c: F.array_position(F.array(*[F.lit(x) for x in BUSY]), c)
-    forward = old.isin(*BUSY) & ((new.isin(*BUSY) & (rank(new) > rank(old))) | (new == REVIEW[0]))
-    stop = old.isin(*BUSY) & new.isin(*ENDED)
-    reviewed = old.isin(*REVIEW) & new.isin(*REVIEW[1:])
-    again = old.isin(*ENDED, *REVIEW) & (new == "QUEUED")
-    return F.coalesce(old.isNull() & new.isin("UPLOAD", "QUEUED") | forward | stop | reviewed | again, F.lit(False))
+def status_kind(status: Column) -> Column:
+    """busy, review or ended; null for any other text."""
+    return F.when(status.isin(*BUSY), "busy").when(status.isin(*REVIEW), "review").when(status.isin(*ENDED), "ended")
 
 
 def end_jobs(jobs: DataFrame, stops: DataFrame) -> DataFrame:
@@ -168,17 +163,18 @@ def job_payload(files: DataFrame, rows: DataFrame, media: DataFrame, versions: D
     """One row a job file: its own fields over those of the job index, with media, captions and quality.
 
     ``files``: job_id and the fields of job.json; ``rows``: the job index; ``media``: (job_id,
-    path); ``versions``: job ids with captions; ``quality``: the columns of ``quality_report``.
+    path); ``versions``: job_id and ``final``, whether these captions are the final ones and not a
+    review's; ``quality``: the columns of ``quality_report``, given only to jobs with final captions.
     """
     index = rows.select("job_id", *[F.col(c).alias(f"{c}_") for c in ("status", "original_filename", "original_path", "error")], "created_at", "updated_at")
-    seen = versions.select("job_id").distinct().withColumn("c_", F.lit(True))
+    seen = versions.groupBy("job_id").agg(F.lit(True).alias("c_"), F.max("final").alias("final_"))
     out = files.join(index, "job_id", "left").join(media.select("job_id", F.col("path").alias("video")), "job_id", "left").join(seen, "job_id", "left").join(quality, "job_id", "left")
     text = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.nullif(F.col(f"{c}_"), F.lit(""))).alias(c)
     has = F.coalesce("c_", F.lit(False))
-    report = F.when(has, F.struct(*[c for c in quality.columns if c != "job_id"]))
+    report = F.when(F.coalesce("final_", F.lit(False)), F.struct(*[c for c in quality.columns if c != "job_id"]))
     return out.select(
         "job_id", F.coalesce("status", "status_", F.lit("QUEUED")).alias("status"), text("original_filename"), text("original_path"), text("error"), duration_ms(F.col("duration")).alias("duration_ms"),
-        "created_at", "updated_at", F.col("video").isNotNull().alias("has_video"), has.alias("has_captions"), report.alias("quality"),
+        "created_at", "updated_at", F.col("video").isNotNull().alias("has_video"), has.alias("has_captions"), report.alias("quality"), F.lit(X.DISCLAIMER).alias("disclaimer"),
     )
 
 

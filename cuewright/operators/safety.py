@@ -7,10 +7,11 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
+from cuewright.operators.folds import number
 from cuewright.operators.words import in_job
 from cuewright.schema import Settings
 from cuewright.sources.shared import written
@@ -99,8 +100,7 @@ def merge_ordered(layers: Iterable[Iterable[str]]) -> list[str]:
 def allowlist_union(layers: DataFrame) -> DataFrame:
     """(term, position): distinct normalised terms of all layers, first seen first. ``layers``: layer, ord, term."""
     first = layers.select(X.normalize_token(F.col("term")).alias("term"), F.struct("layer", "ord").alias("at")).where("term <> ''").groupBy("term").agg(F.min("at").alias("at"))
-    # allow-lists are small; their order is needed as a number
-    return first.select("term", F.row_number().over(Window.orderBy("at")).alias("position"))
+    return number(first, [F.col("at"), F.col("term")], "position").select("term", F.col("position").cast("int").alias("position"))
 
 
 def match_starts(lexicon: Lexicon | LexiconTables, spark: SparkSession) -> DataFrame:

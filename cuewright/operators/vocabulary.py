@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
+from cuewright.operators.folds import number
 from cuewright.operators.near import near_pairs
 from cuewright.operators.safety import without_overlaps
 from cuewright.sources.shared import written
@@ -43,26 +44,40 @@ def replay(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entries, gone.groupBy("key").agg(F.min_by("term", "seq").alias("term"), F.min("seq").alias("position"))
 
 
-_PAYLOAD = "entries array<string>, terms array<string>, grouped map<string,array<string>>, removed array<string>"
+def _text(v: Column) -> Column:
+    """A variant as text; other scalars as JSON writes them."""
+    return F.coalesce(F.try_variant_get(v, "$", "string"), F.when(~F.is_variant_null(v), F.to_json(v)))
+
+
+def _listed(payloads: DataFrame, field: str) -> DataFrame:
+    held = payloads.select("ord", F.try_parse_json("json").alias("p"))
+    return held.select("ord", F.posexplode(F.try_variant_get("p", f"$.{field}", "array<variant>")).alias("i", "v"))
 
 
 def imported(payloads: DataFrame) -> DataFrame:
-    """A log (seq, action, term, category) of vocabulary payloads. ``payloads``: ord, json.
+    """A log (seq, action, term, category) of vocabulary payloads, for ``replay``. ``payloads``: ord, json.
 
-    A payload may list entries as texts or objects, terms, and terms by category; removed terms
-    come last. Terms without a category are ``other``, and a later mention overwrites an earlier.
+    A payload may list entries as texts or objects, terms, and terms by category, in any mixture.
+    Terms without a category are ``other``, and a later mention overwrites an earlier. A payload's
+    removed terms take nothing away on import (see ``removed_terms``). Payloads that are no JSON
+    objects, nulls and blank terms add nothing.
     """
-    p = payloads.select("ord", F.from_json("json", _PAYLOAD).alias("p"))
-    entry = F.when(F.col("v").startswith("{"), F.from_json("v", "term string, category string")).otherwise(F.struct(F.col("v").alias("term"), F.lit("other").alias("category")))
-    one = p.select("ord", F.lit(0).alias("k"), F.posexplode("p.entries").alias("i", "v")).select("ord", "k", F.lit(0).alias("j"), "i", entry.alias("e")).select("ord", "k", "j", "i", "e.term", F.coalesce("e.category", F.lit("other")).alias("category"))
-    two = p.select("ord", F.lit(1).alias("k"), F.lit(0).alias("j"), F.posexplode("p.terms").alias("i", "term")).withColumn("category", F.lit("other"))
-    groups = p.select("ord", F.posexplode(F.map_entries("p.grouped")).alias("j", "g")).select("ord", F.lit(2).alias("k"), "j", F.posexplode("g.value").alias("i", "term"), F.col("g.key").alias("category"))
-    gone = p.select("ord", F.lit(3).alias("k"), F.lit(0).alias("j"), F.posexplode("p.removed").alias("i", "term")).withColumn("category", F.lit("other"))
-    cols = ["ord", "k", "j", "i", "term", "category"]
-    rows = one.select(cols).unionByName(two.select(cols)).unionByName(groups.select(cols)).unionByName(gone.select(cols))
-    # vocabularies are small; a log needs one running number
-    seq = F.row_number().over(Window.orderBy("ord", "k", "j", "i")).cast("long")
-    return rows.select(seq.alias("seq"), F.when(F.col("k") == 3, "remove").otherwise("add").alias("action"), "term", "category")
+    entry = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.struct(F.try_variant_get("v", "$.term", "string").alias("term"), F.try_variant_get("v", "$.category", "string").alias("category")))
+    entry = entry.otherwise(F.struct(_text(F.col("v")).alias("term"), F.lit(None).cast("string").alias("category")))
+    one = _listed(payloads, "entries").select("ord", F.lit(0).alias("k"), F.lit("").alias("j"), "i", entry.alias("e")).select("ord", "k", "j", "i", "e.term", "e.category")
+    two = _listed(payloads, "terms").select("ord", F.lit(1).alias("k"), F.lit("").alias("j"), "i", _text(F.col("v")).alias("term"), F.lit(None).cast("string").alias("category"))
+    held = payloads.select("ord", F.try_variant_get(F.try_parse_json("json"), "$.grouped", "map<string,variant>").alias("g"))
+    groups = held.select("ord", F.explode("g").alias("j", "g")).select("ord", "j", F.posexplode(F.try_variant_get("g", "$", "array<variant>")).alias("i", "v"))
+    three = groups.select("ord", F.lit(2).alias("k"), "j", "i", _text(F.col("v")).alias("term"), F.col("j").alias("category"))
+    rows = one.unionByName(two).unionByName(three).where(X.collapse(F.coalesce("term", F.lit(""))) != "")
+    order = [F.col(c) for c in ("ord", "k", "j", "i")]  # an object's keys have no order of their own
+    return number(rows, order, "seq").select("seq", F.lit("add").alias("action"), "term", F.coalesce("category", F.lit("other")).alias("category"))
+
+
+def removed_terms(payloads: DataFrame) -> DataFrame:
+    """(term, position): the distinct removed terms that payloads note, normalised and in alphabetical order."""
+    terms = _listed(payloads, "removed").select(X.normalize_phrase(_text(F.col("v"))).alias("term")).where("term <> ''").distinct()
+    return number(terms, [F.col("term")], "position")
 
 
 def by_category(vocabulary: DataFrame, categories: list[str]) -> DataFrame:

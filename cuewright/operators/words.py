@@ -150,10 +150,11 @@ def speaker_at(words: DataFrame, segments: DataFrame, slack_ms: int = 1, bin_ms:
 
 
 def rename_speakers(segments: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Speakers and labels by speaker id first, by label second. ``mapping``: key, value (small)."""
-    by_id = mapping.select(F.col("key").alias("speaker"), F.col("value").alias("v1_"))
-    by_label = mapping.select(F.col("key").alias("label"), F.col("value").alias("v2_"))
-    out = segments.join(by_id, "speaker", "left").join(by_label, "label", "left")
+    """Speakers and labels by speaker id first, by label second. ``mapping``: key, value, and job_id where each job has its own."""
+    own = ["job_id"] if "job_id" in mapping.columns else []
+    by_id = mapping.select(*own, F.col("key").alias("speaker"), F.nullif(F.col("value"), F.lit("")).alias("v1_"))
+    by_label = mapping.select(*own, F.col("key").alias("label"), F.nullif(F.col("value"), F.lit("")).alias("v2_"))
+    out = segments.join(by_id, [*own, "speaker"], "left").join(by_label, [*own, "label"], "left")
     shown = F.coalesce("v1_", "v2_")
     return out.withColumns({"label": F.coalesce(shown, "label", F.concat(F.lit("Speaker "), "speaker")), "speaker": F.coalesce(shown, "speaker")}).drop("v1_", "v2_")
 

@@ -10,7 +10,7 @@ from cuewright.operators import captions as C
 from cuewright.operators import review as R
 from cuewright.operators import safety as S
 from cuewright.operators import words as W
-from cuewright.plans.queries_safety import decisions_of_documents, _DECIDE, _HITS
+from cuewright.plans.queries_safety import decisions_of, decisions_of_documents, _DECIDE, _HITS
 from cuewright.plans.queries_words import sound_events, _EVENTS, _TURNS
 from cuewright.plans.sql import IN_LIST, WORDS_CONV, WORDS_DOC
 from cuewright.sources.tables import table, words_of_conversations, words_of_documents
@@ -82,10 +82,14 @@ def wrap_lines(spark, d) -> DataFrame:
     return cues.select("job_id", "cue", X.wrap_caption(F.col("text")).alias("lines"))
 
 
-@query("modal_speaker", WORDS_CONV + """, c AS (SELECT job_id, speaker, count(*) AS n, min(word_idx) AS f FROM words GROUP BY ALL) SELECT job_id, arg_max(speaker, struct_pack(a := n, b := -f)) AS speaker FROM c GROUP BY job_id""")
+@query(
+    "modal_speaker",
+    WORDS_CONV + """, c AS (SELECT job_id, word_idx // 50 AS block, speaker, count(*) AS n, min(word_idx) AS f FROM words WHERE speaker <> '' GROUP BY ALL)
+SELECT job_id, CAST(block AS BIGINT) AS block, arg_max(speaker, struct_pack(a := n, b := -f)) AS speaker FROM c GROUP BY job_id, block""",
+)
 def modal_speaker(spark, d) -> DataFrame:
-    counted = words_of_conversations(spark, d).groupBy("job_id", "speaker").agg(F.count("*").alias("n"), F.min("word_idx").alias("f"))
-    return counted.where("speaker <> ''").groupBy("job_id").agg(F.max_by("speaker", F.struct("n", (-F.col("f")).alias("f"))).alias("speaker"))
+    blocks = words_of_conversations(spark, d).groupBy("job_id", F.floor(F.col("word_idx") / 50).alias("block")).agg(F.array_sort(F.collect_list(F.struct("word_idx", "speaker"))).alias("w"))
+    return blocks.select("job_id", "block", X.modal(F.transform("w", lambda x: x["speaker"])).alias("speaker"))
 
 
 def _speed(chars: str, words: str, ms: str) -> str:
@@ -255,23 +259,21 @@ SELECT cs.job_id, CAST(round(m * 100) AS BIGINT) AS overall_confidence, cs.n AS
  coalesce(ss.n, 0) AS speaker_changes, coalesce(es.n, 0) AS sound_events{1} FROM cs LEFT JOIN ds USING (job_id) LEFT JOIN ss USING (job_id) LEFT JOIN es USING (job_id){2}"""
 
 
-@query("quality_report", WORDS_DOC + _HITS + _DECIDE + _TURNS + ", " + _EVENTS + _REPORT.format("", "", ""))
+_WARNED = (", rs AS (SELECT job_id, count(*) FILTER (contains(flags, 'reading_speed') OR reading_status <> 'OK') AS n FROM repaired GROUP BY job_id)", ", coalesce(rs.n, 0) AS reading_speed_warnings", " LEFT JOIN rs USING (job_id)")
+
+
+@query("quality_report", WORDS_CONV + _HITS + _DECIDE + _TURNS + ", " + _EVENTS + _CUES + _MERGED + _DENSITY + _REPORT.format(*_WARNED))
 def quality_report(spark, d) -> DataFrame:
-    """The columns that the SQL gives, which need no captions; ``quality_report_captions`` has all of them."""
-    words = words_of_documents(spark, d)
-    return _report(spark, d, words, spark.createDataFrame([], "job_id long, reading_speed_warnings long")).drop("reading_speed_warnings")
+    """The whole report of the conversations."""
+    return _report(spark, d, words_of_conversations(spark, d))
 
 
-@query(
-    "quality_report_captions",
-    WORDS_DOC + _HITS + _DECIDE + _TURNS + ", " + _EVENTS + _CUES + _MERGED + _DENSITY
-    + _REPORT.format(", rs AS (SELECT job_id, count(*) FILTER (contains(flags, 'reading_speed') OR reading_status <> 'OK') AS n FROM repaired GROUP BY job_id)", ", coalesce(rs.n, 0) AS reading_speed_warnings", " LEFT JOIN rs USING (job_id)"),
-)
+@query("quality_report_captions", WORDS_DOC + _HITS + _DECIDE + _TURNS + ", " + _EVENTS + _CUES + _MERGED + _DENSITY + _REPORT.format(*_WARNED))
 def quality_report_captions(spark, d) -> DataFrame:
-    """The whole report, from five summaries of the same words."""
-    words = words_of_documents(spark, d)
-    return _report(spark, d, words, C.caption_summary(C.repair_density(C.merge_short(C.assign_cues(words)))))
+    """The whole report of the documents."""
+    return _report(spark, d, words_of_documents(spark, d))
 
 
-def _report(spark, d, words: DataFrame, captions: DataFrame) -> DataFrame:
-    return R.quality_report(W.confidence_summary(W.confidence_records(words)), S.decision_summary(decisions_of_documents(spark, d)), captions, W.pause_turns(words), W.filter_events(sound_events(spark, d)))
+def _report(spark, d, words: DataFrame) -> DataFrame:
+    captions = C.caption_summary(C.repair_density(C.merge_short(C.assign_cues(words))))
+    return R.quality_report(W.confidence_summary(W.confidence_records(words)), S.decision_summary(decisions_of(words)), captions, W.pause_turns(words), W.filter_events(sound_events(spark, d)))

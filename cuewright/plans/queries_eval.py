@@ -56,16 +56,23 @@ def wer_cer(spark, d) -> DataFrame:
     return E.error_rates(_pairs(spark, d))
 
 
+#: other scores of an item, as numerators over a hundred; each null for some items
+_SCORES = {
+    "low_confidence_rate": "id * 7 % 101", "profanity_false_positive_rate": "id * 3 % 41", "profanity_false_negative_rate": "id * 11 % 67", "correction_accuracy": "id * 5 % 97", "censorship_rate": "id * 13 % 31",
+    "mean_cps": "id * 17 % 1900", "within_200ms": "id * 19 % 99", "mean_onset_error_s": "id * 23 % 45",
+}
+_MEANS = ", ".join(f"round(CAST(sum(CAST(({x}) / 100.0 AS DECIMAL(20, 4))) FILTER (id % {k + 4} > 0) AS DOUBLE) / count(*) FILTER (id % {k + 4} > 0), 4) AS {c if c.startswith('mean') else 'mean_' + c.replace('within', 'timestamp_within')}" for k, (c, x) in enumerate(_SCORES.items()))
+
+
 @query(
     "evaluation_rollup",
-    _PAIRS + "SELECT count(*) AS clips, round(sum(distance) / greatest(sum(len(r)), 1), 4) AS wer, round(sum(cd) / greatest(sum(length(array_to_string(r, ''))), 1), 4) AS cer, CAST(sum(len(r)) AS BIGINT) AS reference_words FROM c",
+    _PAIRS + f"""SELECT CAST(id % 3 AS BIGINT) AS config, count(*) AS clips, round(sum(distance) / greatest(sum(len(r)), 1), 4) AS wer, round(sum(cd) / greatest(sum(length(array_to_string(r, ''))), 1), 4) AS cer, CAST(sum(len(r)) AS BIGINT) AS reference_words,
+ {_MEANS}, CAST(sum(id % 5) AS BIGINT) AS reading_speed_warnings FROM c GROUP BY id % 3""",
 )
 def evaluation_rollup(spark, d) -> DataFrame:
-    s = E.error_rates(_pairs(spark, d))
-    return s.agg(
-        F.count("*").alias("clips"), F.round(F.sum("distance") / F.greatest(F.sum("reference_words"), F.lit(1)), 4).alias("wer"),
-        F.round(F.sum("cer_distance") / F.greatest(F.sum("reference_chars"), F.lit(1)), 4).alias("cer"), F.sum("reference_words").alias("reference_words"),
-    )
+    """``rollup`` of the items' error rates, with other scores that are numbers of the item."""
+    scores = E.error_rates(_pairs(spark, d)).withColumns({c: F.expr(f"case when id % {k + 4} > 0 then cast(({x}) / 100.0 as double) end") for k, (c, x) in enumerate(_SCORES.items())})
+    return E.rollup(scores.withColumns({"reading_speed_warnings": F.col("id") % 5, "config": F.col("id") % 3}), "config")
 
 
 def _clip_words(spark, d) -> tuple[DataFrame, DataFrame]:

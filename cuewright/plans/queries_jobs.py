@@ -15,8 +15,9 @@ from cuewright.operators import safety as S
 from cuewright.operators import vocabulary as V
 from cuewright.operators import words as W
 from cuewright.plans.queries_captions import _CUES, _DENSITY, _MERGED, _ROUGH, _merged_words, _rough
-from cuewright.plans.queries_safety import _DECIDE, _HITS, _LEX, _hits, _values, decisions_of_documents
-from cuewright.plans.sql import IN_LIST, WORDS_CONV, WORDS_DOC
+from cuewright.plans.queries_safety import _DECIDE, _HITS, _LEX, _hits, decisions_of, decisions_of_documents
+from cuewright.plans.queries_words import _TURNS
+from cuewright.plans.sql import IN_LIST, NORM, WORDS_CONV, WORDS_DOC
 from cuewright.schema import Settings
 from cuewright.sources import files
 from cuewright.sources import sinks as K
@@ -97,18 +98,26 @@ _REPORT = f"""'# Correction report' || chr(10) || chr(10) || '{K.DISCLAIMER}' ||
  '{K.REPORT_HEAD.splitlines()[0]}' || chr(10) || '{K.REPORT_HEAD.splitlines()[1]}' || chr(10) || coalesce(l.rows, '{K.REPORT_NONE}') || chr(10) || chr(10) || '{K.REPORT_END}' || chr(10)"""
 
 
-@query(
-    "correction_report",
-    WORDS_DOC + _HITS + _DECIDE + f""", l AS (SELECT job_id, string_agg('| ' || replace(original, '|', '/') || ' | ' || replace(replacement, '|', '/') || ' | ' || "case" || ' | ' || action || ' | ' || CASE WHEN needs_review THEN 'yes' ELSE 'no' END || ' | ' || reason || ' |', chr(10) ORDER BY word_idx) AS rows FROM decisions GROUP BY job_id)
-SELECT j.doc_id AS job_id, {_REPORT} AS report FROM documents j LEFT JOIN l ON l.job_id = j.doc_id""",
-)
+_REPORT_ROWS = """l AS (SELECT job_id, string_agg('| ' || replace(original, '|', '/') || ' | ' || replace(replacement, '|', '/') || ' | ' || "case" || ' | ' || action || ' | ' || CASE WHEN needs_review THEN 'yes' ELSE 'no' END || ' | ' || reason || ' |', chr(10) ORDER BY word_idx) AS rows FROM decisions GROUP BY job_id)"""
+
+
+@query("correction_report", WORDS_DOC + _HITS + _DECIDE + f""", {_REPORT_ROWS} SELECT j.doc_id AS job_id, {_REPORT} AS report FROM documents j LEFT JOIN l ON l.job_id = j.doc_id""")
 def correction_report(spark, d) -> DataFrame:
     return K.correction_report(_jobs(spark, d), decisions_of_documents(spark, d))
 
 
-@query("allowlist_text", f"SELECT 'Allowlist (2 words): {', '.join(sorted(_LEX.allowlist))}' AS text")
+_ITEM_WORDS = f"""WITH iw AS (SELECT item_id, k, {NORM.format('w[k]')} AS t FROM (SELECT item_id, w, unnest(generate_series(1, len(w))) AS k FROM (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark)))
+"""
+
+
+def _item_words(spark, d) -> DataFrame:
+    """(item_id, k, t): normalised words of the benchmark items, from 1."""
+    return table(spark, d, "benchmark", "item_id", F.posexplode(X.tokens(F.col("text"))).alias("k", "w")).select("item_id", (F.col("k") + 1).alias("k"), X.normalize_token(F.col("w")).alias("t"))
+
+
+@query("allowlist_text", _ITEM_WORDS + "SELECT 'Allowlist (' || count(*) || ' words): ' || coalesce(string_agg(t, ', ' ORDER BY t), '(empty)') AS text FROM (SELECT DISTINCT t FROM iw WHERE length(t) % 5 = 1)")
 def allowlist_text(spark, d) -> DataFrame:
-    return K.allowlist_text(spark.createDataFrame([(t,) for t in (*_LEX.allowlist, *_LEX.allowlist)], "term string"))
+    return K.allowlist_text(_item_words(spark, d).where(F.length("t") % 5 == 1).select(F.col("t").alias("term")))
 
 
 @query(
@@ -125,15 +134,15 @@ def safety_payload(spark, d) -> DataFrame:
 
 @query(
     "export_set",
-    WORDS_CONV + _CUES + """, sp AS (SELECT DISTINCT job_id FROM words) SELECT job_id, CASE WHEN job_id % 2 = 0 THEN 'EXPORTED' ELSE 'QUEUED' END AS status, (SELECT count(*) FROM cues c WHERE c.job_id = sp.job_id) AS reviewed_blocks, TRUE AS has_raw, TRUE AS has_report FROM sp""",
+    WORDS_CONV + _CUES + _HITS + _DECIDE + f""", sp AS (SELECT DISTINCT job_id, job_id AS doc_id FROM words), {_REPORT_ROWS}
+SELECT j.job_id, CASE WHEN j.job_id % 2 = 0 THEN 'EXPORTED' ELSE 'QUEUED' END AS status, (SELECT count(*) FROM cues c WHERE c.job_id = j.job_id) AS reviewed_blocks, TRUE AS has_raw, {_REPORT} AS report FROM sp j LEFT JOIN l ON l.job_id = j.job_id""",
 )
 def export_set(spark, d) -> DataFrame:
     words = words_of_conversations(spark, d)
     jobs = words.select("job_id").distinct().select("job_id", F.when(F.col("job_id") % 2 == 0, "REVIEWED").otherwise("QUEUED").alias("status"), F.lit("strict").alias("mode"), F.lit("censor").alias("unknown_profanity"))
     caps = C.assemble(C.assign_cues(words)).select("job_id", F.col("cue").alias("index"), "start_ms", "end_ms", "text", F.expr("cast(array() as array<string>)").alias("flags"))
-    none = spark.createDataFrame([], "job_id long, word_idx long, original string, replacement string, case string, action string, needs_review boolean, reason string")
-    out = K.export_set(caps, words, jobs, none)
-    return out.select("job_id", "status", F.size(F.regexp_extract_all("reviewed_srt", F.lit(" --> "), F.lit(0))).cast("long").alias("reviewed_blocks"), (F.col("raw_srt") != "").alias("has_raw"), F.contains("report", F.lit(K.REPORT_NONE)).alias("has_report"))
+    out = K.export_set(caps, words, jobs, decisions_of(words))
+    return out.select("job_id", "status", F.size(F.regexp_extract_all("reviewed_srt", F.lit(" --> "), F.lit(0))).cast("long").alias("reviewed_blocks"), (F.col("raw_srt") != "").alias("has_raw"), "report")
 
 
 # --- review -----------------------------------------------------------------------------
@@ -229,14 +238,14 @@ _STATES = R.BUSY + R.REVIEW + R.ENDED
 
 
 @query(
-    "status_transitions",
-    f"""WITH s AS (SELECT unnest([{IN_LIST(_STATES)}]) AS st, generate_subscripts([{IN_LIST(_STATES)}], 1) AS k), e AS (SELECT event_id, a.st AS old, b.st AS new, a.k AS i, b.k AS j FROM events JOIN s a ON a.k = event_id % {len(_STATES)} + 1 JOIN s b ON b.k = event_id // 7 % {len(_STATES)} + 1)
-SELECT event_id, (i <= 12 AND (j > i AND j <= 13 OR j >= 16)) OR (i BETWEEN 13 AND 15 AND j IN (14, 15)) OR (i >= 13 AND new = 'QUEUED') AS allowed FROM e""",
+    "status_kinds",
+    f"""SELECT event_id, st AS status, CASE WHEN st IN ({IN_LIST(R.BUSY)}) THEN 'busy' WHEN st IN ({IN_LIST(R.REVIEW)}) THEN 'review' WHEN st IN ({IN_LIST(R.ENDED)}) THEN 'ended' END AS kind
+FROM (SELECT event_id, list_value({IN_LIST([*_STATES, 'OTHER'])})[event_id % {len(_STATES) + 1} + 1] AS st FROM events)""",
 )
-def status_transitions(spark, d) -> DataFrame:
-    pick = lambda c: F.element_at(F.array(*[F.lit(s) for s in _STATES]), (c % len(_STATES) + 1).cast("int"))
-    e = table(spark, d, "events", "event_id")
-    return e.select("event_id", R.may_follow(pick(F.col("event_id")), pick(F.floor(F.col("event_id") / 7))).alias("allowed"))
+def status_kinds(spark, d) -> DataFrame:
+    states = F.array(*[F.lit(s) for s in [*_STATES, "OTHER"]])
+    e = table(spark, d, "events", "event_id", F.element_at(states, (F.col("event_id") % (len(_STATES) + 1) + 1).cast("int")).alias("status"))
+    return e.withColumn("kind", R.status_kind(F.col("status")))
 
 
 @query(
@@ -279,8 +288,8 @@ def job_media(spark, d) -> DataFrame:
 
 @query(
     "job_payloads",
-    """WITH f AS (SELECT DISTINCT user_id AS job_id FROM events) SELECT job_id, CASE WHEN job_id % 3 = 0 THEN 'REVIEWED' WHEN job_id % 3 = 1 THEN 'FAILED' ELSE 'QUEUED' END AS status, CASE WHEN job_id % 2 = 0 THEN 'file' ELSE 'row' END AS original_filename,
- CASE WHEN job_id % 4 = 0 THEN 1500 END AS duration_ms, job_id % 2 = 0 AS has_video, job_id % 5 = 0 AS has_captions, CASE WHEN job_id % 5 = 0 THEN job_id END AS words FROM f""",
+    f"""WITH f AS (SELECT DISTINCT user_id AS job_id FROM events) SELECT job_id, CASE WHEN job_id % 3 = 0 THEN 'REVIEWED' WHEN job_id % 3 = 1 THEN 'FAILED' ELSE 'QUEUED' END AS status, CASE WHEN job_id % 2 = 0 THEN 'file' ELSE 'row' END AS original_filename,
+ CASE WHEN job_id % 4 = 0 THEN 1500 END AS duration_ms, job_id % 2 = 0 AS has_video, job_id % 5 < 2 AS has_captions, CASE WHEN job_id % 5 = 0 THEN job_id END AS words, '{X.DISCLAIMER}' AS disclaimer FROM f""",
 )
 def job_payloads(spark, d) -> DataFrame:
     j = table(spark, d, "events", F.col("user_id").alias("job_id")).distinct()
@@ -288,8 +297,8 @@ def job_payloads(spark, d) -> DataFrame:
     own = j.select(i, F.when(i % 3 == 0, "REVIEWED").alias("status"), F.when(i % 2 == 0, "file").otherwise("").alias("original_filename"), none.alias("original_path"), none.alias("error"), F.when(i % 4 == 0, "1.5").alias("duration"))
     rows = j.where("job_id % 3 < 2").select(i, F.lit("FAILED").alias("status"), F.lit("row").alias("original_filename"), none.alias("original_path"), none.alias("error"), F.lit(1).alias("created_at"), F.lit(2).alias("updated_at"))
     rows = rows.unionByName(j.where("job_id % 3 = 2").select(i, none.alias("status"), F.lit("row").alias("original_filename"), none.alias("original_path"), none.alias("error"), F.lit(1).alias("created_at"), F.lit(2).alias("updated_at")))
-    out = R.job_payload(own, rows, j.where("job_id % 2 = 0").select(i, F.lit("/v").alias("path")), j.where("job_id % 5 = 0"), j.select(i, i.alias("words")))
-    return out.select("job_id", "status", "original_filename", F.col("duration_ms").cast("int").alias("duration_ms"), "has_video", "has_captions", F.col("quality.words").alias("words"))
+    out = R.job_payload(own, rows, j.where("job_id % 2 = 0").select(i, F.lit("/v").alias("path")), j.where("job_id % 5 < 2").select(i, (i % 5 == 0).alias("final")), j.select(i, i.alias("words")))
+    return out.select("job_id", "status", "original_filename", F.col("duration_ms").cast("int").alias("duration_ms"), "has_video", "has_captions", F.col("quality.words").alias("words"), "disclaimer")
 
 
 @query("job_row", "SELECT DISTINCT user_id AS job_id FROM events WHERE user_id = 7")
@@ -310,46 +319,119 @@ def busy_job(spark, d) -> DataFrame:
 
 # --- vocabulary and lexicon ----------------------------------------------------------------
 
-_LOG = [
-    (1, "add", "Ann  Lee", "people"), (2, "add", "Oslo", "locations"), (3, "remove", "oslo", None), (4, "add", "ann lee", "nonsense"), (5, "add", "OSLO", "toys"), (6, "remove", "Bob", None),
-    (7, "remove", "bob", None), (8, "add", "Zed", "games"), (9, "remove", "zed", None), (10, "add", "", "games"), (11, "add", "Kim", None),
-]
+_CATS = IN_LIST(V.CATEGORIES)
+_KNOWN_CATEGORY = f"CASE WHEN category IN ({_CATS}) THEN category ELSE 'other' END"
 
 
-@query("vocabulary_log", "SELECT * FROM (VALUES ('entry', 'ann lee', 'ann lee', 'other', 1), ('entry', 'oslo', 'OSLO', 'toys', 5), ('entry', 'kim', 'Kim', 'other', 11), ('gone', 'bob', 'Bob', NULL, 6), ('gone', 'zed', 'zed', NULL, 9)) t(kind, key, term, category, position)")
+@query(
+    "vocabulary_log",
+    f"""WITH g AS (SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'remove' ELSE 'add' END AS action, CASE WHEN event_id % 2 = 0 THEN 'TERM' ELSE 'Term' END || ' ' || (user_id * 7 + event_id // 97) % 900 AS term, list_value({_CATS})[event_id % 10 + 1] AS category FROM events),
+ k AS (SELECT seq, action, term, lower(term) AS key, {_KNOWN_CATEGORY} AS category, coalesce(max(seq) FILTER (action = 'add') OVER w, -1) AS a, coalesce(max(seq) FILTER (action = 'remove') OVER w, -1) AS r FROM g WINDOW w AS (PARTITION BY lower(term)))
+SELECT 'entry' AS kind, key, arg_max(term, seq) AS term, arg_max(category, seq) AS category, min(seq) AS position FROM k WHERE action = 'add' AND a > r AND seq > r GROUP BY key
+UNION ALL SELECT 'gone', key, arg_min(term, seq), NULL, min(seq) FROM k WHERE action = 'remove' AND r > a AND seq > a GROUP BY key""",
+)
 def vocabulary_log(spark, d) -> DataFrame:
-    entries, gone = V.replay(spark.createDataFrame(_LOG, "seq int, action string, term string, category string"))
+    e, i = table(spark, d, "events", "event_id", "user_id"), F.col("event_id")
+    cats = F.array(*[F.lit(c) for c in V.CATEGORIES])
+    term = F.concat_ws(" ", F.when(i % 2 == 0, "TERM").otherwise("Term"), ((F.col("user_id") * 7 + F.floor(i / 97)) % 900).cast("string"))
+    log = e.select(i.alias("seq"), F.when(i % 3 == 0, "remove").otherwise("add").alias("action"), term.alias("term"), F.get(cats, (i % 10).cast("int")).alias("category"))
+    entries, gone = V.replay(log)
     kind = lambda df, k: df.select(F.lit(k).alias("kind"), "key", "term", "category", "position")
     return kind(entries, "entry").unionByName(kind(gone.withColumn("category", F.lit(None).cast("string")), "gone"))
 
 
-_IMPORT = '{"entries": ["Ann", {"term": "Bo", "category": "people"}], "terms": ["Cy", "Bo"], "grouped": {"toys": ["Ann"], "games": ["Di"]}, "removed": ["Cy"]}'
+def _payloads(spark, d) -> DataFrame:
+    """A vocabulary payload of each document's first words: entries as texts and objects, terms, groups and removed terms."""
+    t = X.tokens(F.col("text"))
+    word = lambda i: F.get(t, F.lit(i))
+    entries = F.concat(F.lit("["), F.to_json(F.struct(word(1).alias("term"), F.lit("people").alias("category"))), F.lit(","), F.substring(F.to_json(F.array(word(0))), 2, 1 << 30))
+    grouped = F.to_json(F.struct(F.array(word(3)).alias("toys"), F.array(word(0)).alias("none")))
+    parts = [F.lit('{"entries":'), entries, F.lit(',"terms":'), F.to_json(F.array(word(2))), F.lit(',"grouped":'), grouped, F.lit(',"removed":'), F.to_json(F.array(word(0))), F.lit("}")]
+    return table(spark, d, "documents", F.col("doc_id").alias("ord"), F.concat(*parts).alias("json"))
 
 
-@query("vocabulary_import", "SELECT * FROM (VALUES ('ann', 'Ann', 'toys', 1), ('bo', 'Bo', 'other', 2), ('di', 'Di', 'games', 6)) t(key, term, category, position)")
-def vocabulary_import(spark, d) -> DataFrame:
-    return V.replay(V.imported(spark.createDataFrame([(0, _IMPORT)], "ord int, json string")))[0].withColumn("position", F.col("position").cast("int"))
+_MENTIONS = f"""WITH t AS (SELECT doc_id AS ord, regexp_extract_all(text, '\\S+') AS w FROM documents),
+ m AS (SELECT ord, 0 AS k, '' AS j, 0 AS i, w[2] AS term, 'people' AS category FROM t UNION ALL SELECT ord, 0, '', 1, w[1], 'other' FROM t UNION ALL SELECT ord, 1, '', 0, w[3], 'other' FROM t
+  UNION ALL SELECT ord, 2, 'toys', 0, w[4], 'toys' FROM t UNION ALL SELECT ord, 2, 'none', 0, w[1], 'other' FROM t),
+ q AS (SELECT term, category, {NORM.format('term')} AS key, row_number() OVER (ORDER BY ord, k, j, i) AS seq FROM m WHERE term IS NOT NULL)
+"""
 
 
-_ALLOW = [(0, 0, "Bass"), (0, 1, "Class!"), (1, 0, "class"), (2, 0, "!!"), (2, 1, "Essex"), (3, 0, "bass")]
+@query("vocabulary_import", _MENTIONS + "SELECT key, arg_max(term, seq) AS term, arg_max(category, seq) AS category, min(seq) AS position FROM q WHERE key <> '' GROUP BY key")
+def vocabulary_import(spark, d) -> DataFrame:
+    return V.replay(V.imported(_payloads(spark, d)))[0]
 
 
-@query("allowlist_union", "SELECT * FROM (VALUES ('bass', 1), ('class', 2), ('essex', 3)) t(term, position)")
-def allowlist_union(spark, d) -> DataFrame:
-    return S.allowlist_union(spark.createDataFrame(_ALLOW, "layer int, ord int, term string"))
+@query("vocabulary_removed", f"SELECT term, row_number() OVER (ORDER BY term) AS position FROM (SELECT DISTINCT {NORM.format('w[1]')} AS term FROM (SELECT regexp_extract_all(text, '\\S+') AS w FROM documents)) WHERE term <> ''")
+def vocabulary_removed(spark, d) -> DataFrame:
+    return V.removed_terms(_payloads(spark, d))
 
 
-_VOCABULARY = [("Ann", "people", 0), ("Bo", "people", 2), ("Oslo", "locations", 1)]
+@query(
+    "allowlist_union",
+    f"SELECT term, CAST(row_number() OVER (ORDER BY layer, ord) AS INT) AS position FROM (SELECT term, min(struct_pack(l := layer, o := ord)).l AS layer, min(struct_pack(l := layer, o := ord)).o AS ord FROM (SELECT {NORM.format('w[1]')} AS term, doc_id % 4 AS layer, doc_id AS ord FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents)) WHERE term <> '' GROUP BY term)",
+)
+def allowlist_union(spark, d) -> DataFrame:
+    layers = table(spark, d, "documents", (F.col("doc_id") % 4).alias("layer"), F.col("doc_id").alias("ord"), F.get(X.tokens(F.col("text")), F.lit(0)).alias("term"))
+    return S.allowlist_union(layers)
 
 
 @query(
     "vocabulary_by_category",
-    f"""WITH v(term, category, position) AS (VALUES {_values(_VOCABULARY)}), c AS (SELECT unnest([{IN_LIST(V.CATEGORIES)}]) AS category, generate_subscripts([{IN_LIST(V.CATEGORIES)}], 1) - 1 AS k)
+    _ITEM_WORDS
+    + f""", v AS (SELECT t AS term, list_value({_CATS})[item_id % 8 + 1] AS category, item_id AS position FROM iw WHERE k = 1), c AS (SELECT unnest([{_CATS}]) AS category, generate_subscripts([{_CATS}], 1) - 1 AS k)
 SELECT CAST(k AS INT) AS category_position, c.category, coalesce(string_agg(term, ',' ORDER BY position), '') AS terms FROM c LEFT JOIN v USING (category) GROUP BY ALL""",
 )
 def vocabulary_by_category(spark, d) -> DataFrame:
-    out = V.by_category(spark.createDataFrame(_VOCABULARY, "term string, category string, position int"), V.CATEGORIES)
-    return out.select("category_position", "category", F.array_join("terms", ",").alias("terms"))
+    cats = F.array(*[F.lit(c) for c in V.CATEGORIES])
+    first = _item_words(spark, d).where("k = 1").select(F.col("t").alias("term"), F.get(cats, (F.col("item_id") % 8).cast("int")).alias("category"), F.col("item_id").alias("position"))
+    return V.by_category(first, V.CATEGORIES).select("category_position", "category", F.array_join("terms", ",").alias("terms"))
+
+
+# --- payloads of varying shape --------------------------------------------------------------
+
+
+@query(
+    "aligner_words",
+    """WITH t AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark)),
+ k AS (SELECT item_id, word, i, CASE WHEN item_id % 4 = 1 THEN CAST(i % 10 / 10.0 AS DOUBLE) ELSE 1.0::DOUBLE END AS confidence FROM t WHERE item_id % 4 < 2 OR item_id % 4 = 2 AND i % 3 > 0 OR item_id % 4 = 3 AND i = 0)
+SELECT item_id AS job_id, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS word_idx, word, CAST(i AS DOUBLE) AS start, CAST(i + 1 AS DOUBLE) AS "end", confidence FROM k""",
+)
+def aligner_words(spark, d) -> DataFrame:
+    """Stamps as a list, under ``items``, with empty texts and null times, and one alone."""
+    toks = X.tokens(F.col("text"))
+    at = lambda i: i.cast("double")
+    plain = F.to_json(F.transform(toks, lambda w, i: F.struct(w.alias("text"), at(i).alias("start_time"), at(i + 1).alias("end_time"))))
+    held = F.to_json(F.struct(F.transform(toks, lambda w, i: F.struct(w.alias("word"), at(i).alias("start"), at(i + 1).cast("string").alias("end"), (i % 10 / 10.0).alias("confidence"))).alias("items")))
+    odd = F.transform(toks, lambda w, i: F.struct(F.lit("").alias("text"), F.concat(w, F.lit(" ")).alias("word"), F.when(i % 3 > 0, at(i)).alias("start_time"), at(i).alias("start"), at(i + 1).alias("end")))
+    one = F.to_json(F.struct(F.get(toks, F.lit(0)).alias("text"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end")))
+    k = F.col("item_id") % 4
+    payload = F.when(k == 0, plain).when(k == 1, held).when(k == 2, F.to_json(odd, {"ignoreNullFields": "false"})).otherwise(one)
+    return files.aligner_payloads(table(spark, d, "benchmark", F.col("item_id").alias("job_id"), payload.alias("json")))
+
+
+@query(
+    "speaker_maps",
+    WORDS_CONV + _TURNS + """, s AS (SELECT job_id, turn, start_ms, end_ms, CASE WHEN job_id % 3 = 0 AND speaker = '1' THEN 'Host ' || job_id WHEN job_id % 3 = 0 THEN 'Guest' END AS shown, speaker FROM segments)
+SELECT job_id, turn, coalesce(shown, speaker) AS speaker, start_ms, end_ms, coalesce(shown, 'Speaker ' || speaker) AS label FROM s""",
+)
+def speaker_maps(spark, d) -> DataFrame:
+    """Each job's own names: a map by speaker and by label, one of blanks, and one that is no object."""
+    jobs, i = table(spark, d, "conversations", F.col("conv_id").alias("job_id")).distinct(), F.col("job_id")
+    full = F.concat(F.lit('{"1": "Host '), i.cast("string"), F.lit('", "Speaker 2": "Guest", "3": 7}'))
+    maps = jobs.select("job_id", F.when(i % 3 == 0, full).when(i % 3 == 1, '{"1": "  ", "2": ""}').otherwise("[1]").alias("json"))
+    return W.rename_speakers(W.pause_turns(words_of_conversations(spark, d)), files.speaker_names(maps)).select("job_id", "turn", "speaker", "start_ms", "end_ms", "label")
+
+
+@query(
+    "creator_settings",
+    """SELECT event_id AS job_id, CASE event_id % 5 WHEN 1 THEN 'review-only' WHEN 2 THEN 'balanced' ELSE 'strict' END AS safety_mode, CASE event_id % 5 WHEN 1 THEN 'flag' ELSE 'censor' END AS unknown_profanity,
+ event_id % 5 = 2 AS enable_sound_events, event_id % 5 <> 2 AS enable_speaker_labels FROM events""",
+)
+def creator_settings(spark, d) -> DataFrame:
+    i = F.col("event_id")
+    json = F.element_at(F.array(*[F.lit(x) for x in ('{"safety_mode": "odd"}', '{"safety_mode": " Review ", "unknown_profanity": "FLAG"}', '{"safety_mode": "balanced", "enable_sound_events": true, "enable_speaker_labels": false}', "not json", "[]")]), (i % 5 + 1).cast("int"))
+    return files.creator_choices(table(spark, d, "events", i.alias("job_id"), json.alias("json")))
 
 
 @query("recognizer_hints", "SELECT word AS term, n AS position FROM (SELECT word, min(doc_id * 100000 + k) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) - 1 AS k FROM documents) GROUP BY word ORDER BY n LIMIT 40)")

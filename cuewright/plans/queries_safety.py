@@ -186,9 +186,13 @@ _DECIDE = (
 )
 
 
+def decisions_of(words: DataFrame) -> DataFrame:
+    hits = written(S.detect(words, _LEX), "hits")  # few rows that many joins below read
+    return written(S.decide(hits, S.best_alternatives(S.alternatives(hits, _LEX))), "decisions")
+
+
 def decisions_of_documents(spark, d) -> DataFrame:
-    hits = written(_hits(spark, d), "hits")  # few rows that many joins below read
-    return S.decide(hits, S.best_alternatives(S.alternatives(hits, _LEX)))
+    return decisions_of(words_of_documents(spark, d))
 
 
 @query("safety_decisions", WORDS_DOC + _HITS + _DECIDE + 'SELECT job_id, word_idx, end_idx, original, replacement, reason, round(decision_confidence, 4) AS decision_confidence, "case", action, needs_review FROM decisions')
@@ -225,22 +229,23 @@ def decisions_among_events(spark, d) -> DataFrame:
     return W.carry_indices(decisions_of_documents(spark, d), placed).select("job_id", "word_idx", "end_idx", "original", "action")
 
 
-_LAYERS = [
-    (0, 0, "Thanedble", "people"), (0, 1, "Cinmente", "other"), (0, 2, "Orantion", "games"), (1, 0, "orantion", "toys"),
-    (1, 1, "Tiontion", "brands"), (2, 0, "CINMENTE", "locations"), (2, 1, "the tion", "phrases"),
-]
-_REMOVED = ["tiontion"]
+_CATEGORY = ", ".join(f"'{c}'" for c in V.CATEGORIES)
 
 
 @query(
     "vocab_merge",
-    f"""WITH l(layer, ord, term, category) AS (VALUES {_values(_LAYERS)}), k AS (SELECT *, lower(term) AS key FROM l)
-SELECT key, arg_max(term, layer * 1000 + ord) AS term, arg_max(category, layer * 1000 + ord) AS category, CAST(min(layer * 1000 + ord) AS BIGINT) AS position FROM k WHERE key NOT IN ({", ".join(f"'{r}'" for r in _REMOVED)}) GROUP BY key""",
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents), t AS (SELECT doc_id % 3 AS layer, doc_id AS ord, array_to_string(w[1:2], ' ') AS term, list_value({_CATEGORY})[doc_id % 9 + 1] AS category,
+  array_to_string(list_filter(list_transform(w[1:2], lambda x: {NORM.format('x')}), lambda x: x <> ''), ' ') AS key FROM w),
+ p AS (SELECT *, layer * 10000000000 + ord AS pos FROM t WHERE key <> '')
+SELECT key, arg_max(term, pos) AS term, arg_max(category, pos) AS category, CAST(min(pos) AS BIGINT) AS position FROM p WHERE key NOT IN (SELECT key FROM p WHERE ord % 11 = 0) GROUP BY key""",
 )
 def vocab_merge(spark, d) -> DataFrame:
-    layers = spark.createDataFrame(_LAYERS, "layer int, ord int, term string, category string")
-    out = V.merge_layers(layers, spark.createDataFrame([(r,) for r in _REMOVED], "term string"))
-    return out.withColumn("position", (F.col("position.layer") * 1000 + F.col("position.ord")).cast("long"))
+    """Layers of the documents' first two words; terms of every eleventh document are removed again."""
+    i, cats = F.col("doc_id"), F.array(*[F.lit(c) for c in V.CATEGORIES])
+    term = F.array_join(F.slice(X.tokens(F.col("text")), 1, 2), " ")
+    layers = table(spark, d, "documents", (i % 3).alias("layer"), i.alias("ord"), term.alias("term"), F.get(cats, (i % 9).cast("int")).alias("category"))
+    out = V.merge_layers(layers, layers.where("ord % 11 = 0"))
+    return out.withColumn("position", (F.col("position.layer") * 10_000_000_000 + F.col("position.ord")).cast("long"))
 
 
 _TERMS = [(t, i) for i, t in enumerate(LEXICON.vocabulary)]

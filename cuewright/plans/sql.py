@@ -11,8 +11,8 @@ NORM = "trim(regexp_replace(replace(lower({0}), '’', ''''), '[^a-z0-9'']+', ''
 
 _COLUMNS = "CAST(((job_id * 31 + word_idx * 17) % 101) / 100.0 AS DOUBLE) AS confidence"
 
-WORDS_CONV = f"""WITH RECURSIVE tk AS (SELECT conv_id, turn, role, regexp_extract_all(text, '\\S+') AS ws FROM conversations),
- ofs AS (SELECT *, coalesce(sum(len(ws)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM tk),
+WORDS_CONV = f"""WITH RECURSIVE spoken AS (SELECT conv_id, turn, role, regexp_extract_all(text, '\\S+') AS ws FROM conversations),
+ ofs AS (SELECT *, coalesce(sum(len(ws)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM spoken),
  ex AS (SELECT conv_id AS job_id, turn, role AS speaker, unnest(ws) AS word, CAST(o + generate_subscripts(ws, 1) - 1 AS BIGINT) AS word_idx FROM ofs),
  words AS (SELECT job_id, word_idx, word, 400 * word_idx + 1000 * turn AS start_ms, 400 * word_idx + 1000 * turn + 300 AS end_ms, {_COLUMNS}, speaker FROM ex)
 """

@@ -198,12 +198,72 @@ def frame_rate(c: Column) -> Column:
 
 
 def aligned_words(stamps: DataFrame) -> DataFrame:
-    """Aligner payloads with either name of a field; rows without text or times fall away."""
+    """Aligner rows with either name of a field; rows without text or times fall away. An empty text counts as none."""
     has = set(stamps.columns)
     pick = lambda *names: F.coalesce(*[F.col(n) for n in names if n in has]) if has & set(names) else F.lit(None)
-    rows = stamps.select("job_id", pick("text", "word").alias("word"), pick("start_time", "start").cast("double").alias("start"), pick("end_time", "end").cast("double").alias("end"), F.coalesce(pick("confidence").cast("double"), F.lit(1.0)).alias("confidence"))
-    return rows.where("word is not null and word <> '' and start is not null and end is not null")
+    text = F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in ("text", "word") if n in has], F.lit(""))
+    rows = stamps.select("job_id", _stripped(text).alias("word"), pick("start_time", "start").cast("double").alias("start"), pick("end_time", "end").cast("double").alias("end"), F.coalesce(pick("confidence").cast("double"), F.lit(1.0)).alias("confidence"))
+    return rows.where("word <> '' and start is not null and end is not null")
 
 
-def audio(spark: SparkSession, path) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def aligner_payloads(payloads: DataFrame) -> DataFrame:
+    """(job_id, word_idx, word, start, end, confidence) of aligner payloads. ``payloads``: job_id, json.
+
+    A payload is a list of stamps, an object with ``items``, or one stamp. A stamp's text is its
+    ``text``, or its ``word`` where that is missing, null or empty, stripped; its times are
+    ``start_time`` and ``end_time``, or ``start`` and ``end`` where those are missing (a null
+    there is no time). Stamps without text or a time fall away, the rest is numbered densely; a
+    missing confidence is 1. Texts that are no JSON have no words.
+    """
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+
+    def number_of(v: Column, path: str) -> Column:
+        return F.coalesce(get(v, path, "double"), get(v, path, "string").try_cast("double"))
+
+    def time(v: Column, name: str, other: str) -> Column:
+        return F.when(get(v, name, "variant").isNull(), number_of(v, other)).otherwise(number_of(v, name))
+
+    def stamp(v: Column) -> Column:
+        text = F.coalesce(F.nullif(get(v, "$.text", "string"), F.lit("")), get(v, "$.word", "string"), F.lit(""))
+        return F.struct(
+            _stripped(text).alias("word"), time(v, "$.start_time", "$.start").alias("start"), time(v, "$.end_time", "$.end").alias("end"), F.coalesce(number_of(v, "$.confidence"), F.lit(1.0)).alias("confidence")
+        )
+
+    held = payloads.select("job_id", F.try_parse_json("json").alias("p"))
+    items = F.coalesce(get(F.col("p"), "$.items", "array<variant>"), get(F.col("p"), "$", "array<variant>"), F.array("p"))
+    kept = F.filter(F.transform(items, stamp), lambda x: (x["word"] != "") & x["start"].isNotNull() & x["end"].isNotNull())
+    rows = held.where("p is not null").select("job_id", F.posexplode(kept).alias("i", "x"))
+    return rows.select("job_id", F.col("i").cast("long").alias("word_idx"), "x.*")
+
+
+def payload_files(spark: SparkSession, paths) -> DataFrame:
+    """(job_id, json) of whole files, by the name of the folder they lie in."""
+    return spark.read.option("wholetext", True).text(paths).select(job_of(F.col("_metadata.file_path")).alias("job_id"), F.col("value").alias("json"))
+
+
+def speaker_names(payloads: DataFrame) -> DataFrame:
+    """(job_id, key, value) of speaker maps, for ``rename_speakers``; blank names and payloads that are no objects give nothing. ``payloads``: job_id, json."""
+    held = payloads.select("job_id", F.explode(F.try_variant_get(F.try_parse_json("json"), "$", "map<string,variant>")).alias("key", "v"))
+    value = F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))
+    return held.select("job_id", "key", value.alias("value")).where(_stripped(F.col("value")) != "")
+
+
+def creator_choices(payloads: DataFrame) -> DataFrame:
+    """(job_id, safety_mode, unknown_profanity, enable_sound_events, enable_speaker_labels) of stored settings over the defaults.
+
+    ``payloads``: job_id, json. Modes are normalised, unknown ones are the strictest; what is no object has the defaults.
+    """
+    p = F.try_parse_json("json")
+    text = lambda name: F.replace(F.lower(_stripped(F.coalesce(F.try_variant_get(p, f"$.{name}", "string"), F.lit("")))), F.lit("_"), F.lit("-"))
+    flag = lambda name, default: F.coalesce(F.try_variant_get(p, f"$.{name}", "boolean"), F.lit(default))
+    mode, unknown = text("safety_mode"), text("unknown_profanity")
+    mode = F.when(mode == "safe", "strict").when(mode.isin("literal", "review"), "review-only").otherwise(mode)
+    return payloads.select(
+        "job_id", F.when(mode.isin("strict", "balanced", "review-only"), mode).otherwise("strict").alias("safety_mode"),
+        F.when(unknown.isin("censor", "flag", "keep"), unknown).otherwise("censor").alias("unknown_profanity"),
+        flag("enable_sound_events", False).alias("enable_sound_events"), flag("enable_speaker_labels", True).alias("enable_speaker_labels"),
+    )

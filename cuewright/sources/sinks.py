@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.functions import text as X
 from cuewright.operators import captions as C
 from cuewright.operators import safety as S
 from cuewright.schema import Settings
 
 # fixed values ---------------------------------------------------------------------------
-DISCLAIMER = "Captions are not guaranteed safe. Creator review is required."
+DISCLAIMER = X.DISCLAIMER
 REPORT_HEAD = "| Original | Replacement | Case | Action | Needs review | Reason |\n|---|---|---|---|---|---|"
 REPORT_NONE = "| — | — | — | — | — | No safety decisions recorded |"
 REPORT_END = "The original ASR transcript remains in `raw_transcript.json` and `raw.srt`."
@@ -131,7 +132,7 @@ def evaluation_json(scores: DataFrame, summary: DataFrame, model: str) -> DataFr
     clips = scores.groupBy("config").agg(F.array_sort(F.collect_list(clip)).alias("clips"))
     own = F.struct(*[c for c in summary.columns if c != "config"])
     rows = summary.select("config", own.alias("summary")).join(clips, "config")
-    return rows.select("config", F.to_json(F.struct(F.lit(model).alias("model"), "config", "summary", "clips", F.lit(DISCLAIMER).alias("disclaimer"))).alias("json"))
+    return rows.select("config", F.to_json(F.struct(F.lit(model).alias("model"), "config", "summary", "clips", F.lit(DISCLAIMER).alias("disclaimer"), F.lit(X.NOTE).alias("note"))).alias("json"))
 
 
 def reading_speed_text(captions: DataFrame) -> DataFrame:

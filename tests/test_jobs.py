@@ -191,7 +191,7 @@ def test_ablation_configurations(spark, make_words):
     assert all(r["within_200ms"] == 1.0 and r["caption_count"] >= 1 for r in got.values())
     summary = E.rollup(E.clip_scores(words, clips, none, lexicon, terms), "config")
     text = E.report_text(summary, "m", "1").first()["report"]
-    assert text.startswith("Caption evaluation\nModel: m\n") and "[full_pipeline]\nWER: 0.0000\n" in text and text.index("[asr_only]") < text.index("[full_pipeline]")
+    assert text.startswith(f"Caption evaluation\nModel: m\nPipeline version: 1\n{X.NOTE}\n{X.DISCLAIMER}\n\n[asr_only]") and "[full_pipeline]\nWER: 0.0000\n" in text and text.index("[asr_only]") < text.index("[full_pipeline]")
 
 
 def test_reports(spark):
@@ -216,9 +216,44 @@ def test_frame_rate_and_aligner(spark):
     assert [None if r["r"] is None else round(r["r"], 2) for r in df.collect()] == [29.97, None, 25.0, None]
     stamps = spark.createDataFrame([(1, "hi", None, 0.5, 1.0, None), (1, None, None, 1.0, 2.0, 0.5)], "job_id int, text string, word string, start_time double, end_time double, confidence double")
     assert [(r["word"], r["confidence"]) for r in files.aligned_words(stamps).collect()] == [("hi", 1.0)]
-
-
-def test_states(spark):
-    pairs = [("QUEUED", "TRANSCRIBING", True), ("TRANSCRIBING", "QUEUED", False), ("CORRECTING", "FAILED", True), ("READY_FOR_REVIEW", "EXPORTED", True), ("EXPORTED", "CANCELLED", False), ("FAILED", "QUEUED", True), (None, "UPLOAD", True)]
-    df = spark.createDataFrame(pairs, "a string, b string, ok boolean").select(review.may_follow(F.col("a"), F.col("b")).alias("got"), "ok")
-    assert all(r["got"] == r["ok"] for r in df.collect())
+    stamps = spark.createDataFrame([(1, "", " ho ", 0.5, 1.0), (1, "  ", "x", 1.0, 2.0), (1, None, None, 1.0, 2.0)], "job_id int, text string, word string, start double, end double")
+    assert [r["word"] for r in files.aligned_words(stamps).collect()] == ["ho"]
+
+
+def test_aligner_payloads(spark):
+    one = {"text": "a", "start": 0, "end": "1.5"}
+    payloads = [
+        json.dumps([one, {"word": " b\n", "start_time": 1, "end_time": 2, "confidence": 0.5}, {"text": "", "word": "c", "start": 2, "end": 3}]),
+        json.dumps({"items": [one, {"text": "  ", "word": "x", "start": 0, "end": 1}, {"text": "y", "start_time": None, "start": 1, "end": 2}, {"text": "z", "start": 1}, {"text": "d", "start": "3", "end": 4, "confidence": None}]}),
+        json.dumps(one), "[]", "null", "not json", None, "7", json.dumps({"items": []}), json.dumps([None, one]),
+    ]
+    got = files.aligner_payloads(spark.createDataFrame(list(enumerate(payloads)), "job_id int, json string")).orderBy("job_id", "word_idx").collect()
+    a = ("a", 0.0, 1.5, 1.0)
+    assert [tuple(r) for r in got] == [(0, 0, *a), (0, 1, "b", 1.0, 2.0, 0.5), (0, 2, "c", 2.0, 3.0, 1.0), (1, 0, *a), (1, 1, "d", 3.0, 4.0, 1.0), (2, 0, *a), (9, 0, *a)]
+
+
+def test_maps_and_settings_of_jobs(spark, tmp_path):
+    for job, name, text in (("j1", "speaker_map.json", '{"1": "Ann", "2": " ", "Speaker 3": 7}'), ("j2", "speaker_map.json", "[]"), ("j3", "speaker_map.json", "{"), ("j1", "settings.json", '{"safety_mode": "Literal", "unknown_profanity": "keep"}'), ("j2", "settings.json", "7")):
+        (tmp_path / job).mkdir(exist_ok=True)
+        (tmp_path / job / name).write_text(text)
+    names = files.speaker_names(files.payload_files(spark, f"{tmp_path}/*/speaker_map.json"))
+    assert sorted(map(tuple, names.collect())) == [("j1", "1", "Ann"), ("j1", "Speaker 3", "7")]
+    chosen = files.creator_choices(files.payload_files(spark, f"{tmp_path}/*/settings.json")).orderBy("job_id").collect()
+    assert [tuple(r) for r in chosen] == [("j1", "review-only", "keep", False, True), ("j2", "strict", "censor", False, True)]
+
+
+def test_imported_vocabulary_keeps_removed_terms(spark):
+    from cuewright.operators import vocabulary as V
+
+    payloads = ['{"entries": ["Ann", {"term": "Bo", "category": "people"}, {"term": null}, 7], "terms": ["Cy", "Bo", null, " "], "grouped": {"toys": ["Ann"], "games": ["Di"], "x": null}, "removed": ["Cy", "zed", "CY!"]}', "broken", None, '{"terms": ["Ed"], "removed": ["abe"]}']
+    table = spark.createDataFrame(list(enumerate(payloads)), "ord int, json string")
+    log = V.imported(table)
+    assert [r["seq"] for r in log.orderBy("seq").collect()] == list(range(1, 9)) and {r["action"] for r in log.collect()} == {"add"}
+    entries = {r["key"]: (r["term"], r["category"]) for r in V.replay(log)[0].collect()}
+    assert entries == {"ann": ("Ann", "toys"), "bo": ("Bo", "other"), "7": ("7", "other"), "cy": ("Cy", "other"), "di": ("Di", "games"), "ed": ("Ed", "other")}
+    assert [tuple(r) for r in V.removed_terms(table).orderBy("position").collect()] == [("abe", 1), ("cy", 2), ("zed", 3)]
+
+
+def test_status_kinds(spark):
+    df = spark.createDataFrame([("QUEUED",), ("EXPORTED",), ("CANCELLED",), ("x",), (None,)], "s string").select(review.status_kind(F.col("s")).alias("k"))
+    assert [r["k"] for r in df.collect()] == ["busy", "review", "ended", None, None]
\ No newline at end of file
