@@ -20,11 +20,8 @@ from cuewright.sources.shared import written
 TOLERANCE_MS = 200
 
 
-def _row(above: np.ndarray, same: np.ndarray, i: int) -> np.ndarray:
-    """The i-th row of the distance table from the row above it; ``same`` marks equal tokens."""
-    ramp = np.arange(len(above), dtype=np.int32)
-    best = np.minimum(above[1:] + 1, above[:-1] + ~same)
-    return np.minimum.accumulate(np.concatenate([[i], best]).astype(np.int32) - ramp) + ramp  # insertions along the row
+#: more than any distance
+_FAR = 1 << 29
 
 
 def _codes(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
@@ -32,44 +29,100 @@ def _codes(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.asarray([known[t] for t in x], np.int32) for x in (a, b))
 
 
+class _Band:
+    """Rows of the distance table, ``half`` diagonals to either side of those from corner to corner.
+
+    Row i holds the columns from i + low on, in the order of their diagonals.
+    """
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, half: int):
+        self.left, self.slope = left, len(right) - len(left)
+        self.low = min(0, self.slope) - half
+        self.width = abs(self.slope) + 2 * half + 1
+        self.columns = len(right)
+        self.ramp = np.arange(self.width, dtype=np.int32)
+        aside = np.full(self.width + len(left), -1, np.int32)
+        self.padded, self.at = np.concatenate([aside, right, aside]), len(aside)
+
+    def first(self) -> np.ndarray:
+        j = self.low + self.ramp
+        return np.where((j >= 0) & (j <= self.columns), j, _FAR).astype(np.int32)
+
+    def after(self, row: np.ndarray, i: int) -> np.ndarray:
+        """Row i from the row before it."""
+        start = self.at + i + self.low - 1
+        best = row + (self.padded[start : start + self.width] != self.left[i - 1])
+        np.minimum(best[:-1], row[1:] + 1, out=best[:-1])
+        best -= self.ramp
+        np.minimum.accumulate(best, out=best)  # insertions along the row
+        best += self.ramp
+        best[max(0, self.columns - i - self.low + 1) :] = _FAR
+        return best
+
+    def last(self, every: int = 0) -> tuple[int, dict[int, np.ndarray]]:
+        """The distance within the band, and every so many rows."""
+        row = self.first()
+        kept = {0: row}
+        for i in range(1, len(self.left) + 1):
+            row = self.after(row, i)
+            if every and i % every == 0:
+                kept[i] = row
+        return int(row[self.slope - self.low]), kept
+
+
+def _proven(left: np.ndarray, right: np.ndarray, every: int = 0) -> tuple[_Band, int, dict[int, np.ndarray]]:
+    """A band that no optimal path leaves, its distance and every so many of its rows.
+
+    A path that leaves a band of half-width h has 2 h + 2 steps aside and back, besides the
+    difference of the lengths. So a distance of less is proven, with all its ties; else the band
+    is widened, to twice its width or to what the distance found asks for.
+    """
+    half, whole = 8, max(len(left), len(right))
+    while True:
+        band = _Band(left, right, min(half, whole))
+        distance, kept = band.last(every)
+        if half >= whole or distance <= 2 * half + abs(band.slope) + 1:
+            return band, distance, kept
+        half = min(2 * half, (distance - abs(band.slope)) // 2 + 1)
+
+
 def edit_distance(a: list, b: list) -> int:
-    """Levenshtein distance of token lists, by one row of the table at a time."""
-    left, right = _codes(a, b)
-    row = np.arange(len(b) + 1, dtype=np.int32)
-    for i, t in enumerate(left.tolist(), start=1):
-        row = _row(row, right == t, i)
-    return int(row[-1])
+    """Levenshtein distance of token lists, in time that follows the number of errors."""
+    if not a or not b:
+        return max(len(a), len(b))
+    return _proven(*_codes(a, b))[1]
 
 
 def alignment(a: list, b: list) -> list[tuple[int, int]]:
     """Index pairs of tokens that one optimal path aligns.
 
     Read from the end, a path goes diagonally where it can, else drops a token of ``a``, else one
-    of ``b``. Every ``block``-th row of the table is kept, and the rows between two kept ones are
-    made again when the path gets there: memory grows as the length times its square root.
+    of ``b``. All optimal paths lie in the band, so the choices are those of the whole table. Every
+    ``block``-th row of the band is kept, and the rows between two kept ones are made again when
+    the path gets there: time follows the length times the errors, memory less than that.
     """
+    if not a or not b:
+        return []
     left, right = _codes(a, b)
     block = max(1, int(len(a) ** 0.5))
-    kept, row = {0: np.arange(len(b) + 1, dtype=np.int32)}, np.arange(len(b) + 1, dtype=np.int32)
-    for i in range(1, len(a) + 1):
-        row = _row(row, right == left[i - 1], i)
-        if i % block == 0:
-            kept[i] = row
+    band, _, kept = _proven(left, right, block)
     pairs, j = [], len(b)
-    for low in range(len(a) - 1 - (len(a) - 1) % block if a else 0, -1, -block):
+    for low in range(len(a) - 1 - (len(a) - 1) % block, -1, -block):
         rows = [kept[low]]
         for i in range(low + 1, min(low + block, len(a)) + 1):
-            rows.append(_row(rows[-1], right == left[i - 1], i))
+            rows.append(band.after(rows[-1], i))
         for i in range(len(rows) - 1, 0, -1):
-            here, above = rows[i], rows[i - 1]
-            diagonal = here[1:] == above[:-1] + (right != left[low + i - 1])
-            drop = here == above + 1
-            # insertions happen while neither of the other steps fits
-            while not (j and diagonal[j - 1]) and not drop[j]:
-                j -= 1
-            if j and diagonal[j - 1]:
-                pairs.append((low + i - 1, j - 1))
-                j -= 1
+            here, above, shift = rows[i], rows[i - 1], low + i + band.low
+            token = left[low + i - 1]
+            while True:
+                at = j - shift
+                if j and here[at] == above[at] + (right[j - 1] != token):
+                    pairs.append((low + i - 1, j - 1))
+                    j -= 1
+                    break
+                if at + 1 < band.width and here[at] == above[at + 1] + 1:
+                    break
+                j -= 1  # insertions happen while neither of the other steps fits
     return pairs[::-1]
 
 

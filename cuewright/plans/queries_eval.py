@@ -9,7 +9,7 @@ from cuewright.functions import text as X
 from cuewright.operators import evaluation as E
 from cuewright.operators import safety as S
 from cuewright.plans.queries_safety import _HITS, _LEX, _hits, decisions_of_documents, _DECIDE
-from cuewright.plans.sql import WORDS_DOC
+from cuewright.plans.sql import NORM, WORDS_DOC
 from cuewright.sources.tables import table, words_of_documents
 from cuewright.streaming.sessions import pause_sessions
 
@@ -87,7 +87,25 @@ def _clip_words(spark, d) -> tuple[DataFrame, DataFrame]:
     return ref, hyp.withColumn("start_ms", F.col("start_ms") + late).withColumn("end_ms", F.col("end_ms") + late)
 
 
-@query("timestamp_accuracy")
+_ALIGNED = f"""WITH RECURSIVE tw AS (SELECT item_id AS job_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS k FROM (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark)),
+ rw AS (SELECT job_id, k, 400 * k AS s, 400 * k + 300 AS e, {NORM.format('word')} AS t FROM tw),
+ hw AS (SELECT job_id, k, 400 * k + k % 5 * 60 AS s, 400 * k + 300 + k % 5 * 60 AS e, {NORM.format("CASE WHEN k % 7 = 6 THEN word || 'x' ELSE word END")} AS t FROM tw WHERE k % 11 <> 10),
+ ab AS (SELECT * FROM (SELECT job_id, list(t ORDER BY k) AS a, list(s ORDER BY k) AS as_, list(e ORDER BY k) AS ae FROM rw GROUP BY job_id) JOIN (SELECT job_id, list(t ORDER BY k) AS b, list(s ORDER BY k) AS bs, list(e ORDER BY k) AS be FROM hw GROUP BY job_id) USING (job_id)),
+ dp AS (SELECT job_id, 0 AS i, generate_series(0, len(b)) AS d, a, b FROM ab
+  UNION ALL SELECT job_id, i + 1, list_transform(q, lambda x, j: j - 1 + list_min(list_transform(q[1:j], lambda y, m: y - (m - 1)))), a, b
+  FROM (SELECT *, list_transform(d, lambda x, j: CASE WHEN j = 1 THEN CAST(i + 1 AS BIGINT) ELSE least(x + 1, d[j - 1] + CASE WHEN a[i + 1] = b[j - 1] THEN 0 ELSE 1 END) END) AS q FROM dp WHERE i < len(a))),
+ path AS (SELECT job_id, CAST(len(a) AS INT) AS i, CAST(len(b) AS INT) AS j, FALSE AS met FROM ab
+  UNION ALL SELECT job_id, CASE WHEN step = 'i' THEN i ELSE i - 1 END, CASE WHEN step = 'd' THEN j ELSE j - 1 END, step = 'm'
+  FROM (SELECT p.*, CASE WHEN h.d[j + 1] = u.d[j] + CASE WHEN h.a[p.i] = h.b[j] THEN 0 ELSE 1 END THEN 'm' WHEN h.d[j + 1] = u.d[j + 1] + 1 THEN 'd' ELSE 'i' END AS step
+   FROM path p JOIN dp h ON h.job_id = p.job_id AND h.i = p.i JOIN dp u ON u.job_id = p.job_id AND u.i = p.i - 1 WHERE p.i > 0 AND p.j > 0)),
+ er AS (SELECT job_id, abs(as_[i + 1] - bs[j + 1]) AS so, abs(ae[i + 1] - be[j + 1]) AS eo FROM path JOIN ab USING (job_id) WHERE met AND a[i + 1] = b[j + 1] AND a[i + 1] <> ''),
+ su AS (SELECT ab.job_id, count(so) AS n, sum(so) AS so, sum(eo) AS eo, count(*) FILTER (so <= 200 AND eo <= 200) AS near FROM ab LEFT JOIN er ON er.job_id = ab.job_id GROUP BY ab.job_id)
+SELECT job_id, n AS pairs_compared, coalesce(round(CAST(so AS DOUBLE) / nullif(n, 0) / 1000, 4), 0.0::DOUBLE) AS mean_onset_error_s, coalesce(round(CAST(eo AS DOUBLE) / nullif(n, 0) / 1000, 4), 0.0::DOUBLE) AS mean_offset_error_s,
+ coalesce(round(CAST(near AS DOUBLE) / nullif(n, 0), 4), 1.0::DOUBLE) AS within_200ms FROM su
+"""
+
+
+@query("timestamp_accuracy", _ALIGNED)
 def timestamp_accuracy(spark, d) -> DataFrame:
     return E.timestamp_accuracy(*_clip_words(spark, d))
 

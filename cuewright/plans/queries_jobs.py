@@ -497,7 +497,8 @@ def _spoken(spark, d) -> DataFrame:
     return w.select("job_id", (F.col("word_idx") * 20).alias("start_ms"), (F.col("word_idx") * 20 + 500).alias("end_ms"))
 
 
-_SPOKEN = """, wd AS (SELECT job_id, frame * 20 AS s, frame * 20 + 500 AS e FROM f WHERE frame % 150 = 0), isp AS (SELECT f.job_id, f.frame FROM f SEMI JOIN wd ON wd.job_id = f.job_id AND f.frame * 20 BETWEEN wd.s - 50 AND wd.e + 50)
+_SPOKEN = """, wd AS (SELECT job_id, frame * 20 AS s, frame * 20 + 500 AS e FROM f WHERE frame % 150 = 0), wb AS (SELECT *, unnest([s // 3000 - 1, s // 3000, s // 3000 + 1]) AS bin FROM wd),
+ isp AS (SELECT f.job_id, f.frame FROM f SEMI JOIN wb ON wb.job_id = f.job_id AND wb.bin = f.frame // 150 AND f.frame * 20 BETWEEN wb.s - 50 AND wb.e + 50)
 """
 
 

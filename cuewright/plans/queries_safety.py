@@ -287,14 +287,6 @@ def vocab_apply(spark, d) -> DataFrame:
 _VPHRASES = ["the inthe", "of the thing", "the the"]
 
 
-@query("vocab_apply_phrases")
-def vocab_apply_phrases(spark, d) -> DataFrame:
-    """``vocab_apply`` with terms of several words as well."""
-    every = [*LEXICON.vocabulary, *_VPHRASES]
-    terms = spark.createDataFrame([(t, i) for i, t in enumerate(every)], "term string, ord int")
-    return V.apply_terms(words_of_conversations(spark, d), terms).select("job_id", "word_idx", "end_ms", "word")
-
-
 def _vphrase_sql() -> str:
     ranked = sorted(enumerate(_VPHRASES), key=lambda p: (-len(p[1].split()), p[0]))
     cands = []
@@ -309,10 +301,31 @@ def _vphrase_sql() -> str:
  fold AS (SELECT job_id, r, word_idx, n, ord, term, word, TRUE AS ok, generate_series(word_idx, word_idx + n - 1) AS taken FROM ranked WHERE r = 1
   UNION ALL SELECT c.job_id, c.r, c.word_idx, c.n, c.ord, c.term, c.word, NOT list_has_any(f.taken, generate_series(c.word_idx, c.word_idx + c.n - 1)),
    CASE WHEN list_has_any(f.taken, generate_series(c.word_idx, c.word_idx + c.n - 1)) THEN f.taken ELSE list_concat(f.taken, generate_series(c.word_idx, c.word_idx + c.n - 1)) END
-  FROM fold f JOIN ranked c ON c.job_id = f.job_id AND c.r = f.r + 1)
-SELECT job_id, word_idx, n, CASE WHEN word = upper(word) AND word <> lower(word) THEN upper(term) WHEN regexp_matches(word, '^[A-Z]') THEN upper(left(term, 1)) || substr(term, 2) ELSE term END AS term FROM fold WHERE ok"""
+  FROM fold f JOIN ranked c ON c.job_id = f.job_id AND c.r = f.r + 1),
+ spans AS (SELECT job_id, word_idx, n, CASE WHEN word = upper(word) AND word <> lower(word) THEN upper(term) WHEN regexp_matches(word, '^[A-Z]') THEN upper(left(term, 1)) || substr(term, 2) ELSE term END AS term FROM fold WHERE ok)
+"""
 
 
-@query("vocab_phrases", WORDS_CONV + _vphrase_sql())
+@query("vocab_phrases", WORDS_CONV + _vphrase_sql() + "SELECT * FROM spans")
 def vocab_phrases(spark, d) -> DataFrame:
     return V.phrase_matches(words_of_conversations(spark, d), _VPHRASES).select("job_id", "word_idx", "n", "term")
+
+
+@query(
+    "vocab_apply_phrases",
+    WORDS_CONV + _vphrase_sql()
+    + f""", terms(term, ord) AS (VALUES {_values(_TERMS)}), t AS (SELECT DISTINCT {NORM.format('word')} AS token FROM words),
+ s AS (SELECT token, term, ord, round({vocab_similarity_sql('token', 'lower(term)')}, 9) AS score FROM t, terms WHERE token <> ''),
+ b AS (SELECT token, arg_max(term, struct_pack(a := score, b := -ord)) AS term, max(score) AS score FROM s WHERE score >= 0.84 GROUP BY token),
+ used AS (SELECT job_id, word_idx AS first, term, n, unnest(generate_series(word_idx, word_idx + n - 1)) AS word_idx FROM spans)
+SELECT w.job_id, w.word_idx, CASE WHEN u.first IS NULL THEN w.end_ms ELSE l.end_ms END AS end_ms,
+ CASE WHEN u.first IS NOT NULL THEN u.term WHEN b.term IS NULL OR NOT (score >= 0.999 OR w.confidence < 0.97) THEN w.word WHEN w.word = upper(w.word) AND w.word <> lower(w.word) THEN upper(b.term)
+  WHEN left(w.word, 1) = upper(left(w.word, 1)) AND left(w.word, 1) <> lower(left(w.word, 1)) THEN upper(left(b.term, 1)) || substr(b.term, 2) ELSE b.term END AS word
+FROM words w LEFT JOIN used u ON u.job_id = w.job_id AND u.word_idx = w.word_idx LEFT JOIN words l ON l.job_id = u.job_id AND l.word_idx = u.first + u.n - 1 LEFT JOIN b ON {NORM.format('w.word')} = b.token
+WHERE u.first IS NULL OR u.first = w.word_idx""",
+)
+def vocab_apply_phrases(spark, d) -> DataFrame:
+    """``vocab_apply`` with terms of several words as well."""
+    every = [*LEXICON.vocabulary, *_VPHRASES]
+    terms = spark.createDataFrame([(t, i) for i, t in enumerate(every)], "term string, ord int")
+    return V.apply_terms(words_of_conversations(spark, d), terms).select("job_id", "word_idx", "end_ms", "word")

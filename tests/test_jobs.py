@@ -2,6 +2,7 @@ import itertools
 import json
 import random
 import struct
+import time
 import wave
 
 import pytest
@@ -159,6 +160,34 @@ def test_alignment_is_that_of_the_whole_table():
         assert E.alignment(a, b) == pairs[::-1] and E.edit_distance(a, b) == d[-1][-1]
 
 
+def test_alignment_of_long_texts_follows_the_errors():
+    rnd = random.Random(9)
+    a = [f"w{rnd.randrange(3000)}" for _ in range(100_000)]
+    b = [x for x in a if rnd.random() > 0.004]
+    for at in rnd.sample(range(len(b)), 400):
+        b[at] += "x"
+    began = time.time()
+    pairs = E.alignment(a, b)
+    assert time.time() - began < 60 and E.edit_distance(a, b) == len(a) - len(b) + 400
+    assert len(pairs) == len(b) and sum(a[i] != b[j] for i, j in pairs) == 400
+    assert E.alignment([], a) == E.alignment(a, []) == [] and E.edit_distance(a, []) == len(a)
+
+
+def test_bands_agree_with_the_whole_table(monkeypatch):
+    rnd, pairs = random.Random(10), []
+    for _ in range(60):
+        a = [rnd.choice("ab") for _ in range(rnd.randrange(120))]
+        b = [rnd.choice("abc") for _ in range(rnd.randrange(120))] if rnd.random() < 0.5 else [x for x in a if rnd.random() > 0.2]
+        pairs.append((a, b, E.alignment(a, b), E.edit_distance(a, b)))
+
+    def whole(left, right, every=0):
+        band = E._Band(left, right, max(len(left), len(right)))
+        return band, *band.last(every)
+
+    monkeypatch.setattr(E, "_proven", whole)
+    assert all((E.alignment(a, b), E.edit_distance(a, b)) == (p, d) for a, b, p, d in pairs)
+
+
 def test_similar_terms_are_those_of_all_pairs(spark):
     rnd = random.Random(3)
     terms = sorted({"".join(rnd.choice("abst1") for _ in range(rnd.randrange(1, 9))) for _ in range(120)})
