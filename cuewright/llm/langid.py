@@ -5,11 +5,13 @@ word is covered by its longest known n-grams, 4 letters down to 1, each shorter
 penalty. A text's language has the largest sum over its words; the score is the posterior
 probability of that language under equal priors.
 
-Fitting: the classifier is fitted on a bounded sample of labelled rows, at most about
-``ROWS`` a language, picked by a hash of the text. Word and n-gram counts of the
+Fitting: the classifier is fitted on a bounded sample of labelled texts, at most about
+``ROWS`` different ones a language, picked by a hash of the text and taken once each, so that
+copies neither fill a language's sample nor empty it. Word and n-gram counts of the
 sample are aggregated on the cluster; the model keeps the ``WORDS`` words and ``GRAMS``
 n-grams that are most frequent in some language, which bounds what is broadcast. Every
-language is learned; a key's counts are held for the languages in which it occurs only.
+language with a letter in its texts is learned; a key's counts are held for the languages in
+which it occurs only.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every
 text when there is nothing to learn from. Ties go to the language that sorts first. Repeated
@@ -133,12 +135,15 @@ class Model:
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", rows: int = ROWS, words: int = WORDS, grams: int = GRAMS) -> Model:
     """The model of the rows whose text and language are not null."""
     own = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    sizes = sorted(own.groupBy("lang").count().collect(), key=lambda r: r["lang"])
+    spot = F.xxhash64("text")
+    different = own.select("lang", spot.alias("spot")).distinct()
+    sizes = sorted(different.groupBy("lang").count().collect(), key=lambda r: r["lang"])
     langs = [r["lang"] for r in sizes]
     if not langs:
         return Model([], _NOTHING, _NOTHING)
     share = own.sparkSession.createDataFrame([(k, r["lang"], min(1.0, rows / r["count"])) for k, r in enumerate(sizes)], "k int, lang string, share double")
-    picked = own.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("k", "text")
+    chosen = own.withColumn("spot", spot).join(F.broadcast(share), "lang").where(F.pmod("spot", F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    picked = chosen.groupBy("k", "spot").agg(F.first("text").alias("text")).select("k", "text")
     kind = "k int, key string, c long"
 
     def message(seen: Counter) -> pa.RecordBatch:
@@ -181,7 +186,12 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", rows: in
     work = Workspace(own.sparkSession, "langid")
     counted = work.put(summed(picked.mapInArrow(tally, kind)).select("k", "key", "c"), "words")
     letters = work.put(summed(counted.mapInArrow(split, kind)), "grams")
-    return Model(langs, top(counted, words), top(letters, grams))
+    # a language whose texts have no letter has no counts, and would win every unknown word
+    seen = sorted(r["k"] for r in counted.select("k").distinct().collect())
+    place = np.zeros(len(langs), np.int64)
+    place[seen] = np.arange(len(seen))
+    moved = lambda t: (t[0], t[1], place[t[2]], t[3])
+    return Model([langs[k] for k in seen], moved(top(counted, words)), moved(top(letters, grams)))
 
 
 def annotate(docs: DataFrame, model: Model, name: str = "language", text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cuewright.llm import ann, decontaminate, langid, maxent, packing, pii, secrets, sharding, simhash, suffix
 
@@ -279,6 +280,15 @@ def test_every_language_is_learned(spark):
     assert sum(found[i]["lang_pred"] == lang for i, _, lang in held) >= 0.99 * len(held)
 
 
+def test_languages_of_copies_and_of_no_letters_are_learned(spark):
+    r = random.Random(17)
+    stock = {x: ["".join(r.choice(letters) for _ in range(r.randint(3, 8))) for _ in range(400)] for x, letters in (("en", "abcdefgh"), ("de", "mnopqrst"))}
+    rows = [(i, " ".join(r.choice(stock[x]) for _ in range(12)), x) for x in ("en", "de") for i in range(3000 * (x == "de"), 3000 * (x == "de") + 3000)]
+    rows += [(10_000 + i, "uvw xyz uuv wxy zzu", "xx") for i in range(20_000)] + [(40_000 + i, f"{i} 12.5 --", "no") for i in range(50)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).groupBy("lang_pred", (F.floor(F.col("doc_id") / 10_000)).alias("part"), (F.col("doc_id") < 3000).alias("en")).count().collect()
+    assert {(x["lang_pred"], x["part"], x["en"]): x["count"] for x in got} == {("en", 0, True): 3000, ("de", 0, False): 3000, ("xx", 1, False): 10_000, ("xx", 2, False): 10_000, ("und", 4, False): 50}
+
+
 # --- 7 ----------------------------------------------------------------------------------
 
 
