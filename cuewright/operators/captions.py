@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuewright.functions import text as X
+from cuewright.operators.folds import scan
 from cuewright.operators.words import in_job
 from cuewright.schema import Settings
 
@@ -216,13 +218,44 @@ def caption_summary(captions: DataFrame) -> DataFrame:
 # --- validation -------------------------------------------------------------------------
 
 
+_SEPARATED = T.StructType([T.StructField(n, T.LongType()) for n in ("s2", "e2", "moved")] + [T.StructField(n, T.BooleanType()) for n in ("overlap", "gap", "stretched")])
+
+
+def _separated(rows: DataFrame, s: Settings) -> DataFrame:
+    """(job_id, index, before, s2, e2, moved, overlap, gap, stretched): captions that start after the one before has ended.
+
+    The end of a repaired caption is at most its own end, or that of an earlier one and
+    ``min_cue_ms`` for every caption since. Windows know that bound, so a caption that starts well
+    behind it owes nothing to those before: there a job is cut into pieces, which are gone through side by side.
+    """
+    by = Window.partitionBy("job_id").orderBy("index", "start_ms", "end_ms")
+    far = F.greatest("end_ms", F.col("start_ms") + s.min_cue_ms)
+    placed = rows.select("job_id", "index", "start_ms", "end_ms", F.row_number().over(by).alias("n_"), far.alias("far_"))
+    bound = F.max(F.col("far_") - F.col("n_") * s.min_cue_ms).over(by.rowsBetween(Window.unboundedPreceding, -1)) + (F.col("n_") - 1) * s.min_cue_ms
+    free = F.coalesce(F.col("start_ms") >= bound + s.min_caption_gap_ms, F.lit(True))
+    pieces = placed.withColumn("piece_", F.sum(free.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    def step(last: int | None, start: int, end: int) -> tuple:
+        moved = start
+        overlap = last is not None and start < last
+        gap = last is not None and last < start < last + s.min_caption_gap_ms
+        if overlap or gap:
+            moved = last
+        stretched = end <= moved
+        end = moved + s.min_cue_ms if stretched else end
+        return end, {"s2": moved, "e2": end, "moved": last, "overlap": overlap, "gap": gap, "stretched": stretched}
+
+    done = scan(pieces.drop("n_", "far_"), ["job_id", "piece_"], ["index", "start_ms", "end_ms"], ["start_ms", "end_ms"], "r_", _SEPARATED, None, step)
+    return done.select("job_id", "index", F.col("start_ms").alias("before"), "r_.*")
+
+
 def validate(captions: DataFrame, s: Settings = Settings(), duration_ms: int | None = None) -> DataFrame:
     """Repaired captions and all issues of each job.
 
     Returns job_id, caption (from 1, null for dropped ones), index (as it came), start_ms,
     end_ms, text, flags, the captions' other columns, and issues: array of (pass, type, repaired,
-    detail). Passes one and three are row-local; pass two folds over the captions with the
-    previous end.
+    detail). Passes one and three are row-local; pass two goes over the captions with the
+    previous end (``_separated``).
     """
     issue = lambda k, t, detail, ok=True: F.array(F.struct(F.lit(k).alias("pass"), F.lit(t).alias("type"), F.lit(ok).alias("repaired"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail")))
     none = F.expr("cast(array() as array<struct<pass: int, type: string, repaired: boolean, detail: string>>)")
@@ -248,24 +281,7 @@ def validate(captions: DataFrame, s: Settings = Settings(), duration_ms: int | N
             when(long, issue(1, "long_duration", f"Cue longer than {seconds(s.max_cue_ms)}", False)),
         ).alias("issues"),
     )
-    item = F.struct("index", "start_ms", "end_ms")
-    rows = one.where("not gone").groupBy("job_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
-    kind = "array<struct<index: bigint, start_ms: bigint, end_ms: bigint, overlap: boolean, gap: boolean, stretched: boolean, before: bigint, moved: bigint>>"
-    zero = F.struct(F.lit(None).cast("long").alias("end"), F.expr(f"cast(array() as {kind})").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        overlap = F.coalesce(x["start_ms"] < acc["end"], F.lit(False))
-        start = F.when(overlap, acc["end"]).otherwise(x["start_ms"])
-        gap = F.coalesce((start > acc["end"]) & (start - acc["end"] < s.min_caption_gap_ms), F.lit(False))
-        start = F.when(gap, acc["end"]).otherwise(start).cast("long")
-        stretched = x["end_ms"] <= start
-        end = F.when(stretched, start + s.min_cue_ms).otherwise(x["end_ms"]).cast("long")
-        row = F.struct(x["index"].cast("long").alias("index"), start.alias("start_ms"), end.alias("end_ms"), overlap.alias("overlap"), gap.alias("gap"), stretched.alias("stretched"), x["start_ms"].cast("long").alias("before"), acc["end"].alias("moved"))
-        return F.struct(end.alias("end"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    two = rows.select("job_id", F.explode(F.aggregate("c", zero, step, lambda x: x["out"])).alias("r")).select(
-        "job_id", "r.index", F.col("r.start_ms").alias("s2"), F.col("r.end_ms").alias("e2"), "r.overlap", "r.gap", "r.stretched", "r.before", "r.moved"
-    )
+    two = _separated(one.where("not gone").select("job_id", "index", "start_ms", "end_ms"), s)
     both = one.join(two, ["job_id", "index"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     moved = yes("overlap") | yes("gap") | yes("stretched")

@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from cuewright.sources.shared import written
 
 
-def scan(rows: DataFrame, piece: list[str], order: list[str], inputs: list[str], name: str, dtype: T.DataType, begin: Any, step: Callable[..., tuple[Any, Any]]) -> DataFrame:
+def scan(rows: DataFrame, piece: list[str], order: list[str | Column], inputs: list[str], name: str, dtype: T.DataType, begin: Any, step: Callable[..., tuple[Any, Any]]) -> DataFrame:
     """``rows`` with one column more, computed in ``order`` within each ``piece``.
 
     ``step(state, *inputs)`` gives the next state and the row's value; every piece starts from

@@ -6,15 +6,15 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuewright.functions import text as X
-from cuewright.operators.folds import number
+from cuewright.operators.folds import number, scan
 from cuewright.operators.words import in_job
 from cuewright.schema import Settings
-from cuewright.sources.shared import written
+from cuewright.sources.shared import small, written
 
 
 #: sources of candidates are this far apart in ``rank``
@@ -33,19 +33,19 @@ class Lexicon:
     vocabulary: tuple[str, ...] = ()
 
     def severities(self, spark: SparkSession, which: str) -> DataFrame:
-        return spark.createDataFrame(list(getattr(self, which).items()), "matched string, severity string")
+        return small(spark, list(getattr(self, which).items()), "matched string, severity string")
 
     def listed(self, spark: SparkSession, which: str) -> DataFrame:
         rows = [(k, i, v) for k, vs in getattr(self, which).items() for i, v in enumerate(vs)]
-        return spark.createDataFrame(rows, "key string, ord int, cand string")
+        return small(spark, rows, "key string, ord int, cand string")
 
     def allowed(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(t,) for t in dict.fromkeys(self.allowlist)], "term string")
+        return small(spark, [(t,) for t in dict.fromkeys(self.allowlist)], "term string")
 
     def known(self, spark: SparkSession) -> DataFrame:
         """Allow-listed and vocabulary terms, in alphabetical order."""
         rows = [(t, i, t in self.allowlist) for i, t in enumerate(sorted({*self.allowlist, *self.vocabulary}))]
-        return spark.createDataFrame(rows, "cand string, ord int, allowed boolean")
+        return small(spark, rows, "cand string, ord int, allowed boolean")
 
     def longest(self, spark: SparkSession) -> int:
         """Words of the longest phrase."""
@@ -171,19 +171,16 @@ def without_overlaps(candidates: DataFrame, *rank: str) -> DataFrame:
     Spans are word_idx to word_idx + n. Candidates of a job are few next to its words; one pass
     over them in order marks the positions that are taken.
     """
-    order = [(c, "ascending") for c in rank] or [("n", "descending")]
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([*order, ("word_idx", "ascending")])
-        taken, keep = set(), []
-        for at, n in zip(group.column("word_idx").to_pylist(), group.column("n").to_pylist(), strict=True):
-            free = taken.isdisjoint(range(at, at + n))
-            keep.append(free)
-            if free:
-                taken.update(range(at, at + n))
-        return group.filter(pa.array(keep))
-
-    return candidates.groupBy("job_id").applyInArrow(run, candidates.schema)
+
+    def step(taken: set | None, at: int, n: int) -> tuple[set, bool]:
+        taken = set() if taken is None else taken
+        free = taken.isdisjoint(range(at, at + n))
+        if free:
+            taken.update(range(at, at + n))
+        return taken, free
+
+    order = [*(rank or [F.desc("n")]), "word_idx"]
+    return scan(candidates, ["job_id"], order, ["word_idx", "n"], "free_", T.BooleanType(), None, step).where("free_").drop("free_")
 
 
 def phrase_candidates(words: DataFrame, lexicon: Lexicon | LexiconTables) -> DataFrame:

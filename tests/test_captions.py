@@ -92,3 +92,27 @@ def test_quality_report_has_reading_speed_warnings(spark):
     caps = C.caption_summary(C.repair_density(C.merge_short(C.assign_cues(words)))).collect()
     assert caps and any(r["reading_speed_warnings"] for r in caps)
     assert {r["job_id"]: r["reading_speed_warnings"] for r in caps} == {k: r["reading_speed_warnings"] for k, r in whole.items()}
+
+
+def test_captions_are_separated_in_pieces(spark):
+    """Pass two of the validation equals one walk over each job, whatever pieces it is cut into."""
+    import random
+
+    from cuewright.schema import Settings
+
+    r, s, rows, want = random.Random(3), Settings(), [], {}
+    for job in range(40):
+        t, last = 0, None
+        for i in range(r.randint(1, 40)):
+            t += r.choice([-2600, -400, 0, 30, 79, 80, 100, 600, 3000])
+            start, end = max(0, t), max(0, t) + r.choice([500, 501, 900, 2500])
+            rows.append((job, i, start, end))
+            t = end
+            overlap, gap = last is not None and start < last, last is not None and start > last and start - last < s.min_caption_gap_ms
+            moved = last if overlap or gap else start
+            fixed = moved + s.min_cue_ms if end <= moved else end
+            want[job, i] = (moved, fixed, last if overlap or gap else None, overlap, gap, end <= moved)
+            last = fixed
+    got = C._separated(spark.createDataFrame(rows, "job_id int, index long, start_ms long, end_ms long"), s).collect()
+    assert {(x["job_id"], x["index"]): (x["s2"], x["e2"], x["moved"] if x["overlap"] or x["gap"] else None, x["overlap"], x["gap"], x["stretched"]) for x in got} == want
+    assert len({x[5] for x in want.values()}) == 2 and sum(x[3] for x in want.values()) > 50
