@@ -79,33 +79,44 @@ def assemble(words: DataFrame, cue: str = "cue") -> DataFrame:
 
 
 def merge_short(words: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``words`` with cue renumbered after short cues took in the cue that follows them."""
-    cues = assemble(words)
-    speakers = words.groupBy("job_id", "cue").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "speaker"))), lambda x: F.coalesce(x["speaker"], F.lit(""))).alias("speakers"))
-    item = F.struct("cue", "start_ms", "end_ms", F.length("text").alias("size"), "speakers")
-    rows = cues.join(speakers, ["job_id", "cue"]).groupBy("job_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    """``words`` with cue renumbered after short cues took in the cue that follows them.
+
+    A cue that ends ``min_cue_ms`` or more after every start so far takes in no other, whatever it
+    took in before: behind it a job is cut into pieces, and only inside these, mostly of one or two
+    cues, a fold goes from cue to cue. The words travel in their cues' arrays, so nothing is joined
+    back, and words that lie by job are not moved.
+    """
+    rest = [c for c in words.columns if c not in ("job_id", "cue", "word_idx")]
+    cues = words.groupBy("job_id", "cue").agg(F.array_sort(F.collect_list(F.struct("word_idx", *rest))).alias("w"))
+    start, end = F.col("w")[0]["start_ms"], F.element_at("w", -1)["end_ms"]
+    cues = cues.select("job_id", "cue", start.cast("long").alias("start_ms"), F.greatest(start, end).cast("long").alias("end_ms"), F.length(F.array_join(F.transform("w", lambda x: x["word"]), " ")).alias("size"), F.transform("w", lambda x: F.coalesce(x["speaker"], F.lit(""))).alias("speakers"), "w")
+    so_far = by_cue().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cues = cues.withColumn("done_", F.col("end_ms") - F.max("start_ms").over(so_far) >= s.min_cue_ms)
+    cues = cues.withColumn("new_", F.coalesce(F.lag("done_").over(by_cue()), F.lit(True)).cast("int"))
+    cues = cues.withColumn("piece_", F.sum("new_").over(so_far))
+    rows = cues.groupBy("job_id", "piece_").agg(F.array_sort(F.collect_list(F.struct("cue", "start_ms", "end_ms", "size", "speakers", "w"))).alias("c"))
     limit = s.max_chars * s.max_lines
-    heads = F.expr("cast(array() as array<bigint>)")
-    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(0).alias("size"), F.expr("cast(array() as array<string>)").alias("speakers"), heads.alias("heads"))
+    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(0).alias("size"), F.expr("cast(array() as array<string>)").alias("speakers"), F.expr("cast(array() as array<bigint>)").alias("heads"))
 
     def step(acc: Column, x: Column) -> Column:
-        a, b = X.modal(acc["speakers"]), X.modal(x["speakers"])
         size = acc["size"] + 1 + x["size"]
+        a, b = X.modal(acc["speakers"]), X.modal(x["speakers"])
         joins = (
             (acc["end"] - acc["start"] < s.min_cue_ms)
-            & (a.isNull() | b.isNull() | (a == b))
             & (x["end_ms"] - acc["start"] <= s.max_cue_ms)
             & (size <= limit)
+            & (a.isNull() | b.isNull() | (a == b))
         )
-        more = F.struct(acc["start"].alias("start"), x["end_ms"].cast("long").alias("end"), size.cast("int").alias("size"), F.concat(acc["speakers"], x["speakers"]).alias("speakers"), acc["heads"].alias("heads"))
-        fresh = F.struct(x["start_ms"].cast("long").alias("start"), x["end_ms"].cast("long").alias("end"), x["size"].cast("int").alias("size"), x["speakers"].alias("speakers"), F.concat(acc["heads"], F.array(x["cue"].cast("long"))).alias("heads"))
+        more = F.struct(acc["start"].alias("start"), x["end_ms"].alias("end"), size.cast("int").alias("size"), F.concat(acc["speakers"], x["speakers"]).alias("speakers"), acc["heads"].alias("heads"))
+        fresh = F.struct(x["start_ms"].alias("start"), x["end_ms"].alias("end"), x["size"].cast("int").alias("size"), x["speakers"].alias("speakers"), F.concat(acc["heads"], F.array(x["cue"].cast("long"))).alias("heads"))
         return F.when(F.coalesce(joins, F.lit(False)), more).otherwise(fresh)
 
-    kept = rows.select("job_id", F.explode(F.aggregate("c", zero, step, lambda a: a["heads"])).alias("cue")).withColumn("kept_", F.lit(1))
-    first = Window.partitionBy("job_id").orderBy("cue", "word_idx")
-    head = (F.col("kept_") == 1) & (F.row_number().over(Window.partitionBy("job_id", "cue").orderBy("word_idx")) == 1)
-    out = words.join(kept, ["job_id", "cue"], "left").withColumn("h_", F.coalesce(head, F.lit(False)).cast("int"))
-    return out.withColumn("cue", F.sum("h_").over(first)).drop("h_", "kept_")
+    alone = F.array(F.col("c")[0]["cue"].cast("long"))
+    heads = F.when(F.size("c") == 1, alone).otherwise(F.aggregate("c", zero, step, lambda a: a["heads"]))
+    flat = rows.withColumn("heads", heads).select("job_id", "heads", F.explode("c").alias("x")).select("job_id", F.col("x.cue").alias("was_"), F.array_contains("heads", F.col("x.cue").cast("long")).alias("head_"), F.posexplode("x.w").alias("at_", "y"))
+    number = F.sum((F.col("head_") & (F.col("at_") == 0)).cast("int")).over(Window.partitionBy("job_id").orderBy("was_", "at_"))
+    held = {c: F.col(f"y.{c}") for c in ("word_idx", *rest)} | {"job_id": F.col("job_id"), "cue": number}
+    return flat.select(*[held[c].alias(c) for c in words.columns])
 
 
 # --- reading speed ----------------------------------------------------------------------
