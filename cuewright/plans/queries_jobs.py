@@ -440,16 +440,23 @@ def recognizer_hints(spark, d) -> DataFrame:
     return V.hints(words)
 
 
-@query(
-    "stub_transcription",
-    """WITH t AS (SELECT item_id AS job_id, regexp_extract_all(text, '\\S+') AS w, 10.0::DOUBLE AS d FROM benchmark), e AS (SELECT job_id, len(w) AS n, d, unnest(w) AS word, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS word_idx FROM t),
- f AS (SELECT *, round(word_idx * (d / n), 3) AS s, round(least(d, (word_idx + 1) * (d / n)), 3) AS x FROM e) SELECT job_id, word_idx, word, CAST(round(s * 1000) AS BIGINT) AS start_ms, CAST(round(CASE WHEN x <= s THEN round(s + 0.01, 3) ELSE x END * 1000) AS BIGINT) AS end_ms FROM f""",
-)
+_EVEN = """WITH t AS (SELECT item_id AS job_id, regexp_extract_all(text, '\\S+') AS w, 10.0::DOUBLE AS d FROM benchmark), e AS (SELECT job_id, len(w) AS n, d, unnest(w) AS word, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS word_idx FROM t),
+ f AS (SELECT *, round(word_idx * (d / n), 3) AS s, round(least(d, (word_idx + 1) * (d / n)), 3) AS x FROM e) SELECT job_id, word_idx, word, CAST(round(s * 1000) AS BIGINT) AS start_ms, CAST(round(CASE WHEN x <= s THEN round(s + 0.01, 3) ELSE x END * 1000) AS BIGINT) AS end_ms FROM f"""
+
+
+@query("stub_transcription", _EVEN)
 def stub_transcription(spark, d) -> DataFrame:
     clips = table(spark, d, "benchmark", F.col("item_id").alias("job_id"), "text").withColumn("duration_s", F.lit(10.0))
     return recognition.transcribe(clips).select("job_id", "word_idx", "word", "start_ms", "end_ms")
 
 
+@query("clip_recognition", _EVEN.replace("item_id AS job_id", "conv_id * 1000 + turn AS job_id").replace("benchmark", "conversations"))
+def clip_recognition(spark, d) -> DataFrame:
+    """Every turn of the conversations as a clip, through the table function."""
+    clips = table(spark, d, "conversations", (F.col("conv_id") * 1000 + F.col("turn")).alias("job_id"), "text").withColumn("duration_s", F.lit(10.0))
+    return recognition.recognised(clips).select("job_id", "word_idx", "word", "start_ms", "end_ms")
+
+
 # --- audio levels -------------------------------------------------------------------------
 
 
