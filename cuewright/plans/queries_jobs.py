@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from cuewright.plans.sql import IN_LIST, NORM, WORDS_CONV, WORDS_DOC
 from cuewright.schema import Settings
 from cuewright.sources import files
 from cuewright.sources import sinks as K
+from cuewright.sources.bundle import read_bundle, write_bundle
+from cuewright.sources.shared import shared_dir
 from cuewright.sources.tables import table, words_of_conversations, words_of_documents
 
 Q: dict = {}
@@ -44,6 +48,25 @@ def _captions(spark, d) -> DataFrame:
     return C.repair_density(_merged_words(spark, d))
 
 
+_WORD_JSON = """'{"word":' || to_json(word) || ',"start":' || to_json(start_ms / 1000.0::DOUBLE) || ',"end":' || to_json(end_ms / 1000.0::DOUBLE) || ',"confidence":' || to_json(confidence) || CASE WHEN speaker IS NULL THEN '' ELSE ',"speaker":' || to_json(speaker) END || '}'"""
+
+
+@query(
+    "artifact_bundle",
+    WORDS_CONV + f""", t AS (SELECT job_id, string_agg(word, ' ' ORDER BY word_idx) AS txt, string_agg({_WORD_JSON}, ',' ORDER BY word_idx) AS ws FROM words GROUP BY job_id),
+ a AS (SELECT job_id, unnest(['transcript.json', 'transcript.txt']) AS name, unnest(['{{"text":' || to_json(txt) || ',"words":[' || ws || ']}}', txt]) AS content FROM t)
+SELECT CAST(job_id AS VARCHAR) AS job_id, name, CAST(length(content) AS BIGINT) AS chars, sha256(content) AS content_sha256 FROM a""",
+)
+def artifact_bundle(spark, d) -> DataFrame:
+    """Every conversation's transcript, as JSON and as text, published as a bundle and read back."""
+    words = words_of_conversations(spark, d)
+    text = words.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias("content"))
+    held = lambda rows, name, column: rows.select("job_id", F.lit(name).alias("name"), F.col(column).alias("content"))
+    path = f"{shared_dir(spark)}/cuewright-bundle-{uuid.uuid4().hex}"
+    write_bundle(held(K.transcript_json(words), "transcript.json", "json").unionByName(held(text, "transcript.txt", "content")), path)
+    return read_bundle(spark, path).select("job_id", "name", F.length("content").cast("long").alias("chars"), F.sha2("content", 256).alias("content_sha256"))
+
+
 @query(
     "reading_speed_report",
     WORDS_CONV + _CUES + _MERGED + _DENSITY + """SELECT job_id, string_agg(printf('#%d Reading speed: %.1f CPS / %.1f WPS  Status: %s', CAST(caption AS BIGINT), round(cps, 1), round(wps, 1), reading_status), chr(10) ORDER BY caption) || chr(10) || 'Reading-speed warnings: ' || count(*) FILTER (reading_status <> 'OK') AS report FROM repaired GROUP BY job_id""",

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,3 +40,10 @@ def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
     held = pa.table([pa.array(list(c), f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
     return spark.createDataFrame(held, schema=T.StructType.fromDDL(schema))
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path there; it serves tasks as well as the driver."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)

@@ -15,11 +15,11 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.operators.audio import FRAME_MS, PCM, loudness, mono, scan_header
+from cuewright.sources.shared import file_system
 
 RANGE_BYTES = 8 << 20
 HEAD = "path string, channels int, rate int, width int, at long, size long, fault string"
@@ -28,9 +28,7 @@ HEAD = "path string, channels int, rate int, width int, at long, size long, faul
 @contextmanager
 def opened(path: str) -> Iterator[pa.NativeFile]:
     """A file by its path as Spark writes it."""
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    system, at = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+    system, at = file_system(path)
     with system.open_input_file(at) as f:
         yield f
 
