@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
+from cuewright.sources.shared import written
 
 
 # states of a job (fixed values)
@@ -29,22 +30,50 @@ def decision_times(decisions: DataFrame, words: DataFrame) -> DataFrame:
     return out.select(*bare.columns, F.coalesce("start_ms", F.lit(-1)).cast("long").alias("start_ms"), F.coalesce(end, F.lit(-1)).cast("long").alias("end_ms"))
 
 
+GRAM = 3  # characters of a name's longest part that tokens are found by
+
+
+def mentions(captions: DataFrame, names: DataFrame) -> DataFrame:
+    """``captions`` with name_: each caption with each of its job's lower-case names that its text holds, as a substring.
+
+    A part of a name without blanks lies within one token of the text. So the longest part of each
+    name is looked up, by its first characters, among the distinct tokens of all captions, which
+    gives postings of tokens for parts; a caption then meets only names that one of its tokens may
+    hold, and the whole name is compared with the text. A job's captions and names are never paired,
+    but for names of blanks alone. ``names``: job_id, name_, distinct.
+    """
+    cut = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    longest = F.array_max(F.transform(cut(F.col("name_")), lambda x: F.struct(F.length(x).alias("n"), x.alias("p"))))["p"]
+    held = names.select(F.col("job_id").alias("nj_"), "name_", longest.alias("part_"))
+    parts = held.where("part_ is not null").select("part_").distinct().withColumn("gram_", F.left("part_", F.lit(GRAM)))
+    tokens = captions.withColumn("token_", F.explode(F.array_distinct(cut(F.lower("text")))))
+    at = F.sequence(F.lit(1), F.length("token_"))
+    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.substring("token_", i, n + 1) for n in range(GRAM)]))))
+    postings = tokens.select("token_").distinct().withColumn("gram_", F.explode(grams)).join(parts, "gram_")
+    postings = written(postings.where(F.contains("token_", "part_")).select("token_", "part_").distinct(), "postings")
+    met = tokens.join(postings, "token_").join(held.where("part_ is not null"), (F.col("job_id") == F.col("nj_")) & (postings["part_"] == held["part_"]))
+    blank = captions.join(held.where("part_ is null"), F.col("job_id") == F.col("nj_"))
+    cols = [*captions.columns, "name_"]
+    both = met.where(F.contains(F.lower("text"), F.col("name_"))).select(cols).dropDuplicates(["job_id", "caption", "name_"])
+    return both.unionByName(blank.where(F.contains(F.lower("text"), F.col("name_"))).select(cols))
+
+
 def caption_safety(captions: DataFrame, decisions: DataFrame, bin_ms: int = 60_000) -> DataFrame:
     """(job_id, caption, flags): decisions that touch, name or censor something in a caption.
 
-    Three arms: overlaps meet in time bins; names and marks meet by job, once for each distinct
-    original, and marks only in captions that hold one.
+    Three arms: overlaps meet in time bins; names are looked up through the tokens that can hold
+    them (``mentions``); marks meet by job, only in captions that hold one. Captions are written once
+    for the three.
     """
     d = decisions.where(F.col("action").isin("censor", "flag", "replace") | F.col("needs_review")).select(
         F.col("job_id").alias("dj"), F.col("word_idx").alias("di"), F.col("start_ms").alias("ds"), F.col("end_ms").alias("de"), "original", "replacement", "reason", "action", "case", "needs_review"
     )
     at = lambda c: F.floor(F.col(c) / bin_ms)
-    c = captions.select("job_id", "caption", "start_ms", "end_ms", "text")
+    c = written(captions.select("job_id", "caption", "start_ms", "end_ms", "text"), "captions")
     bins = lambda df, a, b, name: df.where(F.col(b) >= F.col(a)).withColumn(name, F.explode(F.sequence(at(a), at(b))))
     left, right = bins(c, "start_ms", "end_ms", "cb_"), bins(d.where("ds >= 0"), "ds", "de", "db_")
     overlap = left.join(right, (F.col("job_id") == F.col("dj")) & (F.col("cb_") == F.col("db_")) & (F.col("de") > F.col("start_ms")) & (F.col("ds") < F.col("end_ms")))
-    names = d.where("original <> ''").select("dj", F.lower("original").alias("name_")).distinct()
-    named = c.join(names, (F.col("job_id") == F.col("dj")) & F.contains(F.lower("text"), F.col("name_"))).drop("dj")
+    named = mentions(c, d.where("original <> ''").select(F.col("dj").alias("job_id"), F.lower("original").alias("name_")).distinct())
     mentioned = named.join(d, (F.col("job_id") == F.col("dj")) & (F.lower("original") == F.col("name_")))
     censored = c.where(F.contains("text", F.lit(X.CENSOR_MARK))).join(d.where("action = 'censor'"), F.col("job_id") == F.col("dj"))
     cols = [*c.columns, *d.columns]
@@ -106,9 +135,15 @@ def persist_reviewed(versions: DataFrame, reviewed: DataFrame) -> DataFrame:
     return versions.unionByName(new.select([F.col(c).cast(versions.schema[c].dataType).alias(c) for c in versions.columns]))
 
 
-def caption_at(captions: DataFrame, heads: DataFrame) -> DataFrame:
-    """(job_id, head_ms, caption, text): the caption that runs at each playhead, the first if several; null if none."""
-    near = heads.join(captions.select("job_id", "start_ms", "end_ms", "caption", "text"), "job_id", "left")
+def caption_at(captions: DataFrame, heads: DataFrame, bin_ms: int = 60_000) -> DataFrame:
+    """(job_id, head_ms, caption, text): the caption that runs at each playhead, the first if several; null if none.
+
+    Heads meet the captions of their time bin only.
+    """
+    bin_of = lambda c: F.floor(c / bin_ms)
+    c = captions.where("end_ms > start_ms").select("job_id", "start_ms", "end_ms", "caption", "text")
+    c = c.withColumn("bin_", F.explode(F.sequence(bin_of(F.col("start_ms")), bin_of(F.col("end_ms") - 1))))
+    near = heads.select("job_id", "head_ms", bin_of(F.col("head_ms")).alias("bin_")).join(c, ["job_id", "bin_"], "left")
     runs = (F.col("start_ms") <= F.col("head_ms")) & (F.col("head_ms") < F.col("end_ms"))
     first = F.min_by(F.when(runs, F.struct("caption", "text")), F.when(runs, F.col("caption"))).alias("c_")
     return near.groupBy("job_id", "head_ms").agg(first).select("job_id", "head_ms", F.col("c_.caption").alias("caption"), F.col("c_.text").alias("text"))
