@@ -28,7 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from cuewright.sources.shared import file_system
 
 SCHEMA = "job_id string, name string, content string, generation long"
-BLOCK = 8 << 20  # bytes of artifacts that a reader or an index holds at once
+BLOCK = 8 << 20  # bytes of artifacts that a reader holds at once
+PIECE, PIECES = 1 << 15, 256  # code points in a piece of an artifact, and pieces that a writer holds at once
 _INDEX = pa.schema([("job_id", pa.string()), ("name", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 _ROWS = pa.schema([("job_id", pa.string()), ("name", pa.string()), ("content", pa.string()), ("generation", pa.int64())])
 
@@ -71,17 +72,24 @@ class _Writer(DataSourceArrowWriter):
         name = f"{self.run}-{uuid.uuid4().hex}"
         offset = 0
         with system.open_output_stream(f"{at}/parts/{name}.data") as data, pq.ParquetWriter(f"{at}/parts/{name}.index", _INDEX, filesystem=system) as index:
+            own: dict | None = None
             for b in batches:
                 rows = []
-                for job, artifact, content in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("job_id", "name", "content")), strict=True):
+                for job, artifact, content, piece in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("job_id", "name", "content", "generation")), strict=True):
                     if job is None or artifact is None:
                         raise ValueError("an artifact needs a job_id and a name")
+                    if not piece:  # the first of an artifact; the others follow it
+                        rows += [own] if own else []
+                        own = {"job_id": job, "name": artifact, "offset": offset, "length": None if content is None else 0}
                     raw = (content or "").encode()
                     data.write(raw)
-                    rows.append({"job_id": job, "name": artifact, "offset": offset, "length": None if content is None else len(raw)})
                     offset += len(raw)
+                    if raw:
+                        own["length"] += len(raw)
                 if rows:
                     index.write_table(pa.Table.from_pylist(rows, _INDEX))
+            if own:
+                index.write_table(pa.Table.from_pylist([own], _INDEX))
         return Part(name)
 
     def commit(self, messages: list[Part | None]) -> None:
@@ -130,7 +138,7 @@ class _Reader(DataSourceReader):
 
 
 class BundleSource(DataSource):
-    """``spark.read.format("bundle").load(path)`` and ``df.write.format("bundle").save(path)``."""
+    """Format ``bundle``. Writing takes pieces in order, numbered in ``generation``; use ``write_bundle`` and ``read_bundle``."""
 
     @classmethod
     def name(cls) -> str:
@@ -147,11 +155,25 @@ class BundleSource(DataSource):
 
 
 def write_bundle(artifacts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Publish artifacts (job_id, name, content) as a bundle; other columns are ignored, a null content stays null."""
+    """Publish artifacts (job_id, name, content) as a bundle; other columns are ignored, a null content stays null.
+
+    Long contents reach the writer in pieces, few at once, so its memory does not hang on their length.
+    """
     spark = artifacts.sparkSession
     spark.dataSource.register(BundleSource)
-    rows = artifacts.select(F.col("job_id").cast("string").alias("job_id"), F.col("name").cast("string").alias("name"), F.col("content").cast("string").alias("content"), F.lit(None).cast("long").alias("generation"))
-    rows.write.format("bundle").mode(mode).save(path)
+    rows = artifacts.select(F.col("job_id").cast("string").alias("job_id"), F.col("name").cast("string").alias("name"), F.col("content").cast("string").alias("content"))
+    n = F.greatest(F.lit(1), F.ceil(F.length(F.coalesce("content", F.lit(""))) / PIECE)).cast("int")
+    piece = F.explode(F.sequence(F.lit(0), n - 1))
+    rows = rows.select("job_id", "name", "content", piece.alias("piece")).select("job_id", "name", F.substring("content", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("content"), F.col("piece").cast("long").alias("generation"))
+    held = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, PIECES)
+    try:
+        rows.write.format("bundle").mode(mode).save(path)
+    finally:
+        spark.conf.set(_BATCH, held)
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read_bundle(spark: SparkSession, path: str) -> DataFrame:

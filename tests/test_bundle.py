@@ -14,7 +14,7 @@ def rows(spark, path):
 
 def test_a_bundle_gives_back_what_was_written(spark, tmp_path):
     path = str(tmp_path / "b")
-    want = [(f"job_{i}", n, f"{n} of {i} é\n\n" * (i % 4)) for i in range(50) for n in ("a.srt", "b.json")] + [("long", "c", "x" * 9_000_000), ("none", "c", None)]
+    want = [(f"job_{i}", n, f"{n} of {i} é\n\n" * (i % 4)) for i in range(50) for n in ("a.srt", "b.json")] + [("long", "c", "xé" * 4_500_000), ("none", "c", None)]
     B.write_bundle(spark.createDataFrame(want, COLS).repartition(3), path)
     assert rows(spark, path) == sorted(want)
     assert len(os.listdir(f"{path}/parts")) == 6  # two files a task, not one a job
