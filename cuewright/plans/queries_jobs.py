@@ -16,7 +16,7 @@ from cuewright.operators import review as R
 from cuewright.operators import safety as S
 from cuewright.operators import vocabulary as V
 from cuewright.operators import words as W
-from cuewright.plans.queries_captions import _CUES, _DENSITY, _MERGED, _ROUGH, _merged_words, _rough
+from cuewright.plans.queries_captions import _CUES, _DENSITY, _MERGED, _ROUGH, _TC, _merged_words, _rough
 from cuewright.plans.queries_safety import _DECIDE, _HITS, _LEX, _hits, decisions_of, decisions_of_documents
 from cuewright.plans.queries_words import _TURNS
 from cuewright.plans.sql import IN_LIST, NORM, WORDS_CONV, WORDS_DOC
@@ -87,17 +87,19 @@ def reading_speed_metrics(spark, d) -> DataFrame:
 @query(
     "captions_payload",
     WORDS_CONV + _CUES + _MERGED + _DENSITY + """SELECT job_id, count(*) AS caption_count, count(*) AS listed, count(*) FILTER (contains(flags, 'needs_review')) AS needs_review, arg_max(text, caption) AS last_text, arg_max(start_ms, caption) AS last_start_ms,
- arg_max(reading_status, caption) AS last_status, arg_max(mean_confidence, caption) AS last_confidence FROM repaired GROUP BY job_id""",
+ arg_max(reading_status, caption) AS last_status, arg_max(mean_confidence, caption) AS last_confidence, sha256(string_agg(caption || '|' || start_ms || '|' || end_ms || '|' || text || '|' || reading_status, chr(10) ORDER BY caption)) AS all_sha256 FROM repaired GROUP BY job_id""",
 )
 def captions_payload(spark, d) -> DataFrame:
-    """What stands in each job's JSON: its summary, the number of captions, and the last of them."""
+    """What stands in each job's JSON: its summary, the number of captions, the last of them, and a digest of all."""
     from cuewright.schema import CAPTIONS
 
     held = K.captions_json(_captions(spark, d)).select("job_id", F.from_json("json", CAPTIONS).alias("c"), F.from_json("json", "summary struct<caption_count: bigint, needs_review: bigint>").alias("s"))
     last = F.element_at("c.captions", -1)
+    ms = lambda x: F.round(x * 1000).cast("long").cast("string")
+    lines = F.transform("c.captions", lambda x: F.concat_ws("|", x["index"].cast("string"), ms(x["start"]), ms(x["end"]), x["text"], x["reading_speed"]["status"]))
     return held.select(
         "job_id", F.col("s.summary.caption_count").alias("caption_count"), F.size("c.captions").cast("long").alias("listed"), F.col("s.summary.needs_review").alias("needs_review"), last["text"].alias("last_text"),
-        F.round(last["start"] * 1000).cast("long").alias("last_start_ms"), last["reading_speed"]["status"].alias("last_status"), last["mean_confidence"].alias("last_confidence"),
+        F.round(last["start"] * 1000).cast("long").alias("last_start_ms"), last["reading_speed"]["status"].alias("last_status"), last["mean_confidence"].alias("last_confidence"), F.sha2(F.array_join(lines, "\n"), 256).alias("all_sha256"),
     )
 
 
@@ -105,11 +107,12 @@ def captions_payload(spark, d) -> DataFrame:
     "srt_validation",
     WORDS_CONV + _CUES + _ROUGH + """, k AS (SELECT job_id, count(*) FILTER (NOT gone) AS blocks, sum(empty::INT + (NOT empty AND neg)::INT + (NOT empty AND inv)::INT + (NOT empty AND short)::INT + (NOT empty AND long)::INT + coalesce(ov::INT, 0) + coalesce(gp::INT, 0) + coalesce(st::INT, 0) + outside::INT) AS n,
   sum((NOT empty AND long)::INT) AS unfixed FROM va GROUP BY job_id)
-SELECT job_id, blocks, CAST(n AS BIGINT) AS issue_count, n > unfixed AS repaired FROM k""",
+SELECT k.job_id, blocks, CAST(n AS BIGINT) AS issue_count, n > unfixed AS repaired, coalesce(srt, '') AS srt FROM k LEFT JOIN (SELECT job_id, string_agg(r || chr(10) || """ + _TC.format("CAST(s AS BIGINT)") + " || ' --> ' || " + _TC.format("CAST(greatest(s, e) AS BIGINT)") + """ || chr(10) || trim(text, ' ' || chr(10) || chr(9)), chr(10) || chr(10) ORDER BY r) || chr(10) AS srt
+ FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY index) AS r FROM va WHERE NOT gone) GROUP BY job_id) USING (job_id)""",
 )
 def srt_validation(spark, d) -> DataFrame:
     out = K.srt_with_report(_rough(C.assemble(C.assign_cues(words_of_conversations(spark, d)))), duration_ms=60000)
-    return out.select("job_id", F.size(F.regexp_extract_all("srt", F.lit(" --> "), F.lit(0))).cast("long").alias("blocks"), "issue_count", "repaired")
+    return out.select("job_id", F.size(F.regexp_extract_all("srt", F.lit(" --> "), F.lit(0))).cast("long").alias("blocks"), "issue_count", "repaired", "srt")
 
 
 def _jobs(spark, d) -> DataFrame:

@@ -242,7 +242,7 @@ def aligner_payloads(payloads: DataFrame) -> DataFrame:
 
 def payload_files(spark: SparkSession, paths) -> DataFrame:
     """(job_id, json) of whole files, by the name of the folder they lie in."""
-    return spark.read.option("wholetext", True).text(paths).select(job_of(F.col("_metadata.file_path")).alias("job_id"), F.col("value").alias("json"))
+    return spark.read.text(paths, wholetext=True).select(job_of(F.col("_metadata.file_path")).alias("job_id"), F.col("value").alias("json"))
 
 
 def speaker_names(payloads: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 
 from cuewright.operators import audio as A
 from cuewright.operators import evaluation as E
+from cuewright.schema import truthy
 from cuewright.sources import files, sinks
 
 
@@ -74,3 +75,41 @@ def test_error_rates(spark):
     df = spark.createDataFrame([(1, "The cat sat", "the bat"), (2, "", "x")], "id long, reference string, hypothesis string")
     rows = {r["id"]: r for r in E.error_rates(df).collect()}
     assert (rows[1]["distance"], rows[1]["wer"], rows[2]["wer"]) == (2, 0.6667, 1.0)
+
+
+def test_artifact_folders(spark, tmp_path):
+    rows = spark.createDataFrame([("j1", '{"a": 1}', "x"), ("j2", "two\nlines", "y")], "job_id string, json string, other string")
+    sinks.write_artifact(rows, str(tmp_path / "out"), "json")
+    back = files.payload_files(spark, str(tmp_path / "out" / "*")).collect()
+    assert sorted((r["job_id"], r["json"].strip()) for r in back) == [("job_id=j1", '{"a": 1}'), ("job_id=j2", "two\nlines")]
+
+
+def test_evaluation_json(spark):
+    scores = spark.createDataFrame([("full", "b", 0.5), ("full", "a", None), ("raw", "a", 0.25)], "config string, clip string, wer double")
+    summary = spark.createDataFrame([("full", 2, 0.5), ("raw", 1, 0.25)], "config string, clips long, wer double")
+    got = {r["config"]: json.loads(r["json"]) for r in sinks.evaluation_json(scores, summary, "stub").collect()}
+    assert got["full"]["model"] == "stub" and got["full"]["summary"] == {"clips": 2, "wer": 0.5}
+    assert [c["id"] for c in got["full"]["clips"]] == ["a", "b"] and got["full"]["clips"][1]["metrics"] == {"wer": 0.5}
+    assert got["raw"]["disclaimer"] == sinks.DISCLAIMER and got["raw"]["note"]
+
+
+def test_job_files(spark, tmp_path):
+    for name, text in (("job_2", json.dumps({"job_id": "named", "status": "QUEUED", "duration": 3.5})), ("job_1", json.dumps({"status": "FAILED"})), ("job_3", "no json")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "job.json").write_text(text)
+    rows = files.jobs(spark, str(tmp_path / "*" / "job.json"))
+    assert sorted((r["job_id"], r["status"], r["duration"]) for r in rows.collect()) == [("job_1", "FAILED", None), ("job_3", None, None), ("named", "QUEUED", 3.5)]
+    assert [r["job_id"] for r in files.newest_jobs(rows, 2).collect()] == ["named", "job_3"] and files.job_row(rows, "job_1").count() == 1
+
+
+def test_clip_tables(spark, tmp_path):
+    p = tmp_path / "clip.json"
+    p.write_text(json.dumps({"id": "x", "reference": {"text": "a b", "words": [{"word": "a", "start": 0.5, "end": 0.75}]}, "words": [{"word": "a"}, {"word": "c", "start": 1.0, "end": 1.2}], "gold_clean": ["b"]}))
+    words, clips, reference = files.clip_tables(files.clips(spark, str(p)))
+    assert [(r["job_id"], r["word_idx"], r["word"], r["start_ms"], r["end_ms"]) for r in words.orderBy("word_idx").collect()] == [("x", 0, "a", 0, 0), ("x", 1, "c", 1000, 1200)]
+    assert [(r["word"], r["start_ms"], r["end_ms"]) for r in reference.collect()] == [("a", 500, 750)]
+    assert [(r["job_id"], r["reference"], r["profane"], r["clean"]) for r in clips.collect()] == [("x", "a b", [], ["b"])]
+
+
+def test_booleans_of_texts():
+    assert [truthy(x) for x in (" Yes ", "1", "on", "TRUE", "no", "", None, "2")] == [True] * 4 + [False] * 4
