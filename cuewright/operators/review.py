@@ -62,14 +62,15 @@ def caption_safety(captions: DataFrame, decisions: DataFrame, bin_ms: int = 60_0
     """(job_id, caption, flags): decisions that touch, name or censor something in a caption.
 
     Three arms: overlaps meet in time bins; names are looked up through the tokens that can hold
-    them (``mentions``); marks meet by job, only in captions that hold one. Captions are written once
-    for the three.
+    them (``mentions``); marks meet by job, only in captions that hold one. Captions of jobs with decisions
+    are written once for the three, the others left out before.
     """
     d = decisions.where(F.col("action").isin("censor", "flag", "replace") | F.col("needs_review")).select(
         F.col("job_id").alias("dj"), F.col("word_idx").alias("di"), F.col("start_ms").alias("ds"), F.col("end_ms").alias("de"), "original", "replacement", "reason", "action", "case", "needs_review"
     )
     at = lambda c: F.floor(F.col(c) / bin_ms)
-    c = written(captions.select("job_id", "caption", "start_ms", "end_ms", "text"), "captions")
+    own = captions.select("job_id", "caption", "start_ms", "end_ms", "text").join(d.select(F.col("dj").alias("job_id")).distinct(), "job_id", "left_semi")
+    c = written(own, "captions")
     bins = lambda df, a, b, name: df.where(F.col(b) >= F.col(a)).withColumn(name, F.explode(F.sequence(at(a), at(b))))
     left, right = bins(c, "start_ms", "end_ms", "cb_"), bins(d.where("ds >= 0"), "ds", "de", "db_")
     overlap = left.join(right, (F.col("job_id") == F.col("dj")) & (F.col("cb_") == F.col("db_")) & (F.col("de") > F.col("start_ms")) & (F.col("ds") < F.col("end_ms")))
