@@ -96,3 +96,20 @@ def test_terms_of_several_words(spark):
     kept = {(x["job_id"], x["word_idx"]): (x["word"].lower(), x["end_ms"]) for x in out.collect()}
     assert len(kept) == sum(len(ws) - sum(n - 1 for _, n, _ in want.get(j, [])) for j, ws in jobs.items())
     assert all(kept[j, at] == (term, 100 * (at + n - 1) + 90) for j, found in want.items() for at, n, term in found)
+
+
+def test_the_words_are_never_broadcast_to_the_terms(spark, tmp_path):
+    words = spark.createDataFrame([(f"w{i}ordnum{i * 7919}",) for i in range(500)], "token string")
+    terms = spark.createDataFrame([("wordnumber",), ("extraordinarily",)], "term string")
+    plan = near.near_pairs(words, terms, 0.84)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
+
+
+def test_many_terms_give_the_same_pairs_by_shuffled_joins(spark, monkeypatch):
+    words = spark.createDataFrame([(w,) for w in ("banana", "bananna", "extraordinarily", "extraordinarely", "cat")], "token string")
+    terms = spark.createDataFrame([("banana",), ("extraordinarily",), ("dog",)], "term string")
+    few = sorted(map(tuple, near.near_pairs(words, terms, 0.84).collect()))
+    monkeypatch.setattr("cuewright.operators.near.FEW", 0)
+    many = near.near_pairs(words, terms, 0.84)
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+    assert len(few) == 4 and sorted(map(tuple, many.collect())) == few
