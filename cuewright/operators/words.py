@@ -6,6 +6,9 @@ serves every window of a pipeline.
 
 from __future__ import annotations
 
+from collections import Counter
+from heapq import heappop, heappush
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,14 +63,13 @@ def split_sentences(words: DataFrame, s: Settings = Settings()) -> DataFrame:
     """sentence (from 0) of each word: pauses and marks end one, greetings stand alone."""
     gap = F.col("start_ms") - F.lag("end_ms").over(in_job())
     new = (gap >= s.sentence_pause_ms) | X.has_terminal(F.lag("word").over(in_job()))
-    first = words.withColumn("new_", F.coalesce(new, F.lit(True)).cast("int")).withColumn("group_", F.sum("new_").over(in_job()))
-    in_group = Window.partitionBy("job_id", "group_").orderBy("word_idx")
-    whole = Window.partitionBy("job_id", "group_")
-    norm = X.edge_norm(F.col("word"))
-    pair = F.concat_ws(" ", F.lag(norm, 2).over(in_group), F.lag(norm, 1).over(in_group))
-    third = (F.row_number().over(in_group) == 3) & X.any_of(pair, X.GREETING_PAIRS)
-    out = first.withColumn("cut_", F.when(third & (F.count("*").over(whole) >= 3), 1).otherwise(F.col("new_")))
-    return out.withColumn("sentence", F.sum("cut_").over(in_job()) - 1).drop("new_", "group_", "cut_")
+    first = words.withColumn("new_", F.coalesce(new, F.lit(True)).cast("int")).withColumn("norm_", X.edge_norm(F.col("word")))
+    # the third word of a group has no start at itself and at the word before, and one before that: one order serves all
+    start = lambda k: F.lag("new_", k).over(in_job())
+    third = (F.col("new_") == 0) & (start(1) == 0) & (start(2) == 1)
+    pair = F.concat_ws(" ", F.lag("norm_", 2).over(in_job()), F.lag("norm_", 1).over(in_job()))
+    out = first.withColumn("cut_", F.when(third & X.any_of(pair, X.GREETING_PAIRS), 1).otherwise(F.col("new_")))
+    return out.withColumn("sentence", F.sum("cut_").over(in_job()) - 1).drop("new_", "norm_", "cut_")
 
 
 def punctuate(words: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -115,37 +117,63 @@ def toggle_labels(regions: DataFrame, gap_ms: int = Settings.speaker_gap_ms) ->
     return runs.select("job_id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), label.alias("label"))
 
 
-def speaker_at(words: DataFrame, segments: DataFrame, slack_ms: int = 1, bin_ms: int = 60_000) -> DataFrame:
+_WINNER = T.StructType([T.StructField("n", T.LongType()), T.StructField("on", T.BooleanType()), T.StructField("speaker", T.StringType())])
+
+
+def _covered(segments: DataFrame, slack_ms: int) -> DataFrame:
+    """(job_id, t, kind, w): edges of the segments, and whose segment, if any, covers what follows; the last one counts.
+
+    Edges of a job pass in order, and the segments open at each are kept in a heap. A start takes
+    effect before words at its time (kind 0), an end after them (kind 2).
+    """
+    a, z = F.col("start_ms") - slack_ms, F.col("end_ms") + slack_ms
+    whole = segments.where(a <= z)
+    edge = lambda t, kind: whole.select("job_id", t.cast("double").alias("t"), F.lit(kind).alias("kind"), F.col("seg_idx").cast("long").alias("seg_idx"), F.col("speaker").cast("string").alias("speaker"))
+    edges = edge(a, 0).unionByName(edge(z, 2))
+
+    def step(state: tuple | None, kind: int, seg: int | None, speaker: str | None) -> tuple:
+        n, heap, ended = state or (0, [], Counter())
+        # nulls come before all else, the greatest is on top: letters count downwards
+        key = (seg is None, -(seg or 0), speaker is None, (*(-ord(c) for c in speaker or ""), 1), speaker)
+        if kind == 0:
+            heappush(heap, key)
+        else:
+            ended[key] += 1
+        while heap and ended[heap[0]]:
+            ended[heap[0]] -= 1
+            heappop(heap)
+        top = heap[0] if heap else None
+        return (n + 1, heap, ended), {"n": n, "on": top is not None, "speaker": None if top is None else top[4]}
+
+    return scan(edges, ["job_id"], ["t", "kind", "seg_idx", "speaker"], ["kind", "seg_idx", "speaker"], "w", _WINNER, None, step).select("job_id", "t", "kind", "w")
+
+
+def speaker_at(words: DataFrame, segments: DataFrame, slack_ms: int = 1, tasks: int | None = None) -> DataFrame:
     """Speaker of each word: the last segment over its middle, else the nearest, else its own.
 
-    ``segments``: job_id, seg_idx, speaker, start_ms, end_ms. Words meet the segments of their
-    time bin, so a long job is spread and no cross product; a bin holds the segments of one job
-    in ``bin_ms``. Then one exchange by job gives each word the edges before and after it; no
-    result is joined back. Segments without a job go to no word.
+    ``segments``: job_id, seg_idx, speaker, start_ms, end_ms. Words and the edges of their job's
+    segments are one stream ordered by time: the last edges before a word say which segment covers
+    it and which ended last, the first one behind it which starts next. Words are not joined, and
+    not moved if they lie by job in ``tasks`` tasks. Segments without a job go to no word.
     """
-    at = lambda c: F.floor(c / bin_ms)
     own = segments.where("job_id is not null")
-    first_bin, last_bin = at(F.col("start_ms") - slack_ms), at(F.col("end_ms") + slack_ms)
-    span = F.struct("seg_idx", "speaker", (F.col("start_ms") - slack_ms).alias("a"), (F.col("end_ms") + slack_ms).alias("z"))
-    bins = own.select(F.col("job_id").alias("j_"), span.alias("s_"), F.explode(F.sequence(first_bin, last_bin)).alias("bin_")).groupBy("j_", "bin_").agg(F.collect_list("s_").alias("in_bin_"))
-    mid = words.select("job_id", ((F.col("start_ms") + F.col("end_ms")) / 2).alias("t"), F.struct(*words.columns).alias("w_"))
-    met = mid.join(bins, (mid["job_id"] == bins["j_"]) & (at(mid["t"]) == bins["bin_"]), "left")
-    over = F.filter("in_bin_", lambda x: (F.col("t") >= x["a"]) & (F.col("t") <= x["z"]))
-    cover = F.array_max(F.transform(over, lambda x: F.struct(x["seg_idx"], x["speaker"])))
     # edges stand before words at equal times, in both directions
-    spots = met.select("job_id", "t", F.lit(1).alias("kind"), "w_", cover.alias("cover_"))
+    spots = words.select("job_id", ((F.col("start_ms") + F.col("end_ms")) / 2).alias("t"), F.lit(1).alias("kind"), F.struct(*words.columns).alias("w_"))
     side = lambda c, kind: own.select("job_id", F.col(c).cast("double").alias("t"), F.lit(kind).alias("kind"), F.col("seg_idx").cast("long").alias("seg_idx"), F.col("speaker").alias("sp"))
-    spots = spots.unionByName(side("end_ms", 0), allowMissingColumns=True).unionByName(side("start_ms", 2), allowMissingColumns=True)
+    edges = side("end_ms", 0).unionByName(side("start_ms", 2)).unionByName(_covered(own, slack_ms), allowMissingColumns=True)
+    spots = spots.unionByName(_dealt(edges, tasks), allowMissingColumns=True)
     so_far = lambda *order: Window.partitionBy("job_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = lambda kind, sign: F.when(F.col("kind") == kind, F.struct("t", (sign * F.col("seg_idx")).alias("i"), "sp"))
+    edge = lambda kind, sign: F.when((F.col("kind") == kind) & F.col("w").isNull(), F.struct("t", (sign * F.col("seg_idx")).alias("i"), "sp"))
     # of segments with equal edges the first wins
-    past = F.max(edge(0, -1)).over(so_far(F.col("t"), F.col("kind")))
+    past_order = (F.col("t"), F.col("kind"), F.col("w.n"))
+    past = F.max(edge(0, -1)).over(so_far(*past_order))
+    cover = F.last("w", ignorenulls=True).over(so_far(*past_order))
     ahead = F.min(edge(2, 1)).over(so_far(F.desc("t"), F.desc("kind")))
-    near = spots.withColumn("p_", past).withColumn("a_", ahead).where("kind = 1")
+    near = spots.withColumns({"p_": past, "cover_": cover}).withColumn("a_", ahead).where("kind = 1")
     behind, ahead_of = F.col("t") - F.col("p_.t"), F.col("a_.t") - F.col("t")
     first = F.coalesce((behind < ahead_of) | ((behind == ahead_of) & (-F.col("p_.i") < F.col("a_.i"))), F.col("a_").isNull())
     nearest = F.when(first, F.col("p_.sp")).otherwise(F.col("a_.sp"))
-    found = F.when(F.col("cover_").isNotNull(), F.col("cover_.speaker")).otherwise(nearest)
+    found = F.when(F.coalesce(F.col("cover_.on"), F.lit(False)), F.col("cover_.speaker")).otherwise(nearest)
     return near.withColumn("found_", found).select("w_.*", "found_").withColumn("speaker", F.coalesce("found_", "speaker")).drop("found_")
 
 
@@ -229,12 +257,17 @@ def place_events(events: DataFrame, slack_ms: int = 1, least_ms: int = 200) -> D
     return _spaced(rows, slack_ms)
 
 
+def _dealt(rows: DataFrame, tasks: int | None) -> DataFrame:
+    """Rows by job, in as many tasks as the words that they join."""
+    return rows.repartition(tasks, "job_id") if tasks else rows.repartition("job_id")
+
+
 def _spoken(words: DataFrame) -> DataFrame:
     """Words with ``at_``, the largest end so far in their job; it never falls."""
     return words.select(*words.columns, F.max("end_ms").over(in_job().rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("at_"))
 
 
-def events_among(words: DataFrame, events: DataFrame, slack_ms: int = 1, least_ms: int = 200) -> DataFrame:
+def events_among(words: DataFrame, events: DataFrame, slack_ms: int = 1, least_ms: int = 200, tasks: int | None = None) -> DataFrame:
     """(job_id, label, start_ms, end_ms, confidence, next_idx) of the events that get a place between words.
 
     An event stands before the first word, in the words' order, that ends after the event's
@@ -246,10 +279,10 @@ def events_among(words: DataFrame, events: DataFrame, slack_ms: int = 1, least_m
     Words and events of a job are two ordered streams: the largest end so far never falls, so one
     union sorted by it puts every event behind the words that it follows, and a window over that
     order finds the next word. Words are not joined with events. Both sides are dealt out by job
-    in the same way, so words that lie so already are not moved.
+    in the same way, so words that lie so already, in ``tasks`` tasks, are not moved.
     """
     ours = _spoken(words).select("job_id", "at_", F.lit(0).alias("kind_"), "word_idx", "start_ms")
-    heard = events.repartition("job_id").select(
+    heard = _dealt(events, tasks).select(
         "job_id", (F.col("start_ms") + slack_ms).alias("at_"), F.lit(1).alias("kind_"), F.lit(None).cast("long").alias("word_idx"), F.col("start_ms").cast("long").alias("start_ms"),
         F.struct("label", F.greatest("end_ms", F.col("start_ms") + least_ms).cast("long").alias("end_ms"), F.col("end_ms").cast("long").alias("own_end_"), F.col("confidence").cast("double").alias("confidence")).alias("e"),
     )
@@ -260,14 +293,14 @@ def events_among(words: DataFrame, events: DataFrame, slack_ms: int = 1, least_m
     return _spaced(silent.select("job_id", "start_ms", "e.*", F.col("next_.word_idx").alias("next_idx")), slack_ms, tiny=True).drop("own_end_")
 
 
-def insert_events(words: DataFrame, placed: DataFrame) -> DataFrame:
+def insert_events(words: DataFrame, placed: DataFrame, tasks: int | None = None) -> DataFrame:
     """Words with the event tokens of ``events_among`` between them, indexed anew.
 
     ``old_idx`` is a word's index before, null for events.
     """
     cols = ["job_id", "word_idx", "word", "start_ms", "end_ms", "confidence", "speaker"]
     behind = F.lit((1 << 63) - 1)
-    tokens = placed.repartition("job_id").select(
+    tokens = _dealt(placed, tasks).select(
         "job_id", F.lit(None).cast("long").alias("word_idx"), F.col("label").alias("word"), "start_ms", "end_ms", "confidence", F.lit(None).cast("string").alias("speaker"),
         F.coalesce("next_idx", behind).alias("at_"), F.lit(0).alias("kind_"),
     )

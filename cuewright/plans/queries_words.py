@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuewright.functions import text as X
 from cuewright.operators import words as W
 from cuewright.plans.sql import IN_LIST, NORM, WORDS_CONV, WORDS_DOC, edge_norm_sql, similarity_sql, soundex_sql
-from cuewright.sources.tables import table, words_of_conversations, words_of_documents
+from cuewright.sources.tables import document_tasks, table, words_of_conversations, words_of_documents
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -226,8 +226,9 @@ merged AS (SELECT *, CAST(row_number() OVER (PARTITION BY job_id ORDER BY pos, k
 
 @query("event_insertion", WORDS_DOC + ", " + _EVENTS + _INSERTED + "SELECT job_id, word_idx, old_idx, word, start_ms, end_ms, confidence FROM merged")
 def event_insertion(spark, d) -> DataFrame:
-    words = _words_for_events(spark, d)
-    merged = W.insert_events(words, W.events_among(words, W.filter_events(sound_events(spark, d))))
+    tasks = document_tasks(spark, d)
+    words = words_of_documents(spark, d, tasks=tasks)
+    merged = W.insert_events(words, W.events_among(words, W.filter_events(sound_events(spark, d)), tasks=tasks), tasks)
     return merged.select("job_id", "word_idx", "old_idx", "word", "start_ms", "end_ms", "confidence")
 
 
@@ -257,9 +258,9 @@ def toggle_labels(spark, d) -> DataFrame:
     return W.toggle_labels(rows, 30000)
 
 
-def _segments(spark, d) -> DataFrame:
+def _segments(words: DataFrame) -> DataFrame:
     """Segments with gaps between them: every third turn is missing."""
-    t = W.pause_turns(words_of_documents(spark, d)).where("turn % 3 <> 1")
+    t = W.pause_turns(words).where("turn % 3 <> 1")
     return t.select("job_id", F.col("turn").cast("int").alias("seg_idx"), "speaker", "start_ms", "end_ms")
 
 
@@ -274,7 +275,9 @@ n AS (SELECT m.job_id, m.word_idx, arg_min(s.speaker, least(abs(m.mid - s.start_
 SELECT * FROM (SELECT job_id, word_idx, sp AS speaker FROM c UNION ALL SELECT job_id, word_idx, sp FROM n)""",
 )
 def speaker_at_midpoint(spark, d) -> DataFrame:
-    return W.speaker_at(words_of_documents(spark, d), _segments(spark, d)).select("job_id", "word_idx", "speaker")
+    tasks = document_tasks(spark, d)
+    words = words_of_documents(spark, d, tasks=tasks)
+    return W.speaker_at(words, _segments(words), tasks=tasks).select("job_id", "word_idx", "speaker")
 
 
 @query(

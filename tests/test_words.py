@@ -141,3 +141,44 @@ def test_toggled_labels_and_placed_events_in_linear_time(spark):
     n = 200_000
     one = spark.range(n).select(F.lit(1).alias("job_id"), (F.col("id") * 150).alias("start_ms"), (F.col("id") * 150 + 100).alias("end_ms"), F.lit("[a]").alias("label"), F.lit(0.9).alias("confidence"))
     assert W.place_events(one).count() == n // 2  # each lasts 200 ms and bars the next
+
+
+def test_tasks_grow_with_the_texts(spark, monkeypatch):
+    from cuewright.sources import tables
+
+    d = "/root/testdata/sf0.001"
+    size = tables.table(spark, d, "documents").agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(tables, "TASK_TEXT", size // 50)
+    # as it runs, with partitions merged where that is allowed
+    assert tables.words_of_documents(spark, d).rdd.getNumPartitions() >= 50
+    assert tables.words_of_documents(spark, d, tasks=17).rdd.getNumPartitions() == 17
+
+
+def test_sentences_need_one_order(spark, make_words):
+    plan = W.split_sentences(make_words(["a", "b"])).select("sentence")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Sort [") == 1
+
+
+def test_speakers_of_overlapping_segments_match_brute_force(spark):
+    rng = random.Random(5)
+    segs = [(j, i, rng.choice(["a", "ab", "b", None]), s, s + rng.choice([-5, 0, 3, 40, 300])) for j in (1, 2) for i, s in enumerate(rng.randrange(900) for _ in range(25))]
+    words = [(j, i, "w", t, t + rng.randrange(9)) for j in (1, 2, 3) for i, t in enumerate(sorted(rng.randrange(1200) for _ in range(150)))]
+    seg = spark.createDataFrame(segs, "job_id long, seg_idx int, speaker string, start_ms long, end_ms long")
+    word = spark.createDataFrame([(*w, None, "own") for w in words], "job_id long, word_idx long, word string, start_ms long, end_ms long, confidence double, speaker string")
+    rank = lambda x: (x[1], x[2] is not None, x[2] or "")
+
+    def expected(j, mid):
+        own = [x for x in segs if x[0] == j]
+        over = [x for x in own if x[3] - 1 <= mid <= x[4] + 1]
+        if over:
+            return max(over, key=rank)[2] or "own"
+        return None
+
+    for tasks in (None, 3):
+        got = {(r.job_id, r.word_idx): r.speaker for r in W.speaker_at(word, seg, tasks=tasks).collect()}
+        assert len(got) == len(words)
+        for j, i, _, s, e in words:
+            want = expected(j, (s + e) / 2)
+            assert want is None or got[j, i] == want
+            assert j != 3 or got[j, i] == "own"
+    assert "Join" not in W.speaker_at(word, seg)._jdf.queryExecution().executedPlan().toString()
