@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from cuewright.functions import text as X
 from cuewright.operators import evaluation as E
 from cuewright.operators import safety as S
-from cuewright.plans.queries_safety import _HITS, _LEX, _hits, decisions_of_documents, _DECIDE
+from cuewright.plans.queries_safety import _HITS, _LEX, _hits, decisions_of, decisions_of_documents, _DECIDE
 from cuewright.plans.sql import NORM, WORDS_DOC
-from cuewright.sources.tables import table, words_of_documents
+from cuewright.sources.tables import document_tasks, table, words_of_documents
 from cuewright.streaming.sessions import pause_sessions
 
 Q: dict = {}
@@ -154,7 +154,9 @@ def correction_accuracy(spark, d) -> DataFrame:
 SELECT job_id, round(count(*) FILTER (trim(word) = '_') / count(*), 4) AS censorship_rate, count(*) FILTER (trim(word) = '_') AS censored, count(*) AS total FROM fin GROUP BY job_id""",
 )
 def censorship_rate(spark, d) -> DataFrame:
-    return E.censorship_rate(S.apply_decisions(words_of_documents(spark, d), decisions_of_documents(spark, d)))
+    tasks = document_tasks(spark, d)
+    words = words_of_documents(spark, d, tasks=tasks)
+    return E.censorship_rate(S.apply_decisions(words, decisions_of(words), tasks))
 
 
 def _clips(spark, d) -> DataFrame:

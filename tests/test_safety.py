@@ -131,3 +131,15 @@ def test_a_lexicon_of_a_hundred_thousand_entries(spark):
     hits = S.detect(words, lexicon)
     assert {(x["job_id"], x["word_idx"], x["end_idx"], x["matched"], x["severity"], x["allowlisted"]) for x in hits.collect()} == want and len(want) > 100
     assert "zq7" not in hits._jdf.queryExecution().toString()
+
+
+def test_decisions_are_applied_without_a_join(spark):
+    words = spark.createDataFrame([(j, i, f"w{i}", i * 10, i * 10 + 5) for j in (1, 2) for i in range(8)], "job_id long, word_idx long, word string, start_ms long, end_ms long")
+    rows = [(1, 0, 1, "x", 5, "replace"), (1, 2, 5, "_", 45, "censor"), (1, 6, 8, "k", 75, "keep"), (None, 1, 3, "n", 25, "censor"), (2, 7, 8, "_", 75, "censor")]
+    made = spark.createDataFrame(rows, "job_id long, word_idx long, end_idx long, replacement string, end_ms long, action string")
+    out = S.apply_decisions(words, made, tasks=3)
+    got = {j: [(r.word_idx, r.word, r.end_ms) for r in out.where(F.col("job_id") == j).orderBy("word_idx").collect()] for j in (1, 2)}
+    own = lambda i: (i, f"w{i}", i * 10 + 5)
+    assert got[1] == [(0, "x", 5), own(1), (2, "_", 45), own(5), own(6), own(7)]
+    assert got[2] == [*map(own, range(7)), (7, "_", 75)]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
