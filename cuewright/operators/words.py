@@ -128,8 +128,8 @@ def _covered(segments: DataFrame, slack_ms: int) -> DataFrame:
     """
     a, z = F.col("start_ms") - slack_ms, F.col("end_ms") + slack_ms
     whole = segments.where(a <= z)
-    edge = lambda t, kind: whole.select("job_id", t.cast("double").alias("t"), F.lit(kind).alias("kind"), F.col("seg_idx").cast("long").alias("seg_idx"), F.col("speaker").cast("string").alias("speaker"))
-    edges = edge(a, 0).unionByName(edge(z, 2))
+    both = F.explode(F.array(F.struct(a.cast("double").alias("t"), F.lit(0).alias("kind")), F.struct(z.cast("double").alias("t"), F.lit(2).alias("kind"))))
+    edges = whole.select("job_id", F.col("seg_idx").cast("long").alias("seg_idx"), F.col("speaker").cast("string").alias("speaker"), both.alias("e")).select("job_id", "e.t", "e.kind", "seg_idx", "speaker")
 
     def step(state: tuple | None, kind: int, seg: int | None, speaker: str | None) -> tuple:
         n, heap, ended = state or (0, [], Counter())
@@ -153,15 +153,16 @@ def speaker_at(words: DataFrame, segments: DataFrame, slack_ms: int = 1, tasks:
 
     ``segments``: job_id, seg_idx, speaker, start_ms, end_ms. Words and the edges of their job's
     segments are one stream ordered by time: the last edges before a word say which segment covers
-    it and which ended last, the first one behind it which starts next. Words are not joined, and
-    not moved if they lie by job in ``tasks`` tasks. Segments without a job go to no word.
+    it and which ended last, the first one behind it which starts next. Words are not joined; the
+    stream is moved once, to ``tasks`` tasks if given. Segments without a job go to no word.
     """
     own = segments.where("job_id is not null")
     # edges stand before words at equal times, in both directions
     spots = words.select("job_id", ((F.col("start_ms") + F.col("end_ms")) / 2).alias("t"), F.lit(1).alias("kind"), F.struct(*words.columns).alias("w_"))
-    side = lambda c, kind: own.select("job_id", F.col(c).cast("double").alias("t"), F.lit(kind).alias("kind"), F.col("seg_idx").cast("long").alias("seg_idx"), F.col("speaker").alias("sp"))
-    edges = side("end_ms", 0).unionByName(side("start_ms", 2)).unionByName(_covered(own, slack_ms), allowMissingColumns=True)
-    spots = spots.unionByName(_dealt(edges, tasks), allowMissingColumns=True)
+    both = F.explode(F.array(F.struct(F.col("end_ms").cast("double").alias("t"), F.lit(0).alias("kind")), F.struct(F.col("start_ms").cast("double").alias("t"), F.lit(2).alias("kind"))))
+    sides = own.select("job_id", both.alias("e"), F.col("seg_idx").cast("long").alias("seg_idx"), F.col("speaker").alias("sp")).select("job_id", "e.t", "e.kind", "seg_idx", "sp")
+    spots = spots.unionByName(sides.unionByName(_covered(own, slack_ms), allowMissingColumns=True), allowMissingColumns=True)
+    spots = spots.repartition(tasks, "job_id") if tasks else spots
     so_far = lambda *order: Window.partitionBy("job_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = lambda kind, sign: F.when((F.col("kind") == kind) & F.col("w").isNull(), F.struct("t", (sign * F.col("seg_idx")).alias("i"), "sp"))
     # of segments with equal edges the first wins
