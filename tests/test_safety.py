@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -143,3 +144,17 @@ def test_decisions_are_applied_without_a_join(spark):
     assert got[1] == [(0, "x", 5), own(1), (2, "_", 45), own(5), own(6), own(7)]
     assert got[2] == [*map(own, range(7)), (7, "_", 75)]
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hits_are_moved_once(spark, make_words):
+    """Words meet the allow-list before they are hits, so no exchange by job and word follows."""
+    lexicon = S.Lexicon(words={"trash": "strong", "bad": "mild"}, phrases={"so bad": "mild"}, allowlist=("bad", "deal"))
+    words = make_words([*"abcdefghi", "trash", *"jklmnopqrstuvwxyz", "Bads", "so", "bad", "trash"])
+    hits = S.detect(words, lexicon)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(job_id#\d+L, word_idx", plan)
+    rows = {r["word_idx"]: r for r in hits.collect()}
+    assert {i: (r["matched"], r["allowlisted"]) for i, r in rows.items()} == {9: ("trash", False), 27: ("bad", True), 28: ("so bad", True), 30: ("trash", False)}
+    assert rows[9]["context_before"] == list("efghi") and rows[9]["context_after"] == list("jklmn")
+    assert rows[28]["context_before"] == ["w", "x", "y", "z", "Bads"] and rows[28]["context_after"] == ["trash"]
+    assert rows[30]["context_before"] == ["y", "z", "Bads", "so", "bad"] and rows[30]["context_after"] == []
