@@ -38,21 +38,26 @@ def assign_cues(words: DataFrame, s: Settings = Settings()) -> DataFrame:
         | X.has_terminal(F.lag("word").over(w))
     )
     rows = words.withColumn("hard_", F.coalesce(hard, F.lit(True)).cast("int")).withColumn("island_", F.sum("hard_").over(w))
-    item = F.struct("word_idx", "start_ms", "end_ms", F.length("word").alias("size"))
-    islands = rows.groupBy("job_id", "island_").agg(F.array_sort(F.collect_list(item)).alias("w"))
+    rest = [c for c in words.columns if c not in ("job_id", "word_idx")]
+    islands = rows.groupBy("job_id", "island_").agg(F.array_sort(F.collect_list(F.struct("word_idx", *rest))).alias("w"))
     limit = s.max_chars * s.max_lines
-    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("size"), F.expr("cast(array() as array<bigint>)").alias("heads"))
+    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("heads"))
 
     def step(acc: Column, x: Column) -> Column:
-        size = acc["size"] + 1 + x["size"]
+        long = F.length(x["word"])
+        size = acc["size"] + 1 + long
         cut = acc["start"].isNull() | (x["end_ms"] - acc["start"] > s.max_cue_ms) | (size > limit)
-        fresh = F.struct(x["start_ms"].cast("long").alias("start"), x["size"].cast("int").alias("size"), F.concat(acc["heads"], F.array(x["word_idx"].cast("long"))).alias("heads"))
-        return F.when(cut, fresh).otherwise(F.struct(acc["start"].alias("start"), size.cast("int").alias("size"), acc["heads"].alias("heads")))
-
-    heads = islands.select("job_id", F.explode(F.aggregate("w", zero, step, lambda a: a["heads"])).alias("word_idx")).withColumn("head_", F.lit(1))
-    # the exchange on job_id serves this join and the running sum
-    marked = words.join(heads, ["job_id", "word_idx"], "left")
-    return marked.withColumn("cue", F.sum(F.coalesce("head_", F.lit(0))).over(w)).drop("head_")
+        at = (acc["at"] + 1).cast("int").alias("at")
+        fresh = F.struct(x["start_ms"].cast("long").alias("start"), long.cast("int").alias("size"), at, F.concat(acc["heads"], F.array((acc["at"] + 1).cast("int"))).alias("heads"))
+        return F.when(cut, fresh).otherwise(F.struct(acc["start"].alias("start"), size.cast("int").alias("size"), at, acc["heads"].alias("heads")))
+
+    # the words travel in their islands' arrays and are cut there, so nothing is joined back or moved again
+    ends = lambda h, i: F.coalesce(F.get(h, i + 1), F.size("w") + 1)
+    cued = islands.withColumn("h_", F.aggregate("w", zero, step, lambda a: a["heads"]))
+    cued = cued.select("job_id", "island_", F.posexplode(F.transform("h_", lambda x, i: F.slice("w", x, ends(F.col("h_"), i) - x))).alias("at_", "w"))
+    cued = cued.withColumn("cue", F.row_number().over(Window.partitionBy("job_id").orderBy("island_", "at_")).cast("long"))
+    flat = cued.select("job_id", "cue", F.explode("w").alias("x"))
+    return flat.select(*[F.col("job_id") if c == "job_id" else F.col(f"x.{c}").alias(c) for c in words.columns], "cue")
 
 
 def assemble(words: DataFrame, cue: str = "cue") -> DataFrame:

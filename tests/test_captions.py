@@ -116,3 +116,14 @@ def test_captions_are_separated_in_pieces(spark):
     got = C._separated(spark.createDataFrame(rows, "job_id int, index long, start_ms long, end_ms long"), s).collect()
     assert {(x["job_id"], x["index"]): (x["s2"], x["e2"], x["moved"] if x["overlap"] or x["gap"] else None, x["overlap"], x["gap"], x["stretched"]) for x in got} == want
     assert len({x[5] for x in want.values()}) == 2 and sum(x[3] for x in want.values()) > 50
+
+
+def test_cues_are_assigned_without_a_join(make_words):
+    """Words travel with their island: no join back, and cues go on over islands, speakers and long stretches."""
+    said = [("aaaa", i * 400, i * 400 + 300, 0.5, "A" if i < 60 else "B") for i in range(90)]
+    cued = C.assign_cues(make_words([*said, ("end.", 50000, 50300, None, None), ("new", 50400, 50700, None, None)]))
+    assert "Join" not in cued._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(cued.collect(), key=lambda r: r["word_idx"])
+    assert [r["word_idx"] for r in rows] == list(range(92)) and rows[0]["cue"] == 1 and rows[-1]["word"] == "new"
+    steps = {r["word_idx"] for last, r in zip(rows, rows[1:]) if r["cue"] == last["cue"] + 1}
+    assert all(r["cue"] - last["cue"] in (0, 1) for last, r in zip(rows, rows[1:])) and {60, 90, 91} <= steps
