@@ -216,14 +216,29 @@ def cluster(sign: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
 
 def logits(w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     """Class logits of one block of positions, the largest of each zero."""
-    z = w[rows[0]]
+    z = np.take(w, rows[0], axis=0, mode="clip")
+    part = np.empty_like(z)
     for r in rows[1:]:
-        z += w[r]
+        z += np.take(w, r, axis=0, out=part, mode="clip")  # numpy buffers ``out`` in any other mode
     z += w[0]
-    z -= z.max(axis=1, keepdims=True)
+    most = z
+    while most.shape[1] > 1:  # by halves, which numpy compares faster than the few classes of a row
+        half = most.shape[1] // 2
+        most = np.concatenate([np.maximum(most[:, :half], most[:, half : 2 * half]), most[:, 2 * half :]], axis=1)
+    z -= most
     return z
 
 
+def add_rows(total: np.ndarray, rows: np.ndarray, z: np.ndarray) -> None:
+    """``total[rows] += z`` in place, rows that repeat included, in the order of positions.
+
+    Two floats are added as one complex number, at flat places: numpy does so without sorting the rows.
+    """
+    half = total.shape[1] // 2
+    at = rows[:, None] * half + np.arange(half)
+    np.add.at(total.view(np.complex64).reshape(-1), at.reshape(-1), z.view(np.complex64).reshape(-1))
+
+
 def blocks(n: int, size: int = 4096) -> Iterator[slice]:
     """Positions in blocks whose working arrays stay in a core's cache."""
     return (slice(i, min(i + size, n)) for i in range(0, n, size))
@@ -236,7 +251,7 @@ def class_logs(w: np.ndarray, rows: list[np.ndarray], classes: np.ndarray) -> np
         z = logits(w, [r[b] for r in rows])
         out[b] = z[np.arange(len(z)), classes[b]]
         np.exp(z, out=z)
-        out[b] -= np.log(z.sum(axis=1))
+        out[b] -= np.log(z @ np.ones(z.shape[1], z.dtype))
     return out
 
 
@@ -251,25 +266,29 @@ def stable_order(r: np.ndarray, size: int) -> np.ndarray:
 def learn(w: np.ndarray, past: np.ndarray, rows: list[np.ndarray], classes: np.ndarray) -> None:
     """One adaptive gradient step over all positions, in place."""
     n, g = len(classes), np.zeros_like(w)
+    ones = np.ones(w.shape[1], w.dtype)
     for b in blocks(n):
         own = [r[b] for r in rows]
         z = logits(w, own)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z /= (z @ ones)[:, None]
         z[np.arange(len(z)), classes[b]] -= 1
         g[0] += z.sum(axis=0)
         for r in own:
-            order = stable_order(r, len(w))
-            by = r[order]
-            first = np.flatnonzero(np.diff(by, prepend=-1))
-            # added up along the long axis, which numpy does faster
-            g[by[first]] += np.add.reduceat(np.ascontiguousarray(z[order].T), first, axis=1).T
+            add_rows(g, r, z)
     count = sum(np.bincount(r, minlength=len(w)) for r in rows)
     count[0] = n
     some = np.flatnonzero(count)
-    s = g[some] / np.sqrt(count[some]).astype(np.float32)[:, None]
-    past[some] += s * s
-    w[some] -= STEP * s / np.sqrt(past[some] + 1)
+    s = g[some]
+    s /= np.sqrt(count[some]).astype(np.float32)[:, None]
+    seen = past[some]
+    seen += s * s
+    past[some] = seen
+    seen += 1
+    np.sqrt(seen, out=seen)
+    s *= STEP
+    s /= seen
+    w[some] -= s
 
 
 def train(texts: DataFrame, head: Head, n_tokens: int) -> np.ndarray:

@@ -431,3 +431,30 @@ def test_maxent_averages_alike_in_one_step_and_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(maxent, "FAN", 2)
     tree = {r["doc_id"]: r["score"] for r in maxent.score(docs).collect()}
     assert len(flat) == 200 and all(abs(flat[k] - tree[k]) < 1e-3 for k in flat)
+
+
+def test_maxent_step_adds_rows_up_without_sorting_them(monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [np.minimum(r.geometric(0.01, 9000), 299) for _ in range(3)]
+    z = r.standard_normal((9000, maxent.CLASSES)).astype(np.float32)
+    total, exact = np.zeros((300, maxent.CLASSES), np.float32), np.zeros((300, maxent.CLASSES))
+    maxent.add_rows(total, rows[0], z)
+    np.add.at(exact, rows[0], z.astype(float))
+    assert np.abs(total - exact).max() < 1e-3
+
+    w = r.standard_normal(total.shape).astype(np.float32)
+    classes, past = r.integers(0, maxent.CLASSES, 9000), np.zeros_like(w)
+    p = w.astype(float)[np.stack(rows)].sum(axis=0) + w[0]
+    p = np.exp(p - p.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(9000), classes] -= 1
+    g, n = np.zeros(w.shape), np.zeros(300)
+    for x in rows:
+        np.add.at(g, x, p)
+        np.add.at(n, x, 1)
+    g[0], n[0] = p.sum(axis=0), 9000
+    g /= np.sqrt(np.maximum(n, 1))[:, None]
+    expected = w - maxent.STEP * g / np.sqrt(g * g + 1)
+    monkeypatch.setattr(maxent.np, "argsort", lambda *a, **k: pytest.fail("sorted"))
+    maxent.learn(w, past, rows, classes)
+    assert np.abs(w - expected).max() < 1e-3 and np.abs(past - g * g).max() < 1e-2 * max(1, np.abs(g * g).max())
