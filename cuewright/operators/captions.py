@@ -7,11 +7,13 @@ keep only what the next step needs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cuewright.functions import text as X
+from cuewright.operators import density as D
 from cuewright.operators.folds import scan
 from cuewright.operators.words import in_job
 from cuewright.schema import Settings
@@ -127,24 +129,10 @@ def merge_short(words: DataFrame, s: Settings = Settings()) -> DataFrame:
 # --- reading speed ----------------------------------------------------------------------
 
 
-def _dense(text: Column, ms: Column, s: Settings) -> Column:
-    cps, wps = X.reading_speed(text, ms)
-    return (cps > s.max_cps) | (wps > s.max_wps)
-
-
-def split_point(words: Column) -> Column:
-    """Where to cut a dense cue: after a sentence mark, a comma, before a conjunction, in the middle; else null."""
-    n = F.size(words)
-    inner = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    earlier = lambda i: F.element_at(words, i)
-    first = lambda f: F.get(F.filter(inner, f), F.lit(0))
-    conj = lambda i: F.lower(F.btrim(F.element_at(words, i + 1), F.lit(".,!?"))).isin(*X.CONJUNCTIONS) & (i < n - 1)
-    return F.coalesce(
-        first(lambda i: X.has_terminal(earlier(i))),
-        first(lambda i: earlier(i).endswith(",")),
-        first(conj),
-        F.when(n >= 6, F.floor(n / 2).cast("int")),
-    )
+def _speed(ms: Column) -> tuple[Column, Column]:
+    """Characters and words a second of the columns chars and said."""
+    seconds = F.greatest(ms, F.lit(1)) / F.lit(1000.0)
+    return F.col("chars") / seconds, F.col("said") / seconds
 
 
 def annotate_confidence(words: DataFrame, records: DataFrame) -> DataFrame:
@@ -157,57 +145,52 @@ def annotate_confidence(words: DataFrame, records: DataFrame) -> DataFrame:
     return words.join(last, key, "left").select(*words.columns, F.col("r_.overall_confidence").alias("overall_confidence"), F.col("r_.band").alias("record_band"))
 
 
-def _mean(values: Column) -> Column:
-    """Mean of the values that are not null, by decimal sums: the same in any order."""
-    some = F.filter(values, lambda x: x.isNotNull())
-    total = F.aggregate(F.transform(some, lambda x: x.cast("decimal(20,10)")), F.lit(0).cast("decimal(38,10)"), lambda a, x: (a + x).cast("decimal(38,10)"))
-    return F.when(F.size(some) > 0, total / F.size(some))
+def captions(words: DataFrame, s: Settings = Settings(), duration_ms: int | None = None) -> DataFrame:
+    """Captions of words: ``repair_density`` of the cues of ``assign_cues`` after ``merge_short``, in one pass.
+
+    Words are sorted by job once, and not moved if they lie so already; no cue becomes an array, and
+    words are neither grouped nor sorted again.
+    """
+    return _repaired(words, in_job(), None, s, duration_ms)
 
 
 def repair_density(words: DataFrame, s: Settings = Settings(), duration_ms: int | None = None) -> DataFrame:
     """Captions of cued words after dense ones were split, extended or flagged.
 
-    A caption sees only itself and the next one's original start, so after one window this is
-    row-local: each cue explodes into one or two captions. Where words carry the columns of
+    A caption sees only itself and the next one's original start. Where words carry the columns of
     ``annotate_confidence``, a cue that stays whole has their mean and a flag for any low word.
     """
-    annotated = "record_band" in words.columns
-    extra = [F.col("overall_confidence").alias("overall"), F.col("record_band").alias("band")] if annotated else [F.lit(None).cast("double").alias("overall"), F.lit(None).cast("string").alias("band")]
-    item = F.struct("word_idx", "word", "start_ms", "end_ms", F.col("confidence").cast("double").alias("confidence"), F.col("speaker").cast("string").alias("speaker"), *extra)
-    cues = words.groupBy("job_id", "cue").agg(F.array_sort(F.collect_list(item)).alias("w"))
-    cues = cues.withColumn("next_", F.lead(F.col("w")[0]["start_ms"]).over(by_cue()))
-    wrap = lambda w: X.wrap_caption(F.array_join(F.transform(w, lambda x: x["word"]), " "), s.max_chars, s.max_lines)
-    start = lambda w: w[0]["start_ms"]
-    end = lambda w: F.greatest(F.element_at(w, -1)["end_ms"], w[0]["start_ms"])
-    cues = cues.withColumn("text_", wrap(F.col("w"))).withColumn("cut_", split_point(F.transform("w", lambda x: x["word"])))
-    cues = cues.withColumn("dense_", _dense(F.col("text_"), end(F.col("w")) - start(F.col("w")), s))
-    left, right = F.slice("w", 1, F.col("cut_")), F.slice("w", F.col("cut_") + 1, F.size("w") - F.col("cut_"))
-    cues = cues.withColumn("a_", F.when(F.col("dense_") & F.col("cut_").isNotNull(), left)).withColumn("b_", F.when(F.col("dense_") & F.col("cut_").isNotNull(), right))
-    for side in "ab":
-        cues = cues.withColumn(f"{side}t_", wrap(F.col(f"{side}_"))).withColumn(f"{side}d_", _dense(F.col(f"{side}t_"), end(F.col(f"{side}_")) - start(F.col(f"{side}_")), s))
-    splits = F.coalesce(F.col("cut_").isNotNull() & F.col("dense_") & (~F.col("ad_") | ~F.col("bd_") | (F.size("w") >= 6)), F.lit(False))
-    for side, w in (("", "w"), ("a", "a_"), ("b", "b_")):
-        cues = cues.withColumn(f"{side}m_", _mean(F.transform(w, lambda x: x["confidence"])))
-    cues = cues.withColumn("overall_", _mean(F.transform("w", lambda x: x["overall"])) if annotated else F.lit(None).cast("decimal(38,10)"))
-    band = lambda m: F.when(m.isNotNull(), X.band(m.cast("double"), s.confidence_high, s.confidence_medium))
-    low = lambda m: F.coalesce(m < s.confidence_medium, F.lit(False))
-    any_low = F.exists("w", lambda x: F.coalesce((x["band"] == "low") & x["overall"].isNotNull(), F.lit(False))) if annotated else F.lit(False)
-    cues = cues.withColumn("parent_low", low(F.col("m_")) | any_low)
-    # a whole cue takes the mean of its records, parts go back to the words' own confidence
-    part = lambda w, text, dense, nxt, k, m, average: F.struct(
-        F.lit(k).alias("part"), start(w).alias("start_ms"), end(w).alias("end_ms"), text.alias("text"), nxt.cast("long").alias("next"), dense.alias("dense"), F.size(w).alias("n_words"),
-        X.modal(F.transform(w, lambda x: x["speaker"])).alias("speaker"), F.round(average, 4).cast("double").alias("mean_confidence"), band(m).alias("confidence_band"), low(m).alias("low"),
+    w = Window.partitionBy("job_id").orderBy("cue", "word_idx")
+    return _repaired(words, w, ~F.col("cue").eqNullSafe(F.lag("cue").over(w)), s, duration_ms)
+
+
+_PARTS = (
+    "caption int, start_ms long, end_ms long, text string, chars int, said int, next long, dense boolean, split boolean, n_words int, speaker string, "
+    "mean_confidence double, confidence_band string, low boolean, parent_low boolean"
+)
+
+
+def _repaired(words: DataFrame, w: WindowSpec, new: Column | None, s: Settings, duration_ms: int | None) -> DataFrame:
+    """Captions of words in the order of ``w``, by one pass over Arrow batches. ``new``: where a cue begins; without it, cues are cut and merged there too."""
+    annotated, cued = "record_band" in words.columns, new is not None
+    more = [new.alias("new")] if cued else []
+    if annotated:
+        more += [F.col("overall_confidence").cast("double").alias("overall"), ((F.col("record_band") == "low") & F.col("overall_confidence").isNotNull()).alias("low")]
+    # the window puts a job's words together and in order, and moves none that lie so
+    rows = words.select(
+        "job_id", "word", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), F.col("confidence").cast("double").alias("confidence"),
+        F.col("speaker").cast("string").alias("speaker"), (F.row_number().over(w) == 1).alias("first"), *more,
     )
-    two = F.array(part(F.col("a_"), F.col("at_"), F.col("ad_"), start(F.col("b_")), 0, F.col("am_"), F.col("am_")), part(F.col("b_"), F.col("bt_"), F.col("bd_"), F.col("next_"), 1, F.col("bm_"), F.col("bm_")))
-    one = F.array(part(F.col("w"), F.col("text_"), F.col("dense_"), F.col("next_"), 0, F.col("m_"), F.coalesce("overall_", "m_")))
-    rows = cues.select("job_id", "cue", "parent_low", splits.alias("split"), F.explode(F.when(splits, two).otherwise(one)).alias("p")).select("job_id", "cue", "parent_low", "split", "p.*")
-    chars = F.length(X.collapse(F.col("text")))
-    target = F.col("start_ms") + F.ceil(chars * 1000 / F.lit(max(s.max_cps, 0.1)))  # up, so that the rate is met
+    kind = T.StructType([rows.schema["job_id"], *T.StructType.fromDDL(_PARTS)])
+    target = to_arrow_schema(kind)
+    rows = rows.mapInArrow(lambda batches: D.repaired(batches, s, cued, annotated, target), kind)
+    target = F.col("start_ms") + F.ceil(F.col("chars") * 1000 / F.lit(max(s.max_cps, 0.1)))  # up, so that the rate is met
     limit = F.least(F.col("start_ms") + s.max_cue_ms, F.col("next") - s.min_caption_gap_ms, F.lit(duration_ms).cast("long"))
     longer = F.least(F.greatest(F.col("end_ms"), target), limit)
     stretched = F.col("dense") & (longer > F.col("end_ms") + 1)
     rows = rows.withColumn("stretched", stretched).withColumn("end_ms", F.when(stretched, longer).otherwise(F.col("end_ms")))
-    rows = rows.withColumn("still", _dense(F.col("text"), F.col("end_ms") - F.col("start_ms"), s))
+    cps, wps = _speed(F.col("end_ms") - F.col("start_ms"))
+    rows = rows.withColumn("still", (cps > s.max_cps) | (wps > s.max_wps))
     flag = lambda c, f: F.when(c, F.array(F.lit(f))).otherwise(F.expr("cast(array() as array<string>)"))
     # a split cue hands its flags down, then each part adds its own
     flags = F.concat(flag(F.col("split") | F.col("dense"), "reading_speed"), flag(F.col("parent_low") | F.col("low"), "low_confidence"))
@@ -215,10 +198,8 @@ def repair_density(words: DataFrame, s: Settings = Settings(), duration_ms: int
     # a stretched caption that reads well loses the flag; an untouched one keeps its parent's
     flags = F.when(F.col("stretched") & ~F.col("still"), F.array_remove(flags, "reading_speed")).otherwise(flags)
     flags = F.when(F.col("still"), F.concat(flags, F.array(F.lit("reading_speed"), F.lit("needs_review")))).otherwise(flags)
-    cps, wps = X.reading_speed(F.col("text"), F.col("end_ms") - F.col("start_ms"))
-    number = F.row_number().over(Window.partitionBy("job_id").orderBy("cue", "part"))
     return rows.select(
-        "job_id", number.alias("caption"), "start_ms", "end_ms", "text", "n_words", F.round(cps, 4).alias("cps"), F.round(wps, 4).alias("wps"),
+        "job_id", "caption", "start_ms", "end_ms", "text", "n_words", F.round(cps, 4).alias("cps"), F.round(wps, 4).alias("wps"),
         F.when(F.col("still"), "too_fast").otherwise("OK").alias("reading_status"), F.array_distinct(flags).alias("flags"), "speaker", "mean_confidence", "confidence_band",
     )
 

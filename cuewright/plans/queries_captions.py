@@ -275,5 +275,5 @@ def quality_report_captions(spark, d) -> DataFrame:
 
 
 def _report(spark, d, words: DataFrame) -> DataFrame:
-    captions = C.caption_summary(C.repair_density(C.merge_short(C.assign_cues(words))))
+    captions = C.caption_summary(C.captions(words))
     return R.quality_report(W.confidence_summary(W.confidence_records(words)), S.decision_summary(decisions_of(words)), captions, W.pause_turns(words), W.filter_events(sound_events(spark, d)))

@@ -127,3 +127,52 @@ def test_cues_are_assigned_without_a_join(make_words):
     assert [r["word_idx"] for r in rows] == list(range(92)) and rows[0]["cue"] == 1 and rows[-1]["word"] == "new"
     steps = {r["word_idx"] for last, r in zip(rows, rows[1:]) if r["cue"] == last["cue"] + 1}
     assert all(r["cue"] - last["cue"] in (0, 1) for last, r in zip(rows, rows[1:])) and {60, 90, 91} <= steps
+
+
+def _random_words(spark, jobs=60):
+    import random
+
+    r, rows = random.Random(11), []
+    pool = ["a", "the", "and", "But,", "so", "then.", "longer", "wonderful,", "ok!", 'yes?"', "said.”", "no’", "w" * 50, "y" * 95, "", "two words", "é" * 9, "of", "with,", None]
+    for job in range(jobs):
+        t, speaker, plain = 0, None, job % 3
+        for i in range(r.choice([1, 2, 13, 40, 150])):
+            t += r.choice([0, 40, 90, 200, 400, 400, 900, 7100])
+            speaker = r.choice([None, "", "A", "B"]) if r.random() < 0.08 else speaker
+            end = None if plain == 0 and r.random() < 0.03 else t + r.choice([0, 30, 200, 300, 700])
+            rows.append((job, i, r.choice(pool[:13] if plain else pool), t, end, r.choice([None, r.random(), 0.7, 0.9]), speaker))
+            t = end or t
+    return spark.createDataFrame(rows, "job_id long, word_idx long, word string, start_ms long, end_ms long, confidence double, speaker string")
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=lambda r: (r[0], r[1]))
+
+
+def test_captions_in_one_pass(spark):
+    """Captions of words equal those of cues cut, merged and repaired one after another, however the words are batched, without a group or an array of words."""
+    words, size = _random_words(spark), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    want = _rows(C.repair_density(C.merge_short(C.assign_cues(words))))
+    assert len({r[8] for r in want}) == 2 and any("timing_extended" in r[9] for r in want)
+    try:
+        for rows in ("5", "64", before):
+            spark.conf.set(size, rows)
+            assert _rows(C.captions(words)) == want
+    finally:
+        spark.conf.set(size, before)
+    plan = C.captions(words)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Sort ") == 1 and "MapInArrow" in plan
+
+
+def test_captions_at_any_speed_are_the_merged_cues(spark):
+    """Where no cue is dense, captions are the cues of the other operators, wrapped by the column expression."""
+    from cuewright.schema import Settings
+
+    for s in (Settings(max_cps=1e9, max_wps=1e9), Settings(max_cps=1e9, max_wps=1e9, max_chars=20, max_lines=1), Settings(max_cps=1e9, max_wps=1e9, max_chars=30)):
+        words = _random_words(spark)
+        cues = C.assemble(C.merge_short(C.assign_cues(words, s), s))
+        wrapped = X.wrap_caption(F.col("text"), s.max_chars, s.max_lines)
+        want = _rows(cues.select("job_id", "cue", "start_ms", "end_ms", wrapped.alias("text"), "speaker", "n_words", "mean_confidence"))
+        assert _rows(C.captions(words, s).select("job_id", "caption", "start_ms", "end_ms", "text", "speaker", "n_words", "mean_confidence")) == want
+        assert max(len(r[4].split("\n")) for r in want) == s.max_lines
