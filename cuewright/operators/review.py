@@ -225,10 +225,11 @@ def busy_job(jobs: DataFrame, busy: list[str]) -> DataFrame:
     return jobs.where(F.col("status").isin(*busy)).orderBy("created_at", "job_id").limit(1)
 
 
-def quality_report(confidence: DataFrame, decisions: DataFrame, captions: DataFrame, segments: DataFrame, events: DataFrame) -> DataFrame:
-    """One row a job from five summaries; missing ones count as zero."""
-    out = confidence.select("job_id", "mean_confidence", "word_count", "low")
-    for part in (decisions.select("job_id", "replaced", "censored", "flagged"), captions.select("job_id", "reading_speed_warnings"), segments.groupBy("job_id").agg(F.count("*").alias("segments")), events.groupBy("job_id").agg(F.count("*").alias("events"))):
+def quality_report(confidence: DataFrame, decisions: DataFrame, captions: DataFrame, segments: DataFrame | None, events: DataFrame) -> DataFrame:
+    """One row a job from five summaries; missing ones count as zero. ``segments``: None where ``confidence`` has counted them, as segments."""
+    out = confidence.select("job_id", "mean_confidence", "word_count", "low", *(["segments"] if segments is None else []))
+    counted = [] if segments is None else [segments.groupBy("job_id").agg(F.count("*").alias("segments"))]
+    for part in (decisions.select("job_id", "replaced", "censored", "flagged"), captions.select("job_id", "reading_speed_warnings"), *counted, events.groupBy("job_id").agg(F.count("*").alias("events"))):
         out = out.join(part, "job_id", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return out.select(

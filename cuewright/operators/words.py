@@ -43,12 +43,13 @@ def confidence_records(words: DataFrame, s: Settings = Settings(), risk: Column
     )
 
 
-def confidence_summary(records: DataFrame) -> DataFrame:
-    """Words, mean and band counts of each job."""
+def confidence_summary(records: DataFrame, **more: Column) -> DataFrame:
+    """Words, mean and band counts of each job, and what ``more`` aggregates of its records."""
     band = lambda b: F.count_if(F.col("band") == b).alias(b)
     return records.groupBy("job_id").agg(
-        F.count("*").alias("word_count"), F.round(F.avg("overall_confidence"), 4).alias("mean_confidence"), band("high"), band("medium"), band("low")
-    )
+        F.count("*").alias("word_count"), F.round(F.avg("overall_confidence"), 4).alias("mean_confidence"), band("high"), band("medium"), band("low"),
+        *[c.alias(name) for name, c in more.items()],
+    )
 
 
 def low_confidence_rate(words: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -91,10 +92,14 @@ def punctuate(words: DataFrame, s: Settings = Settings()) -> DataFrame:
 # --- speakers ---------------------------------------------------------------------------
 
 
+def after_pause(gap_ms: int = Settings.speaker_gap_ms) -> Column:
+    """Whether a word follows a long pause, behind the end of all words before it."""
+    return F.coalesce(F.col("start_ms") - F.max("end_ms").over(before()) >= gap_ms, F.lit(False))
+
+
 def pause_turns(words: DataFrame, gap_ms: int = Settings.speaker_gap_ms) -> DataFrame:
     """Speaker segments: a long pause starts a turn of the other of two speakers."""
-    new = F.col("start_ms") - F.max("end_ms").over(before()) >= gap_ms
-    turn = words.withColumn("new_", F.coalesce(new, F.lit(False)).cast("int")).withColumn("turn", F.sum("new_").over(in_job()))
+    turn = words.withColumn("new_", after_pause(gap_ms).cast("int")).withColumn("turn", F.sum("new_").over(in_job()))
     segments = turn.groupBy("job_id", "turn").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     speaker = (F.col("turn") % 2 + 1).cast("string")
     return segments.select("job_id", "turn", speaker.alias("speaker"), "start_ms", "end_ms", F.concat(F.lit("Speaker "), speaker).alias("label"))

@@ -276,4 +276,7 @@ def quality_report_captions(spark, d) -> DataFrame:
 
 def _report(spark, d, words: DataFrame) -> DataFrame:
     captions = C.caption_summary(C.captions(words))
-    return R.quality_report(W.confidence_summary(W.confidence_records(words)), S.decision_summary(decisions_of(words)), captions, W.pause_turns(words), W.filter_events(sound_events(spark, d)))
+    # a job has a turn, and one more for every long pause; counted with its words, as these need no second order for it
+    told = W.confidence_records(words.withColumn("new_", W.after_pause()))
+    confidence = W.confidence_summary(told, segments=F.count_if("new_") + 1)
+    return R.quality_report(confidence, S.decision_summary(decisions_of(words)), captions, None, W.filter_events(sound_events(spark, d)))

@@ -176,3 +176,22 @@ def test_captions_at_any_speed_are_the_merged_cues(spark):
         want = _rows(cues.select("job_id", "cue", "start_ms", "end_ms", wrapped.alias("text"), "speaker", "n_words", "mean_confidence"))
         assert _rows(C.captions(words, s).select("job_id", "caption", "start_ms", "end_ms", "text", "speaker", "n_words", "mean_confidence")) == want
         assert max(len(r[4].split("\n")) for r in want) == s.max_lines
+
+
+def test_quality_report_counts_turns_with_words(spark):
+    """Turns of the report are the segments of ``pause_turns``, counted in the same pass as the words; given segments count as before."""
+    from cuewright.operators import words as W
+    from cuewright.plans import queries_captions as P
+
+    d = "/root/testdata/sf0.001"
+    words = P.words_of_documents(spark, d)
+    turns = {r["job_id"]: r["count"] for r in W.pause_turns(words).groupBy("job_id").count().collect()}
+    report = {r["job_id"]: r for r in P.quality_report_captions(spark, d).collect()}
+    assert {k: r["speaker_changes"] for k, r in report.items()} == turns and len(set(turns.values())) > 5
+    records = W.confidence_records(_random_words(spark).withColumn("new_", W.after_pause()))
+    counted = W.confidence_summary(records, segments=F.count_if("new_") + 1)
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Sort ") == 1
+    assert {r["job_id"]: r["segments"] for r in counted.collect()} == {r["job_id"]: r["count"] for r in W.pause_turns(_random_words(spark)).groupBy("job_id").count().collect()}
+    none = spark.createDataFrame([], "job_id long, replaced long, censored long, flagged long, reading_speed_warnings long")
+    whole = [_rows(R.quality_report(counted, none, none, given, none)) for given in (None, W.pause_turns(_random_words(spark)))]
+    assert whole[0] == whole[1]
