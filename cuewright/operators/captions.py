@@ -2,7 +2,7 @@
 
 Cues are rows with job_id, cue (from 1), start_ms, end_ms, text, speaker and n_words. Folds run
 over arrays of small structs, one array for a job or for an island between hard breaks, and
-keep only what the next step needs.
+keep only what the next step needs. Captions come from words in order by columns (``density``).
 """
 
 from __future__ import annotations
@@ -184,9 +184,9 @@ def _repaired(words: DataFrame, w: WindowSpec, new: Column | None, s: Settings,
     kind = T.StructType([rows.schema["job_id"], *T.StructType.fromDDL(_PARTS)])
     target = to_arrow_schema(kind)
     rows = rows.mapInArrow(lambda batches: D.repaired(batches, s, cued, annotated, target), kind)
-    target = F.col("start_ms") + F.ceil(F.col("chars") * 1000 / F.lit(max(s.max_cps, 0.1)))  # up, so that the rate is met
+    readable = F.col("start_ms") + F.ceil(F.col("chars") * 1000 / F.lit(max(s.max_cps, 0.1)))  # up, so that the rate is met
     limit = F.least(F.col("start_ms") + s.max_cue_ms, F.col("next") - s.min_caption_gap_ms, F.lit(duration_ms).cast("long"))
-    longer = F.least(F.greatest(F.col("end_ms"), target), limit)
+    longer = F.least(F.greatest(F.col("end_ms"), readable), limit)
     stretched = F.col("dense") & (longer > F.col("end_ms") + 1)
     rows = rows.withColumn("stretched", stretched).withColumn("end_ms", F.when(stretched, longer).otherwise(F.col("end_ms")))
     cps, wps = _speed(F.col("end_ms") - F.col("start_ms"))
